@@ -6,39 +6,13 @@ flattened and doubles rounded to 6 places before results leave a query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aspectra.functions.labels import encode_labels
 from aspectra.functions.text import normalise_label
 from aspectra.operators import clean, reports, weights
 from aspectra.plans import bridge
+from aspectra.plans.registry import labels_str, r6, register
 from aspectra.plans.sqlbits import (B_REVIEWS, B_SHEET, ENC, ENC_LONG, LABEL_DIM, SENT, norm, with_)
-from aspectra.schema import DEFAULT_SCHEMA
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def labels_str(c="labels") -> F.Column:
-    """Flatten a 0/1 double array into '1,0,...'."""
-    return F.array_join(F.transform(F.col(c), lambda x: x.cast("int").cast("string")), ",")
-
 
 Y_STR = "concat_ws(',', " + ", ".join(f"CAST(CAST(y{i} AS INTEGER) AS VARCHAR)" for i in range(8)) + ")"
 

@@ -67,7 +67,7 @@ ENC_LONG = """enc_long AS (
   FROM enc, range(8) r(i))"""
 
 LABEL_DIM = """label_dim AS (
-  SELECT * FROM (VALUES
+  SELECT label_idx, label, aspect, polarity, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES
     (0, 'Logística_Pos', 'logistica', 'Pos', 0.50), (1, 'Logística_Neg', 'logistica', 'Neg', 0.50),
     (2, 'Produto_Pos', 'produto', 'Pos', 0.55), (3, 'Produto_Neg', 'produto', 'Neg', 0.45),
     (4, 'Atend_Pos', 'atendimento', 'Pos', 0.30), (5, 'Atend_Neg', 'atendimento', 'Neg', 0.45),
