@@ -1,4 +1,4 @@
 """Import every catalog module so the registry is complete."""
 
-from aspectra.plans import catalog, catalog_metrics, catalog_scoring  # noqa: F401
+from aspectra.plans import catalog, catalog_metrics, catalog_sampling, catalog_scoring  # noqa: F401
 from aspectra.plans.registry import ORACLES, QUERIES  # noqa: F401
