@@ -90,3 +90,16 @@ def b_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row per (run, day): small and bounded by runs x days
     w = Window.partitionBy("run").orderBy("day")
     return daily.select("run", F.dense_rank().over(w).cast("int").alias("epoch"), "f1_macro")
+
+
+def b_label_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored label records (F7 shape) from ``labels``: quality -> Produto, toxic -> Atendimento."""
+    lab = table(spark, sf_dir, "labels")
+    entries = F.array(
+        F.when(F.col("quality") == 1, F.struct(F.lit("Produto").alias("key"), F.lit("Positivo").alias("value")))
+         .when(F.col("quality") == 0, F.struct(F.lit("Produto").alias("key"), F.lit("Negativo").alias("value"))),
+        F.when(F.col("toxic") == 1, F.struct(F.lit("Atendimento").alias("key"), F.lit("Negativo").alias("value"))))
+    cats = F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+    remove = (F.col("quality") == 0) & (F.col("toxic") == 1)
+    return lab.select(F.col("doc_id").cast("string").alias("review_id"),
+                      F.struct(cats.alias("categories"), F.coalesce(remove, F.lit(False)).alias("toRemove")).alias("state"))
