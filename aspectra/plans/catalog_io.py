@@ -107,12 +107,10 @@ def q_write_sheet_csv(spark, sf):
 
     path = scratch_path(spark, "sheet-csv")
     io.write_sheet_csv(_sample(spark, sf).sheet, path)
-    schema = ("review_id long, review_score int, review_text string, aspectos_detectados string, "
-              "logistica_sentimento string, produto_sentimento string, atendimento_sentimento string, "
-              "preco_sentimento string, to_remove string, row_index int")
-    df = io.read_label_sheet(spark, path, None).select(*[F.col(c) for c in schema.replace(",", "").split()[0::2]])
-    return spark.createDataFrame(df.rdd, schema) if False else df.selectExpr(
-        *[f"cast({n} as {t}) as {n}" for n, t in (x.split() for x in schema.split(", "))])
+    cols = [("review_id", "long"), ("review_score", "int"), ("review_text", "string"),
+            ("aspectos_detectados", "string"), *[(c, "string") for c in SENT], ("to_remove", "string"),
+            ("row_index", "int")]
+    return io.read_label_sheet(spark, path, ", ".join(f"{n} {t}" for n, t in cols))
 
 
 @register("labelling_feed", with_(B_REVIEWS) + """
