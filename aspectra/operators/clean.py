@@ -80,6 +80,11 @@ def score_equals(df: DataFrame, k: int, score: str = "review_score") -> DataFram
     return df.filter(F.col(score) == F.lit(k))
 
 
+def score_in(df: DataFrame, ks, score: str = "review_score") -> DataFrame:
+    """P6 for several scores at once (one scan instead of one filter per score)."""
+    return df.filter(F.col(score).isin(*[int(k) for k in ks]))
+
+
 def project_training(df: DataFrame, text: str = "text", labels: str = "labels",
                      key: str | None = "review_id") -> DataFrame:
     """Keep text and labels only (the id is kept when present, to stay aligned)."""

@@ -76,6 +76,15 @@ def class_counts(df: DataFrame, labels: str | None = "labels",
                       "n_rows", pct.alias("pct"), bar_text(pct, 1.0).alias("bar"))
 
 
+def present_labels(counts: DataFrame, position: str = "position") -> DataFrame:
+    """Labels with a positive count, in contract order, with their 0-based position.
+
+    ``counts`` has one row per label (k rows), so the unpartitioned window is bounded by k.
+    """
+    w = Window.orderBy("label_idx")
+    return counts.filter(F.col("n") > 0).withColumn(position, (F.row_number().over(w) - 1).cast("int"))
+
+
 def total_labels(df: DataFrame, labels: str = "labels", schema: AspectSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Sum of all label counts."""
     s = F.aggregate(F.col(labels), F.lit(0.0), lambda a, x: a + x)

@@ -59,13 +59,16 @@ def stratified_sample(df: DataFrame, strata: list[str], n: int, key: str = "revi
     return out.drop("_h")
 
 
-def exclude_used(df: DataFrame, used_ids: DataFrame, key: str = "review_id") -> DataFrame:
+def exclude_used(df: DataFrame, used_ids: DataFrame, key: str = "review_id", bounded: bool = False) -> DataFrame:
     """Anti-join against ids already taken.
 
-    ``used_ids`` is bounded by the sampling quotas (at most the target size), so
-    it is broadcast.
+    ``bounded=True`` is for callers that prove the size of ``used_ids`` (the
+    sampler: at most the sum of its quotas), which is then broadcast.  Otherwise
+    the join is left to AQE, which broadcasts only if the runtime size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
-    return df.join(F.broadcast(used_ids.select(key).distinct()), key, "left_anti")
+    used = used_ids.select(key).distinct()
+    return df.join(F.broadcast(used) if bounded else used, key, "left_anti")
 
 
 def concat_samples(parts: list[DataFrame]) -> DataFrame | None:
@@ -99,7 +102,7 @@ def quota_sample(candidates: DataFrame, key: str = "review_id", score: str = "re
         pool = base.filter(F.col(f"tem_{aspect}"))
         used = used_ids(taken, key)
         if used is not None:
-            pool = exclude_used(pool, used, key)
+            pool = exclude_used(pool, used, key, bounded=True)  # <= sum of quotas
         pick = top_n_per_group(pool, ["band"], half, [F.col("_h")] + ties, salt)
         pick = pick.withColumnRenamed("_rank", "sample_rank").withColumn("step", F.lit(step))
         if checkpoint:
@@ -121,7 +124,8 @@ def fill_to_target(candidates: DataFrame, quota_part: DataFrame, key: str = "rev
     per = (target - n) // 5
     if per <= 0:
         return quota_part.limit(0).select(*candidates.columns).withColumn("step", F.lit(step))
-    pool = exclude_used(candidates.filter(F.col(score).isin(1, 2, 3, 4, 5)), quota_part, key)
+    pool = exclude_used(candidates.filter(F.col(score).isin(1, 2, 3, 4, 5)), quota_part, key,
+                        bounded=True)  # quota rows: <= sum of quotas
     pool = pool.withColumn("_h", sampling_hash(key, F.col(score) + F.lit(seed)))
     salt = F.pmod(F.xxhash64("_h"), F.lit(SALT_BUCKETS))
     pick = top_n_per_group(pool, [score], per, [F.col("_h")] + _tie_break(candidates, key), salt)
@@ -172,18 +176,3 @@ def train_test_split(df: DataFrame, test_size: float, key: str = "review_id", se
 def distinct_pairs(df: DataFrame, cols=("review_id", "review_score")) -> DataFrame:
     """Distinct (id, score) pairs."""
     return df.select(*cols).distinct()
-
-
-def row_index(df: DataFrame, order: list[str], index: str = "index") -> DataFrame:
-    """0-based position in ``order``.
-
-    Uses ``zipWithIndex`` (one extra pass, no single-partition window), so it
-    scales to any size; ``order`` must be a total order.
-    """
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    rdd = ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType(ordered.schema.fields + [StructField(index, LongType(), False)])
-    return spark.createDataFrame(rdd, schema)

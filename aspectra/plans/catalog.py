@@ -62,13 +62,10 @@ def q_score_band_filter(spark, sf):
 SELECT review_score, CAST(count(*) AS BIGINT) AS n, CAST(sum(review_id) AS BIGINT) AS id_sum
 FROM b_reviews GROUP BY review_score""")
 def q_score_equals(spark, sf):
+    """P6 for every score 1..5 in one scan: rows are routed to their score by a grouped aggregate."""
     r = bridge.b_reviews(spark, sf)
-    parts = None
-    for k in range(1, 6):
-        p = clean.score_equals(r, k).agg(F.lit(k).alias("review_score"), F.count(F.lit(1)).alias("n"),
-                                         F.sum("review_id").cast("bigint").alias("id_sum"))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    return (clean.score_in(r, range(1, 6)).groupBy("review_score")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("review_id").cast("bigint").alias("id_sum")))
 
 
 @register("fill_missing_score", with_(B_SHEET, "b_scores AS (SELECT o_orderkey AS review_id, "
@@ -226,3 +223,23 @@ def q_score_histogram(spark, sf):
     + " AS INTEGER) AS n_categories FROM b_sheet")
 def q_category_count(spark, sf):
     return reports.category_count(reports.label_state(bridge.b_sheet(spark, sf)))
+
+
+@register("fixed_label_order", with_(B_SHEET, ENC, ENC_LONG, LABEL_DIM) + """
+SELECT label_idx, label, n, CAST(row_number() OVER (ORDER BY label_idx) - 1 AS INTEGER) AS position
+FROM (""" + CLASS_COUNTS_BODY + """) WHERE n > 0""")
+def q_fixed_label_order(spark, sf):
+    c = reports.class_counts(bridge.encoded_sheet(spark, sf))
+    return reports.present_labels(c).select("label_idx", "label", "n", "position")
+
+
+@register("project_training", """
+SELECT d.doc_id AS review_id, d.text,
+       CAST(l.quality AS VARCHAR) || ',' || CAST(l.toxic AS VARCHAR) AS labels
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def q_project_training(spark, sf):
+    d = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    lab = bridge.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("review_id"), F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("labels"))
+    p = clean.project_training(d.join(lab, "review_id"))
+    return p.select("review_id", "text", labels_str("labels").alias("labels"))

@@ -273,3 +273,12 @@ SELECT run, CAST(coalesce(min(CASE WHEN stale >= 3 THEN epoch END), max(epoch))
 FROM s GROUP BY run""")
 def q_early_stop(spark, sf):
     return metrics.early_stop_epoch(bridge.b_epochs(spark, sf))
+
+
+@register("predictor_interface", PREDS_M7 + """
+SELECT model, review_id, string_agg(CAST(CAST(yp AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS y_pred
+FROM preds GROUP BY model, review_id""")
+def q_predictor_interface(spark, sf):
+    """M1: every predictor behind the same ``transform(df) -> df + y_pred`` protocol, stacked by model."""
+    p = _m7(spark, sf).predictions
+    return p.select("model", "review_id", labels_str("y_pred").alias("y_pred"))

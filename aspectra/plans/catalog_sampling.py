@@ -78,7 +78,7 @@ def q_used(spark, sf):
 @register("exclude_used", SAMPLE + "SELECT review_id FROM cb WHERE review_id NOT IN (SELECT review_id FROM q)")
 def q_exclude(spark, sf):
     s = _sample(spark, sf)
-    return sampling.exclude_used(s.candidates, s.quota).select("review_id")
+    return sampling.exclude_used(s.candidates, s.quota, bounded=True).select("review_id")
 
 
 @register("dedupe_by_id", SAMPLE + "SELECT review_id, CAST(step AS INTEGER) AS step FROM dd")
