@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def drop_removed(df: DataFrame, flag: str = "to_remove") -> DataFrame:
 
 
 def require_text(df: DataFrame, text: str | None = None) -> DataFrame:
-    """Drop rows with null text."""
-    return df.na.drop(subset=[text or text_column(df)])
+    """Drop rows with null text (``IsNotNull`` reaches the Parquet scan as a pushed filter)."""
+    return df.filter(F.col(text or text_column(df)).isNotNull())
 
 
 def min_text_length(df: DataFrame, text: str | None = None, n: int = MIN_TEXT_LENGTH) -> DataFrame:
@@ -59,7 +61,9 @@ def min_text_length(df: DataFrame, text: str | None = None, n: int = MIN_TEXT_LE
 def drop_unlabelled(df: DataFrame, schema: AspectSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Drop rows where every sentiment column is null."""
     cols = [c for c in schema.sentiment_columns if c in df.columns]
-    return df.na.drop(how="all", subset=cols) if cols else df.limit(0)
+    if not cols:
+        return df.limit(0)
+    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols]))
 
 
 def score_band(score) -> F.Column:

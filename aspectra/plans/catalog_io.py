@@ -89,7 +89,22 @@ def q_normalize_columns(spark, sf):
                     labels_str(encode_labels(n.columns)).alias("labels"))
 
 
-@register("write_metrics", None)
+def _m7_sql():
+    from aspectra.plans.catalog_metrics import M7_COLS, METRICS_CTES, PREDS_M7, _metric_select
+
+    return PREDS_M7 + METRICS_CTES + _metric_select(M7_COLS)
+
+
+def _sheet_csv_sql():
+    from aspectra.plans.catalog_sampling import _sheet_sql
+
+    # an empty field and an empty quoted field both read back as null (the CSV convention of the sheet)
+    empty_ok = ["aspectos_detectados", *SENT]
+    cols = ", ".join(f"nullif({c}, '') AS {c}" for c in empty_ok)
+    return _sheet_sql() + f"SELECT * EXCLUDE ({', '.join(empty_ok)}), {cols} FROM sheet"
+
+
+@register("write_metrics", _m7_sql())
 def q_write_metrics(spark, sf):
     """Model comparison written as CSV and read back."""
     from aspectra.plans.catalog_metrics import _m7, _m7_out
@@ -100,7 +115,7 @@ def q_write_metrics(spark, sf):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-@register("write_sheet_csv", None)
+@register("write_sheet_csv", _sheet_csv_sql())
 def q_write_sheet_csv(spark, sf):
     """Labelling sheet written as CSV and read back with the multi-line reader."""
     from aspectra.plans.catalog_sampling import _sample

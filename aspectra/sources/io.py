@@ -78,10 +78,15 @@ def read_reviews(spark: SparkSession, paths, fmt: str = "csv", schema: T.StructT
     return _csv_reader(spark, schema).csv(path)
 
 
+def _csv_writer(df: DataFrame, mode: str):
+    # Spark's CSV writer trims values by default; labels such as ' negativo ' must survive as written
+    return (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_sheet_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Labelling sheet as CSV (standard quoting, quotes doubled)."""
-    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("quoteAll", False).csv(path))
+    _csv_writer(df, mode).option("quoteAll", False).csv(path)
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -125,8 +130,7 @@ def write_export_csv(df: DataFrame, path: str, schema: AspectSchema = DEFAULT_SC
     cols = export_columns(df, schema)
     out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
     if not exact:
-        (out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-         .option("emptyValue", "").option("lineSep", "\n").csv(path))
+        _csv_writer(out, mode).option("emptyValue", "").option("lineSep", "\n").csv(path)
         return
     spark = df.sparkSession
     header = spark.createDataFrame([(export_header(schema), 0, "")], "value string, _o int, _k string")
