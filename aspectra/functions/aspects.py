@@ -42,7 +42,9 @@ def detect_aspects(text, lexicon: dict, aspects=None, default=None) -> Column:
     hits = aspect_hits(text, lexicon, aspects)
     arr = F.filter(F.array(*[F.when(h, F.lit(a)) for a, h in hits.items()]), lambda x: x.isNotNull())
     if default:
-        arr = F.when(F.size(arr) == 0, F.array(*[F.lit(d) for d in default])).otherwise(arr)
+        # bind the array once (lambda argument) so the regexes are not evaluated a second time
+        dflt = F.array(*[F.lit(d) for d in default])
+        arr = F.get(F.transform(F.array(arr), lambda a: F.when(F.size(a) == 0, dflt).otherwise(a)), 0)
     return arr
 
 

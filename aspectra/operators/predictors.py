@@ -21,6 +21,9 @@ from aspectra.schema import (DEFAULT_SCHEMA, NARROW_DEFAULT, NARROW_LEXICON, POL
                              AspectSchema)
 
 
+ASPECTS_TMP = "_aspects"
+
+
 class Predictor(Protocol):
     """M1: the predictor interface."""
 
@@ -37,14 +40,13 @@ class ScoreRegexPredictor:
         self.text, self.score, self.lexicon, self.default = text, score, lexicon, default
         self.output_col, self.schema = output_col, schema
 
-    def column(self, df: DataFrame) -> Column:
+    def transform(self, df: DataFrame) -> DataFrame:
         text = F.col(self.text) if self.text in df.columns else F.lit(None).cast("string")
         score = F.col(self.score) if self.score in df.columns else F.lit(None).cast("int")
-        aspects = detect_aspects(text, self.lexicon, default=self.default)
-        return aspect_polarity_vector(aspects, score_polarity(score), self.schema)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.output_col, self.column(df))
+        # the regexes run once per row: the aspect array is its own column, read by all 8 bits
+        d = df.withColumn(ASPECTS_TMP, detect_aspects(text, self.lexicon, default=self.default))
+        vec = aspect_polarity_vector(F.col(ASPECTS_TMP), score_polarity(score), self.schema)
+        return d.withColumn(self.output_col, vec).drop(ASPECTS_TMP)
 
 
 def class_centroids(ref: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -100,12 +102,12 @@ class CentroidPredictor:
         v = F.col(self.vector)
         d = d.withColumn("sim_pos", cosine_similarity(v, "c_pos")).withColumn("sim_neg", cosine_similarity(v, "c_neg"))
         diff = F.col("sim_pos") - F.col("sim_neg")
-        aspects = detect_aspects(text, self.lexicon, default=NARROW_DEFAULT)
-        raw = aspect_polarity_vector(aspects, polarity_from_diff(diff, self.band), self.schema)
+        d = d.withColumn(ASPECTS_TMP, detect_aspects(text, self.lexicon, default=NARROW_DEFAULT))
+        raw = aspect_polarity_vector(F.col(ASPECTS_TMP), polarity_from_diff(diff, self.band), self.schema)
         ok = v.isNotNull() & (F.size(v) == F.size("c_pos")) & diff.isNotNull()
         return (d.withColumn("failed", ~ok)
                 .withColumn(self.output_col, safe_prediction(F.when(ok, raw), self.schema.n_labels))
-                .drop("c_pos", "c_neg"))
+                .drop("c_pos", "c_neg", ASPECTS_TMP))
 
 
 class ThresholdScorer:
