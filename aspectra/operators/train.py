@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.schema import MAX_TOKENS
+from aspectra.schema import MAX_EPOCHS, MAX_TOKENS
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 PAD = "[PAD]"
@@ -50,28 +50,71 @@ def label_weight_columns(df: DataFrame, label_cols: list[str]) -> DataFrame:
     return out
 
 
-def multilabel_pipeline(label_cols: list[str], text: str = "text", num_features: int = 1 << 18,
-                        reg_param: float = 0.01, max_iter: int = 50):
-    """M6: shared features + one weighted logistic regression per label."""
+def feature_pipeline(text: str = "text", num_features: int = 1 << 18):
+    """Shared text features: Unicode word tokens -> hashed term frequencies -> IDF."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
-    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=WORD_PATTERN, gaps=False, toLowercase=False),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="_features")]
-    for c in label_cols:
-        stages.append(LogisticRegression(featuresCol="_features", labelCol=c, weightCol=f"w_{c}",
-                                         predictionCol=f"pred_{c}", probabilityCol=f"prob_{c}",
-                                         rawPredictionCol=f"raw_{c}", regParam=reg_param, maxIter=max_iter))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=WORD_PATTERN, gaps=False, toLowercase=False),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_features")])
+
+
+def label_model(label: str, reg_param: float = 0.01, max_iter: int = MAX_EPOCHS):
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol=f"w_{label}",
+                              predictionCol=f"pred_{label}", probabilityCol=f"prob_{label}",
+                              rawPredictionCol=f"raw_{label}", regParam=reg_param, maxIter=max_iter)
+
 
+def multilabel_pipeline(label_cols: list[str], text: str = "text", num_features: int = 1 << 18,
+                        reg_param: float = 0.01, max_iter: int = MAX_EPOCHS):
+    """M6 as one unfitted ``Pipeline``: shared features + one weighted logistic regression per label."""
+    from pyspark.ml import Pipeline
+
+    feats = feature_pipeline(text, num_features).getStages()
+    return Pipeline(stages=[*feats, *[label_model(c, reg_param, max_iter) for c in label_cols]])
+
+
+def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", num_features: int = 1 << 18,
+                     reg_param: float = 0.01, max_iter: int = MAX_EPOCHS, parallelism: int | None = None):
+    """Fit M6 on ``df`` (labels as 0/1 columns); returns one ``PipelineModel``.
+
+    The text is tokenized and hashed once: the sparse term-frequency vectors
+    (not the text) are persisted (memory, spilling to disk; recomputed from
+    lineage if an executor is lost); IDF is fitted on them and every per-label
+    regression iterates over the IDF-weighted vectors.  The
+    per-label fits are independent, so up to ``parallelism`` of them run as
+    concurrent Spark jobs (as ``OneVsRest`` does); each iteration is a
+    cluster-wide tree aggregate either way.  ``max_iter`` defaults to the
+    reference's training budget of 20 passes.
+    """
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
 
-def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", **kw):
-    """Fit M6 on ``df`` (labels as 0/1 columns)."""
     d = label_weight_columns(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))), label_cols)
     d = d.select(text, *[F.col(c).cast("double").alias(c) for c in label_cols], *[f"w_{c}" for c in label_cols])
-    return multilabel_pipeline(label_cols, text, **kw).fit(d)
+    tok, tf, idf = feature_pipeline(text, num_features).getStages()
+    # one pass over the text: hashed term frequencies are persisted, IDF is fitted and applied on them
+    counts = tf.transform(tok.transform(d)).select("_tf", *label_cols, *[f"w_{c}" for c in label_cols])
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    idf_model = idf.fit(counts)
+    x = idf_model.transform(counts).select("_features", *label_cols, *[f"w_{c}" for c in label_cols])
+    try:
+        n = max(1, min(parallelism or len(label_cols), 8))
+        fit = lambda c: label_model(c, reg_param, max_iter).fit(x)
+        if n == 1:
+            models = [fit(c) for c in label_cols]
+        else:
+            from multiprocessing.pool import ThreadPool
+
+            with ThreadPool(n) as pool:
+                models = pool.map(fit, label_cols)
+    finally:
+        counts.unpersist()
+    return PipelineModel(stages=[tok, tf, idf_model, *models])
 
 
 def predict_multilabel(model, df: DataFrame, label_cols: list[str], text: str = "text") -> DataFrame:
