@@ -27,8 +27,8 @@ def labelled_progress(label_ids: DataFrame, dataset: DataFrame, key: str = "revi
     labelled = label_ids.select(key).distinct().join(dataset.select(key).distinct(), key, "left_semi")
     n_lab = labelled.agg(F.count(F.lit(1)).alias("labelled"))
     total = dataset.agg(F.count(F.lit(1)).alias("total"))
-    # both sides are one-row aggregates
-    j = n_lab.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # the dataset size is a scalar subquery on the one-row count (no join)
+    j = n_lab.select("labelled", total.select("total").scalar().alias("total"))
     pct = F.least(F.coalesce(F.try_divide(F.col("labelled") * 100.0, F.col("total")), F.lit(0.0)), F.lit(100.0))
     return j.select("labelled", "total", pct.alias("pct"))
 

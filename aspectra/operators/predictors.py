@@ -74,12 +74,13 @@ def polarity_centroids(ref: DataFrame, pos_label, neg_label, vector: str = "embe
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a frame that has exactly one row (by construction).
 
-    Broadcast hash join on a constant key: the broadcast side is one row, so its
-    size is bounded no matter how large ``df`` is.
+    The row is a scalar subquery: it is computed once, before the main stage,
+    and read as a constant by every task -- no join, and its size is that of
+    one row however large ``df`` is.
     """
-    k = "__one"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k))
+    cols = one_row.columns
+    row = one_row.select(F.struct(*cols).alias("_row")).scalar()
+    return df.select("*", *[row[c].alias(c) for c in cols])
 
 
 class CentroidPredictor:

@@ -153,6 +153,11 @@ def shuffle_rows(df: DataFrame, key: str = "review_id", seed=SHUFFLE_SEED, index
     return df.withColumn(index, (F.row_number().over(w) - 1).cast("int"))
 
 
+def split_label(key: str = "review_id", test_size: float = 0.2, seed=SAMPLE_SEED) -> Column:
+    """W7 as a column: 'test' or 'train' by the same hash bucket as :func:`train_test_split`."""
+    return F.when(hash_unit_interval(key, seed) < test_size, F.lit("test")).otherwise(F.lit("train"))
+
+
 def train_test_split(df: DataFrame, test_size: float, key: str = "review_id", seed=SAMPLE_SEED,
                      exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two-way split by hash bucket of (id, seed): no shuffle, no leak between splits.

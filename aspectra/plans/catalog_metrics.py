@@ -203,10 +203,9 @@ def q_align(spark, sf):
 @register("train_test_split", with_(B_REVIEWS) + f"""
 SELECT review_id, CASE WHEN {SPLIT} < 0.15 THEN 'test' ELSE 'train' END AS split FROM b_reviews""")
 def q_split(spark, sf):
+    # the split as a column (one scan); train_test_split() gives the two frames from the same rule
     r = bridge.b_reviews(spark, sf)
-    train, test = sampling.train_test_split(r, 0.15)
-    return (train.select("review_id", F.lit("train").alias("split"))
-            .unionByName(test.select("review_id", F.lit("test").alias("split"))))
+    return r.select("review_id", sampling.split_label("review_id", 0.15).alias("split"))
 
 
 # ---------------------------------------------------------------------------

@@ -47,12 +47,17 @@ def compare_models(labelled: DataFrame, predictors: dict[str, Predictor], scores
                    schema: AspectSchema = DEFAULT_SCHEMA) -> Comparison:
     df = prepare_labelled(labelled, scores, schema)
     _, test = sampling.train_test_split(df, test_size, "review_id", seed)
-    parts = []
-    for name, pred in predictors.items():
-        out = pred.transform(test)
-        parts.append(out.select(F.lit(name).alias("model"), "review_id",
-                                F.col("labels").alias("y_true"), F.col(pred.output_col).alias("y_pred")))
-    preds = sampling.concat_samples(parts)
+    # every predictor adds its column to the same rows (one scan of the test set);
+    # the (model, prediction) pairs are then unpivoted, no union of re-scanned branches
+    scored = test.select("review_id", "labels", *[c for c in test.columns if c not in ("review_id", "labels")])
+    names = []
+    for k, (name, pred) in enumerate(predictors.items()):
+        scored = pred.transform(scored).withColumnRenamed(pred.output_col, f"_pred{k}")
+        names.append(name)
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_pred{k}").alias("y_pred"))
+                      for k, n in enumerate(names)])
+    preds = (scored.select("review_id", F.col("labels").alias("y_true"), F.inline(pairs))
+             .select("model", "review_id", "y_true", "y_pred"))
     conf = metrics.confusion_counts(preds, schema=schema)
     return Comparison(preds, conf, metrics.model_metrics(conf), metrics.per_class_metrics(conf))
 
