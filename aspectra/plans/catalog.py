@@ -85,10 +85,9 @@ def q_fill_missing_score(spark, sf):
 SELECT review_id, coalesce(logistica_sentimento, '(vazio)') AS logistica_sentimento,
        coalesce(preco_sentimento, '') AS preco_sentimento FROM b_sheet""")
 def q_fill_missing_label(spark, sf):
-    s = bridge.b_sheet(spark, sf)
-    a = clean.fill_missing_label(s.select("review_id", "logistica_sentimento"), display=True)
-    b = clean.fill_missing_label(s.select("review_id", "preco_sentimento"), display=False)
-    return a.join(b, "review_id")
+    s = bridge.b_sheet(spark, sf).select("review_id", "logistica_sentimento", "preco_sentimento")
+    s = clean.fill_missing_label(s, cols=["logistica_sentimento"], display=True)
+    return clean.fill_missing_label(s, cols=["preco_sentimento"], display=False)
 
 
 @register("null_text_to_empty", with_(B_REVIEWS) + """
