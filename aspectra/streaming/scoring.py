@@ -2,9 +2,10 @@
 
 T1 applies the same stateless scoring expressions as the batch path to a file
 stream.  T2 keeps the latest label record per key: a streaming ``max_by``
-aggregation (Spark's state store, checkpointed) emits updated keys, and a
-``foreachBatch`` upsert writes a new version of the state table per batch id,
-so a replayed batch rewrites the same version (idempotent).
+aggregation (Spark's state store, checkpointed) emits updated keys; a
+``foreachBatch`` sink appends them to a changelog folder per batch id (a
+replayed batch rewrites the same folder, so it is idempotent) and folds the
+changelog into a base snapshot every few batches.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def latest_by_key(df: DataFrame, key: str, order: list[str], value_cols: list[st
     return df.groupBy(key).agg(best.alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
-def file_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def file_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str = "parquet",
+                options: dict | None = None) -> DataFrame:
     """A file-stream source over a directory, or over one file (its folder + a glob filter)."""
-    reader = spark.readStream.schema(schema).format(fmt)
+    reader = spark.readStream.schema(schema).format(fmt).options(**(options or {}))
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(source)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -64,54 +66,105 @@ def stream_score(spark: SparkSession, source: str, schema: T.StructType, transfo
     return run_available_now(w)
 
 
-def _versions(spark: SparkSession, state_path: str) -> list[int]:
+UPDATES = "updates"
+BASE = "base"
+
+
+def _committed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Version numbers of committed (``_SUCCESS``) sub-folders ``<prefix><n>`` of ``folder``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(state_path)
+    root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(conf)
     if not fs.exists(root):
         return []
     out = []
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if name.startswith(VERSION_PREFIX) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[len(VERSION_PREFIX):]))
+        if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[len(prefix):]))
     return sorted(out)
 
 
-def read_state(spark: SparkSession, state_path: str, schema: T.StructType) -> DataFrame:
-    """The latest committed version of a state table (empty frame if none)."""
-    vs = _versions(spark, state_path)
-    if not vs:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{state_path}/{VERSION_PREFIX}{vs[-1]:012d}")
+def _folder(state_path: str, kind: str, version: int) -> str:
+    return f"{state_path}/{kind}/{VERSION_PREFIX}{version:012d}"
+
 
+def read_state(spark: SparkSession, state_path: str, schema: T.StructType, key: str,
+               order: list[str]) -> DataFrame:
+    """The current state: latest base snapshot + later update batches, latest row per key.
 
-def clear_state(spark: SparkSession, state_path: str, schema: T.StructType, version: int) -> None:
-    """Delete-all: commit an empty version."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{state_path}/{VERSION_PREFIX}{version:012d}")
+    Only batches newer than the base are read, so a read costs the base plus
+    the changes since the last compaction.  Empty frame if nothing is committed.
+    """
+    bases = _committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
+    b = bases[-1] if bases else -1
+    ups = [v for v in _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX) if v > b]
+    paths = ([_folder(state_path, BASE, b)] if b >= 0 else []) + [_folder(state_path, UPDATES, v) for v in ups]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*paths)
+    if not ups:
+        return rows  # a base holds one row per key already
+    return latest_by_key(rows, key, order, [c for c in schema.fieldNames() if c != key]).select(*schema.fieldNames())
+
+
+def last_version(spark: SparkSession, state_path: str) -> int:
+    vs = (_committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
+          + _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX))
+    return max(vs) if vs else -1
+
+
+def compact_state(spark: SparkSession, state_path: str, schema: T.StructType, key: str, order: list[str],
+                  version: int | None = None) -> int:
+    """Fold the base and all update batches up to ``version`` into a new base snapshot."""
+    v = last_version(spark, state_path) if version is None else version
+    if v < 0:
+        return v
+    bases = _committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
+    b = bases[-1] if bases else -1
+    if b >= v:
+        return b
+    ups = [u for u in _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX) if b < u <= v]
+    paths = ([_folder(state_path, BASE, b)] if b >= 0 else []) + [_folder(state_path, UPDATES, u) for u in ups]
+    rows = spark.read.schema(schema).parquet(*paths)
+    snap = latest_by_key(rows, key, order, [c for c in schema.fieldNames() if c != key]).select(*schema.fieldNames())
+    snap.write.mode("overwrite").parquet(_folder(state_path, BASE, v))
+    return v
+
+
+def clear_state(spark: SparkSession, state_path: str, schema: T.StructType, version: int | None = None) -> int:
+    """Delete-all: commit an empty base at ``version`` (default: the latest version), hiding everything before it."""
+    v = max(last_version(spark, state_path), 0) if version is None else version
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(_folder(state_path, BASE, v))
+    return v
 
 
 def stream_latest_state(spark: SparkSession, source: str, schema: T.StructType, key: str, order: list[str],
-                        value_cols: list[str], state_path: str, checkpoint: str, fmt: str = "parquet"):
-    """T2 (stream): keyed upsert of the latest record into a versioned state table."""
-    src = file_stream(spark, source, schema, fmt)
+                        value_cols: list[str], state_path: str, checkpoint: str, fmt: str = "parquet",
+                        compact_every: int = 20, options: dict | None = None) -> DataFrame:
+    """T2 (stream): keyed latest record, kept as an append-only changelog with periodic compaction.
+
+    The streaming ``max_by`` aggregate (state in the checkpointed state store)
+    emits, per micro-batch, the keys that changed with their latest record.
+    Each batch is written to its own folder named by batch id with overwrite,
+    so a replayed batch rewrites the same files (idempotent) and the write cost
+    is the size of the change, not of the state.  Every ``compact_every``
+    batches the changelog is folded into a base snapshot.
+    """
+    src = file_stream(spark, source, schema, fmt, options)
     agg = latest_by_key(src, key, order, value_cols)
     out_schema = agg.schema
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        # state versions are written by batch id with overwrite: replaying a batch is harmless
-        prev_versions = [v for v in _versions(spark, state_path) if v < batch_id]
-        if prev_versions:
-            prev = spark.read.schema(out_schema).parquet(f"{state_path}/{VERSION_PREFIX}{prev_versions[-1]:012d}")
-            merged = prev.join(batch.select(key), key, "left_anti").unionByName(batch)
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(f"{state_path}/{VERSION_PREFIX}{batch_id:012d}")
+        batch.write.mode("overwrite").parquet(_folder(state_path, UPDATES, batch_id))
+        if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+            compact_state(spark, state_path, out_schema, key, order, batch_id)
 
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert))
     run_available_now(w)
-    return read_state(spark, state_path, out_schema)
+    return read_state(spark, state_path, out_schema, key, order)
 
 
-__all__ = ["file_stream", "latest_by_key", "stream_score", "stream_latest_state", "read_state", "clear_state", "path_exists"]
+__all__ = ["clear_state", "compact_state", "file_stream", "last_version", "latest_by_key", "path_exists", "read_state",
+           "stream_latest_state", "stream_score"]
