@@ -47,9 +47,8 @@ def balanced_sample(reviews: DataFrame, lexicon: dict = WIDE_LEXICON, key: str =
     cand = detect_candidates(reviews, lexicon, key, score, tc)
     if checkpoint:
         cand = cand.checkpoint(eager=True)
+    # each quota step is checkpointed inside quota_sample; their union reads those small files
     quota = sampling.quota_sample(cand, key, score, order, quotas, seed, checkpoint=checkpoint)
-    if checkpoint:
-        quota = quota.checkpoint(eager=True)
     n_quota = quota.count()
     parts = [quota]
     if target - n_quota > 0:

@@ -12,10 +12,9 @@ SKIP_PLAN = {"stream_score", "latest_label_state", "write_metrics", "write_sheet
 
 
 def plan(df) -> str:
-    jvm = df.sparkSession._jvm
-    return jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan()) \
-        if False else df._jdf.queryExecution().explainString(
-            jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    """The formatted physical plan (what ``df.explain("formatted")`` prints)."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP_PLAN - PYTHON_OK))
