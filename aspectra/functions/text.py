@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from aspectra.schema import EMBED_MAX_CHARS
+
 # Python's str.strip() removes every Unicode whitespace; Spark's trim only spaces.
 _UNICODE_STRIP = r"(?U)^\s+|\s+$"
 
@@ -28,7 +30,7 @@ def text_length(col) -> Column:
     return F.length(_c(col))
 
 
-def truncate_chars(col, n: int = 512) -> Column:
+def truncate_chars(col, n: int = EMBED_MAX_CHARS) -> Column:
     """First ``n`` characters (code points)."""
     return F.substring(_c(col), 1, n)
 

@@ -17,8 +17,8 @@ from aspectra.functions.scoring import (apply_thresholds, aspect_polarity_vector
                                         detected_labels, polarity_from_diff, resolve_conflicts,
                                         safe_prediction, score_polarity, sigmoid, threshold_array,
                                         top_k_labels)
-from aspectra.schema import (DEFAULT_SCHEMA, NARROW_DEFAULT, NARROW_LEXICON, POLARITY_DEADBAND,
-                             AspectSchema)
+from aspectra.schema import (DEFAULT_SCHEMA, NARROW_DEFAULT, NARROW_LEXICON, NEGATIVE_WORDS,
+                             POLARITY_DEADBAND, POSITIVE_WORDS, AspectSchema)
 
 
 ASPECTS_TMP = "_aspects"
@@ -71,6 +71,22 @@ def polarity_centroids(ref: DataFrame, pos_label, neg_label, vector: str = "embe
                  F.max(F.when(F.col(label) == neg_label, F.col("centroid"))).alias("c_neg"))
 
 
+def reference_centroids(spark, make_embed_fn, pos_words=POSITIVE_WORDS, neg_words=NEGATIVE_WORDS,
+                        batch_size: int = 64) -> DataFrame:
+    """M2 centroids from reference words: embed each word with the user's encoder, average per polarity.
+
+    ``make_embed_fn`` follows ``predict_batch_udf``: called once per worker, it
+    returns ``embed(texts: np.ndarray) -> np.ndarray[n, d]``.  Returns one row
+    (``c_pos``, ``c_neg``) for :class:`CentroidPredictor`.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    words = spark.createDataFrame([(w, 1) for w in pos_words] + [(w, 0) for w in neg_words], "word string, label int")
+    embed = predict_batch_udf(make_embed_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return polarity_centroids(words.select("label", embed("word").alias("embedding")), 1, 0)
+
+
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a frame that has exactly one row (by construction).
 

@@ -166,3 +166,26 @@ def hashed_linear_model(n_labels: int = 8, dim: int = 1 << 12, seed: int = 7):
         return predict
 
     return make_predict_fn
+
+
+def hashed_word_embedding(dim: int = 8):
+    """A stand-in text encoder for ``predict_batch_udf`` (e.g. for M2 reference centroids).
+
+    Each text maps to ``dim`` values in [-7.5, 7.5] from 4-bit slices of its CRC32
+    (deterministic, no model files).  Returns ``make_embed_fn``.
+    """
+    def make_embed_fn():
+        import zlib
+
+        import numpy as np
+
+        def embed(texts):
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for r, t in enumerate(texts):
+                h = zlib.crc32(str(t).encode("utf-8"))
+                out[r] = [((h >> ((4 * k) % 32)) & 15) - 7.5 for k in range(dim)]
+            return out
+
+        return embed
+
+    return make_embed_fn

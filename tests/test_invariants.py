@@ -106,3 +106,41 @@ def test_sigmoid_matches_python(spark):
     df = spark.createDataFrame([([-3.0, 0.0, 2.5],)], "x array<double>")
     got = df.select(sigmoid("x").alias("s")).first().s
     assert got == pytest.approx([1 / (1 + math.exp(3.0)), 0.5, 1 / (1 + math.exp(-2.5))])
+
+
+def test_reference_word_centroids(spark, sf_dir):
+    from aspectra.operators.predictors import CentroidPredictor, reference_centroids
+    from aspectra.schema import DRIVER_LEXICON
+
+    from aspectra.operators.train import hashed_word_embedding
+
+    cents = reference_centroids(spark, hashed_word_embedding(8))
+    row = cents.first()
+    assert len(row.c_pos) == 8 and len(row.c_neg) == 8
+    emb = bridge.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.slice("embedding", 1, 8).alias("embedding"), F.lit("chegou rápido").alias("text"))
+    out = CentroidPredictor(cents, lexicon=DRIVER_LEXICON).transform(emb)
+    assert out.filter("failed").count() == 0
+    assert out.count() == emb.count()
+
+
+def test_latest_by_key_hot_key(spark):
+    from pyspark.sql import Window
+
+    from aspectra.streaming.scoring import latest_by_key
+
+    # user 0 holds a third of the events; ties on ts are broken by event_id
+    ev = spark.range(30000).select(F.col("id").alias("event_id"),
+                                   F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("user_id"),
+                                   (F.col("id") % 500).alias("ts"), (F.col("id") * 7 % 11).alias("value"))
+    got = latest_by_key(ev, "user_id", ["ts", "event_id"], ["event_id", "ts", "value"])
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    want = ev.withColumn("r", F.row_number().over(w)).filter("r = 1").select("user_id", "event_id", "ts", "value")
+    assert _rows(got.select("user_id", "event_id", "ts", "value")) == _rows(want)
+
+
+def test_balanced_sample_partition_invariant(spark, sf_dir):
+    r = bridge.b_reviews(spark, sf_dir)
+    a = balanced_sample(r, DRIVER_LEXICON).final.select("review_id", "row_index")
+    b = balanced_sample(r.repartition(11, "lang"), DRIVER_LEXICON).final.select("review_id", "row_index")
+    assert _rows(a) == _rows(b)

@@ -46,3 +46,16 @@ def test_filter_pushdown(spark, sf_dir):
 def test_per_group_limit_before_shuffle(spark, sf_dir):
     p = plan(E.queries()["stratified_sample"](spark, sf_dir))
     assert "WindowGroupLimit" in p
+
+
+def test_compare_models_reads_each_input_once(spark, sf_dir):
+    # the labelled sheet and the score side table: two scans of orders, all predictors in one pass
+    p = plan(E.queries()["compare_models"](spark, sf_dir))
+    scans = [ln for ln in p.splitlines() if ln.startswith("(") and "Scan parquet" in ln]
+    assert len(scans) == 2, scans
+    assert "Union" not in p
+
+
+def test_centroids_are_a_scalar_subquery(spark, sf_dir):
+    p = plan(E.queries()["embedding_centroid_predict"](spark, sf_dir))
+    assert "Subquery" in p and "NestedLoopJoin" not in p and "Cartesian" not in p
