@@ -153,3 +153,34 @@ def test_label_state_json_roundtrip(spark, sheet):
     a = sorted((r.review_id, tuple(sorted(r.state.categories.items())), r.state.toRemove) for r in st.collect())
     b = sorted((r.review_id, tuple(sorted(r.state.categories.items())), r.state.toRemove) for r in back.collect())
     assert a == b
+
+
+def test_distribution_report(sheet):
+    from aspectra.plans.jobs import distribution_report
+
+    rep = distribution_report(sheet)
+    assert rep.n_rows == 7 and rep.n_retained == 6
+    flags = {r.value: r.n for r in rep.flag_counts.collect()}
+    assert flags == {"não": 5, "sim": 1}  # a6 has no flag: dropped, as value_counts drops NaN
+    classes = {r.label: r.n for r in rep.classes.collect()}
+    assert classes["Logística_Pos"] == 2 and classes["Produto_Neg"] == 1 and classes["Preço_Pos"] == 1
+    assert rep.total_labels.first().total_labels == sum(classes.values())
+    assert rep.unlabelled.first().unlabelled == 1  # a6
+    dist = {(r.sentiment_column, r.value): r.n for r in rep.sentiments.collect()}
+    assert dist[("logistica_sentimento", "Neutro")] == 1
+    assert dist[("produto_sentimento", "negativo")] == 1  # stripped, case kept for display
+
+
+def test_train_and_score_from_sheet(spark, sheet):
+    from aspectra.plans.jobs import score_texts, train_from_sheet
+
+    model, w = train_from_sheet(sheet, max_iter=5)
+    assert w.count() == 8
+    texts = spark.createDataFrame([("t1", "Chegou rápido, produto ótimo."), ("t2", None)], "review_id string, text string")
+    out = score_texts(model, texts).collect()
+    assert len(out) == 2
+    for r in out:
+        assert len(r.probs) == 8 and len(r.y_pred) == 8
+        # Never both polarities of one aspect
+        assert all(r.y_pred[2 * k] + r.y_pred[2 * k + 1] <= 1 for k in range(4))
+        assert (len(r.detected) > 0) != (r.fallback is not None)
