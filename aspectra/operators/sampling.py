@@ -91,6 +91,13 @@ def quota_sample(candidates: DataFrame, key: str = "review_id", score: str = "re
     Step k excludes ids taken by steps 1..k-1 (a row not taken stays eligible).
     Each step's result (at most its quota) is checkpointed so later steps do not
     recompute earlier ones.  Output adds ``step`` (1-based) and ``band``.
+
+    Cost: each step scans the narrow candidate table (id, score, flags, hash --
+    no text), a small fraction of the one regex pass over the texts.  Building
+    one bounded pool for all steps instead (ranks up to quota + ids taken
+    earlier) is not exact-and-bounded when ids repeat: every copy of an id
+    shares its rank, so a copied id holding a third of the rows would enter the
+    pool whole.  Per-step ``row_number`` limits stay bounded per map task.
     """
     base = with_sample_key(candidates, key, seed).withColumn("band", score_band(score))
     base = base.filter(F.col("band").isNotNull())
