@@ -24,8 +24,10 @@ def attach_scores(labelled: DataFrame, scores: DataFrame, key: str = "review_id"
 
 def labelled_progress(label_ids: DataFrame, dataset: DataFrame, key: str = "review_id") -> DataFrame:
     """Label records whose id exists in the dataset, out of the dataset size; pct capped at 100."""
-    # a semi join never duplicates the left side, so only the label ids need de-duplicating
-    labelled = label_ids.select(key).distinct().join(dataset.select(key), key, "left_semi")
+    # both sides are de-duplicated with map-side partial aggregation before the shuffle, so an id
+    # copied across a third of the dataset reaches the join as one row; the aggregate's hash
+    # partitioning on the id is the one the join needs, so this adds no exchange
+    labelled = label_ids.select(key).distinct().join(dataset.select(key).distinct(), key, "left_semi")
     n_lab = labelled.agg(F.count(F.lit(1)).alias("labelled"))
     total = dataset.agg(F.count(F.lit(1)).alias("total"))
     # the dataset size is a scalar subquery on the one-row count (no join)

@@ -23,7 +23,12 @@ def _div0(a: Column, b: Column) -> Column:
 
 def align(truth: DataFrame, pred: DataFrame, key: str = "review_id",
           y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Align truth and predictions by id (inner join), not by position."""
+    """Align truth and predictions by id (inner join), not by position.
+
+    Expects one prediction row per id, as a predictor's output has; the model
+    comparison job does not join at all (every predictor is a column on the
+    same rows).
+    """
     return truth.select(key, y_true).join(pred.select(key, *[c for c in pred.columns if c != key]), key)
 
 
