@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aspectra.operators import sampling, train
-from aspectra.operators.predictors import ModelPredictor, ThresholdScorer
+from aspectra.functions.text import unicode_strip
+from aspectra.operators.predictors import ModelPredictor, ScoreRegexPredictor, ThresholdScorer
 from aspectra.plans import bridge
-from aspectra.plans.catalog_scoring import PLONG
-from aspectra.plans.registry import r6, register
+from aspectra.plans.catalog_scoring import PLONG, _flags_sql, _x15_sql
+from aspectra.plans.registry import labels_str, r6, register
+from aspectra.schema import DRIVER_LEXICON
 from aspectra.session import scratch_path
 from aspectra.streaming import scoring as stream
 
@@ -122,3 +124,23 @@ def q_model_udf(spark, sf):
     s = ThresholdScorer("probs").transform(p)
     return s.select("review_id", *[r6(F.get("probs", i)).alias(f"p{i}") for i in range(8)],
                     F.size("detected").alias("n_detected"))
+
+
+def _classify_text(df):
+    """T1 on text: the score + regex predictor (no score column, so the missing score counts as 3)."""
+    p = ScoreRegexPredictor(text="text", score="review_score", lexicon=DRIVER_LEXICON).transform(df)
+    return p.select("conv_id", "turn", labels_str("y_pred").alias("y_pred"))
+
+
+@register("stream_classify_text", f"""
+WITH fl AS (SELECT conv_id, turn, CAST(NULL AS INTEGER) AS review_score, {_flags_sql('text')} FROM conversations
+            WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT conv_id, turn, {_x15_sql()} AS y_pred FROM fl""")
+def q_stream_classify_text(spark, sf):
+    """T1 over text: conversation turns as a file stream, blank texts skipped, classified per turn."""
+    src = f"{sf}/conversations.parquet"
+    schema = spark.read.parquet(src).schema
+    sink, ckpt = scratch_path(spark, "stream-text"), scratch_path(spark, "stream-text-ckpt")
+    not_blank = F.col("text").isNotNull() & (unicode_strip("text") != "")
+    stream.stream_score(spark, src, schema, _classify_text, sink, ckpt, skip_blank=not_blank)
+    return spark.read.parquet(sink)

@@ -98,6 +98,10 @@ def test_stream_equals_batch(spark, sf_dir):
     q = E.queries()
     assert _rows(q["stream_score"](spark, sf_dir)) == _rows(q["score_batch"](spark, sf_dir))
     assert _rows(q["latest_label_state"](spark, sf_dir)) == _rows(q["latest_label_state_batch"](spark, sf_dir))
+    from aspectra.plans.catalog_models import _classify_text
+
+    conv = bridge.table(spark, sf_dir, "conversations")
+    assert _rows(q["stream_classify_text"](spark, sf_dir)) == _rows(_classify_text(conv))
 
 
 def test_sigmoid_matches_python(spark):
