@@ -79,7 +79,8 @@ def multilabel_pipeline(label_cols: list[str], text: str = "text", num_features:
 
 
 def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", num_features: int = 1 << 18,
-                     reg_param: float = 0.01, max_iter: int = MAX_EPOCHS, parallelism: int | None = None):
+                     reg_param: float = 0.01, max_iter: int = MAX_EPOCHS, parallelism: int | None = None,
+                     partitions: int | None = None):
     """Fit M6 on ``df`` (labels as 0/1 columns); returns one ``PipelineModel``.
 
     The text is tokenized and hashed once: the sparse term-frequency vectors
@@ -99,6 +100,10 @@ def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", n
     tok, tf, idf = feature_pipeline(text, num_features).getStages()
     # one pass over the text: hashed term frequencies are persisted, IDF is fitted and applied on them
     counts = tf.transform(tok.transform(d)).select("_tf", *label_cols, *[f"w_{c}" for c in label_cols])
+    # each iteration merges one dense gradient per partition, so the input's partitioning is kept;
+    # ``partitions`` spreads the vectors evenly when the input is large but unevenly split
+    if partitions:
+        counts = counts.repartition(partitions)
     counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     idf_model = idf.fit(counts)
     x = idf_model.transform(counts).select("_features", *label_cols, *[f"w_{c}" for c in label_cols])
