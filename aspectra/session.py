@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
-        # Only reached in local runs and tests: the cluster names its own folder.
+        if not (sc.master or "").startswith("local"):
+            # executors cannot share a machine-local folder: the cluster must name a shared one
+            raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder shared by all executors")
+        # local runs and tests only
         conf_dir = tempfile.mkdtemp(prefix="aspectra-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
