@@ -1,7 +1,12 @@
 """Array expressions that turn model outputs into labels.
 
-All are higher-order built-ins over a fixed-length array column, so scoring
-stays inside whole-stage codegen and needs no shuffle.
+All are JVM built-ins on the row's own array, so scoring needs no shuffle and
+no Python.  They are higher-order functions (``transform``, ``zip_with``),
+which bind their input once: Spark evaluates them outside whole-stage codegen,
+but they compose safely.  Element-by-element forms would be code-generated,
+yet each element reads its input again, and when Spark pushes an inferred
+filter (e.g. from ``explode``) down through the projections the substituted
+expressions multiply -- a composed scorer grew to megabytes of plan text.
 """
 
 from __future__ import annotations

@@ -139,12 +139,11 @@ class ThresholdScorer:
         self.thr = threshold_array(schema, thresholds)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        p = F.col(self.probs)
-        bits = apply_thresholds(p, self.thr)
+        p, out = F.col(self.probs), self.output_col
+        d = df.withColumn(out, apply_thresholds(p, self.thr))
         if self.resolve:
-            bits = resolve_conflicts(bits, p)
-        d = df.withColumn(self.output_col, bits)
-        d = d.withColumn("detected", detected_labels(F.col(self.output_col), p, self.schema))
+            d = d.withColumn(out, resolve_conflicts(F.col(out), p))
+        d = d.withColumn("detected", detected_labels(F.col(out), p, self.schema))
         return d.withColumn("fallback", F.when(F.size("detected") == 0,
                                                top_k_labels(p, self.top_k, self.schema, self.thr)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aspectra.operators import sampling, train
+from aspectra.functions.scoring import sigmoid
 from aspectra.functions.text import unicode_strip
 from aspectra.operators.predictors import ModelPredictor, ScoreRegexPredictor, ThresholdScorer
 from aspectra.plans import bridge
@@ -20,12 +21,11 @@ WORD_RE2 = r"[\p{L}\p{N}_]+"
 def _score_probs(df):
     """The M3 scoring used by both the batch and the stream path."""
     probs = df.select(F.col("vec_id").alias("review_id"),
-                      F.transform(F.slice("embedding", 1, 8),
-                                  lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x.cast("double")))).alias("probs"))
+                      sigmoid(F.slice("embedding", 1, 8)).alias("probs"))
     s = ThresholdScorer("probs").transform(probs)
     return s.select("review_id", F.size("detected").cast("int").alias("n_detected"),
-                    F.array_join(F.transform("detected", lambda d: d["label"]), ",").alias("detected"),
-                    F.coalesce(F.array_join(F.transform("fallback", lambda d: d["label"]), ","), F.lit(""))
+                    F.array_join(F.col("detected")["label"], ",").alias("detected"),
+                    F.coalesce(F.array_join(F.col("fallback")["label"], ","), F.lit(""))
                     .alias("fallback"))
 
 

@@ -158,15 +158,14 @@ SELECT review_id, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY label_idx) AS bi
 def q_apply_thresholds(spark, sf):
     p = bridge.b_probs(spark, sf).withColumn("bits", apply_thresholds("probs"))
     return p.select("review_id", labels_str("bits").alias("bits"),
-                    F.aggregate("bits", F.lit(0.0), lambda a, x: a + x).cast("int").alias("n_bits"))
+                    sum((F.get("bits", i) for i in range(8)), F.lit(0.0)).cast("int").alias("n_bits"))
 
 
 @register("resolve_conflict", PLONG + """
 SELECT review_id, string_agg(CAST(rbit AS VARCHAR), ',' ORDER BY label_idx) AS bits FROM rs GROUP BY review_id""")
 def q_resolve_conflict(spark, sf):
-    p = bridge.b_probs(spark, sf)
-    bits = resolve_conflicts(apply_thresholds("probs"), "probs")
-    return p.select("review_id", labels_str(bits).alias("bits"))
+    p = bridge.b_probs(spark, sf).withColumn("bits", apply_thresholds("probs"))
+    return p.select("review_id", labels_str(resolve_conflicts("bits", "probs")).alias("bits"))
 
 
 @register("rank_detected_labels", PLONG + """
@@ -198,8 +197,8 @@ LEFT JOIN (SELECT review_id, string_agg(label, ',' ORDER BY rk) AS labels FROM t
 def q_score_batch(spark, sf):
     s = _scored(spark, sf)
     return s.select("review_id", F.size("detected").cast("int").alias("n_detected"),
-                    F.array_join(F.transform("detected", lambda d: d["label"]), ",").alias("detected"),
-                    F.coalesce(F.array_join(F.transform("fallback", lambda d: d["label"]), ","), F.lit(""))
+                    F.array_join(F.col("detected")["label"], ",").alias("detected"),
+                    F.coalesce(F.array_join(F.col("fallback")["label"], ","), F.lit(""))
                     .alias("fallback"))
 
 

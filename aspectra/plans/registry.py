@@ -30,4 +30,4 @@ def r6(c) -> F.Column:
 def labels_str(c="labels") -> F.Column:
     """Flatten a 0/1 double array into '1,0,...'."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.array_join(F.transform(col, lambda x: x.cast("int").cast("string")), ",")
+    return F.array_join(col.cast("array<int>").cast("array<string>"), ",")
