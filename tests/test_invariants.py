@@ -148,3 +148,35 @@ def test_balanced_sample_partition_invariant(spark, sf_dir):
     a = balanced_sample(r, DRIVER_LEXICON).final.select("review_id", "row_index")
     b = balanced_sample(r.repartition(11, "lang"), DRIVER_LEXICON).final.select("review_id", "row_index")
     assert _rows(a) == _rows(b)
+
+
+def test_row_index_across_uneven_partitions(spark):
+    from aspectra.sources.io import row_index
+
+    # 20,000 rows in 9 uneven partitions, shuffled: the index must be the rank in the order
+    df = spark.range(20000).withColumn("k", (F.col("id") * 7919) % 20000)
+    df = df.repartition(9, F.col("id") % 3).select("k")
+    out = row_index(df, ["k"], "index")
+    bad = out.filter(F.col("index") != F.col("k")).count()
+    assert bad == 0 and out.count() == 20000
+
+
+def test_exact_split_size(spark, sf_dir):
+    import math
+
+    r = bridge.b_reviews(spark, sf_dir).select("review_id")
+    n = r.count()
+    tr, te = sampling.train_test_split(r, 0.15, exact=True)
+    assert te.count() == math.ceil(n * 0.15)
+    assert tr.count() + te.count() == n and tr.join(te, "review_id").count() == 0
+
+
+def test_unbounded_exclusion_is_not_forced_to_broadcast(spark):
+    big = spark.range(1000).withColumnRenamed("id", "review_id")
+    used = spark.range(0, 1000, 3).withColumnRenamed("id", "review_id")
+    q = sampling.exclude_used(big, used)  # no proven bound: AQE decides at run time
+    hint = q._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in hint.lower()
+    assert q.count() == 1000 - 334
+    qb = sampling.exclude_used(big, used, bounded=True)
+    assert "broadcast" in qb._jdf.queryExecution().analyzed().toString().lower()
