@@ -74,7 +74,8 @@ def model_metrics(conf: DataFrame) -> DataFrame:
            .agg(F.sum("tp").alias("stp"), F.sum("fp").alias("sfp"), F.sum("fn").alias("sfn"),
                 F.avg("f1").alias("f1_macro"),
                 F.sum(F.col("f1") * F.col("support")).alias("wf1"), F.sum("support").alias("ssup"),
-                F.first("n_exact").alias("n_exact"), F.first("n_rows").alias("n_rows")))
+                # constant per model (one value repeated on its 8 label rows)
+                F.max("n_exact").alias("n_exact"), F.max("n_rows").alias("n_rows")))
     return agg.select(*keys,
                       _div0(2 * F.col("stp"), 2 * F.col("stp") + F.col("sfp") + F.col("sfn")).alias("f1_micro"),
                       "f1_macro",
