@@ -49,9 +49,9 @@ def resolve_path(spark: SparkSession, paths) -> str:
     raise FileNotFoundError(f"none of the paths exist: {paths}")
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType | None):
+def _csv_reader(spark: SparkSession, schema: T.StructType | None, mode: str = "FAILFAST"):
     r = (spark.read.option("header", True).option("multiLine", True)
-         .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
+         .option("quote", '"').option("escape", '"').option("mode", mode))
     return r.schema(schema) if schema is not None else r.option("inferSchema", True)
 
 
@@ -64,18 +64,26 @@ def normalise_na(df: DataFrame, na_values=NA_VALUES, columns=None) -> DataFrame:
 
 
 def read_label_sheet(spark: SparkSession, paths, schema: T.StructType | None = None,
-                     na_values=None) -> DataFrame:
-    """S1 (+ S3): labelled sheet CSV with quoted multi-line text."""
-    df = _csv_reader(spark, schema).csv(resolve_path(spark, paths))
+                     na_values=None, mode: str = "FAILFAST") -> DataFrame:
+    """S1 (+ S3): labelled sheet CSV with quoted multi-line text (a malformed record fails the read)."""
+    df = _csv_reader(spark, schema, mode).csv(resolve_path(spark, paths))
     return normalise_na(df, na_values) if na_values else df
 
 
-def read_reviews(spark: SparkSession, paths, fmt: str = "csv", schema: T.StructType | None = REVIEW_SCHEMA) -> DataFrame:
-    """Raw reviews (CSV with the F1 schema, or parquet)."""
+def read_reviews(spark: SparkSession, paths, fmt: str = "csv", schema: T.StructType | None = REVIEW_SCHEMA,
+                 mode: str = "FAILFAST") -> DataFrame:
+    """Raw reviews (CSV with the F1 schema, or parquet).
+
+    Quoted multi-line CSV cannot be split inside a file, so each CSV file is
+    parsed by one task: at scale keep raw reviews in many files, or in Parquet
+    (``fmt="parquet"``, splittable, with column pruning and pushed filters).
+    ``mode`` is Spark's CSV parse mode: ``FAILFAST`` (default, as the reference
+    errors on a malformed file), ``PERMISSIVE`` or ``DROPMALFORMED``.
+    """
     path = resolve_path(spark, paths)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return _csv_reader(spark, schema).csv(path)
+    return _csv_reader(spark, schema, mode).csv(path)
 
 
 def _csv_writer(df: DataFrame, mode: str):
