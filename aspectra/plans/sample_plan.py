@@ -2,8 +2,9 @@
 
 The regex detection runs once over the reviews; the narrow candidate table
 (id, score, flags, content hash) is checkpointed to the shared checkpoint folder
-so the five sampling steps read it instead of re-running the regexes, and the
-text is only joined back for the final (at most 200) rows.
+so the five sampling steps read it instead of re-running the regexes.  The text
+is joined back for the final (at most ``target``) rows only: one more read of
+the id and text columns, streamed through a broadcast hash join (no shuffle).
 """
 
 from __future__ import annotations
