@@ -113,8 +113,9 @@ def quota_sample(candidates: DataFrame, key: str = "review_id", score: str = "re
         pick = top_n_per_group(pool, ["band"], half, [F.col("_h")] + ties, salt)
         pick = pick.withColumnRenamed("_rank", "sample_rank").withColumn("step", F.lit(step))
         if checkpoint:
-            # at most ``2 * half`` rows: one partition, so the checkpoint is one small file, not one per shuffle partition
-            pick = pick.repartition(1).checkpoint(eager=True)
+            # one small file instead of one per shuffle partition; coalesce (no shuffle) is safe here
+            # because the final top-n stage reads at most ``SALT_BUCKETS * half`` rows per band
+            pick = pick.coalesce(1).checkpoint(eager=True)
         taken.append(pick)
     return concat_samples(taken).drop("_h")
 
