@@ -202,6 +202,29 @@ def q_score_batch(spark, sf):
                     .alias("fallback"))
 
 
+@register("score_batch_unresolved", PLONG + """
+, ranked_u AS (SELECT review_id, label_idx, label, p,
+                      row_number() OVER (PARTITION BY review_id ORDER BY p DESC, label_idx) AS rk
+               FROM b WHERE bit = 1)
+, nodet_u AS (SELECT review_id FROM b_probs EXCEPT SELECT review_id FROM ranked_u)
+, top3_u AS (SELECT * FROM (SELECT pl.*, row_number() OVER (PARTITION BY pl.review_id ORDER BY p DESC, label_idx) AS rk
+                            FROM pl SEMI JOIN nodet_u ON pl.review_id = nodet_u.review_id) WHERE rk <= 3)
+SELECT p.review_id, CAST(coalesce(d.n, 0) AS INTEGER) AS n_detected, coalesce(d.labels, '') AS detected,
+       coalesce(t.labels, '') AS fallback
+FROM b_probs p
+LEFT JOIN (SELECT review_id, count(*) AS n, string_agg(label, ',' ORDER BY rk) AS labels FROM ranked_u GROUP BY 1) d
+  ON p.review_id = d.review_id
+LEFT JOIN (SELECT review_id, string_agg(label, ',' ORDER BY rk) AS labels FROM top3_u GROUP BY 1) t
+  ON p.review_id = t.review_id""")
+def q_score_batch_unresolved(spark, sf):
+    """M3 with conflict resolution switched off: both polarities of an aspect may be reported."""
+    s = _scored(spark, sf, resolve=False)
+    return s.select("review_id", F.size("detected").cast("int").alias("n_detected"),
+                    F.array_join(F.col("detected")["label"], ",").alias("detected"),
+                    F.coalesce(F.array_join(F.col("fallback")["label"], ","), F.lit(""))
+                    .alias("fallback"))
+
+
 @register("label_dim_join", PLONG + """
 SELECT review_id, CAST(label_idx AS INTEGER) AS label_idx, label, threshold, p > threshold AS passed FROM pl""")
 def q_label_dim_join(spark, sf):
