@@ -51,13 +51,14 @@ def run_available_now(query_builder, await_seconds: int | None = None):
 
 
 def stream_score(spark: SparkSession, source: str, schema: T.StructType, transform: Callable[[DataFrame], DataFrame],
-                 sink: str, checkpoint: str, fmt: str = "parquet", skip_blank: Column | None = None):
+                 sink: str, checkpoint: str, fmt: str = "parquet", skip_blank: Column | None = None,
+                 options: dict | None = None):
     """File stream -> stateless scoring -> file sink (availableNow trigger).
 
     ``transform`` is the same DataFrame function used on batch tables, so the
     stream result equals the batch result on the same input.
     """
-    src = file_stream(spark, source, schema, fmt)
+    src = file_stream(spark, source, schema, fmt, options)
     if skip_blank is not None:
         src = src.filter(skip_blank)
     out = transform(src)
