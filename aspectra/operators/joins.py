@@ -38,7 +38,12 @@ def labelled_progress(label_ids: DataFrame, dataset: DataFrame, key: str = "revi
 
 def export_join(reviews: DataFrame, states: DataFrame, key: str = "review_id", text: str = "review_text",
                 schema: AspectSchema = DEFAULT_SCHEMA) -> DataFrame:
-    """Each review with its stored label record (or defaults) as the 7 export columns."""
+    """Each review with its stored label record (or defaults) as the 7 export columns.
+
+    ``states`` holds one record per id, as the label store does (a change
+    history is first reduced with :func:`aspectra.streaming.scoring.latest_by_key`);
+    the left join then keeps exactly one row per review.
+    """
     r = reviews.select(F.col(key).cast("string").alias(key), F.coalesce(F.col(text), F.lit("")).alias("review_text"))
     j = r.join(states, key, "left")
     cols = [F.col(key), F.col("review_text")]
