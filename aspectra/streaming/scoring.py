@@ -152,6 +152,10 @@ def stream_latest_state(spark: SparkSession, source: str, schema: T.StructType,
     so a replayed batch rewrites the same files (idempotent) and the write cost
     is the size of the change, not of the state.  Every ``compact_every``
     batches the changelog is folded into a base snapshot.
+
+    There is no watermark: a label may change at any time, so the state store
+    keeps one row per key -- its size is the number of labelled reviews, not
+    the number of events.
     """
     src = file_stream(spark, source, schema, fmt, options)
     agg = latest_by_key(src, key, order, value_cols)
