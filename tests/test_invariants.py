@@ -180,3 +180,18 @@ def test_unbounded_exclusion_is_not_forced_to_broadcast(spark):
     assert q.count() == 1000 - 334
     qb = sampling.exclude_used(big, used, bounded=True)
     assert "broadcast" in qb._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_labelling_sample_job_writes_sheet(spark, sf_dir, tmp_dir):
+    from aspectra.plans.jobs import labelling_sample
+    from aspectra.sources import io
+
+    raw = bridge.b_reviews(spark, sf_dir).select(
+        F.col("review_id").cast("string").alias("review_id"), "review_score",
+        F.col("review_text").alias("review_comment_message"))  # the raw-source column name (F1)
+    res = labelling_sample(raw, DRIVER_LEXICON, out_path=f"{tmp_dir}/sheet")
+    back = io.read_label_sheet(spark, f"{tmp_dir}/sheet")
+    n = res.sheet.count()
+    assert 0 < n <= 200 and back.count() == n
+    assert set(back.columns) >= {"review_id", "review_score", "review_text", "aspectos_detectados", "to_remove"}
+    assert back.filter(F.col("to_remove") != "Não").count() == 0
