@@ -172,3 +172,24 @@ class ModelPredictor:
         out = self.udf()(F.coalesce(F.col(self.text), F.lit("")))
         col = sigmoid(out) if self.logits else out
         return df.withColumn(self.output_col, col)
+
+
+class TrainedModelPredictor:
+    """M1 third predictor: a model fitted by :func:`aspectra.operators.train.train_multilabel`.
+
+    Probabilities per label -> per-label thresholds -> conflict resolution, as
+    the reference scores its fine-tuned model; ``output_col`` holds the 0/1 vector.
+    """
+
+    def __init__(self, model, text: str = "text", output_col: str = "y_pred", thresholds: dict | None = None,
+                 resolve: bool = True, schema: AspectSchema = DEFAULT_SCHEMA):
+        self.model, self.text, self.output_col, self.schema = model, text, output_col, schema
+        self.scorer = ThresholdScorer("probs", thresholds, resolve, output_col, schema)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from aspectra.operators.train import predict_multilabel
+
+        cols = [f"y{i}" for i in range(self.schema.n_labels)]
+        scored = self.scorer.transform(predict_multilabel(self.model, df, cols, self.text))
+        return scored.drop("probs", "detected", "fallback")
+

@@ -184,3 +184,18 @@ def test_train_and_score_from_sheet(spark, sheet):
         # Never both polarities of one aspect
         assert all(r.y_pred[2 * k] + r.y_pred[2 * k + 1] <= 1 for k in range(4))
         assert (len(r.detected) > 0) != (r.fallback is not None)
+
+
+def test_compare_with_trained_model(spark, sheet):
+    from aspectra.operators.predictors import ScoreRegexPredictor, TrainedModelPredictor
+    from aspectra.plans.compare import compare_models
+    from aspectra.plans.jobs import train_from_sheet
+
+    model, _ = train_from_sheet(sheet, max_iter=5)
+    preds = {"Baseline: Review Score": ScoreRegexPredictor(lexicon=NARROW_LEXICON),
+             "Fine-Tuned": TrainedModelPredictor(model)}
+    res = compare_models(sheet, preds, test_size=1.0)  # evaluate on every retained row of the tiny sheet
+    m = {r.model: r for r in res.metrics.collect()}
+    assert set(m) == set(preds)
+    assert all(0.0 <= getattr(r, k) <= 1.0 for r in m.values() for k in ("f1_micro", "f1_macro", "exact_match"))
+    assert res.per_class.count() == 16
