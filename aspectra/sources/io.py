@@ -64,26 +64,33 @@ def normalise_na(df: DataFrame, na_values=NA_VALUES, columns=None) -> DataFrame:
 
 
 def read_label_sheet(spark: SparkSession, paths, schema: T.StructType | None = None,
-                     na_values=None, mode: str = "FAILFAST") -> DataFrame:
-    """S1 (+ S3): labelled sheet CSV with quoted multi-line text (a malformed record fails the read)."""
+                     na_values=NA_VALUES, mode: str = "FAILFAST") -> DataFrame:
+    """S1 (+ S3): labelled sheet CSV with quoted multi-line text (a malformed record fails the read).
+
+    String cells equal to one of ``na_values`` (pandas' default missing-value
+    markers such as ``NA`` or ``null``) read as null, as the reference's reader
+    does (D8); pass ``na_values=()`` to keep them as text.
+    """
     df = _csv_reader(spark, schema, mode).csv(resolve_path(spark, paths))
     return normalise_na(df, na_values) if na_values else df
 
 
 def read_reviews(spark: SparkSession, paths, fmt: str = "csv", schema: T.StructType | None = REVIEW_SCHEMA,
-                 mode: str = "FAILFAST") -> DataFrame:
+                 mode: str = "FAILFAST", na_values=NA_VALUES) -> DataFrame:
     """Raw reviews (CSV with the F1 schema, or parquet).
 
     Quoted multi-line CSV cannot be split inside a file, so each CSV file is
     parsed by one task: at scale keep raw reviews in many files, or in Parquet
     (``fmt="parquet"``, splittable, with column pruning and pushed filters).
     ``mode`` is Spark's CSV parse mode: ``FAILFAST`` (default, as the reference
-    errors on a malformed file), ``PERMISSIVE`` or ``DROPMALFORMED``.
+    errors on a malformed file), ``PERMISSIVE`` or ``DROPMALFORMED``; CSV cells
+    equal to one of ``na_values`` read as null (D8).
     """
     path = resolve_path(spark, paths)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return _csv_reader(spark, schema, mode).csv(path)
+    df = _csv_reader(spark, schema, mode).csv(path)
+    return normalise_na(df, na_values) if na_values else df
 
 
 def _csv_writer(df: DataFrame, mode: str):

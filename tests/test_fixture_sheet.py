@@ -199,3 +199,18 @@ def test_compare_with_trained_model(spark, sheet):
     assert set(m) == set(preds)
     assert all(0.0 <= getattr(r, k) <= 1.0 for r in m.values() for k in ("f1_micro", "f1_macro", "exact_match"))
     assert res.per_class.count() == 16
+
+
+def test_pandas_missing_markers_read_as_null(spark, tmp_dir):
+    p = f"{tmp_dir}/na.csv"
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(HEADER + "\n")
+        f.write('b1,"texto NA ok",NA,null,None,Positivo,nan\n')
+        f.write('b2,"NA",Negativo,,N/A,,Não\n')
+    df = io.read_label_sheet(spark, p, io.SHEET_SCHEMA)
+    rows = {r.review_id: r for r in df.collect()}
+    assert rows["b1"].logistica_sentimento is None and rows["b1"].produto_sentimento is None
+    assert rows["b1"].atendimento_sentimento is None and rows["b1"].to_remove is None
+    assert rows["b1"].review_text == "texto NA ok" and rows["b2"].review_text is None
+    kept = io.read_label_sheet(spark, p, io.SHEET_SCHEMA, na_values=())
+    assert {r.review_id: r.logistica_sentimento for r in kept.collect()}["b1"] == "NA"
