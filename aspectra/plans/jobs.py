@@ -8,7 +8,8 @@ what to materialize.
 * :func:`distribution_report` -- label sheet -> profile tables (§3.4)
 * :func:`train_from_sheet` -- label sheet -> weighted per-label model (§3.2, re-aimed at Spark ML)
 * :func:`score_texts` -- model -> probabilities -> thresholds -> conflicts -> ranked labels (§3.4)
-* :func:`compare_models` -- re-exported from :mod:`aspectra.plans.compare` (§3.3)
+* :func:`comparison_report` -- split, predictors, metrics, gains, chart data, CSV (§3.3);
+  :func:`compare_models` is re-exported from :mod:`aspectra.plans.compare`
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.functions.labels import encode_labels
-from aspectra.operators import clean, reports, train, weights
+from aspectra.operators import clean, metrics, reports, train, weights
 from aspectra.operators.predictors import ThresholdScorer
 from aspectra.plans.compare import compare_models  # noqa: F401  (re-export)
 from aspectra.plans.sample_plan import SampleResult, balanced_sample
@@ -70,6 +71,29 @@ def distribution_report(sheet: DataFrame, schema: AspectSchema = DEFAULT_SCHEMA)
     )
 
 
+@dataclass
+class ComparisonReport:
+    metrics: DataFrame            # A13-A16 per model
+    per_class: DataFrame          # A17 per model and label
+    gains: DataFrame              # A19: target model against each other model
+    chart: DataFrame              # M8: the numbers behind the two charts
+
+
+def comparison_report(labelled: DataFrame, predictors: dict, target: str, scores: DataFrame | None = None,
+                      out_path: str | None = None, **kw) -> ComparisonReport:
+    """The model comparison of the workflow (§3.3): split, predictors, metrics, gains, chart data.
+
+    ``target`` names the model compared against the others (the fine-tuned one
+    in the reference).  The metrics table is written as CSV when ``out_path``
+    is given (S5).  Every table derives from one pass over the predictions.
+    """
+    res = compare_models(labelled, predictors, scores, **kw)
+    if out_path:
+        io.write_metrics(res.metrics, out_path)
+    return ComparisonReport(res.metrics, res.per_class, metrics.relative_gain(res.metrics, target),
+                            metrics.chart_feed(res.metrics, res.per_class, target))
+
+
 def _label_columns(schema: AspectSchema) -> list[str]:
     return [f"y{i}" for i in range(schema.n_labels)]
 
@@ -97,5 +121,5 @@ def score_texts(model, df: DataFrame, text: str = "text", schema: AspectSchema =
     return ThresholdScorer("probs", thresholds, resolve, schema=schema).transform(p)
 
 
-__all__ = ["Report", "compare_models", "distribution_report", "labelling_sample", "score_texts",
-           "train_from_sheet"]
+__all__ = ["ComparisonReport", "Report", "compare_models", "comparison_report", "distribution_report",
+           "labelling_sample", "score_texts", "train_from_sheet"]

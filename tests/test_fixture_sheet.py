@@ -186,7 +186,7 @@ def test_train_and_score_from_sheet(spark, sheet):
         assert (len(r.detected) > 0) != (r.fallback is not None)
 
 
-def test_compare_with_trained_model(spark, sheet):
+def test_compare_with_trained_model(spark, sheet, tmp_dir):
     from aspectra.operators.predictors import ScoreRegexPredictor, TrainedModelPredictor
     from aspectra.plans.compare import compare_models
     from aspectra.plans.jobs import train_from_sheet
@@ -200,6 +200,19 @@ def test_compare_with_trained_model(spark, sheet):
     assert all(0.0 <= getattr(r, k) <= 1.0 for r in m.values() for k in ("f1_micro", "f1_macro", "exact_match"))
     assert res.per_class.count() == 16
 
+    from aspectra.plans.jobs import comparison_report
+
+    out = f"{tmp_dir}/metrics"
+    rep = comparison_report(sheet, preds, "Fine-Tuned", out_path=out, test_size=1.0)
+    gains = rep.gains.collect()
+    assert [(g.baseline, g.model) for g in gains] == [("Baseline: Review Score", "Fine-Tuned")]
+    f1 = {r.model: r.f1_macro for r in rep.metrics.collect()}
+    expect = (f1["Fine-Tuned"] - f1["Baseline: Review Score"]) / max(f1["Baseline: Review Score"], 0.001) * 100
+    assert gains[0].gain_pct == pytest.approx(expect)
+    assert rep.chart.count() == 6 + 8
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 2
+
 
 def test_pandas_missing_markers_read_as_null(spark, tmp_dir):
     p = f"{tmp_dir}/na.csv"
