@@ -51,7 +51,10 @@ def trie_pattern(tokens: list[str]) -> str:
     for t in tokens:
         node = root
         for a in _atoms(t):
-            node = node.setdefault(a.lower() if len(a) == 1 else a, {})
+            # share branches across case (the pattern is case-insensitive); keep characters whose
+            # lower case is not a single character (e.g. U+0130) as written
+            key = a.lower() if len(a) == 1 and len(a.lower()) == 1 else a
+            node = node.setdefault(key, {})
         node[""] = {}
 
     def emit(node: dict) -> str:

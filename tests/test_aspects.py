@@ -13,11 +13,11 @@ CUSTOM = {  # prefixes of each other, shared stems across aspects, a non-word to
     "logistica": ["cor", "cores", r"cor\w*", r"R\$", "a_b"],
     "produto": [r"co\w+", "corda", "x1"],
     "atendimento": [r"R\$\w*", "ré", r"é\w*"],
-    "preco": [],
+    "preco": ["İzmir", r"Straße\w*"],
 }
 
 SENTENCES = ["cor", "Cores e CORDA", "corr", "R$50", "R$ 50", "x1 x12", "a_b a_bc", "Ré é éter", "co", "", None,
-             "ação, coração", "acor cores."]
+             "ação, coração", "acor cores.", "İZMİR izmir İzmir", "STRASSE straßenbahn"]
 
 
 def _flat(text, lexicon):
