@@ -227,3 +227,31 @@ def test_pandas_missing_markers_read_as_null(spark, tmp_dir):
     assert rows["b1"].review_text == "texto NA ok" and rows["b2"].review_text is None
     kept = io.read_label_sheet(spark, p, io.SHEET_SCHEMA, na_values=())
     assert {r.review_id: r.logistica_sentimento for r in kept.collect()}["b1"] == "NA"
+
+
+def test_weights_array_in_label_order(sheet):
+    df = clean.drop_removed(sheet)
+    df = df.withColumn("labels", encode_labels(df.columns))
+    w = weights.class_weights(df)
+    alpha = weights.weights_array(w).first().alpha
+    assert alpha == [r.weight for r in w.orderBy("label_idx").collect()]
+
+
+def test_unfitted_pipeline_fits(spark, sheet):
+    from aspectra.operators import train
+
+    df = clean.drop_removed(sheet).select(F.coalesce("review_text", F.lit("")).alias("text"),
+                                          encode_labels(sheet.columns).alias("labels"))
+    df = train.label_weight_columns(df.select("text", F.get("labels", 0).alias("y0"), F.get("labels", 3).alias("y3")),
+                                    ["y0", "y3"])
+    model = train.multilabel_pipeline(["y0", "y3"], "text", max_iter=3).fit(df)
+    out = train.predict_multilabel(model, df, ["y0", "y3"])
+    assert out.count() == df.count() and len(out.first().probs) == 2
+
+
+def test_export_json_sink_roundtrip(spark, sheet, tmp_dir):
+    path = f"{tmp_dir}/export-json"
+    io.write_export_json(sheet, path)
+    back = spark.read.json(path)
+    assert sorted(r.review_id for r in back.collect()) == sorted(r.review_id for r in sheet.collect())
+    assert {r.review_id: r.review_text for r in back.collect()}["a2"] == ROWS[1][1]
