@@ -72,17 +72,19 @@ BASE = "base"
 
 
 def _committed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Version numbers of committed (``_SUCCESS``) sub-folders ``<prefix><n>`` of ``folder``."""
+    """Version numbers of committed (``_SUCCESS``) sub-folders ``<prefix><n>`` of ``folder``.
+
+    One glob listing of ``<prefix>*/_SUCCESS`` (not one existence check per folder),
+    which matters on object stores as the changelog grows.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*/_SUCCESS")
+    found = pattern.getFileSystem(conf).globStatus(pattern)
     out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+    for st in found or []:
+        name = st.getPath().getParent().getName()
+        if name.startswith(prefix) and name[len(prefix):].isdigit():
             out.append(int(name[len(prefix):]))
     return sorted(out)
 
