@@ -165,13 +165,16 @@ def write_export_json(df: DataFrame, path: str, schema: AspectSchema = DEFAULT_S
 
 
 def row_index(df: DataFrame, order: list, index: str = "index") -> DataFrame:
-    """0-based position under a total ``order``, computed JVM-side at any size.
+    """0-based position under ``order``, computed JVM-side at any size.
 
     The sorted frame is tagged with its partition id and in-partition position
     and checkpointed; per-partition counts (one row per partition) give the
     offsets, which are broadcast back.  No single-partition window, no Python.
     """
-    ordered = (df.orderBy(*order)
+    # a row hash and the scan position complete the order: equal keys (a copied id holding a third
+    # of the rows) then have distinct sort keys, so the range partitioner can split them
+    tie = [F.xxhash64(*[F.col(c) for c in df.columns]), F.monotonically_increasing_id()]
+    ordered = (df.orderBy(*order, *tie)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id())
                .checkpoint(eager=True))

@@ -195,3 +195,27 @@ def test_labelling_sample_job_writes_sheet(spark, sf_dir, tmp_dir):
     assert 0 < n <= 200 and back.count() == n
     assert set(back.columns) >= {"review_id", "review_score", "review_text", "aspectos_detectados", "to_remove"}
     assert back.filter(F.col("to_remove") != "Não").count() == 0
+
+
+def test_row_index_hot_key_is_split(spark):
+    from aspectra.sources.io import row_index
+
+    # key 0 holds a third of the rows (copies); the index must still be a permutation in key order
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+                                   (F.col("id") % 7).alias("v")).repartition(8)
+    out = row_index(df, ["k"], "index")
+    rows = out.select("k", "index").collect()
+    assert sorted(r["index"] for r in rows) == list(range(30000))
+    by_index = sorted(rows, key=lambda r: r["index"])
+    assert all(a.k <= b.k for a, b in zip(by_index, by_index[1:]))
+    # the sort the index uses spreads the hot key over several partitions
+    tie = [F.xxhash64("k", "v"), F.monotonically_increasing_id()]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")  # keep the 8 range partitions (AQE would merge this small input)
+    try:
+        sizes = [r["count"] for r in df.orderBy("k", *tie).groupBy(F.spark_partition_id()).count().collect()]
+        plain = [r["count"] for r in df.orderBy("k").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(key, old)
+    assert max(plain) >= 10000 and max(sizes) < 10000
