@@ -255,3 +255,8 @@ def test_export_json_sink_roundtrip(spark, sheet, tmp_dir):
     back = spark.read.json(path)
     assert sorted(r.review_id for r in back.collect()) == sorted(r.review_id for r in sheet.collect())
     assert {r.review_id: r.review_text for r in back.collect()}["a2"] == ROWS[1][1]
+
+
+def test_exact_export_refuses_large_tables(sheet, tmp_dir):
+    with pytest.raises(ValueError):
+        io.write_export_csv(sheet, f"{tmp_dir}/too-big", exact=True, max_rows=3)
