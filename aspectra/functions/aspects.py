@@ -10,7 +10,8 @@ characters (and ``\\w*``/``\\w+``) between ``\\b`` ... ``\\b`` always matches a
 whole word, so one ``regexp_extract_all`` with the union of every aspect's
 word tokens finds exactly the words any aspect can match; each aspect then
 tests only those short words.  Alternations are factored by common prefix
-(a trie), so a word start tries one branch per distinct next character.
+(a trie), so a word start tries one branch per distinct next character, and a
+lookahead class of the tokens' first characters rejects most word starts at once.
 Tokens with other characters (e.g. ``R\\$``) can match a different span, so
 they keep their own per-aspect ``rlike``.
 """
@@ -64,6 +65,20 @@ def trie_pattern(tokens: list[str]) -> str:
     return emit(root) if tokens else "(?!)"
 
 
+def _first_char_guard(tokens: list[str]) -> str:
+    """``(?=[...])`` of the tokens' first characters, or '' if a token may start with any word character.
+
+    One character-class test rejects most word starts before the alternation is tried.
+    """
+    firsts = set()
+    for t in tokens:
+        a = _atoms(t)[0] if t else ""
+        if len(a) != 1:
+            return ""
+        firsts.update({a, a.lower()} if len(a.lower()) == 1 else {a})
+    return "(?=[" + "".join(sorted(firsts)) + "])"
+
+
 def java_pattern(tokens: list[str]) -> str:
     """``\\b(tok1|tok2|...)\\b`` with Unicode-aware flags for Spark ``rlike``."""
     return r"(?iU)\b(" + "|".join(tokens) + r")\b"
@@ -100,8 +115,8 @@ def aspect_flags(text, lexicon: dict, aspects=None) -> Column:
             fields.append(F.coalesce(hit, F.lit(False)).alias(a))
         return F.struct(*fields)
 
-    found = (F.regexp_extract_all(c, F.lit(r"(?iU)\b" + trie_pattern(union) + r"\b"), 0) if union
-             else F.array().cast("array<string>"))
+    found = (F.regexp_extract_all(c, F.lit(r"(?iU)\b" + _first_char_guard(union) + trie_pattern(union) + r"\b"), 0)
+             if union else F.array().cast("array<string>"))
     return F.get(F.transform(F.array(found), per_aspect), 0)
 
 
