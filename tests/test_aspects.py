@@ -52,3 +52,17 @@ def test_matches_flat_rlike_on_tables(spark, sf_dir, table, col, lexicon):
 def test_trie_and_word_tokens():
     assert trie_pattern(["cor", "cores", r"cor\w*"]) == r"cor(?:|\w*|es)"
     assert is_word_token(r"entreg\w*") and is_word_token("ótimo") and not is_word_token(r"R\$")
+
+
+def test_first_char_guard():
+    from aspectra.functions.aspects import _first_char_guard
+
+    assert _first_char_guard(["Cor", r"entreg\w*", "x1"]) == "(?=[Ccex])"
+    assert _first_char_guard(["cor", r"\w*ção"]) == ""  # a token may start with any word character
+
+
+def test_leading_class_token_matches_flat(spark):
+    lex = {"logistica": [r"\w*ção", "cor"], "produto": [r"\w+mente"], "atendimento": ["x"], "preco": []}
+    df = spark.createDataFrame([("ação e coração",), ("rapidamente",), ("cor",), ("nada",)], "text string")
+    got, want = _same(df, "text", lex)
+    assert got == want
