@@ -166,7 +166,7 @@ def stream_latest_state(spark: SparkSession, source: str, schema: T.StructType,
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_folder(state_path, UPDATES, batch_id))
         if compact_every and batch_id > 0 and batch_id % compact_every == 0:
-            compact_state(spark, state_path, out_schema, key, order, batch_id)
+            compact_state(batch.sparkSession, state_path, out_schema, key, order, batch_id)
 
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert))
     run_available_now(w)
