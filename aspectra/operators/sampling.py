@@ -38,9 +38,10 @@ def top_n_per_group(df: DataFrame, groups: list[str], n, order: list[Column],
                     rank_col: str = "_rank") -> DataFrame:
     """Rows with rank <= n within each group under ``order``; ``n`` may be a column.
 
-    Two levels: (group, salt) then group.  Spark also applies a partial
-    WindowGroupLimit before each shuffle, so only <= n rows per group and map
-    task cross the network at either level.
+    Two levels: (group, salt) then group.  With a literal ``n`` Spark also
+    applies a partial WindowGroupLimit before each shuffle, so only <= n rows
+    per group and map task cross the network at either level (a column ``n``
+    gets no such limit; the library's callers pass literals).
     """
     nn = n if isinstance(n, Column) else F.lit(int(n))
     if salt is not None and buckets > 1:
