@@ -219,3 +219,17 @@ def test_row_index_hot_key_is_split(spark):
     finally:
         spark.conf.set(key, old)
     assert max(plain) >= 10000 and max(sizes) < 10000
+
+
+def test_distribution_report_equals_the_verified_queries(spark, sf_dir):
+    from aspectra.plans.jobs import distribution_report
+
+    sheet = bridge.b_sheet(spark, sf_dir)
+    rep = distribution_report(sheet)
+    q = E.queries()
+    assert _rows(rep.classes.select("label_idx", "label", "n")) == _rows(q["class_counts"](spark, sf_dir))
+    assert rep.total_labels.first()[0] == q["total_labels"](spark, sf_dir).first()[0]
+    assert rep.unlabelled.first()[0] == q["unlabelled_count"](spark, sf_dir).first()[0]
+    imb = q["imbalance_report"](spark, sf_dir).first()
+    got = rep.imbalance.first()
+    assert (got.max_count, got.min_positive, got.tier) == (imb.max_count, imb.min_positive, imb.tier)
