@@ -233,3 +233,22 @@ def test_distribution_report_equals_the_verified_queries(spark, sf_dir):
     imb = q["imbalance_report"](spark, sf_dir).first()
     got = rep.imbalance.first()
     assert (got.max_count, got.min_positive, got.tier) == (imb.max_count, imb.min_positive, imb.tier)
+
+
+def test_comparison_report_equals_the_verified_queries(spark, sf_dir):
+    from aspectra.operators.predictors import ScoreRegexPredictor
+    from aspectra.plans.catalog_metrics import BASE, FT
+    from aspectra.plans.compare import ColumnPredictor
+    from aspectra.plans.jobs import comparison_report
+    from aspectra.schema import NARROW_LEXICON
+
+    preds = {BASE: ScoreRegexPredictor(text="text", score="review_score", lexicon=NARROW_LEXICON),
+             FT: ColumnPredictor(lambda df: bridge.flip_predictions("labels", "review_id"))}
+    rep = comparison_report(bridge.b_sheet(spark, sf_dir), preds, FT, scores=bridge.b_scores(spark, sf_dir))
+    q = E.queries()
+    r6 = lambda df, cols: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+                                 for r in df.select(*cols).collect())
+    cols = ["model", "f1_micro", "f1_macro", "f1_weighted", "exact_match"]
+    assert r6(rep.metrics, cols) == r6(q["compare_models"](spark, sf_dir), cols)
+    assert r6(rep.gains, ["baseline", "model", "gain_pct"]) == r6(q["relative_gain"](spark, sf_dir),
+                                                                   ["baseline", "model", "gain_pct"])
