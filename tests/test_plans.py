@@ -59,3 +59,9 @@ def test_compare_models_reads_each_input_once(spark, sf_dir):
 def test_centroids_are_a_scalar_subquery(spark, sf_dir):
     p = plan(E.queries()["embedding_centroid_predict"](spark, sf_dir))
     assert "Subquery" in p and "NestedLoopJoin" not in p and "Cartesian" not in p
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP_PLAN))
+def test_no_cross_or_nested_loop_join(spark, sf_dir, name):
+    p = plan(E.queries()[name](spark, sf_dir))
+    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
