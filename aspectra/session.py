@@ -1,14 +1,13 @@
 """Session helpers: a local session for tests and a shared scratch location.
 
 On a cluster the session is built by the caller; the library only reads
-``spark.checkpoint.dir`` from it.  A default is set only when it is unset
-(local runs and tests), never over a value the cluster provides.
+``spark.checkpoint.dir`` from it.  Where it is unset, a folder under the
+session's warehouse is used, never over a value the cluster provides.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,22 +36,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if none is configured."""
+    """The shared checkpoint folder: the session's ``spark.checkpoint.dir``, else one under the warehouse.
+
+    The rule is the same on every master.  The warehouse folder is shared by
+    the driver and the executors, so what is written under it survives a lost
+    executor.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
-        if not (sc.master or "").startswith("local"):
-            # executors cannot share a machine-local folder: the cluster must name a shared one
-            raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder shared by all executors")
-        # local runs and tests only
-        conf_dir = tempfile.mkdtemp(prefix="aspectra-ckpt-", dir="/tmp")
+        conf_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table through the Hadoop file system it lives on."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
