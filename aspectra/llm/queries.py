@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import minhash
+from aspectra.llm import decontam, itq, minhash
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,19 @@ def query(fn):
     return fn
 
 
+@query
+def op6_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all embeddings at cosine 0.95 or more."""
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, by consistent template windows."""
+    return decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles at 0.8 or more."""
