@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import decontam, itq, minhash
+from aspectra.llm import decontam, idcoder, itq, langid, minhash, mixing
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,34 @@ def query(fn):
     return fn
 
 
+def vocabulary() -> str:
+    """The tokenizer file: ``ASPECTRA_TOKENIZER``, or the installed public word vocabulary."""
+    given = os.environ.get("ASPECTRA_TOKENIZER")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in coded blocks and read back."""
+    return idcoder.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled documents outside the held-out fold."""
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix to target weights takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query
 def op6_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and kept vectors of all embeddings at cosine 0.95 or more."""
