@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import decontam, idcoder, itq, langid, minhash, mixing
+from aspectra.llm import decontam, idcoder, itq, langid, licenses, linedup, minhash, mixing, secrets
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,30 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of line runs of 50 words and more."""
+    return linedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix to target weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: pattern spans, and strings that Markov models find random."""
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that documents, or single lines of them, are."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and kept vectors of all embeddings at cosine 0.95 or more."""
@@ -64,3 +82,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles at 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+
+
+ORACLES["op5_license_scan"] = licenses.ORACLE_SQL
+ORACLES["op8_line_dedup"] = linedup.ORACLE_SQL
