@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import decontam, idcoder, itq, langid, licenses, linedup, minhash, mixing, secrets
+from aspectra.llm import decontam, idcoder, itq, langid, licenses, linedup, lm, minhash, mixing, secrets
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the maximum-entropy model of those that are not held out."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written in coded blocks and read back."""
