@@ -1,9 +1,9 @@
 """Operator 2: token ids in a binary format of adaptively coded, checksummed blocks.
 
 Ids are coded by a 64-bit range coder.  Three predictions are mixed for each id: the id that last
-followed the two preceding ids (order 2), the one that last followed the preceding id (order 1), and
-the segment's id frequencies (order 0).  How much each order is trusted is learned while coding,
-separately for each situation (which predictions exist, whether they agree, whether the last one was
+followed the two preceding ids (order 2) or, without one, the preceding id (order 1), and the
+segment's id frequencies (order 0).  The weight of the former against order 0 is learned while coding,
+separately for each situation (which of them exist, whether they agree, whether the last one was
 right).  Every block of ``BLOCK_IDS`` ids starts from the same fresh state and has its own CRC-32, so
 it is decoded alone.  All blocks of a segment are coded in step, one numpy operation for all of them.
 
@@ -36,33 +36,28 @@ from aspectra.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 2048
-SEGMENT_IDS = 4 << 20
-#: words whose ids a task remembers
-CACHE_WORDS = 2_000_000
+SEGMENT_IDS = 8 << 20
+#: words, and runs of letters or marks, whose ids a task remembers
+CACHE_WORDS, CACHE_PIECES = 2_000_000, 400_000
 
 # ---------------------------------------------------------------- the model and the coder
 
 _MAGIC = b"IDM1"
-#: blocks coded in step; their tables stay in a core's cache
-LANES = 512
-_T1, _T2 = 10, 11  # log2 of the order-1 and order-2 table sizes
-_FULL = np.uint64(12)  # bits of the mixing probabilities
+#: blocks coded in step
+LANES = 4096
+_SLOTS = 10  # log2 of the slots of a block's table
+_FULL = np.uint64(12)  # bits of the probability of a hit
 _TOTAL = 14  # bits of the bucket frequencies
-_U32 = np.uint64(32)
+_U32, _U48 = np.uint64(32), np.uint64(48)
 _LOW32 = np.uint64(0xFFFFFFFF)
+_LOW16 = np.uint64(0xFFFF)
 _ONE = np.uint64(1)
-# The mixing boundaries b1 and b2 of (first prediction, second prediction, order 0) in one number,
-# b1 + (b2 << 16).  Kinds of situation: 0 no prediction, 1 order 1 only, 2 orders 1 and 2 differ,
-# 3 they agree.  _GOAL: where the boundaries move after each outcome, at 3 * kind + outcome.
-_B1 = np.int32(0xFFFF)
-
-
-def _both(b1, b2) -> np.ndarray:
-    return np.array(b1, np.int32) + (np.array(b2, np.int32) << 16)
-
-
-_GOAL = _both([0, 0, 0, 4056, 40, 40, 4016, 24, 24, 4056, 40, 40], [0, 0, 0, 4056, 40, 40, 4072, 4072, 80, 4056, 40, 40])
-_START = np.repeat(_both([0, 1200, 1200, 2400], [0, 1200, 2000, 2400]), 2)
+#: ids of higher rank are never predicted
+_PREDICTED = 65_534
+# Probabilities of a hit in 1 / 4096, at 2 * situation + (whether the last prediction was right).
+# Situations: no prediction; order 1 alone; order 2, order 1 says otherwise; both agree.
+_START = np.array([0, 0, 1200, 1200, 1200, 1200, 2400, 2400], np.int32)
+_HIT, _MISS = 4064, 32  # where a probability moves
 
 
 def _buckets(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,65 +71,63 @@ def _buckets(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Lanes:
-    """The adaptive state of many blocks side by side."""
+    """The adaptive state of many blocks side by side.
+
+    A block's table has a slot for each hash of the preceding id, which holds four ids (rank + 1, 0 for
+    none) of 16 bits: the last one that followed (order 1), and the last one that followed for each of
+    three hashes of the id before that (order 2).
+    """
 
     def __init__(self, n: int):
         lane = np.arange(n, dtype=np.int64)
-        self.t1, self.t2 = np.zeros(n << _T1, np.uint32), np.zeros(n << _T2, np.uint32)
-        self.mixing = np.tile(_START, n)
-        self.at1, self.at2, self.at_state = lane << _T1, lane << _T2, lane << 3
-        self.prev = np.zeros(n, np.uint32)
-        self.prev2 = np.zeros(n, np.uint32)
+        self.table = np.zeros(n << _SLOTS, np.uint64)
+        self.chance = np.tile(_START, n)
+        self.at_slot, self.at_state = lane << _SLOTS, lane << 3
+        self.prev = np.zeros(n, np.uint64)
+        self.shift = np.full(n, 16, np.uint64)
         self.right = np.zeros(n, bool)
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
     def shorten(self, n: int) -> None:
-        for k in ("at1", "at2", "at_state", "prev", "prev2", "right", "low", "range"):
+        for k in ("at_slot", "at_state", "prev", "shift", "right", "low", "range"):
             setattr(self, k, getattr(self, k)[:n])
 
-    def predict(self):
-        """The two predictions (rank + 1, 0 for none) and r * b1, r * b2 for the range's share r."""
-        p = self.prev * np.uint32(0x9E3779B1)
-        q = (p ^ (self.prev2 * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.i1 = self.at1 + (p >> np.uint32(32 - _T1))
-        self.i2 = self.at2 + (q >> np.uint32(32 - _T2))
-        one, two = self.t1.take(self.i1, mode="wrap"), self.t2.take(self.i2, mode="wrap")
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The predicted id (rank + 1, 0 for none) and the part of the range that a hit takes."""
+        slot = (self.prev * np.uint64(0x9E3779B1) & _LOW32) >> np.uint64(32 - _SLOTS)
+        self.slot = self.at_slot + slot.astype(np.int64)
+        self.entry = self.table.take(self.slot, mode="wrap")
+        one = self.entry & _LOW16
+        two = (self.entry >> self.shift) & _LOW16
         has = two > 0
-        differ = has & (one != two)
-        # an entry of order 2 has one of order 1: both are set together, and the place of the latter
-        # depends on the last id only; so no prediction: 0, order 1 only: 1, differ: 2, agree: 3
-        self.kind = (one > 0).astype(np.int64) + 2 * has - differ
-        first = np.where(has, two, one)
-        second = one * differ
-        self.state = self.at_state + 2 * self.kind + self.right
-        self.now = self.mixing.take(self.state, mode="wrap")
-        r = self.range >> _FULL
-        return first, second, r * (self.now & _B1).astype(np.uint64), r * (self.now >> 16).astype(np.uint64)
-
-    def narrow(self, to_second: np.ndarray, to_zero: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
-        """Keep the part of the outcome: past r1 the second prediction's, past r2 the rest."""
-        whole = self.range >> _FULL << _FULL
-        lo = np.where(to_zero, r2, r1) * to_second
-        self.range = np.where(to_zero, whole, np.where(to_second, r2, r1)) - lo
-        self.low += lo
-
-    def narrow_at(self, at, start, size) -> None:
-        self.low[at] += start
-        self.range[at] = size
-
-    def learn(self, outcome: np.ndarray, token: np.ndarray) -> None:
-        """``outcome``: 0 first, 1 second, 2 order 0; ``token``: rank + 1 of the id just coded."""
-        goal = _GOAL.take(3 * self.kind + outcome, mode="wrap")
-        now = self.now
-        b1, b2 = now & _B1, now >> 16
-        b1 = b1 + (((goal & _B1) - b1) >> 4)
-        b2 = np.maximum(b2 + (((goal >> 16) - b2) >> 4), b1 + (self.kind == 2))
-        self.mixing[self.state] = b1 + (b2 << 16)
-        self.t1[self.i1] = token
-        self.t2[self.i2] = token
-        self.prev2, self.prev = self.prev, token
-        self.right = outcome == 0
+        guess = np.where(has, two, one)
+        situation = (guess > 0).astype(np.int64)
+        situation += has
+        situation += has & (one == two)
+        situation += situation
+        situation += self.right
+        self.state = self.at_state + situation
+        self.now = self.chance.take(self.state, mode="wrap")
+        return guess, (self.range >> _FULL) * self.now.astype(np.uint64)
+
+    def narrow(self, miss: np.ndarray, part: np.ndarray) -> None:
+        self.low += part * miss
+        self.range = np.where(miss, self.range - part, part)
+
+    def learn(self, miss: np.ndarray, token: np.ndarray) -> None:
+        """``token``: rank + 1 of the id just coded."""
+        goal = np.where(miss, _MISS, _HIT)
+        self.chance[self.state] = np.where(self.now > 0, self.now + ((goal - self.now) >> 4), 0)
+        kept = token * (token <= _PREDICTED)
+        entry = self.entry & ~((_LOW16 << self.shift) | _LOW16)
+        entry |= kept << self.shift
+        entry |= kept
+        self.table[self.slot] = entry
+        # the place in a slot for the id that has just become the one before the last
+        self.shift = ((self.prev * np.uint64(0x85EBCA6B) & _LOW32) * np.uint64(3) >> _U32) * np.uint64(16) + np.uint64(16)
+        self.prev = token
+        self.right = ~miss
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         """Shift out the top 32 bits where the range has become short; those lanes and their words."""
@@ -181,28 +174,36 @@ def encode_blocks(ranks: np.ndarray, lengths: np.ndarray, freq: np.ndarray, n_ra
 def _encode_group(ranks, begin, lengths, freq, buckets) -> list[np.ndarray]:
     bucket_of, first_rank, bucket_bits = buckets
     starts, sizes, _ = _bucket_table(freq)
+    # of each rank: what its part of the range is multiplied by, and by what the range is divided
+    b = bucket_of
+    bits = bucket_bits[b]
+    size, offset = sizes[b], np.arange(len(b), dtype=np.uint64) - first_rank[b]
+    start = starts[b]
     longest = int(lengths[0])
+    by_step = np.zeros((longest, len(lengths)), np.uint32)
+    for k, (a, n) in enumerate(zip(begin.tolist(), lengths.tolist())):
+        by_step[:n, k] = ranks[a:a + n]
     lanes, out = _Lanes(len(lengths)), _Out(len(lengths), longest)
     for step in range(longest):
         n = int(np.searchsorted(-lengths, -step))
         if n < len(lanes.prev):
             _flush(lanes, out, n)
-        rank = ranks.take(begin[:n] + step)
-        token = (rank + 1).astype(np.uint32)
-        first, second, r1, r2 = lanes.predict()
-        to_second = token != first
-        to_zero = to_second & (token != second)
-        lanes.narrow(to_second, to_zero, r1, r2)
-        at = np.flatnonzero(to_zero)
+        rank = by_step[step, :n]
+        token = rank.astype(np.uint64) + _ONE
+        guess, part = lanes.predict()
+        miss = token != guess
+        lanes.narrow(miss, part)
+        out.put(*lanes.settle())
+        at = np.flatnonzero(miss)
         if len(at):
-            out.put(*lanes.settle())
-            escaped = rank.take(at)
-            b = bucket_of.take(escaped)
+            k = rank.take(at)
             r = lanes.range.take(at) >> np.uint64(_TOTAL)
-            start, r = r * starts.take(b), r * sizes.take(b) >> bucket_bits.take(b)
-            lanes.narrow_at(at, start + r * (escaped.astype(np.uint64) - first_rank.take(b)), r)
-        out.put(*lanes.settle())
-        lanes.learn(to_second.astype(np.int64) + to_zero, token)
+            low = r * start.take(k)
+            r = r * size.take(k) >> bits.take(k)
+            lanes.low[at] += low + r * offset.take(k)
+            lanes.range[at] = r
+            out.put(*lanes.settle())
+        lanes.learn(miss, token)
     _flush(lanes, out, 0)
     return [out.words[k, :out.n[k]] for k in range(len(lengths))]
 
@@ -225,8 +226,8 @@ def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, freq: np.ndarray
 def _decode_group(words, lengths, freq, buckets) -> np.ndarray:
     _, first_rank, bucket_bits = buckets
     starts, sizes, bucket_at = _bucket_table(freq)
-    begin = np.cumsum(lengths) - lengths
-    out = np.zeros(int(lengths.sum()), np.uint32)
+    bucket_at = bucket_at.astype(np.uint8)
+    out = np.zeros((int(lengths[0]), len(lengths)), np.uint32)
     lanes = _Lanes(len(lengths))
     size = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate([*words, np.zeros(2, np.uint32)])
@@ -242,42 +243,48 @@ def _decode_group(words, lengths, freq, buckets) -> np.ndarray:
             code[moved] = (code.take(moved) << _U32) | flat.take(place)
             at_word[moved] = place + 1
 
-    for step in range(int(lengths[0])):
+    for step in range(len(out)):
         n = int(np.searchsorted(-lengths, -step))
         if n < len(lanes.prev):
             lanes.shorten(n)
             code, at_word = code[:n], at_word[:n]
-        first, second, r1, r2 = lanes.predict()
-        off = code - lanes.low
-        to_second, to_zero = off >= r1, off >= r2
-        lanes.narrow(to_second, to_zero, r1, r2)
-        token = np.where(to_second, second, first)
-        at = np.flatnonzero(to_zero)
+        token, part = lanes.predict()
+        miss = code - lanes.low >= part
+        lanes.narrow(miss, part)
+        settle()
+        at = np.flatnonzero(miss)
         if len(at):
-            settle()
+            low = lanes.low.take(at)
+            off = code.take(at) - low
             r = lanes.range.take(at) >> np.uint64(_TOTAL)
-            off = code.take(at) - lanes.low.take(at)
             b = bucket_at.take(np.minimum(off // r, last_slot).astype(np.int64))
             start, bits = r * starts.take(b), bucket_bits.take(b)
             r = r * sizes.take(b) >> bits
             rest = np.minimum((off - start) // r, (_ONE << bits) - _ONE)
-            lanes.narrow_at(at, start + r * rest, r)
+            lanes.low[at] = low + start + r * rest
+            lanes.range[at] = r
             token[at] = first_rank.take(b) + rest + _ONE
-        settle()
-        lanes.learn(to_second.astype(np.int64) + to_zero, token)
-        out[begin[:n] + step] = token - np.uint32(1)
-    return out
+            settle()
+        lanes.learn(miss, token)
+        out[step, :n] = token
+    out -= np.uint32(1)
+    return np.concatenate([out[:n, k] for k, n in enumerate(lengths.tolist())])
 
 
 # ---------------------------------------------------------------- segments
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment of whole documents."""
-    distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() >= 1 << 22:
+        distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        count = np.bincount(ids)
+        distinct = np.flatnonzero(count)
+        inverse, count = ids, count[distinct]
     order = np.argsort(-count, kind="stable")
-    rank_of = np.empty(len(order), np.int64)
-    rank_of[order] = np.arange(len(order))
-    ranks = rank_of[inverse]
+    rank_of = np.zeros(int(inverse.max(initial=0)) + 1, np.uint32)
+    rank_of[distinct[order] if inverse is ids else order] = np.arange(len(order))
+    ranks = rank_of.take(inverse)
     bucket, _, _ = _buckets(len(distinct))
     freq = np.bincount(bucket, weights=count[order] if len(order) else None)
     freq = np.maximum((freq * ((1 << _TOTAL) - len(freq)) // max(1, len(ids))).astype(np.int64), 1)
@@ -350,7 +357,9 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -359,8 +368,15 @@ class Ids:
         self.flat = np.zeros(0, np.uint32)
 
     def _piece(self, s: str) -> list[int]:
-        mapped = s.lower().encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        s = s.lower()
+        got = self.pieces.get(s)
+        if got is None:
+            mapped = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+            got = [t.id for t in self.tokenize(mapped)]
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[s] = got
+        return got
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(words)

@@ -38,7 +38,8 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(i + np.uint64(seed * 0x632BE59BD9B4E019 % (1 << 64))) | np.uint64(1)
 
 
-_BYTE_AT = mix(constants(_POSITIONS * 256, 1)).reshape(_POSITIONS, 256)
+#: a random number for each byte at each position, at 256 * position + byte
+_BYTE_AT = mix(constants(_POSITIONS * 256, 1))
 _FAR = constants(4096, 2)
 
 
@@ -99,7 +100,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _spans(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    word = ~_SPACE[data]
+    word = ~_SPACE.take(data)
     first = word.copy()
     first[1:] &= ~word[:-1]
     at = row_starts[row_starts < len(data)]
@@ -108,16 +109,20 @@ def _spans(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none
-    where = np.flatnonzero(word)
-    of = np.cumsum(first[where]) - 1
-    place = where - starts[of]
-    value = _BYTE_AT[place & (_POSITIONS - 1), LOWER[data[where]]]
-    far = np.flatnonzero(place >= _POSITIONS)
-    if len(far):
-        value[far] *= _FAR[(place[far] // _POSITIONS) % len(_FAR)] ** np.uint64(3)
-    begin = np.searchsorted(where, starts)
-    length = np.diff(np.append(begin, len(where)))
-    h = np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    last = word.copy()
+    last[:-1] &= first[1:] | ~word[1:]
+    length = np.flatnonzero(last) + 1 - starts
+    begin = np.cumsum(length) - length
+    place = np.arange(begin[-1] + length[-1]) - np.repeat(begin, length)
+    far = np.flatnonzero(place >= _POSITIONS) if length.max() > _POSITIONS else None
+    place = (place & (_POSITIONS - 1)) << 8
+    place += LOWER.take(data)[word]
+    value = _BYTE_AT.take(place)
+    if far is not None:
+        where = far - np.repeat(begin, length)[far]
+        value[far] *= _FAR[(where // _POSITIONS) % len(_FAR)]
+    h = np.add.reduceat(value, begin)
+    h += length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h), starts, starts + length
 
 
