@@ -87,8 +87,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     bounds = np.searchsorted(starts, offsets)
     opens = np.ones(len(s), dtype=bool)
     if len(s) > 1:
-        newline = np.r_[0, np.cumsum(data == 10)]
-        opens[1:] = _END[last[:-1]] | (newline[starts[1:]] > newline[ends[:-1]])
+        opens[1:] = _END[last[:-1]]
     opens[bounds[:-1][bounds[:-1] < len(s)]] = True
     kind = np.zeros(len(s), np.int8)
     capital = (first >= 65) & (first <= 90) & (e > s + 1) & ~((second >= 65) & (second <= 90))
