@@ -58,14 +58,36 @@ def bar_text(pct, divisor: float = 1.0, block: str = "█") -> Column:
 
 
 def format_percent(frac, digits: int = 1) -> Column:
-    """``f'{x:.1%}'`` of a fraction."""
-    return F.format_string(f"%.{digits}f%%", _c(frac) * F.lit(100.0))
+    """``f'{x:.1%}'`` of a fraction: the exact binary value of 100 x, rounded half to even.
+
+    The value is scaled by a power of two to a whole number (no bit is lost between 2**-8 and 2**17) and
+    divided in exact decimals; beyond that range Spark's own formatting is used.
+    """
+    v = _c(frac) * F.lit(100.0)
+    a = F.abs(v)
+    bits = F.when(a < 0.125, F.lit(60)).when(a < 128, F.lit(55)).otherwise(F.lit(45))
+    whole = (a * F.pow(F.lit(2.0), bits)).cast("bigint").cast("decimal(38,0)")
+    unit = F.pow(F.lit(2.0), bits).cast("bigint").cast("decimal(38,0)")
+    scaled = (whole * F.lit(10 ** digits)).cast("decimal(38,0)")
+    low = F.call_function("div", scaled, unit)
+    rest = (scaled - low.cast("decimal(20,0)") * unit).cast("decimal(38,0)") * 2
+    n = low + F.when(rest > unit, 1).when(rest < unit, 0).otherwise(low % 2)
+    head = F.call_function("div", n, F.lit(10 ** digits)).cast("string")
+    tail = F.lpad((n % (10 ** digits)).cast("string"), digits, "0") if digits else F.lit("")
+    text = F.concat(F.when((v < 0), "-").otherwise(""), head, F.lit("." if digits else ""), tail, F.lit("%"))
+    return F.when(a < 131072.0, text).otherwise(F.format_string(f"%.{digits}f%%", v))
+
+
+def percent_cell(frac, width: int, digits: int = 1) -> Column:
+    """X18 in a report column: the percent text, right-aligned to ``width`` (longer texts stay whole)."""
+    text = format_percent(frac, digits)
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, " "))
 
 
 def int_div(a, b) -> Column:
-    """Python ``//`` for non-negative ints (SQL ``div``)."""
+    """Python ``//`` for non-negative ints (SQL ``div``, a long)."""
     a, b = (F.lit(x) if isinstance(x, int) else _c(x) for x in (a, b))
-    return F.floor(a / b).cast("int")
+    return F.call_function("div", a, b)
 
 
 def null_text_to_empty(col) -> Column:

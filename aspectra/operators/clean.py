@@ -59,10 +59,10 @@ def min_text_length(df: DataFrame, text: str | None = None, n: int = MIN_TEXT_LE
 
 
 def drop_unlabelled(df: DataFrame, schema: AspectSchema = DEFAULT_SCHEMA) -> DataFrame:
-    """Drop rows where every sentiment column is null."""
+    """Drop rows where every sentiment column is null; without any such column it raises."""
     cols = [c for c in schema.sentiment_columns if c in df.columns]
     if not cols:
-        return df.limit(0)
+        raise ValueError(f"none of {', '.join(schema.sentiment_columns)} is a column")
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols]))
 
 

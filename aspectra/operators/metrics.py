@@ -131,9 +131,9 @@ def early_stop_epoch(log: DataFrame, run: str = "run", epoch: str = "epoch", met
     w_prev = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     w_run = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     improved = F.coalesce(F.col(metric) > F.max(metric).over(w_prev), F.lit(True))
-    marked = df.withColumn("improved", improved)
-    # epoch of the latest improvement up to each row
-    marked = marked.withColumn("last_best", F.max(F.when(F.col("improved"), F.col(epoch))).over(w_run))
-    marked = marked.withColumn("stale", F.col(epoch) - F.col("last_best"))
+    # evaluations are numbered: patience counts them, not epoch numbers
+    marked = df.withColumn("improved", improved).withColumn("nth", F.row_number().over(Window.partitionBy(run).orderBy(epoch)))
+    marked = marked.withColumn("last_best", F.max(F.when(F.col("improved"), F.col("nth"))).over(w_run))
+    marked = marked.withColumn("stale", F.col("nth") - F.col("last_best"))
     return marked.groupBy(run).agg(
         F.coalesce(F.min(F.when(F.col("stale") >= patience, F.col(epoch))), F.max(epoch)).alias("stop_epoch"))

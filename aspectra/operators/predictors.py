@@ -63,12 +63,14 @@ def class_centroids(ref: DataFrame, vector: str = "embedding", label: str = "lab
             .select(label, vector_to_array("m").alias("centroid")))
 
 
-def polarity_centroids(ref: DataFrame, pos_label, neg_label, vector: str = "embedding",
-                       label: str = "label") -> DataFrame:
-    """The two polarity centroids as ONE row (``c_pos``, ``c_neg``)."""
-    c = class_centroids(ref.filter(F.col(label).isin(pos_label, neg_label)), vector, label)
-    return c.agg(F.max(F.when(F.col(label) == pos_label, F.col("centroid"))).alias("c_pos"),
-                 F.max(F.when(F.col(label) == neg_label, F.col("centroid"))).alias("c_neg"))
+def polarity_centroids(ref: DataFrame, positive, vector: str = "embedding") -> DataFrame:
+    """The two polarity centroids as ONE row (``c_pos``, ``c_neg``).
+
+    ``positive`` is a boolean column expression; rows where it is null are in neither centroid.
+    """
+    c = class_centroids(ref.withColumn("_positive", positive).filter("_positive is not null"), vector, "_positive")
+    return c.agg(F.max(F.when(F.col("_positive"), F.col("centroid"))).alias("c_pos"),
+                 F.max(F.when(~F.col("_positive"), F.col("centroid"))).alias("c_neg"))
 
 
 def reference_centroids(spark, make_embed_fn, pos_words=POSITIVE_WORDS, neg_words=NEGATIVE_WORDS,
@@ -84,7 +86,7 @@ def reference_centroids(spark, make_embed_fn, pos_words=POSITIVE_WORDS, neg_word
 
     words = spark.createDataFrame([(w, 1) for w in pos_words] + [(w, 0) for w in neg_words], "word string, label int")
     embed = predict_batch_udf(make_embed_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return polarity_centroids(words.select("label", embed("word").alias("embedding")), 1, 0)
+    return polarity_centroids(words.select("label", embed("word").alias("embedding")), F.col("label") == 1)
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -172,20 +172,31 @@ def train_test_split(df: DataFrame, test_size: float, key: str = "review_id", se
                      exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two-way split by hash bucket of (id, seed): no shuffle, no leak between splits.
 
-    ``exact=True`` holds out exactly ``ceil(n * test_size)`` rows (ordered by the
-    same hash, then id), which needs a count and a global top-k.
+    ``exact=True`` holds out the fewest whole ids, in the order of the same hash, that together have
+    ``ceil(n * test_size)`` rows (exactly that many if ids are unique).  The cut is found from row
+    counts of 65,536 hash ranges and of the ids of one range; each side is then a filter.
     """
     u = hash_unit_interval(key, seed)
     if not exact:
         return df.filter(u >= test_size), df.filter(u < test_size)
     import math
 
-    n = df.count()
-    k = math.ceil(n * test_size)
-    ranked = with_sample_key(df, key, seed)
-    test = ranked.orderBy("_h", key).limit(k).drop("_h")
-    train = df.join(test.select(key), key, "left_anti")
-    return train, test
+    h = sampling_hash(key, seed)
+    ids = df.groupBy(F.substring(h, 1, 4).alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    need, cut = math.ceil(sum(r.n for r in ids) * test_size), None
+    for r in ids:
+        if need <= r.n:
+            cut = r.range
+            break
+        need -= r.n
+    if need <= 0 or cut is None:
+        return df, df.limit(0)
+    so_far = Window.orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)  # the ids of one range
+    last = (df.filter(F.substring(h, 1, 4) == cut).groupBy(F.col(key), h.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).filter(F.col("before") < need)
+            .agg(F.max(F.struct("h", key)).alias("last")).first()["last"])
+    held = (h < last["h"]) | ((h == last["h"]) & (F.col(key) <= last[key]))
+    return df.filter(~held), df.filter(held)
 
 
 def distinct_pairs(df: DataFrame, cols=("review_id", "review_score")) -> DataFrame:

@@ -87,8 +87,8 @@ def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", n
     (not the text) are persisted (memory, spilling to disk; recomputed from
     lineage if an executor is lost); IDF is fitted on them and every per-label
     regression iterates over the IDF-weighted vectors.  The
-    per-label fits are independent, so up to ``parallelism`` of them run as
-    concurrent Spark jobs (as ``OneVsRest`` does); each iteration is a
+    per-label fits are independent, so up to ``parallelism`` (default 2; each
+    keeps its own blocks) of them run as concurrent Spark jobs (as ``OneVsRest`` does); each iteration is a
     cluster-wide tree aggregate either way.  ``max_iter`` defaults to the
     reference's training budget of 20 passes.
     """
@@ -108,7 +108,7 @@ def train_multilabel(df: DataFrame, label_cols: list[str], text: str = "text", n
     idf_model = idf.fit(counts)
     x = idf_model.transform(counts).select("_features", *label_cols, *[f"w_{c}" for c in label_cols])
     try:
-        n = max(1, min(parallelism or len(label_cols), 8))
+        n = max(1, min(2, len(label_cols)) if parallelism is None else parallelism)
         fit = lambda c: label_model(c, reg_param, max_iter).fit(x)
         if n == 1:
             models = [fit(c) for c in label_cols]

@@ -75,11 +75,25 @@ def b_preds_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                     flip_predictions("labels", "review_id").alias("y_pred"))
 
 
+LOGIT_SCALE, LOGIT_SHIFT = 4.0, -1.7
+
+
+def label_logits(vector: str = "embedding", n: int = 8) -> F.Column:
+    """``n`` logits of a whole vector: component d counts for logit d mod n; scaled so that labels vary."""
+    part = lambda i: F.aggregate(F.transform(F.col(vector), lambda x, d: F.when(
+        d % n == i, x.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*[part(i) * LOGIT_SCALE + LOGIT_SHIFT for i in range(n)])
+
+
+def label_truth(label: str = "label", n: int = 8) -> F.Column:
+    """0/1 targets from a class: class k sets label k mod n."""
+    return F.array(*[F.when(F.col(label) % n == i, 1.0).otherwise(0.0) for i in range(n)])
+
+
 def b_probs(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """Probability vectors: sigmoid of the first 8 embedding dims."""
+    """Probability vectors: sigmoid of logits from all embedding dims."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("review_id"),
-                    sigmoid(F.slice("embedding", 1, n)).alias("probs"))
+    return e.select(F.col("vec_id").alias("review_id"), sigmoid(label_logits("embedding", n)).alias("probs"))
 
 
 def b_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:

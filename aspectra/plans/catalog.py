@@ -83,11 +83,13 @@ def q_fill_missing_score(spark, sf):
 
 @register("fill_missing_label", with_(B_SHEET) + """
 SELECT review_id, coalesce(logistica_sentimento, '(vazio)') AS logistica_sentimento,
+       coalesce(produto_sentimento, '(vazio)') AS produto_sentimento,
+       coalesce(atendimento_sentimento, '') AS atendimento_sentimento,
        coalesce(preco_sentimento, '') AS preco_sentimento FROM b_sheet""")
 def q_fill_missing_label(spark, sf):
-    s = bridge.b_sheet(spark, sf).select("review_id", "logistica_sentimento", "preco_sentimento")
-    s = clean.fill_missing_label(s, cols=["logistica_sentimento"], display=True)
-    return clean.fill_missing_label(s, cols=["preco_sentimento"], display=False)
+    s = bridge.b_sheet(spark, sf).drop("to_remove")
+    s = clean.fill_missing_label(s, cols=["logistica_sentimento", "produto_sentimento"], display=True)
+    return clean.fill_missing_label(s, cols=["atendimento_sentimento", "preco_sentimento"], display=False)
 
 
 @register("null_text_to_empty", with_(B_REVIEWS) + """

@@ -9,7 +9,7 @@ from aspectra.functions.text import display_name, format_percent
 from aspectra.operators import clean, joins, reports
 from aspectra.plans import bridge
 from aspectra.plans.registry import labels_str, r6, register
-from aspectra.plans.sqlbits import B_REVIEWS, B_SHEET, ENC, norm, with_
+from aspectra.plans.sqlbits import B_REVIEWS, B_SHEET, ENC, LABEL_DIM, norm, with_
 from aspectra.session import scratch_path
 from aspectra.sources import io
 
@@ -202,14 +202,13 @@ def q_format_percent(spark, sf):
 
 
 @register("label_polarity", """
-WITH lab AS (SELECT * FROM (VALUES (0, 'Logística_Pos'), (1, 'Logística_Neg'), (2, 'Produto_Pos'),
-    (3, 'Produto_Neg'), (4, 'Atend_Pos'), (5, 'Atend_Neg'), (6, 'Preço_Pos'), (7, 'Preço_Neg')) t(i, label))
-SELECT CASE WHEN lab.label LIKE '%\\_Pos' ESCAPE '\\' THEN 'Pos' ELSE 'Neg' END AS polarity, CAST(count(*) AS BIGINT) AS n
-FROM embeddings e JOIN lab ON lab.i = e.label GROUP BY 1""")
+WITH """ + LABEL_DIM + """
+SELECT CASE WHEN d.label LIKE '%\\_Pos' ESCAPE '\\' THEN 'Pos' ELSE 'Neg' END AS polarity, CAST(count(*) AS BIGINT) AS n
+FROM embeddings e JOIN label_dim d ON d.label_idx = e.label % 8 GROUP BY 1""")
 def q_label_polarity(spark, sf):
     from aspectra.schema import label_dimension
 
-    e = bridge.table(spark, sf, "embeddings").select(F.col("label").alias("label_idx"))
+    e = bridge.table(spark, sf, "embeddings").select((F.col("label") % 8).alias("label_idx"))
     j = e.join(F.broadcast(label_dimension(spark).select("label_idx", "label")), "label_idx")
     return j.groupBy(label_polarity("label").alias("polarity")).agg(F.count(F.lit(1)).alias("n"))
 

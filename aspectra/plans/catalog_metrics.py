@@ -10,8 +10,8 @@ from aspectra.operators.predictors import ScoreRegexPredictor
 from aspectra.plans import bridge
 from aspectra.plans.compare import ColumnPredictor, compare_models
 from aspectra.plans.registry import labels_str, r6, register
-from aspectra.plans.sqlbits import B_EPOCHS, B_REVIEWS, B_SCORES, B_SHEET, ENC, with_
-from aspectra.schema import NARROW_LEXICON
+from aspectra.plans.sqlbits import B_EPOCHS, B_REVIEWS, B_SCORES, B_SHEET, ENC, LOGITS, with_
+from aspectra.schema import MAX_EPOCHS, NARROW_LEXICON
 
 BASE = "Baseline: Review Score"
 FT = "Fine-Tuned: ABSA"
@@ -213,8 +213,8 @@ def q_split(spark, sf):
 # ---------------------------------------------------------------------------
 
 EMB_LONG = """WITH el AS (
-  SELECT vec_id AS review_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x, CASE WHEN label = i THEN 1.0 ELSE 0.0 END AS y
-  FROM embeddings, range(8) r(i))
+  SELECT review_id, i, logits[i + 1] AS x, CASE WHEN label % 8 = i THEN 1.0 ELSE 0.0 END AS y
+  FROM (SELECT vec_id AS review_id, label, """ + LOGITS + """ AS logits FROM embeddings), range(8) r(i))
 """
 
 
@@ -224,8 +224,8 @@ EMB_LONG = """WITH el AS (
 """ + METRICS_CTES + _metric_select("round(f1_micro, 6) AS f1_micro, round(f1_macro, 6) AS f1_macro"))
 def q_eval_at_half(spark, sf):
     e = bridge.table(spark, sf, "embeddings")
-    truth = F.transform(F.array_repeat(F.lit(0.0), 8), lambda z, i: F.when(F.col("label") == i, 1.0).otherwise(0.0))
-    probs = sigmoid(F.slice("embedding", 1, 8))
+    truth = bridge.label_truth()
+    probs = sigmoid(bridge.label_logits())
     pred = F.transform(probs, lambda p: F.when(p > 0.5, 1.0).otherwise(0.0))
     w = e.select(F.lit("half").alias("model"), F.col("vec_id").alias("review_id"),
                  truth.alias("y_true"), pred.alias("y_pred"))
@@ -245,9 +245,7 @@ SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS n_rows,
 FROM terms JOIN alpha USING (i)""")
 def q_focal_loss(spark, sf):
     e = bridge.table(spark, sf, "embeddings")
-    d = e.select(F.slice("embedding", 1, 8).alias("logits"),
-                 F.transform(F.array_repeat(F.lit(0.0), 8),
-                             lambda z, i: F.when(F.col("label") == i, 1.0).otherwise(0.0)).alias("targets"))
+    d = e.select(bridge.label_logits().alias("logits"), bridge.label_truth().alias("targets"))
     return weights.focal_loss(d).select("n_rows", r6("focal_loss").alias("focal_loss"))
 
 
@@ -263,15 +261,31 @@ def q_best_epoch(spark, sf):
     return metrics.best_epoch(bridge.b_epochs(spark, sf))
 
 
-@register("early_stop_epoch", with_(B_EPOCHS) + """
+def _early_stop_sql(rows: str) -> str:
+    return with_(B_EPOCHS) + f"""
+, log AS (SELECT * FROM b_epochs WHERE {rows})"""+ EARLY_STOP
+
+
+EARLY_STOP = """
 , m AS (SELECT *, coalesce(f1_macro > max(f1_macro) OVER (PARTITION BY run ORDER BY epoch
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM b_epochs)
-, s AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch
-          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stale FROM m)
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM log)
+, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS nth FROM m)
+, s AS (SELECT *, nth - max(CASE WHEN improved THEN nth END) OVER (PARTITION BY run ORDER BY epoch
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stale FROM k)
 SELECT run, CAST(coalesce(min(CASE WHEN stale >= 3 THEN epoch END), max(epoch)) AS INTEGER) AS stop_epoch
-FROM s GROUP BY run""")
+FROM s GROUP BY run"""
+
+
+@register("early_stop_epoch", _early_stop_sql("epoch <= 20"))
 def q_early_stop(spark, sf):
-    return metrics.early_stop_epoch(bridge.b_epochs(spark, sf))
+    """W13 with the training budget of 20 epochs."""
+    return metrics.early_stop_epoch(bridge.b_epochs(spark, sf), max_epochs=MAX_EPOCHS)
+
+
+@register("early_stop_every_second", _early_stop_sql("epoch % 2 = 0"))
+def q_early_stop_second(spark, sf):
+    """W13 where only every second epoch was evaluated: patience counts evaluations."""
+    return metrics.early_stop_epoch(bridge.b_epochs(spark, sf).filter("epoch % 2 = 0"))
 
 
 @register("predictor_interface", PREDS_M7 + """

@@ -21,7 +21,7 @@ WORD_RE2 = r"[\p{L}\p{N}_]+"
 def _score_probs(df):
     """The M3 scoring used by both the batch and the stream path."""
     probs = df.select(F.col("vec_id").alias("review_id"),
-                      sigmoid(F.slice("embedding", 1, 8)).alias("probs"))
+                      sigmoid(bridge.label_logits()).alias("probs"))
     s = ThresholdScorer("probs").transform(probs)
     return s.select("review_id", F.size("detected").cast("int").alias("n_detected"),
                     F.array_join(F.col("detected")["label"], ",").alias("detected"),

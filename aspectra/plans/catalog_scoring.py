@@ -243,14 +243,19 @@ def q_label_dim_join(spark, sf):
 CENT = """WITH dims AS (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS v
               FROM (SELECT label, vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))
 , cen AS (SELECT label, i, avg(v) AS m FROM dims GROUP BY label, i)
-, cvec AS (SELECT label, list(m ORDER BY i) AS centroid FROM cen GROUP BY label)
+, pvec AS (SELECT pos, list(m ORDER BY i) AS centroid
+           FROM (SELECT label % 2 = 0 AS pos, i, avg(v) AS m FROM dims GROUP BY 1, 2) GROUP BY pos)
 , sims AS (SELECT e.vec_id AS review_id,
-                  list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT centroid FROM cvec WHERE label = 0)) AS sim_pos,
-                  list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT centroid FROM cvec WHERE label = 1)) AS sim_neg
+                  list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT centroid FROM pvec WHERE pos)) AS sim_pos,
+                  list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT centroid FROM pvec WHERE NOT pos)) AS sim_neg
            FROM embeddings e)
 """
 
 
+#: all classes: even ones are the positive reference, odd ones the negative
+EVEN = "label % 2 = 0"
+
+
 @register("class_centroid", CENT + "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(m, 6) AS value FROM cen")
 def q_class_centroid(spark, sf):
     c = class_centroids(bridge.table(spark, sf, "embeddings"))
@@ -260,7 +265,7 @@ def q_class_centroid(spark, sf):
 
 def _sims(spark, sf):
     emb = bridge.table(spark, sf, "embeddings")
-    cents = polarity_centroids(emb, 0, 1)
+    cents = polarity_centroids(emb, F.expr(EVEN))
     d = attach_one_row(emb, cents)
     return d.select(F.col("vec_id").alias("review_id"), "embedding",
                     cosine_similarity("embedding", "c_pos").alias("sim_pos"),
@@ -298,7 +303,7 @@ def _m2(spark, sf):
     emb = bridge.table(spark, sf, "embeddings")
     docs = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text"))
     df = emb.join(docs, "vec_id", "left")
-    pred = CentroidPredictor(polarity_centroids(emb, 0, 1), text="text", lexicon=LEX)
+    pred = CentroidPredictor(polarity_centroids(emb, F.expr(EVEN)), text="text", lexicon=LEX)
     return pred.transform(df)
 
 

@@ -62,12 +62,14 @@ def balanced_sample(reviews: DataFrame, lexicon: dict = WIDE_LEXICON, key: str =
     capped = sampling.cap_sample(deduped, target, key)
     final = sampling.shuffle_rows(capped, key)
     # join the text back for the final rows only (bounded by the target size)
-    small = final.select(key, F.col("_rowhash").alias("_want"), "row_index")
+    small = final.select(key, F.col(score).alias("_score"), F.col("_rowhash").alias("_want"), "row_index")
     texts = reviews.select(key, score, F.col(tc).alias("review_text"))
     # broadcast hash join on the id (<= target rows on the build side); the text hash that tells
     # duplicate ids apart is computed for the matched rows only, not for every review
     full = (texts.join(F.broadcast(small), key)
-            .filter(F.xxhash64(F.col("review_text")) == F.col("_want")).drop("_want"))
+            .filter((F.xxhash64(F.col("review_text")) == F.col("_want")) & F.col(score).eqNullSafe(F.col("_score")))
+            .drop("_want", "_score"))
+    # copies that agree in id, score and text are the same sheet row
     full = full.dropDuplicates([key, "row_index"])
     full = full.withColumn("aspects", detect_aspects("review_text", lexicon))
     sheet = clean.labelling_sheet(full, "aspects", "review_text").join(

@@ -6,6 +6,7 @@ The bridge views are inlined as CTEs so each oracle runs on the raw driver table
 from __future__ import annotations
 
 from aspectra.functions.aspects import re2_pattern
+from aspectra.schema import label_rows
 
 
 def norm(c: str) -> str:
@@ -66,18 +67,17 @@ ENC_LONG = """enc_long AS (
                 WHEN 4 THEN y4 WHEN 5 THEN y5 WHEN 6 THEN y6 ELSE y7 END AS y_true
   FROM enc, range(8) r(i))"""
 
-LABEL_DIM = """label_dim AS (
-  SELECT label_idx, label, aspect, polarity, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES
-    (0, 'Logística_Pos', 'logistica', 'Pos', 0.50), (1, 'Logística_Neg', 'logistica', 'Neg', 0.50),
-    (2, 'Produto_Pos', 'produto', 'Pos', 0.55), (3, 'Produto_Neg', 'produto', 'Neg', 0.45),
-    (4, 'Atend_Pos', 'atendimento', 'Pos', 0.30), (5, 'Atend_Neg', 'atendimento', 'Neg', 0.45),
-    (6, 'Preço_Pos', 'preco', 'Pos', 0.25), (7, 'Preço_Neg', 'preco', 'Neg', 0.30))
+LABEL_VALUES = ", ".join(f"({i}, '{label}', '{aspect}', '{polarity}', {'NULL' if threshold is None else threshold})"
+                         for i, label, aspect, polarity, threshold in label_rows())
+LABEL_DIM = f"""label_dim AS (
+  SELECT label_idx, label, aspect, polarity, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES {LABEL_VALUES})
     t(label_idx, label, aspect, polarity, threshold))"""
 
-B_PROBS = """b_probs AS (
-  SELECT vec_id AS review_id,
-         list_transform(embedding[1:8], lambda x: 1.0 / (1.0 + exp(-CAST(x AS DOUBLE)))) AS probs
-  FROM embeddings)"""
+# logit i of a vector: its components d (from 0) with d mod 8 = i
+LOGITS = "[" + ", ".join(f"coalesce(list_sum([CAST(x AS DOUBLE) FOR x, d IN embedding IF (d - 1) % 8 = {i}]), 0.0) * 4.0 - 1.7"
+                         for i in range(8)) + "]"
+B_PROBS = f"""b_probs AS (
+  SELECT vec_id AS review_id, list_transform({LOGITS}, lambda x: 1.0 / (1.0 + exp(-x))) AS probs FROM embeddings)"""
 
 B_EPOCHS = """b_epochs AS (
   SELECT run, CAST(dense_rank() OVER (PARTITION BY run ORDER BY day) AS INTEGER) AS epoch, f1_macro

@@ -142,13 +142,16 @@ LABEL_DIM_SCHEMA = T.StructType([
 ])
 
 
-def label_dimension(spark: SparkSession, schema: AspectSchema = DEFAULT_SCHEMA,
-                    with_thresholds: bool = True) -> DataFrame:
-    """The 8-row label dimension (F6).  Tiny and fixed-size: safe to broadcast."""
+def label_rows(schema: AspectSchema = DEFAULT_SCHEMA, with_thresholds: bool = True) -> list[tuple]:
+    """``(label_idx, label, aspect, polarity, threshold)`` of every label."""
     rows = []
     for i, lbl in enumerate(schema.labels):
-        aspect = schema.aspects[i // 2]
-        pol = "Pos" if i % 2 == 0 else "Neg"
         thr = schema.thresholds.get(lbl) if with_thresholds else None
-        rows.append((i, lbl, aspect, pol, None if thr is None else float(thr)))
-    return spark.createDataFrame(rows, LABEL_DIM_SCHEMA)
+        rows.append((i, lbl, schema.aspects[i // 2], "Pos" if i % 2 == 0 else "Neg", None if thr is None else float(thr)))
+    return rows
+
+
+def label_dimension(spark: SparkSession, schema: AspectSchema = DEFAULT_SCHEMA,
+                    with_thresholds: bool = True) -> DataFrame:
+    """The 8-row label dimension (F6).  Tiny and fixed-size: safe to broadcast."""
+    return spark.createDataFrame(label_rows(schema, with_thresholds), LABEL_DIM_SCHEMA)

@@ -130,35 +130,28 @@ def export_header(schema: AspectSchema = DEFAULT_SCHEMA) -> str:
     return ",".join(["review_id", "review_text", *schema.sentiment_columns, "to_remove"])
 
 
-EXACT_EXPORT_MAX_ROWS = 1_000_000
-
-
 def write_export_csv(df: DataFrame, path: str, schema: AspectSchema = DEFAULT_SCHEMA, mode: str = "overwrite",
-                     exact: bool = False, max_rows: int = EXACT_EXPORT_MAX_ROWS) -> None:
+                     exact: bool = False) -> None:
     """S6 sink.
 
     Default: Spark's parallel CSV writer (fields quoted when needed, quotes
     doubled, header on each part file), which any CSV reader, including
     :func:`read_label_sheet`, reads back to the same values.
 
-    ``exact=True`` writes the byte format of the labelling tool's export (id raw,
-    text always quoted, one header line) as a single text file, for bounded
-    exports such as a labelling session; more than ``max_rows`` rows is refused.
+    ``exact=True`` writes the byte format of the labelling tool's export (id raw, text always quoted):
+    ``path/header`` holds the header line and ``path/lines`` the lines, ordered by id, in part files
+    whose names sort in the same order.  Concatenated, header first, they are the tool's file.
     """
     cols = export_columns(df, schema)
     out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
     if not exact:
         _csv_writer(out, mode).option("emptyValue", "").option("lineSep", "\n").csv(path)
         return
-    n = out.count()
-    if n > max_rows:
-        # one ordered file means one writing task: refuse instead of funnelling a large table through it
-        raise ValueError(f"exact export of {n} rows exceeds max_rows={max_rows}; use exact=False (parallel)")
     spark = df.sparkSession
-    header = spark.createDataFrame([(export_header(schema), 0, "")], "value string, _o int, _k string")
-    lines = out.select(export_line(schema).alias("value"), F.lit(1).alias("_o"), F.col("review_id").alias("_k"))
-    (header.unionByName(lines).coalesce(1).sortWithinPartitions("_o", "_k").select("value")
-     .write.mode(mode).option("lineSep", "\n").text(path))
+    header = spark.createDataFrame([(export_header(schema),)], "value string").coalesce(1)
+    header.write.mode(mode).option("lineSep", "\n").text(f"{path}/header")
+    (out.select("review_id", export_line(schema).alias("value")).orderBy("review_id", "value").select("value")
+     .write.mode(mode).option("lineSep", "\n").text(f"{path}/lines"))
 
 
 def export_json(df: DataFrame, schema: AspectSchema = DEFAULT_SCHEMA) -> Column:

@@ -127,11 +127,15 @@ def test_narrow_default(spark):
 def test_export_csv_exact_roundtrip(spark, sheet, tmp_dir):
     path = f"{tmp_dir}/export"
     io.write_export_csv(sheet, path, exact=True)
-    back = io.read_label_sheet(spark, path, io.SHEET_SCHEMA)
+    text = "".join(open(f, encoding="utf-8").read() for d in ("header", "lines")
+                   for f in sorted(__import__("glob").glob(f"{path}/{d}/part-*")))
+    whole = f"{tmp_dir}/export.csv"
+    with open(whole, "w", encoding="utf-8") as f:
+        f.write(text)
+    back = io.read_label_sheet(spark, whole, io.SHEET_SCHEMA)
     a = sorted((r.review_id, r.review_text) for r in sheet.collect())
-    b = sorted((r.review_id, r.review_text) for r in back.collect())
-    assert a == b
-    text = "".join(open(f, encoding="utf-8").read() for f in sorted(__import__("glob").glob(f"{path}/part-*")))
+    b = [(r.review_id, r.review_text) for r in back.collect()]
+    assert a == sorted(b)
     assert text.splitlines()[0] == HEADER
     assert '"Entrega atrasou\nmas o vendedor respondeu ""rápido""."' in text
 
@@ -257,6 +261,16 @@ def test_export_json_sink_roundtrip(spark, sheet, tmp_dir):
     assert {r.review_id: r.review_text for r in back.collect()}["a2"] == ROWS[1][1]
 
 
-def test_exact_export_refuses_large_tables(sheet, tmp_dir):
-    with pytest.raises(ValueError):
-        io.write_export_csv(sheet, f"{tmp_dir}/too-big", exact=True, max_rows=3)
+def test_exact_export_of_many_rows_is_ordered_part_files(spark, tmp_dir):
+    path, n = f"{tmp_dir}/many", 20_000
+    df = spark.range(n).select(F.format_string("%06d", (F.col("id") * 7919) % n).alias("review_id"),
+                               F.lit("t").alias("review_text"), *[F.lit("").alias(c) for c in io.export_columns(None)[2:]])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of a small table
+    try:
+        io.write_export_csv(df, path, exact=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(__import__("glob").glob(f"{path}/lines/part-*"))
+    assert len(files) > 1
+    ids = [line.split(",")[0] for f in files for line in open(f, encoding="utf-8")]
+    assert ids == sorted(ids) and len(ids) == n

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from aspectra.functions.scoring import apply_thresholds, resolve_conflicts, sigmoid, threshold_array
+from aspectra.functions.text import format_percent, int_div, percent_cell
 from aspectra.operators import metrics, sampling
 from aspectra.plans import bridge
 from aspectra.plans.sample_plan import balanced_sample
@@ -171,6 +172,45 @@ def test_exact_split_size(spark, sf_dir):
     assert tr.count() + te.count() == n and tr.join(te, "review_id").count() == 0
 
 
+def test_exact_split_keeps_all_rows_of_repeated_ids(spark):
+    rows = spark.range(40).selectExpr("id % 10 AS review_id", "id AS copy")
+    tr, te = sampling.train_test_split(rows, 0.25, exact=True)
+    assert tr.count() + te.count() == 40 and te.count() == 12  # three whole ids reach ten rows
+    assert tr.join(te, "review_id").count() == 0
+    for share, held in ((0.0, 0), (1.0, 40)):
+        assert sampling.train_test_split(rows, share, exact=True)[1].count() == held
+
+
+def test_early_stop_counts_evaluations(spark):
+    log = spark.createDataFrame([("r", e, f) for e, f in ((2, 0.9), (4, 0.1), (6, 0.2), (8, 0.3), (10, 0.4))],
+                                "run string, epoch int, f1_macro double")
+    assert metrics.early_stop_epoch(log).first().stop_epoch == 8
+    assert metrics.early_stop_epoch(log, max_epochs=6).first().stop_epoch == 6
+
+
+def test_percent_text_is_pythons(spark):
+    values = [0.0625, 0.0025, 0.35 / 100, 0.125, 0.0, 1.0, 0.00049999, 0.0005, 0.0015, 0.9995, 0.99949, 12.3456, -0.0625, 1 / 3,
+              *(k / 16 for k in range(17)), *(k / 2000 for k in range(40)), *(k / 997 for k in range(0, 997, 13))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [tuple(r) for r in df.select(format_percent("x"), format_percent("x", 0), format_percent("x", 2),
+                                       percent_cell("x", 8)).collect()]
+    # the product 100 x is a double in Python's format too
+    assert got == [(f"{100 * v:.1f}%", f"{100 * v:.0f}%", f"{100 * v:.2f}%", f"{f'{100 * v:.1f}%':>8}") for v in values]
+
+
+def test_integer_division_of_longs(spark):
+    r = spark.createDataFrame([(6_000_000_000, 7)], "a long, b long").select(int_div("a", 2), int_div("a", "b"), int_div("b", 2))
+    assert tuple(r.first()) == (3_000_000_000, 857_142_857, 3)
+
+
+def test_sheet_row_has_the_score_that_was_sampled(spark):
+    text = "entrega rapida e produto excelente, preco bom e atendimento otimo em tudo"
+    rows = [(i, s, text) for i in range(30) for s in (1, 5)]
+    res = balanced_sample(spark.createDataFrame(rows, "review_id long, review_score int, review_text string"))
+    drawn = {(r.review_id, r.review_score) for r in res.final.collect()}
+    assert {(r.review_id, r.review_score) for r in res.sheet.collect()} == drawn and len(drawn) == 30
+
+
 def test_unbounded_exclusion_is_not_forced_to_broadcast(spark):
     big = spark.range(1000).withColumnRenamed("id", "review_id")
     used = spark.range(0, 1000, 3).withColumnRenamed("id", "review_id")

@@ -9,9 +9,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from aspectra.plans import queries as catalog
 from oracle_harness import compare, duck
 
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")

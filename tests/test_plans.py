@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from aspectra.plans import queries as catalog
 
 PYTHON_OK = {"model_udf", "train_multilabel", "model_save_load"}  # user model / Spark ML
 SKIP_PLAN = {"stream_score", "latest_label_state", "write_metrics", "write_sheet_csv", "export_labels_csv",
@@ -17,7 +18,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().explainString(mode)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP_PLAN - PYTHON_OK))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SKIP_PLAN - PYTHON_OK))
 def test_no_python_in_plan(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
@@ -61,7 +62,7 @@ def test_centroids_are_a_scalar_subquery(spark, sf_dir):
     assert "Subquery" in p and "NestedLoopJoin" not in p and "Cartesian" not in p
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP_PLAN))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SKIP_PLAN))
 def test_no_cross_or_nested_loop_join(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
