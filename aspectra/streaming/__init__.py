@@ -1,6 +1,5 @@
-"""Structured Streaming jobs: stateless scoring (T1) and latest label state."""
+"""Structured Streaming jobs."""
 
-from aspectra.streaming.scoring import (clear_state, compact_state, latest_by_key, read_state, stream_latest_state,
-                                        stream_score)
+from aspectra.streaming.scoring import latest_by_key, read_state, stream_latest_state, stream_score
 
-__all__ = ["clear_state", "compact_state", "latest_by_key", "read_state", "stream_latest_state", "stream_score"]
+__all__ = ["latest_by_key", "read_state", "stream_latest_state", "stream_score"]

@@ -2,10 +2,9 @@
 
 T1 applies the same stateless scoring expressions as the batch path to a file
 stream.  T2 keeps the latest label record per key: a streaming ``max_by``
-aggregation (Spark's state store, checkpointed) emits updated keys; a
-``foreachBatch`` sink appends them to a changelog folder per batch id (a
-replayed batch rewrites the same folder, so it is idempotent) and folds the
-changelog into a base snapshot every few batches.
+aggregation (Spark's state store, checkpointed) emits updated keys, and each
+batch of them is written to a folder of its own, so a replayed batch rewrites
+the same folder.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import types as T
 
 from aspectra.sources.io import path_exists
 
-VERSION_PREFIX = "v="
-
 
 def latest_by_key(df: DataFrame, key: str, order: list[str], value_cols: list[str] | None = None) -> DataFrame:
     """T2 (batch): the row with the greatest ``order`` tuple per key (ties broken by later columns).
@@ -46,7 +43,9 @@ def file_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str
 
 def run_available_now(query_builder, await_seconds: int | None = None):
     q = query_builder.trigger(availableNow=True).start()
-    q.awaitTermination(await_seconds)
+    if q.awaitTermination(await_seconds) is False:
+        q.stop()
+        raise TimeoutError(f"the stream did not end within {await_seconds} seconds")
     return q
 
 
@@ -67,111 +66,37 @@ def stream_score(spark: SparkSession, source: str, schema: T.StructType, transfo
     return run_available_now(w)
 
 
-UPDATES = "updates"
-BASE = "base"
-
-
-def _committed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Version numbers of committed (``_SUCCESS``) sub-folders ``<prefix><n>`` of ``folder``.
-
-    One glob listing of ``<prefix>*/_SUCCESS`` (not one existence check per folder),
-    which matters on object stores as the changelog grows.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*/_SUCCESS")
-    found = pattern.getFileSystem(conf).globStatus(pattern)
-    out = []
-    for st in found or []:
-        name = st.getPath().getParent().getName()
-        if name.startswith(prefix) and name[len(prefix):].isdigit():
-            out.append(int(name[len(prefix):]))
-    return sorted(out)
-
-
-def _folder(state_path: str, kind: str, version: int) -> str:
-    return f"{state_path}/{kind}/{VERSION_PREFIX}{version:012d}"
-
-
-def read_state(spark: SparkSession, state_path: str, schema: T.StructType, key: str,
-               order: list[str]) -> DataFrame:
-    """The current state: latest base snapshot + later update batches, latest row per key.
-
-    Only batches newer than the base are read, so a read costs the base plus
-    the changes since the last compaction.  Empty frame if nothing is committed.
-    """
-    bases = _committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
-    b = bases[-1] if bases else -1
-    ups = [v for v in _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX) if v > b]
-    paths = ([_folder(state_path, BASE, b)] if b >= 0 else []) + [_folder(state_path, UPDATES, v) for v in ups]
-    if not paths:
+def read_state(spark: SparkSession, state_path: str, schema: T.StructType, key: str, order: list[str]) -> DataFrame:
+    """The current state: the latest record of each key over all written batches (empty without any)."""
+    if not path_exists(spark, state_path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*paths)
-    if not ups:
-        return rows  # a base holds one row per key already
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(state_path)
     return latest_by_key(rows, key, order, [c for c in schema.fieldNames() if c != key]).select(*schema.fieldNames())
 
 
-def last_version(spark: SparkSession, state_path: str) -> int:
-    vs = (_committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
-          + _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX))
-    return max(vs) if vs else -1
-
-
-def compact_state(spark: SparkSession, state_path: str, schema: T.StructType, key: str, order: list[str],
-                  version: int | None = None) -> int:
-    """Fold the base and all update batches up to ``version`` into a new base snapshot."""
-    v = last_version(spark, state_path) if version is None else version
-    if v < 0:
-        return v
-    bases = _committed(spark, f"{state_path}/{BASE}", VERSION_PREFIX)
-    b = bases[-1] if bases else -1
-    if b >= v:
-        return b
-    ups = [u for u in _committed(spark, f"{state_path}/{UPDATES}", VERSION_PREFIX) if b < u <= v]
-    paths = ([_folder(state_path, BASE, b)] if b >= 0 else []) + [_folder(state_path, UPDATES, u) for u in ups]
-    rows = spark.read.schema(schema).parquet(*paths)
-    snap = latest_by_key(rows, key, order, [c for c in schema.fieldNames() if c != key]).select(*schema.fieldNames())
-    snap.write.mode("overwrite").parquet(_folder(state_path, BASE, v))
-    return v
-
-
-def clear_state(spark: SparkSession, state_path: str, schema: T.StructType, version: int | None = None) -> int:
-    """Delete-all: commit an empty base at ``version`` (default: the latest version), hiding everything before it."""
-    v = max(last_version(spark, state_path), 0) if version is None else version
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(_folder(state_path, BASE, v))
-    return v
-
-
 def stream_latest_state(spark: SparkSession, source: str, schema: T.StructType, key: str, order: list[str],
                         value_cols: list[str], state_path: str, checkpoint: str, fmt: str = "parquet",
-                        compact_every: int = 20, options: dict | None = None) -> DataFrame:
-    """T2 (stream): keyed latest record, kept as an append-only changelog with periodic compaction.
-
-    The streaming ``max_by`` aggregate (state in the checkpointed state store)
-    emits, per micro-batch, the keys that changed with their latest record.
-    Each batch is written to its own folder named by batch id with overwrite,
-    so a replayed batch rewrites the same files (idempotent) and the write cost
-    is the size of the change, not of the state.  Every ``compact_every``
-    batches the changelog is folded into a base snapshot.
-
-    There is no watermark: a label may change at any time, so the state store
-    keeps one row per key -- its size is the number of labelled reviews, not
-    the number of events.
+                        options: dict | None = None) -> DataFrame:
+    """T2 (stream): keyed latest record.
+
+    The streaming ``max_by`` aggregate (state in the checkpointed state store) emits, per micro-batch,
+    the keys that changed with their latest record.  Each batch is written to a folder named by the
+    query (a new checkpoint is a new query) and the batch: a replayed batch rewrites the same folder,
+    and no query overwrites what another has written.  A read takes the latest record per key of all
+    folders.  Deleting everything means going on with a new, empty state folder.
+
+    There is no watermark: a label may change at any time, so the state store keeps one row per key --
+    its size is the number of labelled reviews, not the number of events.
     """
-    src = file_stream(spark, source, schema, fmt, options)
-    agg = latest_by_key(src, key, order, value_cols)
-    out_schema = agg.schema
+    agg = latest_by_key(file_stream(spark, source, schema, fmt, options), key, order, value_cols)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_folder(state_path, UPDATES, batch_id))
-        if compact_every and batch_id > 0 and batch_id % compact_every == 0:
-            compact_state(batch.sparkSession, state_path, out_schema, key, order, batch_id)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(f"{state_path}/{query}/{batch_id:012d}")
 
-    w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert))
+    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     run_available_now(w)
-    return read_state(spark, state_path, out_schema, key, order)
+    return read_state(spark, state_path, agg.schema, key, order)
 
 
-__all__ = ["clear_state", "compact_state", "file_stream", "last_version", "latest_by_key", "path_exists", "read_state",
-           "stream_latest_state", "stream_score"]
+__all__ = ["file_stream", "latest_by_key", "path_exists", "read_state", "stream_latest_state", "stream_score"]

@@ -1,7 +1,9 @@
-"""T2 state table over several micro-batches: changelog, compaction, replay and delete-all."""
+"""T2 state over several micro-batches: restart, a second query, and delete-all."""
 
 from __future__ import annotations
 
+import glob
+
 from pyspark.sql import functions as F
 
 from aspectra.plans import bridge
@@ -14,31 +16,42 @@ def _rows(df):
     return sorted(tuple(r) for r in df.select(KEY, *VALS).collect())
 
 
-def test_changelog_compaction_replay_and_clear(spark, sf_dir, tmp_dir):
+def _split(spark, sf_dir, tmp_dir, n):
+    """The events in ``n`` files, each its own micro-batch with maxFilesPerTrigger=1."""
     ev = bridge.table(spark, sf_dir, "events")
     src = f"{tmp_dir}/src"
-    # five files, each its own micro-batch (maxFilesPerTrigger=1)
-    ev.withColumn("_part", F.pmod(F.col("event_id"), F.lit(5))).repartition(5, "_part").drop("_part") \
-        .write.parquet(src)
+    ev.withColumn("_part", F.pmod(F.col("event_id"), F.lit(n))).repartition(n, "_part").drop("_part").write.parquet(src)
+    return ev, src
+
+
+def test_batches_restart_and_new_checkpoint(spark, sf_dir, tmp_dir):
+    ev, src = _split(spark, sf_dir, tmp_dir, 5)
     state, ckpt = f"{tmp_dir}/state", f"{tmp_dir}/ckpt"
-    out = st.stream_latest_state(spark, src, ev.schema, KEY, ORDER, VALS, state, ckpt,
-                                 compact_every=2, options={"maxFilesPerTrigger": 1})
+    out = st.stream_latest_state(spark, src, ev.schema, KEY, ORDER, VALS, state, ckpt, options={"maxFilesPerTrigger": 1})
     expect = _rows(st.latest_by_key(ev, KEY, ORDER, VALS))
     assert _rows(out) == expect
-    assert len(st._committed(spark, f"{state}/updates", st.VERSION_PREFIX)) >= 3
-    assert st._committed(spark, f"{state}/base", st.VERSION_PREFIX)  # compacted at least once
+    folders = glob.glob(f"{state}/*/*/")
+    assert len(folders) >= 3 and len({f.split("/")[-3] for f in folders}) == 1
+
+    # the same checkpoint again: no new input, nothing written, same state
+    again = st.stream_latest_state(spark, src, ev.schema, KEY, ORDER, VALS, state, ckpt)
+    assert _rows(again) == expect and len(glob.glob(f"{state}/*/*/")) == len(folders)
 
-    # replay with the same checkpoint: no new input, same state
-    again = st.stream_latest_state(spark, src, ev.schema, KEY, ORDER, VALS, state, ckpt, compact_every=2)
-    assert _rows(again) == expect
+    # a new checkpoint restarts its batch numbers and overwrites nothing of the first query
+    late = f"{tmp_dir}/late"
+    ev.limit(1).withColumn("user_id", F.lit(-7).cast(ev.schema["user_id"].dataType)).write.parquet(late)
+    both = _rows(st.stream_latest_state(spark, late, ev.schema, KEY, ORDER, VALS, state, f"{tmp_dir}/ckpt-2"))
+    assert len(both) == len(expect) + 1 and set(expect) < set(both)
 
-    # full compaction gives the same rows
-    st.compact_state(spark, state, out.schema, KEY, ORDER)
-    assert _rows(st.read_state(spark, state, out.schema, KEY, ORDER)) == expect
 
-    # delete-all hides everything committed so far
-    st.clear_state(spark, state, out.schema)
-    assert st.read_state(spark, state, out.schema, KEY, ORDER).count() == 0
+def test_delete_all_is_a_new_state_folder(spark, sf_dir, tmp_dir):
+    ev, src = _split(spark, sf_dir, tmp_dir, 1)
+    schema = st.latest_by_key(ev, KEY, ORDER, VALS).schema
+    assert st.read_state(spark, f"{tmp_dir}/empty", schema, KEY, ORDER).count() == 0
+    one = f"{tmp_dir}/one"
+    ev.limit(1).write.parquet(one)
+    out = st.stream_latest_state(spark, one, ev.schema, KEY, ORDER, VALS, f"{tmp_dir}/empty", f"{tmp_dir}/ckpt-3")
+    assert out.count() == 1
 
 
 def test_stream_scoring_over_several_batches_equals_batch(spark, sf_dir, tmp_dir):
