@@ -111,9 +111,9 @@ class CentroidPredictor:
 
     def __init__(self, centroids: DataFrame, vector: str = "embedding", text: str = "text",
                  lexicon: dict = NARROW_LEXICON, band: float = POLARITY_DEADBAND,
-                 output_col: str = "y_pred", schema: AspectSchema = DEFAULT_SCHEMA):
+                 output_col: str = "y_pred", schema: AspectSchema = DEFAULT_SCHEMA, aspects: str | None = None):
         self.centroids, self.vector, self.text, self.lexicon = centroids, vector, text, lexicon
-        self.band, self.output_col, self.schema = band, output_col, schema
+        self.band, self.output_col, self.schema, self.aspects = band, output_col, schema, aspects
 
     def transform(self, df: DataFrame) -> DataFrame:
         d = attach_one_row(df, self.centroids)
@@ -121,7 +121,10 @@ class CentroidPredictor:
         v = F.col(self.vector)
         d = d.withColumn("sim_pos", cosine_similarity(v, "c_pos")).withColumn("sim_neg", cosine_similarity(v, "c_neg"))
         diff = F.col("sim_pos") - F.col("sim_neg")
-        d = d.withColumn(ASPECTS_TMP, detect_aspects(text, self.lexicon, default=NARROW_DEFAULT))
+        found = detect_aspects(text, self.lexicon, default=NARROW_DEFAULT)
+        if self.aspects:  # detected before a join, so that the text need not go through it
+            found = F.coalesce(F.col(self.aspects), F.array(*map(F.lit, NARROW_DEFAULT)))
+        d = d.withColumn(ASPECTS_TMP, found)
         raw = aspect_polarity_vector(F.col(ASPECTS_TMP), polarity_from_diff(diff, self.band), self.schema)
         ok = v.isNotNull() & (F.size(v) == F.size("c_pos")) & diff.isNotNull()
         return (d.withColumn("failed", ~ok)

@@ -33,6 +33,11 @@ def _tie_break(df: DataFrame, key: str) -> list[Column]:
     return [F.col(key), F.xxhash64(*[F.col(c) for c in others]) if others else F.lit(0)]
 
 
+def content_salt(df: DataFrame, buckets: int = SALT_BUCKETS) -> Column:
+    """A bucket by the whole row: the copies of a hot id that differ in anything are spread out."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
+
+
 def top_n_per_group(df: DataFrame, groups: list[str], n, order: list[Column],
                     salt: Column | None = None, buckets: int = SALT_BUCKETS,
                     rank_col: str = "_rank") -> DataFrame:
@@ -55,7 +60,7 @@ def stratified_sample(df: DataFrame, strata: list[str], n: int, key: str = "revi
                       seed=SAMPLE_SEED) -> DataFrame:
     """``min(n, size)`` rows per stratum, without replacement, fixed seed."""
     d = with_sample_key(df, key, seed)
-    salt = F.pmod(F.xxhash64("_h"), F.lit(SALT_BUCKETS))
+    salt = content_salt(d)
     out = top_n_per_group(d, strata, n, [F.col("_h")] + _tie_break(df, key), salt)
     return out.drop("_h")
 
@@ -102,7 +107,7 @@ def quota_sample(candidates: DataFrame, key: str = "review_id", score: str = "re
     """
     base = with_sample_key(candidates, key, seed).withColumn("band", score_band(score))
     base = base.filter(F.col("band").isNotNull())
-    salt = F.pmod(F.xxhash64("_h"), F.lit(SALT_BUCKETS))
+    salt = content_salt(base)
     ties = _tie_break(candidates, key)
     taken: list[DataFrame] = []
     for step, aspect in enumerate(order, start=1):
@@ -137,7 +142,7 @@ def fill_to_target(candidates: DataFrame, quota_part: DataFrame, key: str = "rev
     pool = exclude_used(candidates.filter(F.col(score).isin(1, 2, 3, 4, 5)), quota_part, key,
                         bounded=True)  # quota rows: <= sum of quotas
     pool = pool.withColumn("_h", sampling_hash(key, F.col(score) + F.lit(seed)))
-    salt = F.pmod(F.xxhash64("_h"), F.lit(SALT_BUCKETS))
+    salt = content_salt(pool)
     pick = top_n_per_group(pool, [score], per, [F.col("_h")] + _tie_break(candidates, key), salt)
     return pick.withColumnRenamed("_rank", "sample_rank").drop("_h").withColumn("step", F.lit(step))
 

@@ -106,6 +106,23 @@ def b_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select("run", F.dense_rank().over(w).cast("int").alias("epoch"), "f1_macro")
 
 
+def b_text_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled reviews with text, score, vector and probabilities: documents with an embedding."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    sides = lambda pos, neg: F.when(pos, "Positivo").when(neg, "Negativo")
+    j = d.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(lab, "doc_id", "left")
+    return j.select(
+        F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"),
+        (F.col("doc_id") % 5 + 1).cast("int").alias("review_score"), "embedding",
+        sigmoid(label_logits()).alias("probs"),
+        sides(F.col("doc_id") % 3 == 0, F.col("lang") == "de").alias("logistica_sentimento"),
+        sides(F.col("quality") == 1, F.col("quality") == 0).alias("produto_sentimento"),
+        sides((F.col("toxic") == 0) & (F.col("quality") == 1), F.col("toxic") == 1).alias("atendimento_sentimento"),
+        sides(F.col("n_chars") > 3000, F.col("n_chars") < 600).alias("preco_sentimento"),
+        F.when(F.col("doc_id") % 17 == 0, " Sim").otherwise("Não").alias("to_remove"))
+
+
 def b_label_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored label records (F7 shape) from ``labels``: quality -> Produto, toxic -> Atendimento."""
     lab = table(spark, sf_dir, "labels")

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from aspectra.functions.scoring import sigmoid
 from aspectra.operators import metrics, sampling, weights
-from aspectra.operators.predictors import ScoreRegexPredictor
+from aspectra.operators.predictors import CentroidPredictor, ScoreRegexPredictor, ThresholdScorer, polarity_centroids
 from aspectra.plans import bridge
-from aspectra.plans.compare import ColumnPredictor, compare_models
+from aspectra.plans.catalog_scoring import CENT_CTES, EVEN, FLAGS_CTE, PLONG_CTES
+from aspectra.plans.compare import compare_models, prepare_labelled
 from aspectra.plans.registry import labels_str, r6, register
-from aspectra.plans.sqlbits import B_EPOCHS, B_REVIEWS, B_SCORES, B_SHEET, ENC, LOGITS, with_
-from aspectra.schema import MAX_EPOCHS, NARROW_LEXICON
+from aspectra.plans.sqlbits import B_EPOCHS, B_PROBS, B_REVIEWS, B_SHEET, ENC, LABEL_DIM, LABEL_VALUES, LOGITS, with_
+from aspectra.schema import ASPECTS, DRIVER_LEXICON, MAX_EPOCHS, SAMPLE_SEED
 
 BASE = "Baseline: Review Score"
+CENTROID = "Baseline: Embedding Centroid"
 FT = "Fine-Tuned: ABSA"
 
 # ---------------------------------------------------------------------------
@@ -29,23 +31,36 @@ PREDS_ALL = with_(B_SHEET, ENC) + f"""
 , preds AS (SELECT 'flip' AS model, review_id, i, yt, {FLIP} AS yp FROM tl)
 """
 
-# M7: P1 -> J1 -> W7 (20 %, seed 42) -> P10 -> two predictors
+# M7: labelled texts -> P1 -> W7 (20 %, seed 42) -> P10 -> three predictors
 SPLIT = "CAST(('0x' || substr(md5(CAST(review_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0"
-PREDS_M7 = with_(B_SHEET, ENC, B_SCORES) + f"""
-, t AS (SELECT e.*, coalesce(s.review_score, 3) AS sc
-        FROM enc e LEFT JOIN (SELECT DISTINCT review_id, review_score FROM b_scores) s USING (review_id)
-        WHERE {SPLIT.replace('review_id', 'e.review_id')} < 0.2)
-, tl AS (SELECT review_id, sc, i, {YT} AS yt FROM t, range(8) r(i))
+_SIDES = ("CASE WHEN d.doc_id % 3 = 0 THEN 1 WHEN d.lang = 'de' THEN -1 ELSE 0 END",
+          "CASE WHEN l.quality = 1 THEN 1 WHEN l.quality = 0 THEN -1 ELSE 0 END",
+          "CASE WHEN l.toxic = 0 AND l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN -1 ELSE 0 END",
+          "CASE WHEN d.n_chars > 3000 THEN 1 WHEN d.n_chars < 600 THEN -1 ELSE 0 END")
+_NO_ASPECT = "NOT (" + " OR ".join(f"tem_{a}" for a in ASPECTS) + ")"
+_HAS = "CASE i // 2 " + " ".join(
+    f"WHEN {k} THEN tem_{a}" + (f" OR {_NO_ASPECT}" if a == "produto" else "") for k, a in enumerate(ASPECTS)) + " END"
+_SIDE = "CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END"
+PREDS_M7 = with_(B_REVIEWS, B_PROBS, LABEL_DIM, CENT_CTES) + FLAGS_CTE + PLONG_CTES + f"""
+, t AS (SELECT d.doc_id AS review_id, [{', '.join(_SIDES)}] AS sides
+        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+        WHERE d.doc_id % 17 <> 0 AND {SPLIT.replace('review_id', 'd.doc_id')} < 0.2)
+, tl AS (SELECT review_id, i, CASE WHEN sides[i // 2 + 1] = {_SIDE} THEN 1.0 ELSE 0.0 END AS yt FROM t, range(8) r(i))
+, pol AS (SELECT review_id, CASE WHEN sim_pos - sim_neg > 0.02 THEN 1 WHEN sim_pos - sim_neg < -0.02 THEN -1 ELSE 0 END AS side
+          FROM sims)
 , preds AS (
-    SELECT '{BASE}' AS model, review_id, i, yt,
-           CASE WHEN i = 2 AND sc >= 4 THEN 1.0 WHEN i = 3 AND sc < 4 THEN 1.0 ELSE 0.0 END AS yp FROM tl
+    SELECT '{BASE}' AS model, tl.review_id, i, yt,
+           CASE WHEN ({_HAS}) AND (CASE WHEN review_score >= 4 THEN 1 ELSE -1 END) = {_SIDE} THEN 1.0 ELSE 0.0 END AS yp
+    FROM tl JOIN fl ON fl.review_id = tl.review_id
     UNION ALL
-    SELECT '{FT}' AS model, review_id, i, yt, {FLIP} AS yp FROM tl)
+    SELECT '{CENTROID}' AS model, tl.review_id, i, yt, CASE WHEN ({_HAS}) AND side = {_SIDE} THEN 1.0 ELSE 0.0 END AS yp
+    FROM tl JOIN fl ON fl.review_id = tl.review_id JOIN pol ON pol.review_id = tl.review_id
+    UNION ALL
+    SELECT '{FT}' AS model, tl.review_id, i, yt, CAST(rbit AS DOUBLE) AS yp
+    FROM tl JOIN rs ON rs.review_id = tl.review_id AND rs.label_idx = i)
 """
 
-LABELS_SQL = """, lab AS (SELECT * FROM (VALUES (0, 'Logística_Pos'), (1, 'Logística_Neg'), (2, 'Produto_Pos'),
-    (3, 'Produto_Neg'), (4, 'Atend_Pos'), (5, 'Atend_Neg'), (6, 'Preço_Pos'), (7, 'Preço_Neg')) t(i, label))
-"""
+LABELS_SQL = f", lab AS (SELECT label_idx AS i, label FROM (VALUES {LABEL_VALUES}) t(label_idx, label, aspect, polarity, threshold))\n"
 
 METRICS_CTES = LABELS_SQL + """
 , conf AS (SELECT model, i, CAST(sum(CASE WHEN yt = 1 AND yp = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
@@ -87,14 +102,17 @@ def _conf_all(spark, sf):
     return metrics.confusion_counts(_preds_all(spark, sf))
 
 
-def _m7(spark, sf):
-    sheet = bridge.b_sheet(spark, sf)
-    scores = bridge.b_scores(spark, sf)
-    preds = {
-        BASE: ScoreRegexPredictor(text="text", score="review_score", lexicon=NARROW_LEXICON),
-        FT: ColumnPredictor(lambda df: bridge.flip_predictions("labels", "review_id")),
+def m7_predictors(spark, sf):
+    emb = bridge.table(spark, sf, "embeddings")
+    return {
+        BASE: ScoreRegexPredictor(text="text", score="review_score", lexicon=DRIVER_LEXICON),
+        CENTROID: CentroidPredictor(polarity_centroids(emb, F.expr(EVEN)), text="text", lexicon=DRIVER_LEXICON),
+        FT: ThresholdScorer("probs"),
     }
-    return compare_models(sheet, preds, scores)
+
+
+def _m7(spark, sf):
+    return compare_models(bridge.b_text_sheet(spark, sf), m7_predictors(spark, sf))
 
 
 @register("confusion_counts", PREDS_ALL + METRICS_CTES + """
@@ -193,9 +211,10 @@ SELECT review_id, string_agg(CAST(CAST(yt AS INTEGER) AS VARCHAR), ',' ORDER BY
        string_agg(CAST(CAST(yp AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS y_pred
 FROM preds WHERE model = '{FT}' GROUP BY review_id""")
 def q_align(spark, sf):
-    p = _m7(spark, sf).predictions.filter(F.col("model") == FT)
-    truth = p.select("review_id", "y_true")
-    pred = p.select("review_id", "y_pred")
+    # two separate frames: the truth from the sheet, the predictions from the stored probabilities
+    sheet = prepare_labelled(bridge.b_text_sheet(spark, sf))
+    _, truth = sampling.train_test_split(sheet.select("review_id", F.col("labels").alias("y_true")), 0.20, "review_id", SAMPLE_SEED)
+    pred = ThresholdScorer("probs").transform(bridge.b_probs(spark, sf)).select("review_id", "y_pred")
     a = metrics.align(truth, pred)
     return a.select("review_id", labels_str("y_true").alias("y_true"), labels_str("y_pred").alias("y_pred"))
 

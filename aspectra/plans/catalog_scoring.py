@@ -14,7 +14,7 @@ from aspectra.operators.predictors import (CentroidPredictor, ScoreRegexPredicto
 from aspectra.plans import bridge
 from aspectra.plans.registry import labels_str, r6, register
 from aspectra.plans.sqlbits import B_PROBS, B_REVIEWS, LABEL_DIM, rx, with_
-from aspectra.schema import ASPECTS, DEFAULT_SCHEMA, DRIVER_LEXICON, label_dimension
+from aspectra.schema import ASPECTS, DEFAULT_SCHEMA, DRIVER_LEXICON, NARROW_DEFAULT, label_dimension
 
 LEX = DRIVER_LEXICON
 
@@ -31,7 +31,8 @@ def _aspects_sql(sep: str, default: str | None = None) -> str:
     return f"array_to_string({parts}, '{sep}')"
 
 
-FLAGS = with_(B_REVIEWS) + f", fl AS (SELECT review_id, review_text, review_score, {_flags_sql()} FROM b_reviews)\n"
+FLAGS_CTE = f", fl AS (SELECT review_id, review_text, review_score, {_flags_sql()} FROM b_reviews)\n"
+FLAGS = with_(B_REVIEWS) + FLAGS_CTE
 
 # ---------------------------------------------------------------------------
 # aspects
@@ -120,7 +121,7 @@ def q_baseline_score_regex(spark, sf):
 # thresholds, conflicts, ranking (on b_probs)
 # ---------------------------------------------------------------------------
 
-PLONG = with_(B_PROBS, LABEL_DIM) + """
+PLONG_CTES = """
 , pl AS (SELECT p.review_id, d.label_idx, d.label, p.probs[d.label_idx + 1] AS p,
                 coalesce(d.threshold, 0.5) AS threshold
          FROM b_probs p, label_dim d)
@@ -139,6 +140,7 @@ PLONG = with_(B_PROBS, LABEL_DIM) + """
 , top3 AS (SELECT * FROM (SELECT pl.*, row_number() OVER (PARTITION BY pl.review_id ORDER BY p DESC, label_idx) AS rk
                           FROM pl SEMI JOIN nodet ON pl.review_id = nodet.review_id) WHERE rk <= 3)
 """
+PLONG = with_(B_PROBS, LABEL_DIM) + PLONG_CTES
 
 
 def _scored(spark, sf, resolve=True):
@@ -240,7 +242,7 @@ def q_label_dim_join(spark, sf):
 # embeddings: centroids, cosine, dead-band, centroid predictor
 # ---------------------------------------------------------------------------
 
-CENT = """WITH dims AS (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS v
+CENT_CTES = """dims AS (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS v
               FROM (SELECT label, vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))
 , cen AS (SELECT label, i, avg(v) AS m FROM dims GROUP BY label, i)
 , pvec AS (SELECT pos, list(m ORDER BY i) AS centroid
@@ -250,6 +252,7 @@ CENT = """WITH dims AS (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS
                   list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT centroid FROM pvec WHERE NOT pos)) AS sim_neg
            FROM embeddings e)
 """
+CENT = "WITH " + CENT_CTES
 
 
 #: all classes: even ones are the positive reference, odd ones the negative
@@ -301,9 +304,10 @@ SELECT review_id, concat_ws(',', {', '.join(bits)}) AS y_pred, failed FROM m""")
 
 def _m2(spark, sf):
     emb = bridge.table(spark, sf, "embeddings")
-    docs = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text"))
+    docs = bridge.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("vec_id"), detect_aspects("text", LEX, default=NARROW_DEFAULT).alias("aspects"))
     df = emb.join(docs, "vec_id", "left")
-    pred = CentroidPredictor(polarity_centroids(emb, F.expr(EVEN)), text="text", lexicon=LEX)
+    pred = CentroidPredictor(polarity_centroids(emb, F.expr(EVEN)), lexicon=LEX, aspects="aspects")
     return pred.transform(df)
 
 

@@ -25,6 +25,7 @@ from aspectra.operators.predictors import ThresholdScorer
 from aspectra.plans.compare import compare_models  # noqa: F401  (re-export)
 from aspectra.plans.sample_plan import SampleResult, balanced_sample
 from aspectra.schema import DEFAULT_SCHEMA, WIDE_LEXICON, AspectSchema
+from aspectra.session import scratch_path
 from aspectra.sources import io
 
 
@@ -85,13 +86,18 @@ def comparison_report(labelled: DataFrame, predictors: dict, target: str, scores
 
     ``target`` names the model compared against the others (the fine-tuned one
     in the reference).  The metrics table is written as CSV when ``out_path``
-    is given (S5).  Every table derives from one pass over the predictions.
+    is given (S5).  The confusion table (models x labels rows) is written to the shared scratch folder
+    once; every table derives from it, so the predictors run once.
     """
-    res = compare_models(labelled, predictors, scores, **kw)
+    confusion = compare_models(labelled, predictors, scores, **kw).confusion
+    path = scratch_path(labelled.sparkSession, "confusion")
+    confusion.coalesce(1).write.parquet(path)
+    confusion = labelled.sparkSession.read.schema(confusion.schema).parquet(path)
+    totals, per_class = metrics.model_metrics(confusion), metrics.per_class_metrics(confusion)
     if out_path:
-        io.write_metrics(res.metrics, out_path)
-    return ComparisonReport(res.metrics, res.per_class, metrics.relative_gain(res.metrics, target),
-                            metrics.chart_feed(res.metrics, res.per_class, target))
+        io.write_metrics(totals, out_path)
+    return ComparisonReport(totals, per_class, metrics.relative_gain(totals, target),
+                            metrics.chart_feed(totals, per_class, target))
 
 
 def _label_columns(schema: AspectSchema) -> list[str]:

@@ -276,15 +276,11 @@ def test_distribution_report_equals_the_verified_queries(spark, sf_dir):
 
 
 def test_comparison_report_equals_the_verified_queries(spark, sf_dir):
-    from aspectra.operators.predictors import ScoreRegexPredictor
-    from aspectra.plans.catalog_metrics import BASE, FT
-    from aspectra.plans.compare import ColumnPredictor
+    from aspectra.plans.catalog_metrics import FT, m7_predictors
     from aspectra.plans.jobs import comparison_report
-    from aspectra.schema import NARROW_LEXICON
 
-    preds = {BASE: ScoreRegexPredictor(text="text", score="review_score", lexicon=NARROW_LEXICON),
-             FT: ColumnPredictor(lambda df: bridge.flip_predictions("labels", "review_id"))}
-    rep = comparison_report(bridge.b_sheet(spark, sf_dir), preds, FT, scores=bridge.b_scores(spark, sf_dir))
+    rep = comparison_report(bridge.b_text_sheet(spark, sf_dir), m7_predictors(spark, sf_dir), FT)
+    assert rep.metrics.count() == 3
     q = E.queries()
     r6 = lambda df, cols: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r)
                                  for r in df.select(*cols).collect())

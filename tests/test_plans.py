@@ -50,13 +50,20 @@ def test_per_group_limit_before_shuffle(spark, sf_dir):
 
 
 def test_compare_models_reads_each_input_once(spark, sf_dir):
-    # the labelled sheet and the score side table: two scans of orders, all predictors in one pass
-    p = plan(E.queries()["compare_models"](spark, sf_dir))
+    # texts, vectors and labels once, all predictors in one pass; the centroids are a scalar subquery
+    p = plan(E.queries()["compare_models"](spark, sf_dir)).split("===== Subqueries")[0]
     scans = [ln for ln in p.splitlines() if ln.startswith("(") and "Scan parquet" in ln]
-    assert len(scans) == 2, scans
+    assert len(scans) == 3, scans
     assert "Union" not in p
 
 
+def test_no_text_goes_through_the_centroid_join(spark, sf_dir):
+    p = plan(E.queries()["embedding_centroid_predict"](spark, sf_dir))
+    joins = [b for b in p.split("\n\n") if "Join" in b.split("\n")[0]]
+    exchanges = [b for b in p.split("\n\n") if "Exchange" in b.split("\n")[0]]
+    assert joins and not any("text#" in b for b in exchanges + joins)
+
+
 def test_centroids_are_a_scalar_subquery(spark, sf_dir):
     p = plan(E.queries()["embedding_centroid_predict"](spark, sf_dir))
     assert "Subquery" in p and "NestedLoopJoin" not in p and "Cartesian" not in p
