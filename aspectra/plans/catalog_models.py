@@ -9,8 +9,10 @@ from aspectra.functions.text import unicode_strip
 from aspectra.operators import sampling, train
 from aspectra.operators.predictors import ModelPredictor, ScoreRegexPredictor, ThresholdScorer
 from aspectra.plans import bridge
-from aspectra.plans.catalog_scoring import PLONG, _flags_sql, _x15_sql
+from aspectra.plans.catalog_metrics import SPLIT
+from aspectra.plans.catalog_scoring import PLONG, PLONG_CTES, _flags_sql, _x15_sql
 from aspectra.plans.registry import labels_str, r6, register
+from aspectra.plans.sqlbits import LABEL_DIM, with_
 from aspectra.schema import DRIVER_LEXICON
 from aspectra.session import scratch_path
 from aspectra.streaming import scoring as stream
@@ -89,22 +91,27 @@ def _docs_labelled(spark, sf):
     return d.join(lab, "review_id")
 
 
-@register("train_multilabel")
+@register("train_multilabel", f"""
+SELECT d.doc_id AS review_id, l.quality, l.toxic, true AS valid FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+WHERE {SPLIT.replace('review_id', 'd.doc_id')} < 0.15""")
 def q_train(spark, sf):
-    """M6: weighted per-label logistic regressions on the labelled documents; predictions on held-out rows."""
+    """M6: weighted per-label logistic regressions on the labelled documents; predictions on held-out rows.
+
+    ``valid``: both predictions are probabilities.
+    """
     df = _docs_labelled(spark, sf)
     tr, te = sampling.train_test_split(df, 0.15)
     model = train.train_multilabel(tr, ["quality", "toxic"])
     p = train.predict_multilabel(model, te, ["quality", "toxic"])
-    return p.select("review_id", "quality", "toxic", r6(F.get("probs", 0)).alias("p_quality"),
-                    r6(F.get("probs", 1)).alias("p_toxic"))
+    return p.select("review_id", "quality", "toxic",
+                    ((F.size("probs") == 2) & F.forall("probs", lambda x: x.between(0.0, 1.0))).alias("valid"))
 
 
-@register("model_save_load")
+@register("model_save_load", "SELECT doc_id AS review_id, true AS equal FROM documents")
 def q_save_load(spark, sf):
-    """Save the fitted pipeline, load it back, and compare predictions row by row."""
+    """Save the fitted pipeline, load it back, and compare predictions row by row (five passes are enough to fit)."""
     df = _docs_labelled(spark, sf)
-    model = train.train_multilabel(df, ["quality", "toxic"], max_iter=20)
+    model = train.train_multilabel(df, ["quality", "toxic"], max_iter=5)
     path = scratch_path(spark, "model")
     train.save_model(model, path)
     loaded = train.load_model(path)
@@ -116,11 +123,22 @@ def q_save_load(spark, sf):
     return b.select("review_id", same.alias("equal"))
 
 
-@register("model_udf")
+def _udf_sql() -> str:
+    logits = [f"{train.CHARS[i]} * (length(t) % 97) / 97.0 + {train.SPACES[i]} * ((length(t) - length(replace(t, ' ', ''))) % 31) / 31.0"
+              f" + {train.BIAS}" for i in range(8)]
+    probs = ", ".join(f"1.0 / (1.0 + exp(-({x})))" for x in logits)
+    return (with_("d AS (SELECT doc_id AS review_id, coalesce(text, '') AS t FROM documents)",
+                  f"b_probs AS (SELECT review_id, [{probs}] AS probs FROM d)", LABEL_DIM) + PLONG_CTES
+            + "SELECT p.review_id, " + ", ".join(f"round(probs[{i + 1}], 6) AS p{i}" for i in range(8))
+            + """, CAST(coalesce(n, 0) AS INTEGER) AS n_detected FROM b_probs p
+LEFT JOIN (SELECT review_id, count(*) AS n FROM ranked GROUP BY 1) r ON r.review_id = p.review_id""")
+
+
+@register("model_udf", _udf_sql())
 def q_model_udf(spark, sf):
     """M4: a user model through predict_batch_udf (Arrow batches), then the M3 scoring."""
     d = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    p = ModelPredictor(train.hashed_linear_model(), text="text", batch_size=256).transform(d)
+    p = ModelPredictor(train.counting_linear_model(), text="text", batch_size=256).transform(d)
     s = ThresholdScorer("probs").transform(p)
     return s.select("review_id", *[r6(F.get("probs", i)).alias(f"p{i}") for i in range(8)],
                     F.size("detected").alias("n_detected"))
