@@ -17,7 +17,8 @@ from aspectra.functions.scoring import (apply_thresholds, aspect_polarity_vector
                                         detected_labels, polarity_from_diff, resolve_conflicts,
                                         safe_prediction, score_polarity, sigmoid, threshold_array,
                                         top_k_labels)
-from aspectra.schema import (DEFAULT_SCHEMA, NARROW_DEFAULT, NARROW_LEXICON, NEGATIVE_WORDS,
+from aspectra.functions.text import truncate_chars
+from aspectra.schema import (DEFAULT_SCHEMA, EMBED_MAX_CHARS, NARROW_DEFAULT, NARROW_LEXICON, NEGATIVE_WORDS,
                              POLARITY_DEADBAND, POSITIVE_WORDS, AspectSchema)
 
 
@@ -132,6 +133,26 @@ class CentroidPredictor:
                 .drop("c_pos", "c_neg", ASPECTS_TMP))
 
 
+class TextEmbedder:
+    """M2's first stage: the first 512 characters of a text (X7) through the user's encoder, in Arrow batches.
+
+    ``make_embed_fn`` is that of :func:`reference_centroids`; a null text is embedded as ''.  The result
+    is what :class:`CentroidPredictor` compares with the reference centroids.
+    """
+
+    def __init__(self, make_embed_fn, text: str = "text", output_col: str = "embedding", n_chars: int = EMBED_MAX_CHARS,
+                 batch_size: int = 64):
+        self.make_embed_fn, self.text, self.output_col = make_embed_fn, text, output_col
+        self.n_chars, self.batch_size = n_chars, batch_size
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import predict_batch_udf
+        from pyspark.sql.types import ArrayType, FloatType
+
+        embed = predict_batch_udf(self.make_embed_fn, return_type=ArrayType(FloatType()), batch_size=self.batch_size)
+        return df.withColumn(self.output_col, embed(truncate_chars(F.coalesce(F.col(self.text), F.lit("")), self.n_chars)))
+
+
 class ThresholdScorer:
     """M3: probabilities -> thresholded bits -> conflict resolution -> ranked labels.
 

@@ -167,6 +167,22 @@ def counting_linear_model():
     return make_predict_fn
 
 
+def counting_embedding(dim: int = 8):
+    """A stand-in text encoder that SQL can compute: component k is (characters * (k + 1) mod 13) - 6."""
+    def make_embed_fn():
+        import numpy as np
+
+        factor = np.arange(1, dim + 1)
+
+        def embed(texts):
+            n = np.array([len(t) for t in map(str, texts)], dtype=np.int64)
+            return (n[:, None] * factor % 13 - 6).astype(np.float32)
+
+        return embed
+
+    return make_embed_fn
+
+
 def hashed_word_embedding(dim: int = 8):
     """A stand-in text encoder for ``predict_batch_udf`` (e.g. for M2 reference centroids).
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from aspectra.functions.scoring import sigmoid
 from aspectra.functions.text import unicode_strip
 from aspectra.operators import sampling, train
-from aspectra.operators.predictors import ModelPredictor, ScoreRegexPredictor, ThresholdScorer
+from aspectra.operators.predictors import (CentroidPredictor, ModelPredictor, ScoreRegexPredictor, TextEmbedder,
+                                           ThresholdScorer, reference_centroids)
 from aspectra.plans import bridge
 from aspectra.plans.catalog_metrics import SPLIT
-from aspectra.plans.catalog_scoring import PLONG, PLONG_CTES, _flags_sql, _x15_sql
+from aspectra.plans.catalog_scoring import FLAGS, PLONG, PLONG_CTES, _flags_sql, _x15_sql
 from aspectra.plans.registry import labels_str, r6, register
 from aspectra.plans.sqlbits import LABEL_DIM, with_
-from aspectra.schema import DRIVER_LEXICON
+from aspectra.schema import ASPECTS, DRIVER_LEXICON, NEGATIVE_WORDS, POSITIVE_WORDS
 from aspectra.session import scratch_path
 from aspectra.streaming import scoring as stream
 
@@ -144,6 +145,27 @@ def q_model_udf(spark, sf):
                     F.size("detected").alias("n_detected"))
 
 
+def _embed_sql() -> str:
+    vector = lambda n: f"[CAST(({n}) * (k + 1) % 13 - 6 AS DOUBLE) FOR k IN range(8)]"
+    centroid = lambda words: "(SELECT list(m ORDER BY k) FROM (SELECT k, avg(v[k + 1]) AS m FROM (SELECT " + vector(
+        "length(w)") + " AS v FROM (VALUES " + ", ".join(f"('{w}')" for w in words) + ") t(w)), range(8) r(k) GROUP BY k))"
+    bits = [f"CASE WHEN (tem_{a}{f' OR {no_aspect}' if a == 'produto' else ''}) AND side = {s} THEN '1' ELSE '0' END"
+            for no_aspect in ["NOT (" + " OR ".join(f"tem_{a}" for a in ASPECTS) + ")"] for a in ASPECTS for s in (1, -1)]
+    return (FLAGS + f""", e AS (SELECT *, {vector("length(substring(coalesce(review_text, ''), 1, 512))")} AS v FROM fl)
+, s AS (SELECT *, list_cosine_similarity(v, {centroid(POSITIVE_WORDS)}) - list_cosine_similarity(v, {centroid(NEGATIVE_WORDS)}) AS diff FROM e)
+, p AS (SELECT *, CASE WHEN diff > 0.02 THEN 1 WHEN diff < -0.02 THEN -1 ELSE 0 END AS side FROM s)
+SELECT review_id, concat_ws(',', {', '.join(bits)}) AS y_pred FROM p""")
+
+
+@register("text_embedding_predict", _embed_sql())
+def q_text_embedding_predict(spark, sf):
+    """M2 from text: truncation, encoder, reference-word centroids, cosine and dead band."""
+    encoder = train.counting_embedding()
+    df = TextEmbedder(encoder, text="review_text").transform(bridge.b_reviews(spark, sf))
+    pred = CentroidPredictor(reference_centroids(spark, encoder), text="review_text", lexicon=DRIVER_LEXICON)
+    return pred.transform(df).select("review_id", labels_str("y_pred").alias("y_pred"))
+
+
 def _classify_text(df):
     """T1 on text: the score + regex predictor (no score column, so the missing score counts as 3)."""
     p = ScoreRegexPredictor(text="text", score="review_score", lexicon=DRIVER_LEXICON).transform(df)

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "aspectra") -> SparkSession:
+                  app: str = "aspectra", warehouse: str | None = None) -> SparkSession:
     """A ``local[cores]`` session configured the way the tests and bench expect."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("ASPECTRA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -18,10 +18,11 @@ TEST_SF = os.environ.get("ASPECTRA_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from aspectra.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="aspectra-tests")
+    s = local_session(cores="*", shuffle_partitions=8, app="aspectra-tests",
+                      warehouse=str(tmp_path_factory.mktemp("warehouse")))
     yield s
     s.stop()
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from aspectra.plans import queries as catalog
 
-PYTHON_OK = {"model_udf", "train_multilabel", "model_save_load"}  # user model / Spark ML
+PYTHON_OK = {"model_udf", "text_embedding_predict", "train_multilabel", "model_save_load"}  # user model / Spark ML
 SKIP_PLAN = {"stream_score", "latest_label_state", "write_metrics", "write_sheet_csv", "export_labels_csv",
              "export_labels_json", "train_multilabel", "model_save_load"}  # read back from a sink or fit a model
 
