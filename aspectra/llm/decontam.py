@@ -8,12 +8,17 @@ same number or name of the item always stands for the same word of the document,
 numbers or names were exchanged is still found, and chance agreement of placeholders is not.  A
 document holds an item if at least ``percent`` % of the item's windows are found in it.
 
+Windows of the words themselves, without placeholders and without case, are joined as well: a copy is
+found whatever the letter case of its names is, and however few plain words it has.  The exact and the
+template windows of an item are counted apart, and either may reach ``percent`` %.
+
 The benchmark's window hashes are sent to the tasks as a filter if there are at most
 ``FILTER_WINDOWS`` of them; beyond that all windows of the documents enter the join.
 
 Defined results: null and empty texts hold nothing; an item with fewer than five tokens is one window
-of all its tokens, compared with document windows of the same length; an item without words, or
-without a window of at least three plain words (all of them, if shorter), cannot be found; rows with
+of all its tokens, compared with document windows of the same length; an item without words, or of fewer
+than five tokens that are all numbers, names and units, cannot be found, and one without a template window
+(at least three plain words; all of them, if shorter) is found only word for word; rows with
 the same ``doc_id`` are one document, rows with the same ``item_id`` and equal text one item; rows
 without id are never contaminated or items; empty tables give no item or no row; other columns are
 ignored.
@@ -21,6 +26,8 @@ ignored.
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +57,10 @@ _END[[ord(c) for c in ".!?:"]] = True
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[[ord(c) for c in "\"')]"]] = True
 _PLACEHOLDER = W.constants(4, 11)
-_AT, _SIZE = W.constants(64, 12), W.constants(64, 13)
+_AT, _SIZE, _EXACT = W.constants(64, 12), W.constants(64, 13), W.constants(64, 14)
+#: bytes of letters of two-byte UTF-8, by code point, in lower case
+_FOLD = np.array([ord(c) for c in (chr(i).lower() if len(chr(i).lower()) == 1 and 128 <= ord(chr(i).lower()) < 2048
+                                   else chr(i) for i in range(2048))], dtype=np.uint16)
 
 
 def _bare_hashes(words: list[str]) -> np.ndarray:
@@ -68,6 +78,17 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with letters of two bytes in lower case (those of one byte are hashed so)."""
+    at = np.flatnonzero((data >= 0xC2) & (data <= 0xDF))
+    if not len(at):
+        return data
+    low = _FOLD[(data[at].astype(np.uint16) & 0x1F) << 6 | (data[at + 1] & 0x3F)]
+    data = data.copy()
+    data[at], data[at + 1] = low >> 6 | 0xC0, low & 0x3F | 0x80
+    return data
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """Raw word hash, type and the n + 1 row bounds of the tokens of each row."""
     _, starts, ends = W.word_spans(data, offsets)
@@ -75,7 +96,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     keep = _ALNUM[data] | (data <= 32)
     moved = np.cumsum(keep) - keep
     place = np.r_[moved, keep.sum()]
-    bare = data[keep]
+    bare = _folded(data[keep])
     raw, s, e = W.word_spans(bare, place[offsets])
     # words that keep a letter or digit
     has = place[ends] > place[starts]
@@ -101,19 +122,23 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     return raw, kind, bounds
 
 
-def windows(raw: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int):
-    """Key, first token and row of every window of ``size`` tokens with enough plain words."""
+def windows(raw: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int, exact: bool):
+    """Key, first token and row of every window of ``size`` tokens, of the words or of the template.
+
+    Template windows need enough plain words, and exact ones of less than ``WINDOW`` tokens one.
+    """
     n = len(raw) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     plain = kind == _PLAIN
-    template = np.where(plain, raw, _PLACEHOLDER[kind])
-    key = np.full(n, _SIZE[size])
+    token = raw if exact else np.where(plain, raw, _PLACEHOLDER[kind])
+    key = np.full(n, (_EXACT if exact else _SIZE)[size])
     for k in range(size):
-        key += template[k:k + n] * _AT[k]
+        key += token[k:k + n] * _AT[k]
     count = np.r_[0, np.cumsum(plain)]
     row = W.rows_of(bounds)[:n]
-    at = np.flatnonzero((count[size:] - count[:n] >= min(3, size)) & (row == W.rows_of(bounds)[size - 1:]))
+    least = int(size < WINDOW) if exact else min(3, size)
+    at = np.flatnonzero((count[size:] - count[:n] >= least) & (row == W.rows_of(bounds)[size - 1:]))
     return W.mix(key[at]), at, row[at]
 
 
@@ -129,6 +154,7 @@ def _rows(id_column: pa.Array, raw, kind, bounds, size, key, at, row, id_name: s
 
 
 _ROW = "key long, {} long, pos long, raw array<long>, kind array<tinyint>"
+_ITEM_ROW = _ROW.format("item_id") + ", exact boolean"
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -136,20 +162,21 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
         for batch, data, offsets in W.chunks(batches):
             raw, kind, bounds = tokens(data, offsets)
             n = np.diff(bounds)
-            for size in range(1, window + 1):
-                key, at, row = windows(raw, kind, bounds, size)
+            for size, exact in product(range(1, window + 1), (False, True)):
+                key, at, row = windows(raw, kind, bounds, size, exact)
                 of = (n[row] >= window) if size == window else (n[row] == size)
-                yield _rows(batch.column("item_id"), raw, kind, bounds, size, key[of], at[of], row[of], "item_id")
+                yield _rows(batch.column("item_id"), raw, kind, bounds, size, key[of], at[of], row[of], "item_id",
+                            {"exact": pa.array(np.full(int(of.sum()), exact))})
 
-    return items.mapInArrow(run, _ROW.format("item_id"))
+    return items.mapInArrow(run, _ITEM_ROW)
 
 
 def _doc_windows(docs: DataFrame, sizes: list[int], wanted) -> DataFrame:
     def run(batches):
         for batch, data, offsets in W.chunks(batches):
             raw, kind, bounds = tokens(data, offsets)
-            for size in sizes:
-                key, at, row = windows(raw, kind, bounds, size)
+            for size, exact in product(sizes, (False, True)):
+                key, at, row = windows(raw, kind, bounds, size, exact)
                 if wanted is not None:
                     hit = _among(key, wanted.value)
                     key, at, row = key[hit], at[hit], row[hit]
@@ -165,7 +192,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
     bench = written(_item_windows(items, window).dropDuplicates(["item_id", "key", "pos"]), "windows")
-    per_item = bench.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    per_item = bench.groupBy("item_id", "exact").agg(F.count(F.lit(1)).alias("n_windows"))
     keys = bench.select("key").distinct()
     wanted, sizes = None, list(range(1, window + 1))
     held = keys.limit(FILTER_WINDOWS + 1).count()
@@ -176,19 +203,22 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
     hits = (_doc_windows(docs, sorted(sizes), wanted)
             .select("key", "doc_id", F.col("pos").alias("doc_pos"), F.col("raw").alias("doc_raw"))
             .join(bench, "key")
-            .select("doc_id", "item_id", "pos", (F.col("doc_pos") - F.col("pos")).alias("shift"),
+            .select("doc_id", "item_id", "exact", "pos", (F.col("doc_pos") - F.col("pos")).alias("shift"),
                     F.filter(F.arrays_zip("kind", "raw", "doc_raw"), lambda s: s["kind"] > 0).alias("slots")))
     # an alignment is consistent if each slot value of the item has one word of the document
     pairs = F.transform("slots", lambda s: F.struct(s["raw"], s["doc_raw"]))
-    lines = (hits.groupBy("doc_id", "item_id", "shift", "pos").agg(F.first(pairs).alias("pairs"))
-             .groupBy("doc_id", "item_id", "shift")
+    lines = (hits.groupBy("doc_id", "item_id", "exact", "shift", "pos").agg(F.first(pairs).alias("pairs"))
+             .groupBy("doc_id", "item_id", "exact", "shift")
              .agg(F.collect_set("pos").alias("places"),
                   F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
     lines = lines.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["raw"]))))
-    best = lines.groupBy("doc_id", "item_id").agg(
+    best = lines.groupBy("doc_id", "item_id", "exact").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_found"))
-    return (best.join(per_item, "item_id").filter(F.col("n_found") * 100 >= F.col("n_windows") * percent)
-            .select("doc_id", "item_id", F.col("n_found").cast("long"), F.col("n_windows").cast("long")))
+    held = (best.join(per_item, ["item_id", "exact"]).filter(F.col("n_found") * 100 >= F.col("n_windows") * percent)
+            .groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_found", "n_windows"),
+                                                       F.col("n_found") / F.col("n_windows")).alias("_best")))
+    return held.select("doc_id", "item_id", F.col("_best.n_found").cast("long").alias("n_found"),
+                       F.col("_best.n_windows").cast("long").alias("n_windows"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 80) -> DataFrame:

@@ -82,3 +82,13 @@ def test_whole_small_table(spark, sf_dir):
     want = {d: {i for i, q in items if plain(q) in plain(t)} for d, t in docs}
     got = {d: {int(i) for i in v[0].split(",") if i} for d, v in held(spark, docs, items).items()}
     assert sum(map(bool, want.values())) >= 3 and got == want
+
+
+@pytest.mark.parametrize("bound", [decontam.FILTER_WINDOWS, 0])
+def test_copies_in_other_letter_case_and_of_few_plain_words_are_found(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "FILTER_WINDOWS", bound)
+    numbers, accents = "What is 23 45 12", "Anna 7 km Zoë 12 Øre 15 kg Émile 31"
+    docs = [(1, ITEM.upper()), (2, ITEM.lower()), (3, f"{OTHER}. So {numbers.lower()}?"), (4, accents.upper()),
+            (5, "What is 23 45 13"), (6, "alpha 12 13"), (7, OTHER)]
+    got = held(spark, docs, [(1, ITEM), (2, numbers), (3, accents), (4, "ALPHA 12 13")])
+    assert {d: v[0] for d, v in got.items()} == {1: "1", 2: "1", 3: "2", 4: "3", 5: "", 6: "4", 7: ""}
