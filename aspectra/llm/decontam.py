@@ -2,15 +2,18 @@
 
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence) and
 units (after a number) are replaced by typed placeholders, other words by their hash without case and
-punctuation.  Windows of five tokens of documents and benchmark items are joined by hash.  The
-windows a document shares with an item on one alignment must fill the item's slots consistently: the
-same number or name of the item always stands for the same word of the document, so a question whose
-numbers or names were exchanged is still found, and chance agreement of placeholders is not.  A
-document holds an item if at least ``percent`` % of the item's windows are found in it.
-
-Windows of the words themselves, without placeholders and without case, are joined as well: a copy is
-found whatever the letter case of its names is, and however few plain words it has.  The exact and the
-template windows of an item are counted apart, and either may reach ``percent`` %.
+punctuation.  Windows of five tokens of documents and benchmark items are joined by hash, as templates
+and as the words themselves without case, so a copy is found whatever the letter case of its names is, and
+however few plain words it has.
+
+A shared window puts the item beside the document at one alignment, on which tokens are compared one by
+one: those of the window, and the ``WINDOW`` tokens on either side of it (there also runs of two and more
+words that moved by one word), so a changed, added or missing word costs about one token and not all the
+windows that hold it.  The same number or name of the item must always stand for
+the same word of the document; on an alignment where it does not, the tokens holding it are not counted
+and the rest is.  Beside a window a number or name counts if the windows exchange it likewise, or if it is
+unchanged and in none of them.  A document holds an item if at least ``percent`` % of the item's tokens
+are found on its alignments; a shorter quotation is none.
 
 The benchmark's window hashes are sent to the tasks as a filter if there are at most
 ``FILTER_WINDOWS`` of them; beyond that all windows of the documents enter the join.
@@ -18,8 +21,9 @@ The benchmark's window hashes are sent to the tasks as a filter if there are at
 Defined results: null and empty texts hold nothing; an item with fewer than five tokens is one window
 of all its tokens, compared with document windows of the same length; an item without words, or of fewer
 than five tokens that are all numbers, names and units, cannot be found, and one without a template window
-(at least three plain words; all of them, if shorter) is found only word for word; rows with
-the same ``doc_id`` are one document, rows with the same ``item_id`` and equal text one item; rows
+(at least three plain words; all of them, if shorter) is found only by shared words; rows with
+the same ``doc_id`` are one document, rows with the same ``item_id`` are texts of one item, held if any
+of them is; rows
 without id are never contaminated or items; empty tables give no item or no row; other columns are
 ignored.
 """
@@ -50,6 +54,7 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gr
          "degrees meter meters metre metres kilometer kilometers km/h mph hz khz mhz watt watts volt volts").split()
 
 _PLAIN, _NUMBER, _NAME, _UNIT = range(4)
+_OUTSIDE = -1
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _END = np.zeros(256, dtype=bool)
@@ -143,18 +148,21 @@ def windows(raw: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int, ex
 
 
 def _rows(id_column: pa.Array, raw, kind, bounds, size, key, at, row, id_name: str, extra=None) -> pa.RecordBatch:
-    """Window rows: key, id, position in the row, and the raw tokens with their types."""
-    flat = (at[:, None] + np.arange(size)).reshape(-1)
-    lists = np.arange(len(at) + 1, dtype=np.int32) * size
+    """Window rows: key, id, position in the row, and the raw tokens with their types, also of the tokens around."""
+    span = size + 2 * WINDOW
+    flat = at[:, None] + np.arange(-WINDOW, size + WINDOW)
+    inside = ((flat >= bounds[row][:, None]) & (flat < bounds[row + 1][:, None])).reshape(-1)
+    flat = np.clip(flat, 0, max(len(raw) - 1, 0)).reshape(-1)
+    lists = np.arange(len(at) + 1, dtype=np.int32) * span
     cols = {"key": pa.array(key.view(np.int64)), id_name: id_column.take(pa.array(row)),
             "pos": pa.array(at - bounds[row]),
-            "raw": pa.ListArray.from_arrays(pa.array(lists), pa.array(raw[flat].view(np.int64))),
-            "kind": pa.ListArray.from_arrays(pa.array(lists), pa.array(kind[flat]))}
+            "raw": pa.ListArray.from_arrays(pa.array(lists), pa.array(np.where(inside, raw[flat].view(np.int64), 0))),
+            "kind": pa.ListArray.from_arrays(pa.array(lists), pa.array(np.where(inside, kind[flat], _OUTSIDE)))}
     return pa.RecordBatch.from_pydict(cols | (extra or {}))
 
 
 _ROW = "key long, {} long, pos long, raw array<long>, kind array<tinyint>"
-_ITEM_ROW = _ROW.format("item_id") + ", exact boolean"
+_ITEM_ROW = _ROW.format("item_id") + ", version long, n_tokens long, size int"
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -165,10 +173,12 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
             for size, exact in product(range(1, window + 1), (False, True)):
                 key, at, row = windows(raw, kind, bounds, size, exact)
                 of = (n[row] >= window) if size == window else (n[row] == size)
-                yield _rows(batch.column("item_id"), raw, kind, bounds, size, key[of], at[of], row[of], "item_id",
-                            {"exact": pa.array(np.full(int(of.sum()), exact))})
+                key, at, row = key[of], at[of], row[of]
+                yield _rows(batch.column("item_id"), raw, kind, bounds, size, key, at, row, "item_id",
+                            {"version": batch.column("version").take(pa.array(row)), "n_tokens": pa.array(n[row]),
+                             "size": pa.array(np.full(len(at), size, np.int32))})
 
-    return items.mapInArrow(run, _ITEM_ROW)
+    return items.withColumn("version", F.xxhash64("text")).mapInArrow(run, _ITEM_ROW)
 
 
 def _doc_windows(docs: DataFrame, sizes: list[int], wanted) -> DataFrame:
@@ -180,56 +190,87 @@ def _doc_windows(docs: DataFrame, sizes: list[int], wanted) -> DataFrame:
                 if wanted is not None:
                     hit = _among(key, wanted.value)
                     key, at, row = key[hit], at[hit], row[hit]
-                if len(key):
-                    yield _rows(batch.column("doc_id"), raw, kind, bounds, size, key, at, row, "doc_id")
+                # unfiltered windows of a chunk are handed on in parts: each carries its surroundings
+                for k in range(0, len(key), 65_536):
+                    part = slice(k, k + 65_536)
+                    yield _rows(batch.column("doc_id"), raw, kind, bounds, size, key[part], at[part], row[part], "doc_id")
 
     return docs.mapInArrow(run, _ROW.format("doc_id"))
 
 
+def _agreeing(pos, size):
+    """Of an item window and a document window: the tokens that agree, in the window and around it."""
+    def token(s, i):
+        return F.struct((pos + i - WINDOW).alias("at"), s["raw"].alias("raw"), s["doc_raw"].alias("doc_raw"),
+                        (s["kind"] > _PLAIN).alias("slot"), ((i >= WINDOW) & (i < size + WINDOW)).alias("window"),
+                        ((s["kind"] != _OUTSIDE) & (s["doc_kind"] != _OUTSIDE)
+                         & ((s["raw"] == s["doc_raw"]) | (s["kind"] > _PLAIN) & (s["kind"] == s["doc_kind"])))
+                        .alias("agrees"))
+
+    def beside(moved):
+        # runs of two and more words around the window that moved by one word
+        same = F.zip_with("raw", moved, lambda a, b: a == b)
+        return F.transform(F.arrays_zip("kind", "raw", same.alias("same")), lambda s, i: F.struct(
+            (pos + i - WINDOW).alias("at"), s["raw"].alias("raw"), s["raw"].alias("doc_raw"),
+            (s["kind"] > _PLAIN).alias("slot"), F.lit(False).alias("window"),
+            ((s["kind"] != _OUTSIDE) & ((i < WINDOW) | (i >= size + WINDOW)) & s["same"]
+             & (F.get(same, i - 1) | F.get(same, i + 1))).alias("agrees")))
+
+    none, n = F.array(F.lit(0).cast("long")), size + 2 * WINDOW - 1
+    both = F.concat(F.transform(F.arrays_zip("kind", "raw", "doc_kind", "doc_raw"), token),
+                    beside(F.concat(none, F.slice("doc_raw", F.lit(1), n))),
+                    beside(F.concat(F.slice("doc_raw", F.lit(2), n), none)))
+    return F.transform(F.filter(both, lambda t: t["agrees"]), lambda t: t.dropFields("agrees"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 80) -> DataFrame:
-    """``(doc_id, item_id, n_found, n_windows)``: the items each document holds."""
+    """``(doc_id, item_id, n_found, n_tokens)``: the items each document holds."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
-    bench = written(_item_windows(items, window).dropDuplicates(["item_id", "key", "pos"]), "windows")
-    per_item = bench.groupBy("item_id", "exact").agg(F.count(F.lit(1)).alias("n_windows"))
+    bench = written(_item_windows(items, window).dropDuplicates(["item_id", "version", "key", "pos"]), "windows")
     keys = bench.select("key").distinct()
     wanted, sizes = None, list(range(1, window + 1))
     held = keys.limit(FILTER_WINDOWS + 1).count()
     if held <= FILTER_WINDOWS:
         found = np.array([r.key for r in keys.collect()], dtype=np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(found))
-        sizes = [r.n for r in bench.select(F.size("raw").alias("n")).distinct().collect()] or [window]
+        sizes = [r.n for r in bench.select(F.col("size").alias("n")).distinct().collect()] or [window]
+    one = ["doc_id", "item_id", "version", "n_tokens"]
     hits = (_doc_windows(docs, sorted(sizes), wanted)
-            .select("key", "doc_id", F.col("pos").alias("doc_pos"), F.col("raw").alias("doc_raw"))
+            .select("key", "doc_id", F.col("pos").alias("doc_pos"), F.col("raw").alias("doc_raw"),
+                    F.col("kind").alias("doc_kind"))
             .join(bench, "key")
-            .select("doc_id", "item_id", "exact", "pos", (F.col("doc_pos") - F.col("pos")).alias("shift"),
-                    F.filter(F.arrays_zip("kind", "raw", "doc_raw"), lambda s: s["kind"] > 0).alias("slots")))
-    # an alignment is consistent if each slot value of the item has one word of the document
-    pairs = F.transform("slots", lambda s: F.struct(s["raw"], s["doc_raw"]))
-    lines = (hits.groupBy("doc_id", "item_id", "exact", "shift", "pos").agg(F.first(pairs).alias("pairs"))
-             .groupBy("doc_id", "item_id", "exact", "shift")
-             .agg(F.collect_set("pos").alias("places"),
-                  F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    lines = lines.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["raw"]))))
-    best = lines.groupBy("doc_id", "item_id", "exact").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_found"))
-    held = (best.join(per_item, ["item_id", "exact"]).filter(F.col("n_found") * 100 >= F.col("n_windows") * percent)
-            .groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_found", "n_windows"),
-                                                       F.col("n_found") / F.col("n_windows")).alias("_best")))
-    return held.select("doc_id", "item_id", F.col("_best.n_found").cast("long").alias("n_found"),
-                       F.col("_best.n_windows").cast("long").alias("n_windows"))
+            .select(*one, (F.col("doc_pos") - F.col("pos")).alias("shift"),
+                    _agreeing(F.col("pos"), F.col("size")).alias("tokens")))
+    lines = hits.groupBy(*one, "shift").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"))
+    # what the slots in windows stand for, and the words that do not always stand for the same
+    pair = lambda t: F.struct(t["raw"], t["doc_raw"])
+    lines = lines.withColumn("pairs", F.array_distinct(F.transform(
+        F.filter("tokens", lambda t: t["slot"] & t["window"]), pair)))
+    lines = lines.withColumn("words", F.array_distinct(F.transform("pairs", lambda p: p["raw"])))
+    lines = lines.withColumn("torn", F.when(F.size("pairs") == F.size("words"), F.slice("words", 1, 0)).otherwise(
+        F.filter("words", lambda w: F.size(F.filter("pairs", lambda p: p["raw"] == w)) > 1)))
+    counted = F.filter("tokens", lambda t: ~t["slot"] | ~F.array_contains("torn", t["raw"]) & (
+        t["window"] | F.array_contains("pairs", pair(t))
+        | (t["raw"] == t["doc_raw"]) & ~F.array_contains("words", t["raw"])))
+    best = lines.withColumn("places", F.array_distinct(F.transform(counted, lambda t: t["at"]))).groupBy(*one).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"))
+    of = F.struct("n_found", "n_tokens")
+    return (best.filter(F.col("n_found") * 100 >= F.col("n_tokens") * percent).groupBy("doc_id", "item_id")
+            .agg(F.max_by(of, F.col("n_found") / F.col("n_tokens")).alias("_best"))
+            .select("doc_id", "item_id", "_best.n_found", "_best.n_tokens"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 80) -> DataFrame:
     """``(doc_id, contaminated, n_items, items, overlap)`` for every row of ``docs``.
 
     ``items`` lists the item ids held, ascending and comma-joined; ``overlap`` is the largest share of
-    an item's windows found among them (0 without any).
+    an item's tokens found among them (0 without any).
     """
     found = leaks(docs, items, window, percent).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"),
-        F.max(F.col("n_found") / F.col("n_windows")).alias("overlap"))
+        F.max(F.col("n_found") / F.col("n_tokens")).alias("overlap"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"),

@@ -92,3 +92,18 @@ def test_copies_in_other_letter_case_and_of_few_plain_words_are_found(spark, mon
             (5, "What is 23 45 13"), (6, "alpha 12 13"), (7, OTHER)]
     got = held(spark, docs, [(1, ITEM), (2, numbers), (3, accents), (4, "ALPHA 12 13")])
     assert {d: v[0] for d, v in got.items()} == {1: "1", 2: "1", 3: "2", 4: "3", 5: "", 6: "4", 7: ""}
+
+
+def test_near_copies_are_found(spark):
+    short = "the old clock in the tall tower rings at noon while pigeons circle the wide square"  # 15 words and more
+    words = short.split()
+    edits = [" ".join([*words[:k], "other", *words[k + 1:]]) for k in range(len(words))]
+    longer = [" ".join([*words[:k], "extra", *words[k:]]) for k in range(len(words) + 1)]
+    equal = ("a shop sells 2 red lamps and every customer who walks into the shop on a sunny morning gets 2 more lamps "
+             "for free when paying with cash at the front desk near the door")
+    torn = equal.replace("sells 2", "sells 3")
+    roles = equal.replace("sells 2", "sells 8").replace("gets 2", "gets 9")
+    docs = [*enumerate(edits), *enumerate(longer, 100), (200, torn), (201, roles), (202, f"{OTHER} {torn} {OTHER}"),
+            (203, " ".join(words[:len(words) // 2])), (204, " ".join(equal.split()[:20]))]
+    got = {d: v[0] for d, v in held(spark, docs, [(1, short), (2, equal)]).items()}
+    assert got == {d: {200: "2", 201: "2", 202: "2", 203: "", 204: ""}.get(d, "1") for d, _ in docs}
