@@ -10,7 +10,8 @@ number of agreeing coordinates is concentrated around its mean.
 Documents with equal sets form a class; only one of each class goes on.  Documents of equal band
 meet in a bucket.  First every document is checked, on full sets, against its buckets' smallest
 document; what that leaves in different components of one bucket is then compared in blocks, on full
-sets, whatever the bucket's size.  Pairs already known to be connected are not compared and no list
+sets, whatever the bucket's size; a block is bounded by its shingles and by its members, and the blocks
+of a bucket's largest component meet only those of the others.  Pairs already known to be connected are not compared and no list
 of all pairs is made.  The only loss is by banding: a pair of similarity s shares no bucket with
 probability (1 - s**rows)**bands, 3e-6 at s = 0.8 with the default 32 bands of 5 rows.
 
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm import words as W
-from aspectra.llm.tables import Roots, blocks, by_group, connected_components, group_starts, grouped, written
+from aspectra.llm.tables import Roots, by_group, connected_components, group_starts, grouped, written
 
 BANDS, ROWS = 32, 5
 #: shingles of all members of a block; a larger bucket is split
 BLOCK_SHINGLES = 1 << 19
+#: members of a block; a task compares two blocks in a dense matrix over their members
+BLOCK_MEMBERS = 2048
 #: members checked against one bucket leader in a task
 LEADER_ROWS = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -159,6 +162,9 @@ def _check_blocks(percent: int):
 def _block_links(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join different components, no more than connect them."""
     docs, comp, blk = (t.column(c).to_numpy() for c in ("doc_id", "component", "b"))
+    none = np.zeros(0, np.int64)
+    if (comp == comp[0]).all():
+        return none, none
     cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("elements").combine_chunks()]
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -197,10 +203,31 @@ def _block_links(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         roots.join(np.full(len(y), comp_at[x]), comp_at[y])
         src.append(np.full(len(y), docs[x]))
         dst.append(docs[y])
-    none = np.zeros(0, np.int64)
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
 
+def block_tasks(members: DataFrame) -> DataFrame:
+    """Rows ``(key, doc_id, n_shingles, component)`` dealt to tasks ``(key, i, j)`` with their block ``b``.
+
+    Any two members of different components meet in exactly one task.  A bucket over the bounds is cut
+    into blocks by a hash of the id: its largest component by itself, all others together.
+    """
+    weight = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS))
+    n = lambda w: F.ceil(w / F.lit(BLOCK_SHINGLES)).cast("int")
+    large = (members.groupBy("key", "component").agg(F.sum(weight).alias("w"))
+             .groupBy("key").agg(F.sum("w").alias("_all"), F.max(F.struct("w", "component")).alias("_top"))
+             .filter(F.col("_all") > BLOCK_SHINGLES)
+             .select("key", F.col("_top.component").alias("_main"), n(F.col("_top.w")).alias("_n"),
+                     n(F.col("_all") - F.col("_top.w")).alias("_rest")))
+    at, whole = F.xxhash64("doc_id"), F.col("_main").isNull()
+    main, last = F.col("component") == F.col("_main"), F.col("_n") + F.col("_rest") - 1
+    df = members.join(large, "key", "left").withColumn("b", F.when(whole, 0).when(main, F.pmod(at, "_n")).otherwise(
+        F.col("_n") + F.pmod(at, "_rest")).cast("int"))
+    meets = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.when(main, F.col("_n")).otherwise(0), last))
+    pair = F.explode(F.transform(meets, lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
+    return df.withColumn("_p", pair).select(*members.columns, "b", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs (doc_id, text)``."""
@@ -237,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                     F.bit_xor(mark).alias("_x"), F.sum(mark % 1_000_000_007).alias("_s"))
                .filter("_a < _z").groupBy("_k", "_x", "_s").agg(F.min("key").alias("key")).select("key"))
     undecided = written(placed.join(several, "key"), "undecided")
-    tasks = blocks(undecided, "key", "doc_id", "n_shingles", BLOCK_SHINGLES).join(sets, "doc_id")
+    tasks = block_tasks(undecided).join(sets, "doc_id")
     more = written(grouped(tasks, ["key", "i", "j"], _check_blocks(percent), "src long, dst long"), "links")
     nodes = written(connected_components(links.union(more)), "components")
 

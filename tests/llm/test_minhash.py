@@ -89,3 +89,32 @@ def test_components(spark, n):
     got = connected_components(spark.createDataFrame(links, "src long, dst long")).collect()
     nodes = {x for e in links for x in e}
     assert sorted(map(tuple, got)) == sorted(components(nodes, links).items())
+
+
+def test_blocks_are_bounded_by_members(spark):
+    main, others = range(9000), range(9000, 9040)
+    rows = [(1, d, 12, 0) for d in main] + [(1, d, 12, d % 3 + 1) for d in others] + [(2, d, 12, d) for d in range(3)]
+    tasks = minhash.block_tasks(spark.createDataFrame(rows, "key long, doc_id long, n_shingles long, component long"))
+    met, members = {}, {}
+    for r in tasks.collect():
+        members.setdefault((r.key, r.i, r.j), []).append(r)
+    assert max(map(len, members.values())) < 2.2 * minhash.BLOCK_MEMBERS
+    assert sum(map(len, members.values())) < 2 * len(rows)
+    for (key, i, j), m in members.items():
+        few = [r for r in m if key == 2 or r.component]
+        for x in few:
+            for y in m:
+                if x.component != y.component and (i == j or x.b != y.b):
+                    pair = (key, min(x.doc_id, y.doc_id), max(x.doc_id, y.doc_id))
+                    met.setdefault(pair, set()).add((i, j))
+    assert all(len(v) == 1 for v in met.values())
+    apart = sum(1 for a in others for b in others if a < b and a % 3 != b % 3)
+    assert len(met) == len(main) * len(others) + apart + 3
+
+
+def test_a_large_group_of_short_texts_next_to_another_component(spark):
+    texts = {d: " ".join([*(f"w{k}" for k in range(14)), f"n{d}"]) for d in range(5000)}
+    texts[9000] = " ".join([*(f"w{k}" for k in range(12)), "x", "y"])
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, size=4).collect()}
+    assert got == {d: 9000 if d == 9000 else 0 for d in texts}
