@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import decontam, idcoder, itq, langid, licenses, linedup, lm, minhash, mixing, secrets
+from aspectra.llm import bpe, decontam, idcoder, itq, langid, licenses, linedup, lm, minhash, mixing, secrets
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranks() -> tuple[str, str]:
+    """The byte-level rank file, ``ASPECTRA_RANKS`` or the installed public one, and its pattern."""
+    import public_tokenizers
+
+    return os.environ.get("ASPECTRA_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @query
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the maximum-entropy model of those that are not held out."""
@@ -90,5 +97,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and the texts they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks())
+
+
 ORACLES["op5_license_scan"] = licenses.ORACLE_SQL
 ORACLES["op8_line_dedup"] = linedup.ORACLE_SQL
