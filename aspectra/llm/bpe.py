@@ -1,18 +1,18 @@
 """Operator 11: byte-level BPE by folds of ranked merges in Spark higher-order functions.
 
-A text is cut into the matches of the vocabulary's pattern.  A match is first looked up whole; if it is
-no piece, its byte array is folded: every step finds the lowest rank of any adjacent pair in a literal
-rank map and merges that pair everywhere, until no pair has a rank.  The tokens under way are the
-characters of one string (token i is character 65536 + i), so that a merge is a linear ``replace``.
+A text is cut into the matches of the vocabulary's pattern.  The byte array of a match is folded: every
+step finds the lowest rank of any adjacent pair in a literal rank map and merges that pair everywhere,
+until no pair has a rank.  The tokens under way are the characters of one string (token i is character
+65536 + i), so that a merge is a linear ``replace``.
 
-Distinct matches are counted over all documents and the most frequent ones (``KNOWN`` at most, 64 bytes
-at most) are folded once; their ids come back as a literal dictionary.  All other matches are folded where
-they stand, so no word is left out and nothing that grows with the corpus is sent anywhere.  Decoding
-joins the binary pieces of the ids.
+Distinct matches are counted over all documents, and the most frequent ones (``KNOWN`` at most, of
+``KNOWN_BYTES`` at most) are folded once; this dictionary of bounded size goes to the tasks, which look
+matches up in Arrow batches.  All other matches are folded where they stand, so no word is left out and
+nothing that grows with the corpus is sent anywhere.  Decoding concatenates the binary pieces of the ids.
 
-Literal maps are arrays of small maps, found by a hash of the key, because a look-up in one Spark map
-reads all its keys.  Ranks are taken to be those of BPE training: every piece of more than one byte
-comes from two pieces of lower rank, and equal ranks are one piece (files of tiktoken are of this kind).
+The rank map is an array of small maps, found by a hash of the pair, because a look-up in one Spark map
+reads all its keys.  Ranks are taken to be those of BPE training, where a piece comes from two pieces of
+lower rank; pieces that no merges make are looked up whole.
 
 Defined results: null texts are empty and have no ids; other columns are ignored; repeated rows each give
 a row; an empty table gives an empty result; ``doc_id`` may be null.  A match of n bytes takes at most n
@@ -23,15 +23,20 @@ from __future__ import annotations
 
 import base64
 import functools
-import json
+import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: words of the literal dictionary: it bounds what is sent to the tasks, not what is encoded
-KNOWN = 1 << 18
-KNOWN_BYTES = 64
-BUCKETS = 1 << 16
+from aspectra.llm.tables import written
+
+#: words of the dictionary: it bounds what is sent to the tasks, not what is encoded
+KNOWN = 1 << 20
+KNOWN_BYTES = 48
+BUCKETS = 1 << 14
 _FIRST = 0x10000
 _LEVELS = 64
 
@@ -60,10 +65,6 @@ def bucketed(pairs: DataFrame, *key: Column) -> Column:
     return F.from_json(F.lit(f"[{','.join(slots)}]"), "array<map<string,string>>")
 
 
-def listed(values: list[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
-
-
 def looked_up(table: Column, key: Column) -> Column:
     return F.get(table, bucket(key))[key]
 
@@ -86,58 +87,60 @@ def merges(ranks: dict[bytes, int]) -> tuple[list[tuple[bytes, bytes, int]], dic
     return made, never
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The pieces and ranks of a file of base64 pieces."""
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+    missing = [b for b in range(256) if bytes([b]) not in ranks]
+    if missing:
+        raise ValueError(f"{path} has no rank for the bytes {missing[:5]}")
+    return ranks
+
+
+def rank_pieces(ranks: dict[bytes, int]) -> pa.Array:
+    """The piece of each rank."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.large_binary())
+
+
 class Vocabulary:
     """A file of base64 pieces and ranks as literal maps; ``pattern`` cuts the texts."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file) if piece}
-        missing = [b for b in range(256) if bytes([b]) not in ranks]
-        if missing:
-            raise ValueError(f"{path} has no rank for the bytes {missing[:5]}")
+        ranks = read_ranks(path)
+        self.pieces = rank_pieces(ranks)
         self.pattern = spark_pattern(spark, pattern)
-        size = max(ranks.values()) + 1
-        hexes = [""] * size
-        for piece, rank in ranks.items():
-            hexes[rank] = piece.hex()
-        self.hexes = listed(hexes)
-        self.little = listed([i.to_bytes(4, "little").hex() for i in range(size)])
         self.bytes = "".join(token(ranks[bytes([b])]) for b in range(256))
         made, never = merges(ranks)
         pairs = [(token(ranks[a]) + token(ranks[b]), token(rank) + token(ranks[a]) + token(ranks[b])) for a, b, rank in made]
         self.ranks = bucketed(spark.createDataFrame(pairs, "k string, v string"), F.substring("k", 1, 1), F.substring("k", 2, 1))
-        self.never = [(p.hex().upper(), token(rank)) for p, rank in never.items()]
-        self.whole = bucketed(spark.createDataFrame(self.never, "k string, v string")) if never else None
+        whole = [(p.hex().upper(), token(rank)) for p, rank in never.items()]
+        self.whole = bucketed(spark.createDataFrame(whole, "k string, v string")) if whole else None
 
     def fold(self, word: Column) -> Column:
         """The tokens of one match."""
         raw = F.encode(word, "UTF-8")
         start = F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, range(256))), self.bytes)
 
-        def state(s):
-            """The tokens of ``s``, and its lowest merge: the new token and the pair, null if there is none."""
-            return let(F.split(s, ""), lambda t: F.struct(t.alias("t"), F.array_min(F.zip_with(
-                t, F.slice(t, 2, F.size(t)), lambda a, b: F.get(self.ranks, bucket(a, b))[F.concat(a, b)])).alias("best")))
+        def lowest(s):
+            """The lowest merge of the tokens of ``s``: the new token and the pair, null if there is none."""
+            return let(F.split(s, ""), lambda t: F.array_min(F.zip_with(
+                t, F.slice(t, 2, F.size(t)), lambda a, b: F.get(self.ranks, bucket(a, b))[F.concat(a, b)])))
 
         def step(now, _):
-            return F.when(now["best"].isNull(), now).otherwise(state(F.replace(
-                F.array_join(now["t"], ""), F.substring(now["best"], 2, 2), F.substring(now["best"], 1, 1))))
+            return F.when(now["done"], now).otherwise(let(lowest(now["s"]), lambda best: F.struct(
+                F.coalesce(F.replace(now["s"], F.substring(best, 2, 2), F.substring(best, 1, 1)), now["s"]).alias("s"),
+                best.isNull().alias("done"))))
 
         steps = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(1)))
-        folded = F.aggregate(steps, state(start), step, lambda now: F.array_join(now["t"], ""))
+        folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda now: now["s"])
         return folded if self.whole is None else F.coalesce(looked_up(self.whole, F.hex(raw)), folded)
 
     def matches(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of ``ids``, null where one is not in the vocabulary."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hexes, i)), ""))
-
-    def packed(self, ids: Column) -> Column:
-        """``ids`` as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""))
-
 
 @functools.cache
 def _class(name: str) -> frozenset[str]:
@@ -182,38 +185,134 @@ def _runs(chars: set[str]) -> list[list[int]]:
     return runs
 
 
-def known_words(docs: DataFrame, voc: Vocabulary) -> Column:
-    """The ids of the most frequent matches of all ``docs``, as a literal dictionary."""
-    counts = (docs.select(F.explode(voc.matches(F.col("text"))).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.octet_length("word") <= KNOWN_BYTES)
-              .select("word", F.floor(F.log(F.col("n").cast("double")) * _LEVELS).cast("int").alias("level")))
-    counts = counts.persist()
-    try:
-        least, total = 1 << 30, 0
-        for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
-            total += n
-            if total > KNOWN:
-                break
-            least = level
-        often = counts.filter(F.col("level") >= least)
-        return bucketed(often.select(F.col("word").alias("k"), voc.fold(F.col("word")).alias("v")))
-    finally:
-        counts.unpersist()
+class Known:
+    """The dictionary of frequent matches: their texts, and their ids in a row."""
+
+    def __init__(self, rows: pa.Table):
+        self.words = rows.column("word").combine_chunks()
+        self.bounds, self.ids = token_ids(rows.column("tokens").combine_chunks())
+
+
+def token_ids(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and ids of strings of tokens, each a character of four bytes."""
+    if isinstance(strings, pa.ChunkedArray):
+        strings = pa.concat_arrays(strings.chunks) if strings.num_chunks else pa.array([], pa.string())
+    strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    b = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 4).astype(np.int32) if data else np.zeros((0, 4), np.int32)
+    ids = ((b[:, 0] & 7) << 18 | (b[:, 1] & 63) << 12 | (b[:, 2] & 63) << 6 | b[:, 3] & 63) - _FIRST
+    return (offsets - offsets[0]) // 4, ids
+
+
+def known_words(docs: DataFrame, voc: Vocabulary) -> Known:
+    """The most frequent matches of all ``docs``, folded."""
+    counts = written(docs.select(F.explode(voc.matches(F.col("text"))).alias("word"))
+                     .groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.octet_length("word") <= KNOWN_BYTES)
+                     .select("word", F.floor(F.log(F.col("n").cast("double")) * _LEVELS).cast("int").alias("level")), "matches")
+    least, total = 1 << 30, 0
+    for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
+        total += n
+        if total > KNOWN:
+            break
+        least = level
+    often = counts.filter(F.col("level") >= least)
+    return Known(often.select("word", voc.fold(F.col("word")).alias("tokens")).toArrow())
+
+
+def _split(docs: DataFrame, voc: Vocabulary, known: Known) -> DataFrame:
+    """``(doc_id, at, rest)``: each match as its place in the dictionary, -1 if it is the next one of ``rest``."""
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column("found")
+            bounds = np.asarray(lists.offsets).astype(np.int64)
+            values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+            bounds -= bounds[0]
+            at = pc.fill_null(pc.index_in(values, known.words), -1)
+            missing = np.flatnonzero(at.to_numpy() < 0)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), at),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, bounds).astype(np.int32)), values.take(pa.array(missing)))],
+                ["doc_id", "at", "rest"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), voc.matches(F.col("text")).alias("found")).mapInArrow(
+        rows, "doc_id long, at array<int>, rest array<string>")
+
+
+def _ids(batch: pa.RecordBatch, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and ids of the rows of a batch ``(doc_id, at, rest)`` whose ``rest`` is tokens."""
+    lists, rest = batch.column("at"), batch.column("rest").flatten()
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    at = lists.values.to_numpy()[bounds[0]:bounds[-1]].astype(np.int64)
+    bounds -= bounds[0]
+    more, more_ids = token_ids(rest)
+    starts = np.r_[known.bounds[:-1], more[:-1] + len(known.ids)]
+    length = np.r_[np.diff(known.bounds), np.diff(more)]
+    unknown = np.flatnonzero(at < 0)
+    at[unknown] = len(known.words) + np.arange(len(unknown))
+    n = length[at]
+    ends = np.r_[0, np.cumsum(n)]
+    where = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
+    return ends[bounds], np.concatenate([known.ids, more_ids])[where]
+
+
+def _folded(docs: DataFrame, voc: Vocabulary) -> tuple[DataFrame, Known]:
+    known = known_words(docs, voc)
+    return _split(docs, voc, known).select("doc_id", "at", F.transform("rest", voc.fold).alias("rest")), known
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, Vocabulary]:
-    """``(doc_id, ids)`` for every row of ``docs (doc_id, text)``, and the vocabulary."""
-    voc = Vocabulary(docs.sparkSession, path, pattern)
-    known = known_words(docs, voc)
-    tokens = F.array_join(F.transform(voc.matches(F.col("text")), lambda w: F.coalesce(looked_up(known, w), voc.fold(w))), "")
-    ids = F.when(tokens == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(tokens, ""), lambda c: F.ascii(c) - F.lit(_FIRST)))
-    return docs.select("doc_id", ids.alias("ids")), voc
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids)`` for every row of ``docs (doc_id, text)``."""
+    parts, known = _folded(docs, Vocabulary(docs.sparkSession, path, pattern))
+
+    def rows(batches):
+        for batch in batches:
+            bounds, ids = _ids(batch, known)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(
+                pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+
+    return parts.mapInArrow(rows, "doc_id long, ids array<int>")
+
+
+def decoded(bounds: np.ndarray, ids: np.ndarray, pieces: pa.Array) -> list[bytes]:
+    """The concatenated pieces of each row of ids."""
+    joined = pieces.take(pa.array(ids, pa.int64()))
+    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(ids) + 1]
+    data = memoryview(joined.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(offsets[bounds[:-1]].tolist(), offsets[bounds[1:]].tolist())]
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, text)`` for every row ``(doc_id, ids)``; bytes that are not UTF-8 become U+FFFD."""
+    pieces = rank_pieces(read_ranks(path))
+
+    def rows(batches):
+        for batch in batches:
+            lists = pc.fill_null(batch.column("ids"), [])
+            texts = decoded(np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py(),
+                            lists.flatten().to_numpy(), pieces)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode(errors="replace") for t in texts], pa.string())],
+                                             ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(rows, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: the ids, and the text they decode to."""
-    ids, voc = encode(docs, path, pattern)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2(voc.packed(F.col("ids")), 256).alias("ids_sha256"),
-                      F.sha2(voc.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: of the ids, and of the bytes they decode to."""
+    voc = Vocabulary(docs.sparkSession, path, pattern)
+    parts, known = _folded(docs, voc)
+    pieces = voc.pieces
+
+    def rows(batches):
+        for batch in batches:
+            bounds, ids = _ids(batch, known)
+            packed = memoryview(ids.astype("<u4")).cast("B")
+            ends = (bounds * 4).tolist()
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.diff(bounds)),
+                pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in decoded(bounds, ids, pieces)], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return parts.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
