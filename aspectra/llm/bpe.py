@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.tables import written
 
+#: matches that a task works on at once (one text at least)
+AT_ONCE = 1 << 18
 #: words of the dictionary: it bounds what is sent to the tasks, not what is encoded
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 KNOWN_BYTES = 48
 BUCKETS = 1 << 14
 _FIRST = 0x10000
@@ -185,12 +187,15 @@ def _runs(chars: set[str]) -> list[list[int]]:
     return runs
 
 
-class Known:
-    """The dictionary of frequent matches: their texts, and their ids in a row."""
-
-    def __init__(self, rows: pa.Table):
-        self.words = rows.column("word").combine_chunks()
-        self.bounds, self.ids = token_ids(rows.column("tokens").combine_chunks())
+def slices(batches, column: str):
+    """Slices of whole rows with at most AT_ONCE elements in a list column (one row at least)."""
+    for batch in batches:
+        offsets, i = np.asarray(batch.column(column).offsets), 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(offsets, offsets[i] + AT_ONCE, side="right")) - 1
+            j = min(max(j, i + 1), batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
 
 
 def token_ids(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +210,8 @@ def token_ids(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0]) // 4, ids
 
 
-def known_words(docs: DataFrame, voc: Vocabulary) -> Known:
-    """The most frequent matches of all ``docs``, folded."""
+def known_words(docs: DataFrame, voc: Vocabulary) -> pa.Table:
+    """``(word, tokens)``: the most frequent matches of all ``docs``, folded."""
     counts = written(docs.select(F.explode(voc.matches(F.col("text"))).alias("word"))
                      .groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.octet_length("word") <= KNOWN_BYTES)
                      .select("word", F.floor(F.log(F.col("n").cast("double")) * _LEVELS).cast("int").alias("level")), "matches")
@@ -217,19 +222,19 @@ def known_words(docs: DataFrame, voc: Vocabulary) -> Known:
             break
         least = level
     often = counts.filter(F.col("level") >= least)
-    return Known(often.select("word", voc.fold(F.col("word")).alias("tokens")).toArrow())
+    return often.select("word", voc.fold(F.col("word")).alias("tokens")).toArrow()
 
 
-def _split(docs: DataFrame, voc: Vocabulary, known: Known) -> DataFrame:
+def _split(docs: DataFrame, voc: Vocabulary, known: pa.Array) -> DataFrame:
     """``(doc_id, at, rest)``: each match as its place in the dictionary, -1 if it is the next one of ``rest``."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches, "found"):
             lists = batch.column("found")
             bounds = np.asarray(lists.offsets).astype(np.int64)
             values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
             bounds -= bounds[0]
-            at = pc.fill_null(pc.index_in(values, known.words), -1)
+            at = pc.fill_null(pc.index_in(values, known), -1)
             missing = np.flatnonzero(at.to_numpy() < 0)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), at),
@@ -240,26 +245,29 @@ def _split(docs: DataFrame, voc: Vocabulary, known: Known) -> DataFrame:
         rows, "doc_id long, at array<int>, rest array<string>")
 
 
-def _ids(batch: pa.RecordBatch, known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and ids of the rows of a batch ``(doc_id, at, rest)`` whose ``rest`` is tokens."""
+def _ids(batch: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and ids of the rows of a batch ``(doc_id, at, rest)`` whose ``rest`` is tokens; ``known``: as of ``token_ids``."""
     lists, rest = batch.column("at"), batch.column("rest").flatten()
     bounds = np.asarray(lists.offsets).astype(np.int64)
     at = lists.values.to_numpy()[bounds[0]:bounds[-1]].astype(np.int64)
     bounds -= bounds[0]
+    places, known_ids = known
     more, more_ids = token_ids(rest)
-    starts = np.r_[known.bounds[:-1], more[:-1] + len(known.ids)]
-    length = np.r_[np.diff(known.bounds), np.diff(more)]
+    starts = np.r_[places[:-1], more[:-1] + len(known_ids)]
+    length = np.r_[np.diff(places), np.diff(more)]
     unknown = np.flatnonzero(at < 0)
-    at[unknown] = len(known.words) + np.arange(len(unknown))
+    at[unknown] = len(places) - 1 + np.arange(len(unknown))
     n = length[at]
     ends = np.r_[0, np.cumsum(n)]
     where = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
-    return ends[bounds], np.concatenate([known.ids, more_ids])[where]
+    return ends[bounds], np.concatenate([known_ids, more_ids])[where]
 
 
-def _folded(docs: DataFrame, voc: Vocabulary) -> tuple[DataFrame, Known]:
-    known = known_words(docs, voc)
-    return _split(docs, voc, known).select("doc_id", "at", F.transform("rest", voc.fold).alias("rest")), known
+def _folded(docs: DataFrame, voc: Vocabulary) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    table = known_words(docs, voc)
+    words = pa.concat_arrays([pa.array([], pa.string()), *table.column("word").chunks])
+    parts = _split(docs, voc, words).select("doc_id", "at", F.transform("rest", voc.fold).alias("rest"))
+    return parts, token_ids(table.column("tokens"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -267,7 +275,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     parts, known = _folded(docs, Vocabulary(docs.sparkSession, path, pattern))
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches, "at"):
             bounds, ids = _ids(batch, known)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(
                 pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
@@ -305,7 +313,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     pieces = voc.pieces
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches, "at"):
             bounds, ids = _ids(batch, known)
             packed = memoryview(ids.astype("<u4")).cast("B")
             ends = (bounds * 4).tolist()
