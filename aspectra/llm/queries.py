@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectra.llm import bpe, decontam, idcoder, itq, langid, licenses, linedup, lm, minhash, mixing, secrets
+from aspectra.llm import bpe, decontam, dialogue, idcoder, itq, langid, lexical, licenses, linedup, lm, minhash, mixing, secrets
 from aspectra.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,5 +103,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks())
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the damaged conversations, and the cheapest edits that repair them."""
+    return dialogue.repaired(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = lexical.ORACLE_SQL
 ORACLES["op5_license_scan"] = licenses.ORACLE_SQL
 ORACLES["op8_line_dedup"] = linedup.ORACLE_SQL
