@@ -7,11 +7,13 @@ but they compose safely.  Element-by-element forms would be code-generated,
 yet each element reads its input again, and when Spark pushes an inferred
 filter (e.g. from ``explode``) down through the projections the substituted
 expressions multiply -- a composed scorer grew to megabytes of plan text.
+``computed`` ends that: its columns come out of a one-row generator, which the
+optimizer neither merges into later projections nor copies into filters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.schema import DEFAULT_SCHEMA, POLARITY_DEADBAND, AspectSchema
@@ -21,6 +23,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with ``cols``, each evaluated once per row however often later expressions read it."""
+    return df.select(*[c for c in df.columns if c not in cols],
+                     F.inline(F.array(F.struct(*[c.alias(name) for name, c in cols.items()]))))
+
+
 def sigmoid(logits) -> Column:
     """Element-wise logistic; NaN stays NaN (guarded later)."""
     return F.transform(_c(logits), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x.cast("double"))))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.functions.aspects import detect_aspects
-from aspectra.functions.scoring import (apply_thresholds, aspect_polarity_vector, cosine_similarity,
-                                        detected_labels, polarity_from_diff, resolve_conflicts,
+from aspectra.functions.scoring import (apply_thresholds, aspect_polarity_vector, computed,
+                                        cosine_similarity, detected_labels, polarity_from_diff, resolve_conflicts,
                                         safe_prediction, score_polarity, sigmoid, threshold_array,
                                         top_k_labels)
 from aspectra.functions.text import truncate_chars
@@ -120,7 +120,7 @@ class CentroidPredictor:
         d = attach_one_row(df, self.centroids)
         text = F.col(self.text) if self.text in df.columns else F.lit(None).cast("string")
         v = F.col(self.vector)
-        d = d.withColumn("sim_pos", cosine_similarity(v, "c_pos")).withColumn("sim_neg", cosine_similarity(v, "c_neg"))
+        d = computed(d, sim_pos=cosine_similarity(v, "c_pos"), sim_neg=cosine_similarity(v, "c_neg"))
         diff = F.col("sim_pos") - F.col("sim_neg")
         found = detect_aspects(text, self.lexicon, default=NARROW_DEFAULT)
         if self.aspects:  # detected before a join, so that the text need not go through it
@@ -166,12 +166,11 @@ class ThresholdScorer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         p, out = F.col(self.probs), self.output_col
-        d = df.withColumn(out, apply_thresholds(p, self.thr))
+        d = computed(df, **{out: apply_thresholds(p, self.thr)})
         if self.resolve:
-            d = d.withColumn(out, resolve_conflicts(F.col(out), p))
-        d = d.withColumn("detected", detected_labels(F.col(out), p, self.schema))
-        return d.withColumn("fallback", F.when(F.size("detected") == 0,
-                                               top_k_labels(p, self.top_k, self.schema, self.thr)))
+            d = computed(d, **{out: resolve_conflicts(F.col(out), p)})
+        d = computed(d, detected=detected_labels(F.col(out), p, self.schema))
+        return computed(d, fallback=F.when(F.size("detected") == 0, top_k_labels(p, self.top_k, self.schema, self.thr)))
 
 
 class ModelPredictor:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions.labels import encode_labels
-from aspectra.functions.scoring import sigmoid
+from aspectra.functions.scoring import computed, sigmoid
 from aspectra.operators.clean import drop_removed
 from aspectra.schema import DEFAULT_SCHEMA
 
@@ -80,9 +80,10 @@ LOGIT_SCALE, LOGIT_SHIFT = 4.0, -1.7
 
 def label_logits(vector: str = "embedding", n: int = 8) -> F.Column:
     """``n`` logits of a whole vector: component d counts for logit d mod n; scaled so that labels vary."""
-    part = lambda i: F.aggregate(F.transform(F.col(vector), lambda x, d: F.when(
-        d % n == i, x.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    return F.array(*[part(i) * LOGIT_SCALE + LOGIT_SHIFT for i in range(n)])
+    size = F.coalesce(F.size(vector), F.lit(0))
+    mine = lambda i: F.when(size > i, F.sequence(i, size - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(
+        mine(i), F.lit(0.0), lambda a, d: a + F.get(F.col(vector), d).cast("double")) * LOGIT_SCALE + LOGIT_SHIFT)
 
 
 def label_truth(label: str = "label", n: int = 8) -> F.Column:
@@ -93,7 +94,8 @@ def label_truth(label: str = "label", n: int = 8) -> F.Column:
 def b_probs(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
     """Probability vectors: sigmoid of logits from all embedding dims."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("review_id"), sigmoid(label_logits("embedding", n)).alias("probs"))
+    scored = computed(e.select("vec_id", "embedding"), probs=sigmoid(label_logits("embedding", n)))
+    return scored.select(F.col("vec_id").alias("review_id"), "probs")
 
 
 def b_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +114,9 @@ def b_text_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     sides = lambda pos, neg: F.when(pos, "Positivo").when(neg, "Negativo")
     j = d.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(lab, "doc_id", "left")
-    return j.select(
+    return computed(j, probs=sigmoid(label_logits())).select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"),
-        (F.col("doc_id") % 5 + 1).cast("int").alias("review_score"), "embedding",
-        sigmoid(label_logits()).alias("probs"),
+        (F.col("doc_id") % 5 + 1).cast("int").alias("review_score"), "embedding", "probs",
         sides(F.col("doc_id") % 3 == 0, F.col("lang") == "de").alias("logistica_sentimento"),
         sides(F.col("quality") == 1, F.col("quality") == 0).alias("produto_sentimento"),
         sides((F.col("toxic") == 0) & (F.col("quality") == 1), F.col("toxic") == 1).alias("atendimento_sentimento"),

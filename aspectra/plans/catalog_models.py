@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aspectra.functions.scoring import sigmoid
+from aspectra.functions.scoring import computed, sigmoid
 from aspectra.functions.text import unicode_strip
 from aspectra.operators import sampling, train
 from aspectra.operators.predictors import (CentroidPredictor, ModelPredictor, ScoreRegexPredictor, TextEmbedder,
@@ -23,9 +23,8 @@ WORD_RE2 = r"[\p{L}\p{N}_]+"
 
 def _score_probs(df):
     """The M3 scoring used by both the batch and the stream path."""
-    probs = df.select(F.col("vec_id").alias("review_id"),
-                      sigmoid(bridge.label_logits()).alias("probs"))
-    s = ThresholdScorer("probs").transform(probs)
+    probs = computed(df.select(F.col("vec_id").alias("review_id"), "embedding"), probs=sigmoid(bridge.label_logits()))
+    s = ThresholdScorer("probs").transform(probs.drop("embedding"))
     return s.select("review_id", F.size("detected").cast("int").alias("n_detected"),
                     F.array_join(F.col("detected")["label"], ",").alias("detected"),
                     F.coalesce(F.array_join(F.col("fallback")["label"], ","), F.lit(""))

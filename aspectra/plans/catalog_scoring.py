@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aspectra.functions.aspects import aspect_hits, detect_aspects
-from aspectra.functions.scoring import (apply_thresholds, cosine_similarity, polarity_from_diff,
+from aspectra.functions.scoring import (apply_thresholds, computed, cosine_similarity, polarity_from_diff,
                                         resolve_conflicts, score_polarity)
 from aspectra.functions.text import join_aspects, truncate_chars
 from aspectra.operators import reports
+from aspectra.operators.joins import label_dim_join
 from aspectra.operators.predictors import (CentroidPredictor, ScoreRegexPredictor, ThresholdScorer,
                                            attach_one_row, class_centroids, polarity_centroids)
 from aspectra.plans import bridge
 from aspectra.plans.registry import labels_str, r6, register
 from aspectra.plans.sqlbits import B_PROBS, B_REVIEWS, LABEL_DIM, rx, with_
-from aspectra.schema import ASPECTS, DEFAULT_SCHEMA, DRIVER_LEXICON, NARROW_DEFAULT, label_dimension
+from aspectra.schema import ASPECTS, DEFAULT_SCHEMA, DRIVER_LEXICON, NARROW_DEFAULT
 
 LEX = DRIVER_LEXICON
 
@@ -158,7 +159,7 @@ def q_sigmoid(spark, sf):
 SELECT review_id, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY label_idx) AS bits,
        CAST(sum(bit) AS INTEGER) AS n_bits FROM b GROUP BY review_id""")
 def q_apply_thresholds(spark, sf):
-    p = bridge.b_probs(spark, sf).withColumn("bits", apply_thresholds("probs"))
+    p = computed(bridge.b_probs(spark, sf), bits=apply_thresholds("probs"))
     return p.select("review_id", labels_str("bits").alias("bits"),
                     sum((F.get("bits", i) for i in range(8)), F.lit(0.0)).cast("int").alias("n_bits"))
 
@@ -166,7 +167,7 @@ def q_apply_thresholds(spark, sf):
 @register("resolve_conflict", PLONG + """
 SELECT review_id, string_agg(CAST(rbit AS VARCHAR), ',' ORDER BY label_idx) AS bits FROM rs GROUP BY review_id""")
 def q_resolve_conflict(spark, sf):
-    p = bridge.b_probs(spark, sf).withColumn("bits", apply_thresholds("probs"))
+    p = computed(bridge.b_probs(spark, sf), bits=apply_thresholds("probs"))
     return p.select("review_id", labels_str(resolve_conflicts("bits", "probs")).alias("bits"))
 
 
@@ -231,11 +232,9 @@ def q_score_batch_unresolved(spark, sf):
 SELECT review_id, CAST(label_idx AS INTEGER) AS label_idx, label, threshold, p > threshold AS passed FROM pl""")
 def q_label_dim_join(spark, sf):
     p = bridge.b_probs(spark, sf).select("review_id", F.posexplode("probs").alias("label_idx", "p"))
-    dim = label_dimension(spark)  # 8 rows: broadcast
-    j = p.join(F.broadcast(dim), "label_idx", "left")
-    thr = F.coalesce(F.col("threshold"), F.lit(DEFAULT_SCHEMA.default_threshold))
-    return j.select("review_id", F.col("label_idx").cast("int").alias("label_idx"), "label",
-                    thr.alias("threshold"), (~F.isnan("p") & (F.col("p") > thr)).alias("passed"))
+    j = label_dim_join(p)
+    return j.select("review_id", F.col("label_idx").cast("int").alias("label_idx"), "label", "threshold",
+                    (~F.isnan("p") & (F.col("p") > F.col("threshold"))).alias("passed"))
 
 
 # ---------------------------------------------------------------------------

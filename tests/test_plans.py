@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from aspectra.plans import queries as catalog
@@ -73,3 +74,27 @@ def test_centroids_are_a_scalar_subquery(spark, sf_dir):
 def test_no_cross_or_nested_loop_join(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
+
+
+@pytest.mark.parametrize("name", ["top3_fallback", "rank_detected_labels", "score_batch", "label_dim_join", "resolve_conflict"])
+def test_logits_are_computed_once(spark, sf_dir, name):
+    # one strided sum for all eight logits, and nothing copies it into inferred filters
+    p = E.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("aggregate(") == 1, name
+
+
+def test_computed_replaces_and_adds_columns(spark):
+    from aspectra.functions.scoring import computed
+
+    df = computed(spark.range(3).selectExpr("id", "id * 2 as x"), x=F.col("x") + 1, y=F.col("id") * 10)
+    assert sorted(map(tuple, df.select("id", "x", "y").collect())) == [(0, 1, 0), (1, 3, 10), (2, 5, 20)]
+
+
+def test_logits_of_short_and_missing_vectors(spark):
+    from aspectra.plans.bridge import LOGIT_SCALE, LOGIT_SHIFT, label_logits
+
+    rows = [(0, None), (1, []), (2, [1.0, 2.0]), (3, [float(i) for i in range(19)])]
+    got = dict(spark.createDataFrame(rows, "id int, embedding array<float>").select("id", label_logits()).collect())
+    for k, v in rows:
+        want = [sum((v or [])[i::8]) * LOGIT_SCALE + LOGIT_SHIFT for i in range(8)]
+        assert got[k] == pytest.approx(want)
