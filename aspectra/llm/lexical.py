@@ -154,9 +154,7 @@ class Queries:
             for batch in batches:
                 bounds, at, impact = self.vectors(batch)
                 part = self.root[at] * impact
-                total = np.r_[0, np.cumsum(part * part)]
-                norm = np.sqrt(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0)) if len(at) < 1 else np.sqrt(
-                    np.bincount(words.rows_of(bounds), part * part, batch.num_rows))
+                norm = np.sqrt(np.bincount(words.rows_of(bounds), part * part, batch.num_rows))
                 offsets = pa.array(bounds.astype(np.int32))
                 out = pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array(norm), pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
@@ -167,7 +165,7 @@ class Queries:
 
     def search(self, vectors: DataFrame) -> DataFrame:
         """``(item_id, mark, doc_id, score)``: the ten best of each task and query."""
-        schema = f"item_id {'long'}, mark long, doc_id long, score long"
+        schema = "item_id long, mark long, doc_id long, score long"
         in_order = vectors.sortWithinPartitions(F.desc("norm"))
 
         def best(batches):
@@ -318,11 +316,10 @@ weights AS (
   FROM tf, all_docs GROUP BY term, n_docs),
 asked AS (
   SELECT item_id, text, term, count(*) AS c FROM (
-    SELECT DISTINCT item_id, text, unnest(list_transform(list_zip(ts, range(len(ts))), z -> z[1])) AS term,
-           unnest(range(len(ts))) AS place
-    FROM (SELECT item_id, text, regexp_extract_all(
-            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark))
+    SELECT item_id, text, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark))
   GROUP BY item_id, text, term),
 scored AS (
   SELECT item_id, text, s.r, doc_id,
