@@ -34,13 +34,19 @@ def prepare_tokens(df: DataFrame, text: str = "text", max_len: int = MAX_TOKENS)
     return df.withColumn("tokens", F.concat(t, pad)).withColumn("attention_mask", mask)
 
 
-def label_weight_columns(df: DataFrame, label_cols: list[str]) -> DataFrame:
+def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, df)``: the number of rows that hold each word of the M6 features."""
+    return (df.select(F.explode(F.array_distinct(tokens(text))).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+
+
+def label_weight_columns(df: DataFrame, label_cols: list[str], counted: DataFrame | None = None) -> DataFrame:
     """A11 weights for 0/1 label columns, attached as ``w_<label>`` row weights.
 
-    One aggregate pass gives N and the positives; the weights are literals
-    afterwards (k numbers), so no join back to the rows.
+    One aggregate pass (over ``counted``, by default ``df``) gives N and the positives; the weights are
+    literals afterwards (k numbers), so no join back to the rows.
     """
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in label_cols]).first()
+    row = (df if counted is None else counted).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in label_cols]).first()
     n = float(row["n"])
     raw = {c: (n / ((row[c] or 0.0) + 1.0)) ** 0.5 for c in label_cols}
     lo = min(raw.values()) if raw else 1.0

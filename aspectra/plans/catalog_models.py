@@ -91,27 +91,56 @@ def _docs_labelled(spark, sf):
     return d.join(lab, "review_id")
 
 
-@register("train_multilabel", f"""
-SELECT d.doc_id AS review_id, l.quality, l.toxic, true AS valid FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+_TRAINING = f"""
+t AS (SELECT l.quality, l.toxic, d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+      WHERE {SPLIT.replace('review_id', 'd.doc_id')} >= 0.15),
+raw AS (SELECT sqrt(count(*) / (sum(quality) + 1.0)) AS q, sqrt(count(*) / (sum(toxic) + 1.0)) AS x FROM t)"""
+
+
+@register("train_multilabel", with_(_TRAINING) + f"""
+SELECT d.doc_id AS review_id, l.quality, l.toxic, true AS valid,
+       round(CASE WHEN l.quality = 1 THEN q / least(q, x) ELSE 1.0 END, 6) AS w_quality,
+       round(CASE WHEN l.toxic = 1 THEN x / least(q, x) ELSE 1.0 END, 6) AS w_toxic
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id, raw
 WHERE {SPLIT.replace('review_id', 'd.doc_id')} < 0.15""")
 def q_train(spark, sf):
     """M6: weighted per-label logistic regressions on the labelled documents; predictions on held-out rows.
 
-    ``valid``: both predictions are probabilities.
+    ``valid``: both predictions are probabilities; ``w_``: the class weight of the row's label in the training.
     """
+    return _held_out(spark, sf).select(
+        "review_id", "quality", "toxic", ((F.size("probs") == 2) & F.forall("probs", lambda x: x.between(0.0, 1.0))).alias("valid"),
+        r6("w_quality").alias("w_quality"), r6("w_toxic").alias("w_toxic"))
+
+
+def _held_out(spark, sf):
     df = _docs_labelled(spark, sf)
     tr, te = sampling.train_test_split(df, 0.15)
-    model = train.train_multilabel(tr, ["quality", "toxic"])
-    p = train.predict_multilabel(model, te, ["quality", "toxic"])
-    return p.select("review_id", "quality", "toxic",
-                    ((F.size("probs") == 2) & F.forall("probs", lambda x: x.between(0.0, 1.0))).alias("valid"))
+    labels = ["quality", "toxic"]
+    model = train.train_multilabel(tr, labels)
+    return train.label_weight_columns(train.predict_multilabel(model, te, labels), labels, tr)
+
+
+@register("train_multilabel_probs")
+def q_train_probs(spark, sf):
+    """M6: the probabilities of the held-out rows."""
+    return _held_out(spark, sf).select("review_id", "quality", "toxic", F.get("probs", 0).alias("p_quality"), F.get("probs", 1).alias("p_toxic"))
+
+
+@register("training_document_frequencies", with_(_TRAINING) + f"""
+SELECT word, CAST(count(*) AS BIGINT) AS df FROM (
+  SELECT unnest(list_distinct(regexp_extract_all(text, '{WORD_RE2}'))) AS word FROM t) GROUP BY word""")
+def q_document_frequencies(spark, sf):
+    """M6: the document frequencies behind the training features."""
+    tr, _ = sampling.train_test_split(_docs_labelled(spark, sf), 0.15)
+    return train.document_frequencies(tr)
 
 
 @register("model_save_load", "SELECT doc_id AS review_id, true AS equal FROM documents")
 def q_save_load(spark, sf):
-    """Save the fitted pipeline, load it back, and compare predictions row by row (five passes are enough to fit)."""
+    """Save the fitted pipeline, load it back, and compare predictions row by row."""
     df = _docs_labelled(spark, sf)
-    model = train.train_multilabel(df, ["quality", "toxic"], max_iter=5)
+    model = train.train_multilabel(df, ["quality", "toxic"])
     path = scratch_path(spark, "model")
     train.save_model(model, path)
     loaded = train.load_model(path)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from aspectra.plans import queries as catalog
 
-PYTHON_OK = {"model_udf", "text_embedding_predict", "train_multilabel", "model_save_load"}  # user model / Spark ML
+TRAINED = {"focal_training_log", "score_saved_model", "stream_score_saved_model", "train_focal_text", "compare_trained_models",
+           "train_multilabel", "train_multilabel_probs", "model_save_load"}  # fit a model first
+PYTHON_OK = {"model_udf", "text_embedding_predict"} | TRAINED  # user model / Spark ML
 SKIP_PLAN = {"stream_score", "latest_label_state", "write_metrics", "write_sheet_csv", "export_labels_csv",
-             "export_labels_json", "train_multilabel", "model_save_load"}  # read back from a sink or fit a model
+             "export_labels_json"} | TRAINED  # read back from a sink or fit a model
 
 
 def plan(df) -> str:
