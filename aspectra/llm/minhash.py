@@ -7,7 +7,8 @@ random rounds as there are bins, round ``bins + b`` sends every element to bin b
 fills.  Two sketches agree in a coordinate with probability equal to the Jaccard similarity, and the
 number of agreeing coordinates is concentrated around its mean.
 
-Documents with equal sets form a class; only one of each class goes on.  Documents of equal band
+Documents with equal sets form a class, which goes on as one node, named by 64 bits of the set's digest.
+All sets of one ``doc_id`` are linked.  Nodes of equal band
 meet in a bucket.  First every document is checked, on full sets, against its buckets' smallest
 document; what that leaves in different components of one bucket is then compared in blocks, on full
 sets, whatever the bucket's size; a block is bounded by its shingles and by its members, and the blocks
@@ -17,7 +18,8 @@ probability (1 - s**rows)**bands, 3e-6 at s = 0.8 with the default 32 bands of 5
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing;
 a text with fewer words than a shingle has its whole word sequence as one element; rows with the same
-``doc_id`` are one node (equal rows stay as equal rows in the result); rows without a ``doc_id`` link
+``doc_id`` are one document, linked by each of their texts (every row stays a row of the result, with the
+size of its own set); rows without a ``doc_id`` link
 with nothing and are kept; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -95,7 +97,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = band_keys(sketch(np.concatenate(sets), np.repeat(np.arange(len(n)), n), len(n), bands * rows),
                              bands, rows)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digest = [_digest(s) for s in sets]
             some = n > 0
             flat = pa.array(keys[some].reshape(-1))
             bounds = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
@@ -107,15 +109,20 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
         run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
+def _digest(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, elements)``: the full set as the bytes of its sorted hashes."""
+    """``(doc_id, elements)``: the node of each text, and its full set as the bytes of its sorted hashes."""
     def run(batches):
         for batch, data, offsets in W.chunks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)],
-                                                  pa.binary())], ["doc_id", "elements"])
+            sets = list(shingle_sets(data, offsets, size))
+            node = [int.from_bytes(d[:8], "big", signed=True) if (d := _digest(s)) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             ["doc_id", "elements"])
 
-    return docs.mapInArrow(run, "doc_id long, elements binary")
+    return docs.select("text").mapInArrow(run, "doc_id long, elements binary")
 
 
 def similar(shared, a, b, percent: int):
@@ -231,19 +238,23 @@ def block_tasks(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs (doc_id, text)``."""
-    found = written(sketches(docs, size, bands, rows), "sketches")
+    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    found = written(sketches(docs, size, bands, rows).withColumn("node", node), "sketches")
     some = found.filter("digest is not null and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    firsts = (some.join(classes, "digest").filter("doc_id = first_id")
-              .groupBy("doc_id").agg(F.first("keys").alias("keys"), F.max("n_shingles").alias("n_shingles")))
-    members = firsts.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
+    # of every set the keys of one row; then nodes take the place of documents
+    firsts = (some.join(classes, "node").filter("doc_id = first_id")
+              .groupBy("node").agg(F.first("keys").alias("keys"), F.max("n_shingles").alias("n_shingles")))
+    members = firsts.select(F.col("node").alias("doc_id"), "n_shingles", F.explode("keys").alias("key"))
     leaders = (members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("_last"))
                .filter("leader < _last").drop("_last"))
     buckets = written(members.join(leaders, "key"), "buckets")
     pairs = buckets.filter("doc_id <> leader").select("leader", "doc_id").distinct()
-    sets = written(_sets(docs.select(F.col("doc_id").cast("long"), "text")
-                         .join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-                   .dropDuplicates(["doc_id"]), "sets")
+    # the texts of the first ids; a bucket's nodes are among their sets
+    wanted = buckets.select(F.col("doc_id").alias("node")).distinct().join(classes, "node").select(F.col("first_id").alias("_first")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = written(_sets(texts.join(wanted, texts["doc_id"] == wanted["_first"], "left_semi"), size)
+                   .join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
     split = (pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_k"))
              .select("leader", F.ceil(F.col("_k") / F.lit(LEADER_ROWS)).cast("int").alias("_n")))
@@ -252,8 +263,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     heads = split.select("leader", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("salt"),
                          F.col("leader").alias("doc_id"))
     with_sets = dealt.union(heads).join(sets, "doc_id").withColumn("_member", F.col("doc_id") != F.col("leader"))
+    several_texts = (some.groupBy("doc_id").agg(F.min("node").alias("dst"), F.max("node").alias("_z")).filter("dst < _z").drop("_z"))
+    own = some.join(several_texts, "doc_id").filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
     links = written(grouped(with_sets, ["leader", "salt"], _check_leaders(percent), "src long, dst long",
-                            ["_member"]), "links")
+                            ["_member"]).union(own), "links")
 
     nodes = connected_components(links)
     placed = (buckets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -268,9 +281,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     more = written(grouped(tasks, ["key", "i", "j"], _check_blocks(percent), "src long, dst long"), "links")
     nodes = written(connected_components(links.union(more)), "components")
 
-    named = (some.join(classes, "digest").select("doc_id", F.col("first_id").alias("node")).distinct()
-             .groupBy("doc_id").agg(F.min("node").alias("node"))
-             .join(nodes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")))
+    placed = classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = (some.select("doc_id", "node").distinct().join(placed.join(least, "component").select("node", "component_id"), "node")
+             .groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
     return (found.select("doc_id", "n_shingles").join(named, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

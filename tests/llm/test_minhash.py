@@ -118,3 +118,24 @@ def test_a_large_group_of_short_texts_next_to_another_component(spark):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in texts.items()], SCHEMA)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, size=4).collect()}
     assert got == {d: 9000 if d == 9000 else 0 for d in texts}
+
+
+def test_an_id_with_several_texts_links_by_each_of_them(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(30):
+        a, b, c = ([f"{k}{g}_{rng.randrange(10 ** 6)}" for _ in range(60)] for k in "abc")
+        i = 10 * g + rng.randrange(3)
+        ids = [i, 10 * g + 4, 10 * g + 5, 10 * g + 7]
+        rows += [(ids[0], " ".join(a)), (ids[0], " ".join(b)), (ids[1], mutated(rng, a, 1)), (ids[2], mutated(rng, b, 1)), (ids[3], " ".join(c))]
+        want |= {ids[0]: i, ids[1]: i, ids[2]: i, ids[3]: ids[3]}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert all(r.kept == (r.doc_id == want[r.doc_id]) and r.n_shingles == 57 for r in got)
+
+
+def test_ids_that_share_two_texts_and_empty_texts(spark):
+    rows = [(3, "p q r s t u"), (3, "v w x y z a"), (2, "v w x y z a"), (5, "p q r s t u"), (5, ""), (6, None), (6, "p q r s t u"), (1, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2, 5: 2, 6: 2}
+    assert sorted((r.doc_id, r.n_shingles) for r in got) == [(1, 0), (2, 3), (3, 3), (3, 3), (5, 0), (5, 3), (6, 0), (6, 3)]
