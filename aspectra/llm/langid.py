@@ -6,8 +6,8 @@ knows any (5, 4, 3, 2, then 1; word edges count as a character), by the mean of
 frequencies.  The language with the largest sum wins; ``score`` is its softmax share.
 
 The model is fitted on labelled rows only: at most about ``FIT_ROWS`` per language, chosen by a hash
-of ``doc_id``, and holds at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams (the most frequent).
-These bounds keep the table that every task receives below 20 MB for four languages.
+of ``doc_id``.  It holds every word and n-gram of these rows; the bound on rows bounds the table that
+every task receives (8 bytes a feature and 4 for each language).
 
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0; with no
 labelled row, or no feature known to the model, every language is equally likely and the first by
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from aspectra.llm import words as W
 
 SIZES = (5, 4, 3, 2, 1)
-FIT_ROWS, MAX_WORDS, MAX_GRAMS = 4_000, 150_000, 150_000
+FIT_ROWS = 4_000
 UNKNOWN = "und"
 
 _EDGE = np.uint64(1)
@@ -166,8 +166,7 @@ class Model:
             total[:, k] += np.bincount(row, weights=values[:, k], minlength=len(total))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS,
-        max_grams: int = MAX_GRAMS) -> Model:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The model of ``labelled (doc_id, text, lang)``; the driver holds no more than its bounded features."""
     labelled = labelled.filter("lang is not null and text is not null")
     rows = labelled.groupBy("lang").count().collect()
@@ -178,26 +177,19 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
                              < share[F.col("lang")] * (1 << 20))
     counts = (chosen.select("text", "lang").mapInArrow(_fit_counts(langs), "size int, h long, lang int, n long")
-              .groupBy("size", "h", "lang").agg(F.sum("n").alias("n")))
-    features = counts.groupBy("size", "h").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+              .groupBy("size", "h").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
+                                          for k in range(len(langs))]))
     keys, logs = {}, {}
-    word = features.filter("size = 0 and all > 1").orderBy(F.desc("all"), "h").limit(max_words)
-    gram = features.filter("size > 0 and (all > 1 or size = 1)").orderBy(
-        F.when(F.col("size") < 3, 0).otherwise(1), F.desc("all"), "h").limit(max_grams)
-    got = word.union(gram).toArrow()
+    got = counts.toArrow()
     size = got.column("size").to_numpy()
     h = got.column("h").to_numpy().view(np.uint64)
-    by = got.column("by").combine_chunks()
-    many = np.diff(by.offsets.to_numpy())
-    flat = by.flatten()
-    n = np.zeros((len(h), len(langs)))
-    np.add.at(n, (np.repeat(np.arange(len(h)), many), flat.field("lang").to_numpy()), flat.field("n").to_numpy())
+    n = np.stack([got.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1)
     for s in (0, *SIZES):
         mine = np.flatnonzero(size == s)
         mine = mine[np.argsort(h[mine])]
-        c = n[mine]
+        c = n[mine].astype(np.float64)
         keys[s] = h[mine]
-        logs[s] = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1))) if len(c) else c
+        logs[s] = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1))).astype(np.float32)
     return Model(langs, keys, logs)
 
 
@@ -233,19 +225,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns.
+    """The rows of ``docs`` in which a language is identified, with all their columns; ``lang`` is that language.
 
-    Texts that are null or without a letter are rejected.
+    Rows predicted ``und`` (null texts and texts without a letter) are rejected.  Where no row is labelled
+    there is nothing to predict: rows with a letter stay as they are.
     """
     model = fit(docs.select("doc_id", "text", "lang").filter(~held_out()))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
+    schema, at = docs.schema, docs.columns.index("lang")
 
     def run(batches):
         m = held.value
         for batch, _, _ in W.chunks(batches):
             if m.langs:
-                keep = m.score(batch.column("text"))[2]
+                best, _, keep = m.score(batch.column("text"))
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(m.langs).take(pa.array(best)).cast(batch.schema.field(at).type))
             else:
                 keep = np.bincount(words_of(batch.column("text")).row, minlength=batch.num_rows) > 0
             yield batch.filter(pa.array(keep))

@@ -15,20 +15,24 @@ from aspectra.llm.tables import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents with an identified language, which ``lang`` then names; null texts and texts without a letter go."""
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates (five words, 0.8).
 
-    Of rows with one ``doc_id`` one stays; rows without a ``doc_id`` stay.
+    Of rows with one ``doc_id``, which are one document, the first in the order of all columns stays;
+    rows without a ``doc_id`` stay.
     """
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return left.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")
+    # ids are counted first, so that only the few rows of repeated ids are compared
+    repeated = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    first = (left.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id"))
+             .agg(F.min(F.struct(*left.columns)).alias("_first")).select("_first.*"))
+    return left.join(repeated, "doc_id", "left_anti").unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,52 @@ def test_backoff_takes_the_longest_known_grams():
     assert m.score(pa.array(["ab"]))[0][0] == 1  # size 3 is known, so size 1 is not asked
     keys[3], logs[3] = np.zeros(0, np.uint64), np.zeros((0, 2))
     assert m.score(pa.array(["ab"]))[0][0] == 0
+
+
+def by_hand(rows):
+    """The scores by plain counting: known words first, else the n-grams of the longest size with a known one."""
+    import itertools
+    import math
+
+    def letters(text):
+        return ["".join(g) for alpha, g in itertools.groupby((text or "").lower(), str.isalpha) if alpha]
+
+    def pieces(word, size):
+        if size == 0:
+            return [word]
+        edged = word if size == 1 else f"\0{word}\0"
+        return [edged[i:i + size] for i in range(len(edged) - size + 1)]
+
+    langs = sorted({lang for d, _, lang in rows if lang is not None and not crc_fold(d, 5)})
+    counts = {s: {} for s in range(6)}
+    for d, text, lang in rows:
+        if lang is None or text is None or crc_fold(d, 5):
+            continue
+        for word in letters(text):
+            for s in range(6):
+                for x in pieces(word, s):
+                    counts[s].setdefault(x, [0] * len(langs))[langs.index(lang)] += 1
+    total = {s: [sum(c[k] for c in counts[s].values()) for k in range(len(langs))] for s in counts}
+    log = lambda s, x, k: math.log((counts[s][x][k] + 0.5) / (total[s][k] + 0.5 * (len(counts[s]) + 1)))
+    out = {}
+    for d, text, _ in rows:
+        sums = [0.0] * len(langs)
+        for word in letters(text):
+            for s in (0, 5, 4, 3, 2, 1):
+                known = [x for x in pieces(word, s) if x in counts[s]]
+                if known:
+                    for k in range(len(langs)):
+                        sums[k] += sum(log(s, x, k) for x in known) / len(known)
+                    break
+        top = max(sums)
+        shares = [math.exp(v - top) for v in sums]
+        out[d] = (langs[sums.index(top)], 1 / sum(shares)) if letters(text) else ("und", 0.0)
+    return out
+
+
+def test_scores_against_plain_counting(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(10 ** 7 + i, t, None) for i, t in enumerate(["zzqx vrrk", "the zzq der", "x", "Étion dans", "", None, "12 34"])]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for d, (lang, score) in by_hand(rows).items():
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-4, d

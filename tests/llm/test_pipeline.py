@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from aspectra.llm import queries
+from aspectra.llm import langid, queries
 from aspectra.llm.tables import table
 from helpers import similar_components, words
 
@@ -29,6 +29,8 @@ def test_stages_over_a_whole_table(spark, sf_dir):
             seen[-1] = (seen[-1], rows)
     (_, identified), (before, deduped), (_, clean), (before_mix, mixed) = seen[:4]
     assert len(identified) == len(seen[0][0])  # every text of the table has letters
+    predicted = {r.doc_id: r.lang_pred for r in langid.identify(table(spark, sf_dir, "documents")).collect()}
+    assert {r.doc_id: r.lang for r in identified} == predicted
     comp, _ = similar_components({d: r.text for d, r in before.items()}, 5)
     assert sorted(r.doc_id for r in deduped) == sorted(d for d in comp if comp[d] == d)
     assert 0 < len(clean) < len(deduped)
@@ -83,5 +85,13 @@ def test_the_entry_works_without_the_optional_parts(tmp_path, gone):
 
 def test_every_operator_has_a_query():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.ORACLES) <= set(names)
+
+
+def test_of_rows_with_one_id_the_first_stays(spark, sf_dir):
+    rows = [(4, "z y x w v u", "en", "s", 1), (4, "a b c d e f", "en", "t", 2), (4, "a b c d e f", "de", "s", 2),
+            (5, "z y x w v u", "en", "s", 1), (6, "other words are here now", "en", "s", 1), (None, "a b c d e f", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
