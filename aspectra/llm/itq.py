@@ -7,17 +7,22 @@ substring one bit away, so two vectors whose substrings differ in at most two bi
 pair that meets several times counts in one place only: the first table in which it meets, in the
 smallest cell the two share.
 
-Cells are first compared by code alone (the whole codes may differ in at most ``code_radius`` bits);
-only vectors with a partner there are looked up and compared by cosine in double precision.  Large
-cells are split into pairs of blocks, links are counted inside the task, and a task hands on no more
-than one edge per vector, so no list of all pairs is made.
-
-The rotation is fitted on at most about ``SAMPLE`` vectors (chosen by a hash of ``vec_id``); every
-vector is indexed.  At cosine 0.95 two of 64 bits differ with probability 0.101 each, and a pair is
-missed with a probability below 0.3 %; above 0.97 below 0.01 %.
-
-Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or do not
-have the most common length link with nothing; rows with the same ``vec_id`` are one vector (the
+How far apart the codes of a linked pair are depends on the data (a common mean, few dimensions), so it is
+measured: partners at exactly the threshold are made for the sample's vectors, in random directions and
+towards other vectors, and the sample's own linked pairs are added; further rotations with tables of their
+own are learned until ``RECALL`` of each kind of pairs meet (at most ``ROTATIONS``).  Every other rotation is
+learned about the origin instead of the mean, for vectors that lie close around the mean.  The code distance
+allowed is taken from the same pairs.
+
+Cells are first compared by code alone; only vectors with a partner there are looked up and compared by
+cosine in double precision.  Large cells are split into pairs of blocks, links are counted inside the task,
+and a task hands on no more than one edge per vector, so no list of all pairs is made.
+
+The rotations are fitted on at most about ``SAMPLE`` vectors (chosen by a hash of ``vec_id``); every
+vector is indexed.  Vectors of each length are searched among themselves, with rotations of their own.
+
+Defined results: vectors that are null, empty, zero or hold a null or non-finite component link with
+nothing; vectors of different lengths do not link; rows with the same ``vec_id`` are one vector (the
 largest by bytes, if they differ); rows without a ``vec_id`` link with nothing; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -25,6 +30,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +39,20 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.tables import Roots, blocks, by_group, connected_components, grouped, written
 
-#: vectors the rotation is fitted on
-SAMPLE = 20_000
+#: vectors the rotations are fitted on, over all lengths; at least LEAST of each length
+SAMPLE, LEAST = 20_000, 500
+#: share of pairs at the threshold that must meet, and the rotations tried for it
+RECALL, ROTATIONS = 0.997, 16
+#: made pairs to measure that on
+TRIALS = 4_000
 CODE_BITS, SUBSTRING_BITS = 64, 16
 #: rows of a cell compared in one block
 BLOCK = 4096
 
 
-def fit_rotation(x: np.ndarray, bits: int = CODE_BITS, rounds: int = 50, seed: int = 7):
+def fit_rotation(x: np.ndarray, bits: int = CODE_BITS, rounds: int = 50, seed: int = 7, centre: bool = True):
     """``(mean, projection)`` such that ``sign((v - mean) @ projection)`` is the code."""
-    mean = x.mean(axis=0)
+    mean = x.mean(axis=0) if centre else np.zeros(x.shape[1])
     centred = x - mean
     _, vectors = np.linalg.eigh(centred.T @ centred)
     p = vectors[:, ::-1][:, :bits]
@@ -62,10 +72,58 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
     return (signs * weight).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def code_radius(bits: int, cosine: float) -> int:
-    """Bits in which the codes of vectors of that cosine differ at most, five deviations out."""
-    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+@dataclass
+class Model:
+    """The rotations of one length, and the bits in which linked codes of one rotation differ at most."""
+
+    rotations: list
+    bits: int
+    radius: int
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """``[rows, rotations]``"""
+        return np.stack([encode(x, *r) for r in self.rotations], axis=1)
+
+
+def threshold_pairs(x: np.ndarray, cosine: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and partners at that cosine: half in random directions, half towards other vectors."""
+    r = np.random.default_rng(seed)
+    a = x[r.integers(0, len(x), TRIALS)]
+    to = np.where(np.arange(TRIALS)[:, None] % 2, r.standard_normal(a.shape), x[r.integers(0, len(x), TRIALS)])
+    to = to - (to * a).sum(axis=1, keepdims=True) * a
+    size = np.sqrt((to * to).sum(axis=1, keepdims=True))
+    some = size[:, 0] > 1e-9
+    a, to = a[some], to[some] / size[some]
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * to
+
+
+def linked_pairs(x: np.ndarray, cosine: float, rows: int = 3000, seed: int = 13) -> np.ndarray:
+    """Some pairs of the vectors themselves that link, at most TRIALS."""
+    r = np.random.default_rng(seed)
+    some = r.permutation(len(x))[:rows]
+    at = np.argwhere(np.triu(x[some] @ x[some].T >= cosine, 1))
+    return some[at[r.permutation(len(at))[:TRIALS]]]
+
+
+def fit(x: np.ndarray, cosine: float) -> Model:
+    """Rotations until pairs at the threshold meet."""
+    bits = min(CODE_BITS, x.shape[1])
+    a, b = threshold_pairs(x, cosine)
+    kind = np.arange(len(a)) % 2
+    own = linked_pairs(x, cosine)
+    a, b, kind = np.concatenate([a, x[own[:, 0]]]), np.concatenate([b, x[own[:, 1]]]), np.r_[kind, np.full(len(own), 2)]
+    met, rotations, radius = np.zeros(len(a), dtype=bool), [], 0
+    while True:
+        rotations.append(fit_rotation(x, bits, seed=7 + len(rotations), centre=len(rotations) % 2 == 0))
+        apart = encode(a, *rotations[-1]).view(np.uint64) ^ encode(b, *rotations[-1]).view(np.uint64)
+        for t in range(0, bits, SUBSTRING_BITS):
+            met |= _popcount((apart >> np.uint64(t)) & np.uint64((1 << SUBSTRING_BITS) - 1)) <= 2
+        d = _popcount(apart)
+        if len(d):
+            radius = max(radius, math.ceil(max(d.mean() + 5 * d.std(), d.max() + 1)))
+        found = min((met[kind == k].mean() for k in (0, 1, 2) if (kind == k).any()), default=1.0)
+        if found >= RECALL or len(rotations) == ROTATIONS:
+            return Model(rotations, bits, min(bits, radius))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -86,70 +144,88 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(vectors: DataFrame, model, width: int) -> DataFrame:
-    mean, projection = model
+def _cells(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
+    """A row for every rotation, table and cell of a vector, with all its codes; a cell holds one length."""
+    order = {w: k for k, w in enumerate(sorted(models))}
+    most = max(len(m.rotations) for m in models.values())
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id"), pa.array(encode(_unit(_matrix(b.column("v"), width)), mean, projection))],
-                    ["vec_id", "code"])
-
-    return vectors.mapInArrow(run, "vec_id long, code long")
-
-
-def _cells(codes: DataFrame, bits: int) -> DataFrame:
-    """A row for every table and cell of a vector."""
-    rows = []
-    for t in range(0, bits, SUBSTRING_BITS):
-        width = min(SUBSTRING_BITS, bits - t)
-        sub = F.shiftrightunsigned("code", t).bitwiseAND(F.lit((1 << width) - 1))
-        rows += [sub.bitwiseXOR(F.lit(d)) + F.lit(t << 32) for d in (0, *(1 << k for k in range(width)))]
-    return codes.select("vec_id", "code", F.explode(F.array(*rows)).alias("cell"))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                widths = batch.column("_w").to_numpy()
+                for w in np.unique(widths):
+                    mine = batch.filter(pa.array(widths == w))
+                    m = models[int(w)]
+                    codes = m.codes(_unit(_matrix(mine.column("v"), int(w)))).view(np.uint64)
+                    cells = []
+                    for s in range(codes.shape[1]):
+                        for t in range(0, m.bits, SUBSTRING_BITS):
+                            width = min(SUBSTRING_BITS, m.bits - t)
+                            sub = (codes[:, s] >> np.uint64(t)) & np.uint64((1 << width) - 1)
+                            at = np.uint64((order[int(w)] << 48) + ((s * (CODE_BITS // SUBSTRING_BITS) + t // SUBSTRING_BITS) << 32))
+                            cells += [(sub ^ np.uint64(d)) + at for d in (0, *(1 << k for k in range(width)))]
+                    n = len(cells)
+                    padded = np.zeros((len(codes), most), np.uint64)
+                    padded[:, :codes.shape[1]] = codes
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.tile(mine.column("vec_id").to_numpy(), n)), pa.array(np.concatenate(cells).view(np.int64)),
+                         *[pa.array(np.tile(padded[:, s].view(np.int64), n)) for s in range(most)]],
+                        ["vec_id", "cell", *[f"code{s}" for s in range(most)]])
+
+    return vectors.mapInArrow(run, "vec_id long, cell long, " + ", ".join(f"code{s} long" for s in range(most)))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def _meet_here(a: np.ndarray, b: np.ndarray, cell: np.ndarray, bits: int, radius: int) -> np.ndarray:
-    """Pairs of codes within ``radius`` whose place to count is this cell."""
-    near = _popcount(a ^ b) <= radius
-    table = (cell >> np.uint64(32)).astype(np.int64)
-    place = cell & np.uint64((1 << SUBSTRING_BITS) - 1)
-    out = np.zeros(len(a), dtype=bool)
-    open_pair = near
-    for t in range(0, bits, SUBSTRING_BITS):
-        mask = np.uint64((1 << min(SUBSTRING_BITS, bits - t)) - 1)
-        x, y = (a >> np.uint64(t)) & mask, (b >> np.uint64(t)) & mask
-        diff = x ^ y
-        d = _popcount(diff)
-        low = diff & (~diff + np.uint64(1))
-        shared = np.where(d == 2, np.minimum(x ^ low, y ^ low), np.minimum(x, y))
-        meets = open_pair & (d <= 2)
-        out |= meets & (table == t) & (place == shared)
-        open_pair = open_pair & ~meets
-    return out
-
-
-def _pairs(t: pa.Table, bits: int, radius: int):
+class _Places:
+    """Where a pair of codes is counted."""
+
+    def __init__(self, models: dict[int, Model]):
+        order = sorted(models)
+        self.bits = np.array([models[w].bits for w in order])
+        self.radius = np.array([models[w].radius for w in order])
+        self.rotations = np.array([len(models[w].rotations) for w in order])
+
+    def here(self, a: list[np.ndarray], b: list[np.ndarray], cell: np.ndarray) -> np.ndarray:
+        """Pairs near in a rotation whose place to count is this cell; ``a``, ``b``: the codes by rotation."""
+        kind = (cell >> np.uint64(48)).astype(np.int64)
+        table = ((cell >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64)
+        place = cell & np.uint64((1 << SUBSTRING_BITS) - 1)
+        out = np.zeros(len(cell), dtype=bool)
+        open_pair = np.ones(len(cell), dtype=bool)
+        mask = np.uint64((1 << SUBSTRING_BITS) - 1)
+        for s in range(len(a)):
+            near = open_pair & (s < self.rotations[kind]) & (_popcount(a[s] ^ b[s]) <= self.radius[kind])
+            for t in range(0, CODE_BITS, SUBSTRING_BITS):
+                x, y = (a[s] >> np.uint64(t)) & mask, (b[s] >> np.uint64(t)) & mask
+                diff = x ^ y
+                d = _popcount(diff)
+                low = diff & (~diff + np.uint64(1))
+                shared = np.where(d == 2, np.minimum(x ^ low, y ^ low), np.minimum(x, y))
+                meets = near & open_pair & (d <= 2) & (t < self.bits[kind])
+                out |= meets & (table == s * (CODE_BITS // SUBSTRING_BITS) + t // SUBSTRING_BITS) & (place == shared)
+                open_pair &= ~meets
+        return out
+
+
+def _pairs(t: pa.Table, places: _Places):
     """Index pairs of one chunk of whole groups that are to be counted there, one offset at a time."""
-    cell, i, j, blk, code, vec = (t.column(c).to_numpy() for c in ("cell", "i", "j", "b", "code", "vec_id"))
-    cell, code = cell.view(np.uint64), code.view(np.uint64)
-    same = np.ones(len(cell), dtype=bool)
+    cell, i, j, blk = (t.column(c).to_numpy() for c in ("cell", "i", "j", "b"))
+    codes = [t.column(c).to_numpy().view(np.uint64) for c in t.column_names if c.startswith("code")]
+    cell = cell.view(np.uint64)
     at = np.arange(len(cell))
     d = 0
     while len(at):
         d += 1
         at = at[at + d < len(cell)]
         to = at + d
-        same = (cell[at] == cell[to]) & (i[at] == i[to]) & (j[at] == j[to])
-        at = at[same]
+        at = at[(cell[at] == cell[to]) & (i[at] == i[to]) & (j[at] == j[to])]
         a = at[(i[at] == j[at]) | (blk[at] != blk[at + d])]
         if len(a):
-            ok = _meet_here(code[a], code[a + d], cell[a], bits, radius)
-            a = a[ok]
+            a = a[places.here([c[a] for c in codes], [c[a + d] for c in codes], cell[a])]
             if len(a):
                 yield a, a + d
 
@@ -157,64 +233,70 @@ def _pairs(t: pa.Table, bits: int, radius: int):
 _KEYS = ["cell", "i", "j"]
 
 
-def _with_partner(bits: int, radius: int):
+def _with_partner(places: _Places):
     def run(batches):
         for t in by_group(batches, _KEYS):
             has = np.zeros(t.num_rows, dtype=bool)
-            for a, b in _pairs(t, bits, radius):
+            for a, b in _pairs(t, places):
                 has[a] = True
                 has[b] = True
-            yield from t.filter(pa.array(has)).select(["vec_id", "code", *_KEYS, "b"]).to_batches()
+            yield from t.filter(pa.array(has)).to_batches()
 
     return run
 
 
-def _links(bits: int, radius: int, width: int, cosine: float):
+def _links(places: _Places, cosine: float):
     def run(batches):
-        for t in by_group(batches, _KEYS):
-            t = t.combine_chunks()
-            v = _unit(_matrix(t.column("v").chunk(0), width))
-            n = np.zeros(t.num_rows, np.int64)
-            roots = Roots(t.num_rows)
-            for a, b in _pairs(t, bits, radius):
-                for k in range(0, len(a), 65_536):
-                    x, y = a[k:k + 65_536], b[k:k + 65_536]
-                    ok = np.einsum("ij,ij->i", v[x], v[y]) >= cosine
-                    np.add.at(n, x[ok], 1)
-                    np.add.at(n, y[ok], 1)
-                    roots.join(x[ok], y[ok])
-            some = np.flatnonzero(n)
-            vec = t.column("vec_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(vec[some]), pa.array(n[some]), pa.array(vec[roots.root[some]])],
-                                             ["vec_id", "n", "other"])
+        for whole in by_group(batches, _KEYS):
+            widths = whole.column("_w").to_numpy()
+            for w in np.unique(widths):
+                t = whole.filter(pa.array(widths == w)).combine_chunks()
+                v = _unit(_matrix(t.column("v").chunk(0), int(w)))
+                n = np.zeros(t.num_rows, np.int64)
+                roots = Roots(t.num_rows)
+                for a, b in _pairs(t, places):
+                    for k in range(0, len(a), 65_536):
+                        x, y = a[k:k + 65_536], b[k:k + 65_536]
+                        ok = np.einsum("ij,ij->i", v[x], v[y]) >= cosine
+                        np.add.at(n, x[ok], 1)
+                        np.add.at(n, y[ok], 1)
+                        roots.join(x[ok], y[ok])
+                some = np.flatnonzero(n)
+                vec = t.column("vec_id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(vec[some]), pa.array(n[some]), pa.array(vec[roots.root[some]])],
+                                                 ["vec_id", "n", "other"])
 
     return run
 
 
+def fitted(found: DataFrame, cosine: float, sample: int = SAMPLE) -> dict[int, Model]:
+    """The model of every length of which there are two vectors; the driver holds the sample of one length at a time."""
+    counts = {r["_w"]: r["count"] for r in found.groupBy("_w").count().filter("count > 1").collect()}
+    share = max(LEAST, sample // max(1, len(counts)))
+    out = {}
+    for w, n in sorted(counts.items()):
+        # a hash of the id chooses about ``share`` vectors
+        some = found.filter((F.col("_w") == w) & (F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, share / n))))
+        x = np.array([r.v for r in some.select("v").limit(2 * share).collect()]).reshape(-1, w)
+        out[w] = fit(_unit(x) if len(x) else np.eye(w), cosine)
+    return out
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors (vec_id, embedding)``."""
     found = written(usable(vectors).withColumn("_w", F.size("v")), "vectors")
-    widths = found.groupBy("_w").count().orderBy(F.desc("count"), "_w").limit(1).collect()
+    models = fitted(found, cosine, sample)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if not widths:
+    if not models:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                           F.lit(True).alias("kept"))
-    width, n = int(widths[0]["_w"]), int(widths[0]["count"])
-    found = found.filter(F.col("_w") == width).drop("_w")
-    # a hash of the id chooses about ``sample`` vectors; the driver holds no more than that
-    some = found.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, sample / n)))
-    x = _unit(np.array([r.v for r in some.select("v").limit(2 * sample).collect()]).reshape(-1, width))
-    if not len(x):
-        x = np.eye(width)
-    model = fit_rotation(x, min(CODE_BITS, width))
-    bits = model[1].shape[1]
-    radius = code_radius(bits, cosine)
-
-    tasks = blocks(_cells(_codes(found, model, width), bits), "cell", "vec_id", None, BLOCK)
-    active = written(grouped(tasks, _KEYS, _with_partner(bits, radius),
-                             "vec_id long, code long, cell long, i int, j int, b int"), "cells")
-    links = written(grouped(active.join(found, "vec_id"), _KEYS, _links(bits, radius, width, cosine),
-                            "vec_id long, n long, other long"), "links")
+    places = _Places(models)
+    found = found.filter(F.col("_w").isin(list(models)))
+    cells = _cells(found, models)
+    codes = [f"{c} long" for c in cells.columns if c.startswith("code")]
+    tasks = blocks(cells, "cell", "vec_id", None, BLOCK)
+    active = written(grouped(tasks, _KEYS, _with_partner(places), f"vec_id long, cell long, {', '.join(codes)}, b int, i int, j int"), "cells")
+    links = written(grouped(active.join(found, "vec_id"), _KEYS, _links(places, cosine), "vec_id long, n long, other long"), "links")
     counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
     nodes = connected_components(links.select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
     return (ids.join(counts, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")

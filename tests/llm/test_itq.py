@@ -1,6 +1,7 @@
 """ITQ near-duplicates of vectors against brute force."""
 
 import numpy as np
+import pytest
 
 from aspectra.llm import itq
 from helpers import components
@@ -79,3 +80,60 @@ def test_defined_cases(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     none = itq.near_duplicates(spark.createDataFrame([(1, [0.0])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in none.collect()] == [(1, 0, 1, True)]
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rows = {i: [1.0, 0.01 * i, 0.02] for i in range(5)} | {10 + i: [2.0, 0.1, 0.01 * i, 0.0] for i in range(4)}
+    rows |= {20: [1.0], 21: [-1.0], 22: [3.0], 30: [1.0] * 6}
+    got = run(spark, rows)
+    assert {i: got[i] for i in range(5)} == {i: (4, 0) for i in range(5)}
+    assert {i: got[i] for i in range(10, 14)} == {i: (3, 10) for i in range(10, 14)}
+    assert got[20] == (1, 20) and got[22] == (1, 20) and got[21] == (0, 21) and got[30] == (0, 30)
+
+
+def near_the_threshold(dim, common, n=1500, seed=4, cosine=0.9525):
+    """Vectors with a common mean of that squared norm, each with a partner at the cosine."""
+    r = np.random.default_rng(seed)
+    mean = np.zeros(dim)
+    mean[0] = np.sqrt(common)
+    x = mean + r.standard_normal((n, dim)) * np.sqrt((1 - common) / dim)
+    x = itq._unit(x)
+    to = r.standard_normal(x.shape)
+    to -= (to * x).sum(axis=1, keepdims=True) * x
+    to /= np.linalg.norm(to, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(1 - cosine ** 2) * to
+
+
+@pytest.mark.parametrize("dim", [16, 32, 64, 384])
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_pairs_at_the_threshold_meet(dim, common):
+    x, y = near_the_threshold(dim, common)
+    model = itq.fit(np.concatenate([x, y]), 0.95)
+    a, b = model.codes(x).view(np.uint64), model.codes(y).view(np.uint64)
+    met = np.zeros(len(x), dtype=bool)
+    for s in range(a.shape[1]):
+        apart = a[:, s] ^ b[:, s]
+        for t in range(0, model.bits, 16):
+            met |= (np.bitwise_count(apart) <= model.radius) & (np.bitwise_count((apart >> np.uint64(t)) & np.uint64(0xFFFF)) <= 2)
+    assert met.mean() >= 0.99, (len(model.rotations), met.mean())
+
+
+def test_recall_with_a_common_mean_and_few_dimensions(spark):
+    x, y = near_the_threshold(16, 0.0, n=300, seed=9)
+    u, v = near_the_threshold(64, 0.8, n=300, seed=10)
+    vectors = {i: [float(c) for c in row] for i, row in enumerate([*x, *y])}
+    vectors |= {10_000 + i: [float(c) for c in row] for i, row in enumerate([*u, *v])}
+    got = run(spark, vectors)
+    for low, dim in ((0, 16), (10_000, 64)):
+        part = {i: w for i, w in vectors.items() if low <= i < low + 10_000}
+        want, links = brute(part)
+        found = sum(got[i][0] for i in part) / 2
+        assert links >= 300 and 0.99 * links <= found <= links
+
+
+def test_a_cluster_at_the_mean_is_found(spark):
+    r = np.random.default_rng(6)
+    centre = np.ones(64)
+    vectors = {i: [float(c) for c in centre + 0.01 * r.standard_normal(64)] for i in range(150)}
+    vectors |= {1000 + i: [float(c) for c in r.standard_normal(64)] for i in range(20)}
+    assert run(spark, vectors) == brute(vectors)[0]
