@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.functions.text import hash_unit_interval, sampling_hash
 from aspectra.operators.clean import score_band
@@ -88,42 +89,99 @@ def used_ids(parts: list[DataFrame], key: str = "review_id") -> DataFrame | None
     return u.distinct() if u is not None else None
 
 
+def _bottom_rows(candidates: DataFrame, key: str, groups: Column, n_ids: int, n_copies: int) -> list:
+    """Per group the ``n_copies`` first rows of each of the ``n_ids`` first ids, as rows on the driver.
+
+    ``groups`` is an array of ``(group, h)``: the groups that a row is in, and its place there.  One pass
+    over ``candidates``; ranks are limited per (group, salt) before a group comes together, so neither a
+    large group nor an id that holds a third of the rows lands in one task.  The result has at most
+    ``groups * n_ids * n_copies`` rows, whatever the size of the data.
+    """
+    tie = _tie_break(candidates, key)[1]
+    rows = (candidates.withColumn("_tie", tie).withColumn("_salt", content_salt(candidates))
+            .withColumn("_g", F.explode(groups)).withColumn("_group", F.col("_g.group")).withColumn("_h", F.col("_g.h")).drop("_g"))
+    for part in (["_group", "_salt"], ["_group"]):
+        ids = Window.partitionBy(*part).orderBy("_h", key)
+        copies = Window.partitionBy(*part, "_h", key).orderBy("_tie")
+        rows = rows.withColumn("_id_rank", F.dense_rank().over(ids)).filter(F.col("_id_rank") <= n_ids)
+        rows = rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= n_copies)
+    found = rows.drop("_salt", "_id_rank", "_copy").collect()
+    return sorted(found, key=lambda r: (r["_group"], r["_h"] or "", r[key] is not None, r[key], r["_tie"]))
+
+
+def _quota_groups(score: str, key: str, order, seed) -> list[Column]:
+    band = score_band(score)
+    return [F.when(F.col(f"tem_{a}") & band.isNotNull(), F.struct(F.concat_ws("/", F.lit(a), band).alias("group"),
+                                                                 sampling_hash(key, seed).alias("h"))) for a in order]
+
+
+def _fill_groups(score: str, key: str, seed) -> list[Column]:
+    return [F.when(F.col(score).isin(1, 2, 3, 4, 5), F.struct(F.concat(F.lit("score/"), F.col(score).cast("string")).alias("group"),
+                                                              sampling_hash(key, F.col(score) + F.lit(seed)).alias("h")))]
+
+
+def _some(groups: list[Column]) -> Column:
+    return F.filter(F.array(*groups), lambda g: g.isNotNull())
+
+
+def _take_quotas(pool: list, key: str, order, quotas: dict) -> list[tuple]:
+    """``(row, band, rank, step)``: each step takes the first rows of its two groups whose ids no earlier step took."""
+    taken, used = [], set()
+    for step, aspect in enumerate(order, start=1):
+        picked = []
+        for band in ("neg", "pos"):
+            mine = [r for r in pool if r["_group"] == f"{aspect}/{band}" and r[key] not in used]
+            picked += [(r, band, rank, step) for rank, r in enumerate(mine[:quotas[aspect] // 2], start=1)]
+        used |= {r[key] for r, *_ in picked if r[key] is not None}
+        taken += picked
+    return taken
+
+
+def _take_fill(pool: list, key: str, taken: set, per: int, step: int) -> list[tuple]:
+    out = []
+    for score in range(1, 6):
+        mine = [r for r in pool if r["_group"] == f"score/{score}" and r[key] not in taken]
+        out += [(r, None, rank, step) for rank, r in enumerate(mine[:max(per, 0)], start=1)]
+    return out
+
+
+def _sample_frame(candidates: DataFrame, picked: list[tuple], band: bool) -> DataFrame:
+    cols = candidates.columns
+    rows = [tuple(r[c] for c in cols) + ((b,) if band else ()) + (rank, step) for r, b, rank, step in picked]
+    schema = T.StructType([*candidates.schema.fields, *([T.StructField("band", T.StringType())] if band else []),
+                           T.StructField("sample_rank", T.IntegerType()), T.StructField("step", T.IntegerType())])
+    return candidates.sparkSession.createDataFrame(rows, schema)
+
+
+def quota_and_fill(candidates: DataFrame, key: str = "review_id", score: str = "review_score", order=QUOTA_ORDER,
+                   quotas: dict = QUOTAS, target: int = SAMPLE_TARGET, seed: int = SAMPLE_SEED) -> tuple[DataFrame, DataFrame]:
+    """W2 and W3 from one pass over ``candidates``.
+
+    A step needs the first rows of its groups outside the ids taken before it; these are at most the sum
+    of the quotas, so as many more ids per group hold all that any step can take.  The steps then choose
+    among these rows, a bounded number, on the driver.
+    """
+    total = sum(quotas[a] for a in order)
+    most = max([quotas[a] // 2 for a in order] + [target // 5])
+    groups = _some(_quota_groups(score, key, order, seed) + _fill_groups(score, key, seed))
+    pool = _bottom_rows(candidates, key, groups, most + total, most)
+    quota = _take_quotas(pool, key, order, quotas)
+    taken = {r[key] for r, *_ in quota if r[key] is not None}
+    fill = _take_fill(pool, key, taken, (target - len(quota)) // 5, len(order) + 1)
+    return _sample_frame(candidates, quota, True), _sample_frame(candidates, fill, False)
+
+
 def quota_sample(candidates: DataFrame, key: str = "review_id", score: str = "review_score",
-                 order=QUOTA_ORDER, quotas: dict = QUOTAS, seed=SAMPLE_SEED,
-                 checkpoint: bool = True) -> DataFrame:
+                 order=QUOTA_ORDER, quotas: dict = QUOTAS, seed=SAMPLE_SEED) -> DataFrame:
     """Sequential per-aspect quotas, each half negative band + half positive band.
 
     ``candidates`` has ``key``, ``score`` and a boolean ``tem_<aspect>`` per aspect.
-    Step k excludes ids taken by steps 1..k-1 (a row not taken stays eligible).
-    Each step's result (at most its quota) is checkpointed so later steps do not
-    recompute earlier ones.  Output adds ``step`` (1-based) and ``band``.
-
-    Cost: each step scans the narrow candidate table (id, score, flags, hash --
-    no text), a small fraction of the one regex pass over the texts.  Building
-    one bounded pool for all steps instead (ranks up to quota + ids taken
-    earlier) is not exact-and-bounded when ids repeat: every copy of an id
-    shares its rank, so a copied id holding a third of the rows would enter the
-    pool whole.  Per-step ``row_number`` limits stay bounded per map task.
+    Step k excludes ids taken by steps 1..k-1 (a row not taken stays eligible).  One pass, as
+    :func:`quota_and_fill`.  Output adds ``step`` (1-based), ``band`` and ``sample_rank``.
     """
-    base = with_sample_key(candidates, key, seed).withColumn("band", score_band(score))
-    base = base.filter(F.col("band").isNotNull())
-    salt = content_salt(base)
-    ties = _tie_break(candidates, key)
-    taken: list[DataFrame] = []
-    for step, aspect in enumerate(order, start=1):
-        half = quotas[aspect] // 2
-        pool = base.filter(F.col(f"tem_{aspect}"))
-        used = used_ids(taken, key)
-        if used is not None:
-            pool = exclude_used(pool, used, key, bounded=True)  # <= sum of quotas
-        pick = top_n_per_group(pool, ["band"], half, [F.col("_h")] + ties, salt)
-        pick = pick.withColumnRenamed("_rank", "sample_rank").withColumn("step", F.lit(step))
-        if checkpoint:
-            # one small file instead of one per shuffle partition; coalesce (no shuffle) is safe here
-            # because the final top-n stage reads at most ``SALT_BUCKETS * half`` rows per band
-            pick = pick.coalesce(1).checkpoint(eager=True)
-        taken.append(pick)
-    return concat_samples(taken).drop("_h")
+    total, half = sum(quotas[a] for a in order), max(quotas[a] // 2 for a in order)
+    pool = _bottom_rows(candidates, key, _some(_quota_groups(score, key, order, seed)), half + total, half)
+    return _sample_frame(candidates, _take_quotas(pool, key, order, quotas), True)
 
 
 def fill_to_target(candidates: DataFrame, quota_part: DataFrame, key: str = "review_id",
@@ -131,20 +189,12 @@ def fill_to_target(candidates: DataFrame, quota_part: DataFrame, key: str = "rev
                    seed: int = SAMPLE_SEED, step: int = 5, n_taken: int | None = None) -> DataFrame:
     """Add ``(target - n) // 5`` rows per score 1..5 from unused rows, seed ``seed + score``.
 
-    ``n`` is the number of quota rows (at most the quota total, counted on the
-    checkpointed quota result); the per-score quota is then a literal, so Spark
-    can apply its partial per-group limit before the shuffle.
+    ``n`` is the number of quota rows; these, at most the quota total, are read to the driver.
     """
-    n = quota_part.count() if n_taken is None else n_taken
-    per = (target - n) // 5
-    if per <= 0:
-        return quota_part.limit(0).select(*candidates.columns).withColumn("step", F.lit(step))
-    pool = exclude_used(candidates.filter(F.col(score).isin(1, 2, 3, 4, 5)), quota_part, key,
-                        bounded=True)  # quota rows: <= sum of quotas
-    pool = pool.withColumn("_h", sampling_hash(key, F.col(score) + F.lit(seed)))
-    salt = content_salt(pool)
-    pick = top_n_per_group(pool, [score], per, [F.col("_h")] + _tie_break(candidates, key), salt)
-    return pick.withColumnRenamed("_rank", "sample_rank").drop("_h").withColumn("step", F.lit(step))
+    rows = quota_part.select(key).collect()
+    per = (target - (len(rows) if n_taken is None else n_taken)) // 5
+    pool = _bottom_rows(candidates, key, _some(_fill_groups(score, key, seed)), per + len(rows), per) if per > 0 else []
+    return _sample_frame(candidates, _take_fill(pool, key, {r[key] for r in rows if r[key] is not None}, per, step), False)
 
 
 def dedupe_by_id(df: DataFrame, key: str = "review_id", order: list[Column] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Balanced labelling sample: clean -> detect -> quotas -> fill -> dedupe -> cap -> shuffle -> sheet.
 
-The regex detection runs once over the reviews; the narrow candidate table
-(id, score, flags, content hash) is checkpointed to the shared checkpoint folder
-so the five sampling steps read it instead of re-running the regexes.  The text
+The regex detection runs once over the reviews: one pass over the narrow candidates
+(id, score, flags, content hash) keeps, for every quota and score, the few rows that
+any of the five sampling steps can take, and the steps choose among these.  The text
 is joined back for the final (at most ``target``) rows only: one more read of
 the id and text columns, streamed through a broadcast hash join (no shuffle).
 """
@@ -22,7 +22,7 @@ from aspectra.schema import (ASPECTS, QUOTA_ORDER, QUOTAS, SAMPLE_SEED, SAMPLE_T
 
 @dataclass
 class SampleResult:
-    candidates: DataFrame   # narrow, checkpointed: id, score, tem_* flags, _rowhash
+    candidates: DataFrame   # narrow: id, score, tem_* flags, _rowhash
     quota: DataFrame        # W2 output
     fill: DataFrame         # W3 output
     deduped: DataFrame      # W4 output
@@ -42,21 +42,11 @@ def detect_candidates(reviews: DataFrame, lexicon: dict = WIDE_LEXICON, key: str
 
 def balanced_sample(reviews: DataFrame, lexicon: dict = WIDE_LEXICON, key: str = "review_id",
                     score: str = "review_score", text: str | None = None, order=QUOTA_ORDER,
-                    quotas: dict = QUOTAS, target: int = SAMPLE_TARGET, seed: int = SAMPLE_SEED,
-                    checkpoint: bool = True) -> SampleResult:
+                    quotas: dict = QUOTAS, target: int = SAMPLE_TARGET, seed: int = SAMPLE_SEED) -> SampleResult:
     tc = text or clean.text_column(reviews)
     cand = detect_candidates(reviews, lexicon, key, score, tc)
-    if checkpoint:
-        cand = cand.checkpoint(eager=True)
-    # each quota step is checkpointed inside quota_sample; their union reads those small files
-    quota = sampling.quota_sample(cand, key, score, order, quotas, seed, checkpoint=checkpoint)
-    n_quota = quota.count()
-    parts = [quota]
-    if target - n_quota > 0:
-        fill = sampling.fill_to_target(cand, quota, key, score, target, seed, n_taken=n_quota)
-        parts.append(fill)
-    else:
-        fill = quota.limit(0)
+    quota, fill = sampling.quota_and_fill(cand, key, score, order, quotas, target, seed)
+    parts = [quota, fill]
     allrows = sampling.concat_samples(parts)
     deduped = sampling.dedupe_by_id(allrows, key)
     capped = sampling.cap_sample(deduped, target, key)
