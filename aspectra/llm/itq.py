@@ -12,7 +12,7 @@ measured: partners at exactly the threshold are made for the sample's vectors, i
 towards other vectors, and the sample's own linked pairs are added; further rotations with tables of their
 own are learned until ``RECALL`` of each kind of pairs meet (at most ``ROTATIONS``).  Every other rotation is
 learned about the origin instead of the mean, for vectors that lie close around the mean.  The code distance
-allowed is taken from the same pairs.
+that each rotation allows is taken from the made pairs, five deviations out.
 
 Cells are first compared by code alone; only vectors with a partner there are looked up and compared by
 cosine in double precision.  Large cells are split into pairs of blocks, links are counted inside the task,
@@ -74,11 +74,11 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
 
 @dataclass
 class Model:
-    """The rotations of one length, and the bits in which linked codes of one rotation differ at most."""
+    """The rotations of one length, and for each the bits in which linked codes differ at most."""
 
     rotations: list
     bits: int
-    radius: int
+    radius: list[int]
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """``[rows, rotations]``"""
@@ -112,18 +112,18 @@ def fit(x: np.ndarray, cosine: float) -> Model:
     kind = np.arange(len(a)) % 2
     own = linked_pairs(x, cosine)
     a, b, kind = np.concatenate([a, x[own[:, 0]]]), np.concatenate([b, x[own[:, 1]]]), np.r_[kind, np.full(len(own), 2)]
-    met, rotations, radius = np.zeros(len(a), dtype=bool), [], 0
+    made = kind < 2
+    met, rotations, radius = np.zeros(len(a), dtype=bool), [], []
     while True:
         rotations.append(fit_rotation(x, bits, seed=7 + len(rotations), centre=len(rotations) % 2 == 0))
         apart = encode(a, *rotations[-1]).view(np.uint64) ^ encode(b, *rotations[-1]).view(np.uint64)
-        for t in range(0, bits, SUBSTRING_BITS):
-            met |= _popcount((apart >> np.uint64(t)) & np.uint64((1 << SUBSTRING_BITS) - 1)) <= 2
         d = _popcount(apart)
-        if len(d):
-            radius = max(radius, math.ceil(max(d.mean() + 5 * d.std(), d.max() + 1)))
+        radius.append(min(bits, math.ceil(d[made].mean() + 5 * d[made].std())) if made.any() else bits)
+        for t in range(0, bits, SUBSTRING_BITS):
+            met |= (d <= radius[-1]) & (_popcount((apart >> np.uint64(t)) & np.uint64((1 << SUBSTRING_BITS) - 1)) <= 2)
         found = min((met[kind == k].mean() for k in (0, 1, 2) if (kind == k).any()), default=1.0)
         if found >= RECALL or len(rotations) == ROTATIONS:
-            return Model(rotations, bits, min(bits, radius))
+            return Model(rotations, bits, radius)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -186,7 +186,8 @@ class _Places:
     def __init__(self, models: dict[int, Model]):
         order = sorted(models)
         self.bits = np.array([models[w].bits for w in order])
-        self.radius = np.array([models[w].radius for w in order])
+        most = max(len(models[w].rotations) for w in order)
+        self.radius = np.array([models[w].radius + [0] * (most - len(models[w].radius)) for w in order])
         self.rotations = np.array([len(models[w].rotations) for w in order])
 
     def here(self, a: list[np.ndarray], b: list[np.ndarray], cell: np.ndarray) -> np.ndarray:
@@ -198,7 +199,7 @@ class _Places:
         open_pair = np.ones(len(cell), dtype=bool)
         mask = np.uint64((1 << SUBSTRING_BITS) - 1)
         for s in range(len(a)):
-            near = open_pair & (s < self.rotations[kind]) & (_popcount(a[s] ^ b[s]) <= self.radius[kind])
+            near = open_pair & (s < self.rotations[kind]) & (_popcount(a[s] ^ b[s]) <= self.radius[kind, s])
             for t in range(0, CODE_BITS, SUBSTRING_BITS):
                 x, y = (a[s] >> np.uint64(t)) & mask, (b[s] >> np.uint64(t)) & mask
                 diff = x ^ y

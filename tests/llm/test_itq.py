@@ -114,7 +114,7 @@ def test_pairs_at_the_threshold_meet(dim, common):
     for s in range(a.shape[1]):
         apart = a[:, s] ^ b[:, s]
         for t in range(0, model.bits, 16):
-            met |= (np.bitwise_count(apart) <= model.radius) & (np.bitwise_count((apart >> np.uint64(t)) & np.uint64(0xFFFF)) <= 2)
+            met |= (np.bitwise_count(apart) <= model.radius[s]) & (np.bitwise_count((apart >> np.uint64(t)) & np.uint64(0xFFFF)) <= 2)
     assert met.mean() >= 0.99, (len(model.rotations), met.mean())
 
 
