@@ -50,6 +50,18 @@ def parse_label_state(json_col) -> Column:
     return F.from_json(c, LABEL_STATE_TYPE)
 
 
+def label_variant(json_col) -> Column:
+    """X20 for stores with keys that no schema names: label-state JSON as VARIANT; null where it is no JSON."""
+    c = F.col(json_col) if isinstance(json_col, str) else json_col
+    return F.try_parse_json(c)
+
+
+def variant_field(variant, path: str, kind: str) -> Column:
+    """One field of a VARIANT by path, null where it is absent or of another kind."""
+    c = F.col(variant) if isinstance(variant, str) else variant
+    return F.try_variant_get(c, path, kind)
+
+
 def category_key(display, schema: AspectSchema = DEFAULT_SCHEMA) -> Column:
     """Display category name -> aspect key (``Logística`` -> ``logistica``)."""
     pairs = []
@@ -71,5 +83,5 @@ def ui_sentiment(value) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
 
 
-__all__ = ["encode_labels", "label_bit", "label_polarity", "parse_label_state", "category_key",
+__all__ = ["encode_labels", "label_bit", "label_polarity", "label_variant", "parse_label_state", "variant_field", "category_key",
            "restore_sentiment", "ui_sentiment", "capitalize", "LABEL_STATE_TYPE"]

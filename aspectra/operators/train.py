@@ -173,6 +173,21 @@ def counting_linear_model():
     return make_predict_fn
 
 
+def brittle(make_predict_fn, divisor: int = 13):
+    """A stand-in model that raises at texts whose length is a multiple of ``divisor``."""
+    def make():
+        predict = make_predict_fn()
+
+        def run(texts):
+            if any(len(t) % divisor == 0 for t in map(str, texts)):
+                raise RuntimeError("a text the model cannot take")
+            return predict(texts)
+
+        return run
+
+    return make
+
+
 def counting_embedding(dim: int = 8):
     """A stand-in text encoder that SQL can compute: component k is (characters * (k + 1) mod 13) - 6."""
     def make_embed_fn():

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aspectra.functions.labels import LABEL_STATE_TYPE, category_key, label_polarity, restore_sentiment
+from aspectra.functions.labels import (LABEL_STATE_TYPE, category_key, label_polarity, label_variant,
+                                       restore_sentiment, variant_field)
 from aspectra.functions.text import display_name, format_percent
 from aspectra.operators import clean, joins, reports
 from aspectra.plans import bridge
@@ -143,6 +144,12 @@ def q_row_index(spark, sf):
     return io.row_index(r, ["review_id"], "index")
 
 
+@register("row_index_file_order", "SELECT doc_id AS review_id, row_number() OVER () - 1 AS index FROM documents")
+def q_row_index_file_order(spark, sf):
+    """W15 as the feed reads its source: positions in file order, without a sort."""
+    return io.file_row_index(bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id")))
+
+
 @register("attach_scores", with_(B_REVIEWS) + """
 SELECT l.doc_id AS review_id, l.quality, l.toxic, s.review_score
 FROM labels l LEFT JOIN (SELECT DISTINCT review_id, review_score FROM b_reviews) s ON s.review_id = l.doc_id""")
@@ -235,6 +242,32 @@ def q_label_state_json(spark, sf):
                        F.col("s.toRemove").alias("to_remove"))
 
 
+_VARIANT_EXTRA = "CAST(review_id % 7 AS INTEGER)"
+
+
+@register("label_state_variant", with_(B_SHEET) + f"""
+SELECT CAST(review_id AS VARCHAR) AS review_id, {_VARIANT_EXTRA} AS annotator,
+       CASE WHEN review_id % 5 = 0 THEN 'Positivo' END AS entrega,
+       CASE WHEN {norm(SENT[1])} IN ('positivo', 'negativo', 'neutro')
+            THEN upper(substr({norm(SENT[1])}, 1, 1)) || substr({norm(SENT[1])}, 2) END AS produto,
+       coalesce({norm("to_remove")} = 'sim', false) AS to_remove FROM b_sheet""")
+def q_label_state_variant(spark, sf):
+    """X20 with keys that no schema names: the stored JSON kept as VARIANT, written, read and asked by path."""
+    sheet = bridge.b_sheet(spark, sf)
+    st = reports.label_state(sheet.select("*"))
+    extra = F.struct((F.col("review_id").cast("long") % 7).cast("int").alias("annotator"),
+                     F.when(F.col("review_id").cast("long") % 5 == 0, F.struct(F.lit("Positivo").alias("Entrega"))).alias("new"))
+    js = st.select("review_id", F.to_json(F.struct(F.col("state.categories").alias("categories"), F.col("state.toRemove").alias("toRemove"),
+                                                   extra.alias("more"))).alias("json"))
+    path = scratch_path(spark, "label-variant")
+    js.select("review_id", label_variant("json").alias("state")).write.parquet(path)
+    v = spark.read.parquet(path)
+    return v.select("review_id", variant_field("state", "$.more.annotator", "int").alias("annotator"),
+                    variant_field("state", "$.more.new.Entrega", "string").alias("entrega"),
+                    variant_field("state", "$.categories.Produto", "string").alias("produto"),
+                    variant_field("state", "$.toRemove", "boolean").alias("to_remove"))
+
+
 @register("category_map_lookup", with_(B_SHEET) + " SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT CAST(review_id AS VARCHAR) AS review_id, '{name}' AS category, '{key}' AS aspect,
         {norm(c)} AS sentiment FROM b_sheet WHERE {norm(c)} IN ('positivo', 'negativo', 'neutro')"""

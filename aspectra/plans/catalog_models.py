@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aspectra.functions.scoring import computed, sigmoid
 from aspectra.functions.text import unicode_strip
 from aspectra.operators import sampling, train
-from aspectra.operators.predictors import (CentroidPredictor, ModelPredictor, ScoreRegexPredictor, TextEmbedder,
+from aspectra.operators.predictors import (CentroidPredictor, ModelPredictor, SafeModelPredictor, ScoreRegexPredictor, TextEmbedder,
                                            ThresholdScorer, reference_centroids)
 from aspectra.plans import bridge
 from aspectra.plans.catalog_metrics import SPLIT
@@ -70,6 +70,45 @@ def q_latest_state_batch(spark, sf):
     return stream.latest_by_key(ev, "user_id", ["ts", "event_id"], ["event_id", "event_type", "value", "ts"])
 
 
+_REMOVED = "event_type = 'error'"
+_CLEARED = "event_id % 3000 = 0"
+REMOVAL_SQL = f"""
+WITH clear AS (SELECT max(row(ts, event_id)) AS last_clear FROM events WHERE {_CLEARED}),
+latest AS (SELECT * FROM events WHERE NOT ({_CLEARED}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, event_id, event_type, value, ts FROM latest, clear
+WHERE event_type <> 'error' AND (last_clear IS NULL OR row(ts, event_id) > last_clear)"""
+
+
+@register("label_removal_stream", REMOVAL_SQL)
+def q_label_removal_stream(spark, sf):
+    """T2 with removals and delete-all: 'error' events remove a user's record, some events remove all records before them."""
+    src = f"{sf}/events.parquet"
+    state, ckpt = scratch_path(spark, "label-removal"), scratch_path(spark, "label-removal-ckpt")
+    return stream.stream_latest_state(spark, src, spark.read.parquet(src).schema, "user_id", ["ts", "event_id"],
+                                      ["event_id", "event_type", "value", "ts"], state, ckpt, deleted=F.expr(_REMOVED), cleared=F.expr(_CLEARED))
+
+
+@register("label_removal_batch", REMOVAL_SQL)
+def q_label_removal_batch(spark, sf):
+    return stream.latest_state(bridge.table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value", "ts"],
+                               deleted=F.expr(_REMOVED), cleared=F.expr(_CLEARED))
+
+
+@register("stream_labelled_progress", """
+SELECT CAST(n AS BIGINT) AS labelled, CAST(t AS BIGINT) AS total, round(least(n * 100.0 / t, 100.0), 6) AS pct FROM (
+  SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS n,
+         (SELECT count(*) FROM documents) AS t)""")
+def q_stream_progress(spark, sf):
+    """J3 while labels arrive, four files one after another: the counts after the last batch."""
+    lab = bridge.table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"))
+    docs = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"))
+    src = scratch_path(spark, "label-files")
+    lab.repartition(4).write.parquet(src)
+    rows = stream.stream_progress(spark, src, lab.schema, "review_id", docs, scratch_path(spark, "progress"),
+                                  scratch_path(spark, "progress-ckpt"), options={"maxFilesPerTrigger": "1"})
+    return rows.agg(F.max_by(F.struct("labelled", "total", "pct"), "batch").alias("r")).select("r.labelled", "r.total", r6("r.pct").alias("pct"))
+
+
 @register("prepare_tokens", f"""
 WITH t AS (SELECT doc_id AS review_id, regexp_extract_all(text, '{WORD_RE2}') AS toks FROM documents)
 SELECT review_id, CAST(least(len(toks), 128) AS INTEGER) AS n_tokens, 128 AS padded_len,
@@ -173,6 +212,22 @@ def q_model_udf(spark, sf):
                     F.size("detected").alias("n_detected"))
 
 
+def _safe_sql() -> str:
+    logits = [f"{train.CHARS[i]} * (length(t) % 97) / 97.0 + {train.SPACES[i]} * ((length(t) - length(replace(t, ' ', ''))) % 31) / 31.0"
+              f" + {train.BIAS}" for i in range(8)]
+    return ("SELECT doc_id AS review_id, length(t) % 13 = 0 AS failed, " + ", ".join(
+        f"CASE WHEN length(t) % 13 = 0 THEN 0.0 ELSE round(1.0 / (1.0 + exp(-({x}))), 6) END AS p{i}" for i, x in enumerate(logits))
+            + " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+
+
+@register("safe_model_predict", _safe_sql())
+def q_safe_model_predict(spark, sf):
+    """A model that raises at some texts; these alone get zeros and ``failed``."""
+    d = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    p = SafeModelPredictor(train.brittle(train.counting_linear_model()), text="text", batch_size=256).transform(d)
+    return p.select("review_id", "failed", *[r6(F.get("probs", i)).alias(f"p{i}") for i in range(8)])
+
+
 def _embed_sql() -> str:
     vector = lambda n: f"[CAST(({n}) * (k + 1) % 13 - 6 AS DOUBLE) FOR k IN range(8)]"
     centroid = lambda words: "(SELECT list(m ORDER BY k) FROM (SELECT k, avg(v[k + 1]) AS m FROM (SELECT " + vector(

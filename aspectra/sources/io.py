@@ -8,6 +8,7 @@ convention), so the directory reads back with ``header=True``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,10 +186,56 @@ def row_index(df: DataFrame, order: list, index: str = "index") -> DataFrame:
     return j.withColumn(index, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_pid", "_mid", "_off", "_first")
 
 
+def write_bucketed(df: DataFrame, name: str, key: str = "review_id", buckets: int = 200, mode: str = "overwrite") -> None:
+    """Store a table that is joined on ``key`` job after job (J1, J4): bucketed and sorted by it.
+
+    Tables with the same number of buckets then join without a shuffle; so does :func:`~aspectra.operators.joins.attach_scores`,
+    whose distinct pairs are grouped by the same key.
+    """
+    df.repartition(buckets, F.col(key)).write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
+#: files whose offsets are broadcast (a path and two numbers each)
+BROADCAST_FILES = 100_000
+
+
+def has_file_positions(df: DataFrame) -> bool:
+    """Whether ``df`` reads files that know the position of each row (Parquet)."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def file_row_index(df: DataFrame, index: str = "index") -> DataFrame:
+    """W15 in file order: 0-based position over all files of a Parquet read, files in the order of their paths.
+
+    The scan itself knows each row's place in its file; the rows per file, a few numbers, give the files'
+    offsets.  No row is sorted, and up to ``BROADCAST_FILES`` files none is shuffled either (beyond,
+    offsets are joined by path).  ``df`` is the read, with columns chosen but no rows filtered.
+    """
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    rows = df.select("*", path.alias("_file"), place.alias("_place"))
+    sizes = df.select(path.alias("_file"), place.alias("_place")).groupBy("_file").agg((F.max("_place") + 1).alias("_n"))
+    w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # over #files rows
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, "_file").withColumn(index, F.col("_before") + F.col("_place")).drop("_file", "_place", "_before")
+
+
 def labelling_feed(df: DataFrame, key: str = "review_id", text: str = "review_text",
                    order: list | None = None) -> DataFrame:
-    """The annotators' task feed ``{"id", "text", "index"}`` as JSON per row."""
+    """The annotators' task feed ``{"id", "text", "index"}`` as JSON per row.
+
+    ``index`` is the position in file order where the source knows it, else (or with ``order``) under ``order``,
+    by default the id.
+    """
     base = df.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                      F.col(key).alias("_k"))
-    idx = row_index(base, order or ["_k"], "index")
+    if order is None and has_file_positions(base):
+        idx = file_row_index(base.drop("_k"))
+    else:
+        idx = row_index(base, order or ["_k"], "index")
     return idx.select("id", "index", F.to_json(F.struct("id", "text", "index")).alias("json"))

@@ -10,8 +10,8 @@ from aspectra.plans import queries as catalog
 
 TRAINED = {"focal_training_log", "score_saved_model", "stream_score_saved_model", "train_focal_text", "compare_trained_models",
            "train_multilabel", "train_multilabel_probs", "model_save_load"}  # fit a model first
-PYTHON_OK = {"model_udf", "text_embedding_predict"} | TRAINED  # user model / Spark ML
-SKIP_PLAN = {"stream_score", "latest_label_state", "write_metrics", "write_sheet_csv", "export_labels_csv",
+PYTHON_OK = {"model_udf", "safe_model_predict", "text_embedding_predict"} | TRAINED  # user model / Spark ML
+SKIP_PLAN = {"stream_score", "latest_label_state", "label_removal_stream", "write_metrics", "write_sheet_csv", "export_labels_csv",
              "export_labels_json"} | TRAINED  # read back from a sink or fit a model
 
 

@@ -69,3 +69,58 @@ def test_stream_scoring_over_several_batches_equals_batch(spark, sf_dir, tmp_dir
     # a restart on the same checkpoint with no new files adds nothing (exactly-once file sink)
     st.stream_score(spark, src, emb.schema, _score_probs, sink, ckpt)
     assert spark.read.parquet(sink).count() == len(want)
+
+
+def test_removals_relabels_and_delete_all_in_one_query(spark, tmp_dir):
+    rows = [(1, 10, "a", "set"), (2, 11, "a", "set"), (3, 12, "a", "set"),          # file 0
+            (1, 20, None, "delete"), (2, 21, "b", "set"), (None, 22, "x", "set"),    # re-label, removal, no key
+            (1, 30, "c", "set"),                                                     # labelled again
+            (9, 40, None, "clear"),                                                  # delete-all
+            (2, 50, "d", "set"), (4, 51, "e", "set"), (4, 35, "late", "set"), (3, 39, "late", "set")]
+    files = [rows[:3], rows[3:6], rows[6:7], rows[7:8], rows[8:]]
+    kind = "id long, at long, label string, op string"
+    every = spark.createDataFrame(rows, kind)
+    gone, clear = F.col("op") == "delete", F.col("op") == "clear"
+    state, ckpt, src = f"{tmp_dir}/s", f"{tmp_dir}/c", f"{tmp_dir}/src"
+    seen = []
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(src)
+        out = st.stream_latest_state(spark, src, every.schema, "id", ["at"], ["label", "at"], state, ckpt,
+                                     deleted=gone, cleared=clear, merge_every=2)
+        so_far = spark.createDataFrame([r for f in files[:k + 1] for r in f], kind)
+        batch = st.latest_state(so_far, "id", ["at"], ["label", "at"], gone, clear)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+        seen.append(sorted(r["id"] for r in out.collect()))
+    assert seen == [[1, 2, 3], [2, 3], [1, 2, 3], [], [2, 4]]
+    # merged after the second and fourth batch: one merged folder and the batch after it are left
+    names = sorted(p.split("/")[-2] for p in glob.glob(f"{state}/*/*/"))
+    assert len(names) == 2 and "-" in names[0] and names[1] == "000000000004"
+
+
+def test_a_merge_that_did_not_end_is_not_read(spark, tmp_dir):
+    ev = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id long, at long, label string")
+    ev.coalesce(1).write.parquet(f"{tmp_dir}/src")
+    st.stream_latest_state(spark, f"{tmp_dir}/src", ev.schema, "id", ["at"], ["label"], f"{tmp_dir}/s", f"{tmp_dir}/c")
+    own = glob.glob(f"{tmp_dir}/s/*/")[0]
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{own}/000000000000-broken")
+    import os
+
+    os.remove(f"{own}/000000000000-broken/_SUCCESS")
+    schema = ev.select("id", "label").schema
+    assert sorted(map(tuple, st.read_state(spark, f"{tmp_dir}/s", schema, "id", ["at"]).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_progress_of_every_batch_equals_the_batch_query(spark, tmp_dir):
+    from aspectra.operators.joins import labelled_progress
+
+    data = spark.createDataFrame([(i % 40,) for i in range(60)], "review_id long")
+    files = [[1, 2, 2, 99], [2, 3, 4], [100], [1, 5, 39, 5]]
+    for ids in files:
+        spark.createDataFrame([(i,) for i in ids], "review_id long").coalesce(1).write.mode("append").parquet(f"{tmp_dir}/l")
+    got = {r["batch"]: r for r in st.stream_progress(spark, f"{tmp_dir}/l", data.schema, "review_id", data, f"{tmp_dir}/p", f"{tmp_dir}/c",
+                                                     options={"maxFilesPerTrigger": 1}).collect()}
+    assert len(got) == 4
+    for k in range(4):
+        so_far = spark.createDataFrame([(i,) for f in files[:k + 1] for i in f], "review_id long")
+        want = labelled_progress(so_far, data).first()
+        assert (got[k]["labelled"], got[k]["total"]) == (want["labelled"], want["total"]) and abs(got[k]["pct"] - want["pct"]) < 1e-9
