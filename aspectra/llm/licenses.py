@@ -5,8 +5,9 @@ white space made single spaces, equivalent spellings unified.  The digest of the
 text is joined by hash to the digests of known licence texts.  A document is looked up as a whole, and
 each of its lines as a text of its own, which finds one-line licence notices.
 
-Known texts come as a list of ``(license_id, text)``; the default is ``KNOWN``, a handful of short
-public licences and notices.  The digests of a list of at most ``BROADCAST_KNOWN`` texts are sent to
+Known texts come as a list of ``(license_id, text)``; the default is ``KNOWN``: the whole texts in
+``licence_texts/`` and the short ones below, with and without their titles and appendices, and one-line
+notices and identifiers.  The digests of a list of at most ``BROADCAST_KNOWN`` texts are sent to
 every task, so no text or line is shuffled; a longer list is joined by shuffling digests.
 
 Defined results: null and empty texts, and texts without letters or digits, match nothing; a known
@@ -17,6 +18,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,36 @@ not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
 software.
 3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction
+and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative
+works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
+generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form
+or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity
+of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE_MORE = "\n\nFor more information, please refer to <https://unlicense.org/>"
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n" + _MIT),
@@ -92,15 +125,49 @@ KNOWN = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), ("CC0-1.0", "Licensed under CC0 1.0"),
+    ("BSL-1.0", _BOOST), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST),
+    ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + _UNLICENSE_MORE),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+)
+# fixed values: identifiers of the licences that notices name
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-1.0-Perl", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
+    "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "EPL-2.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-1.0-only",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+#: where a licence's terms end and its advice on using it begins
+_APPENDIX = ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License for your documents")
+
+
+def _packaged() -> list[tuple[str, str]]:
+    """The texts of ``licence_texts/``, whole and without the appendix."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        for mark in _APPENDIX:
+            terms, found, _ = text.partition(mark)
+            if found:
+                out += [(path.stem, terms), (path.stem, terms + mark)]
+    return out
+
+
+KNOWN += tuple(_packaged()) + tuple((i, f"SPDX-License-Identifier: {i}") for i in IDENTIFIERS)
 # fixed values: spellings that count as the same, after lower case and single spaces
 EQUIVALENT = (
-    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sub license", "sublicense"),
+    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("licencing", "licensing"),
+    ("licencee", "licensee"), ("licencees", "licensees"), ("licencor", "licensor"), ("licencors", "licensors"),
+    ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sublicences", "sublicenses"), ("sublicencing", "sublicensing"),
+    ("sublicencees", "sublicensees"), ("sub license", "sublicense"),
     ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("favour", "favor"), ("authorised", "authorized"),
     ("organisation", "organization"), ("modelling", "modeling"), ("per cent", "percent"), ("https", "http"),
 )
-COPYRIGHT_LINE = r"(^|\n)[\x20\t*#/;-]*(copyright[\x20\t]*)?(\(c\)|©|copyright[\x20\t]+[0-9]{4})[^\n]*"
+#: lines that name the owner of the rights
+COPYRIGHT_LINE = r"(^|\n)[\x20\t*#/;-]*((copyright[\x20\t]*)?(\(c\)|©|copyright[\x20\t]+[0-9]{4})|all rights reserved)[^\n]*"
 BROADCAST_KNOWN = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,10 +175,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text):
     """The canonical form of a text column ('' without letters or digits)."""
     low = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "\n")
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    # two spaces between words, so that each has its own on either side
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for other, usual in EQUIVALENT:
-        flat = F.replace(flat, F.lit(f" {other} "), F.lit(f" {usual} "))
-    return F.trim(flat)
+        flat = F.replace(flat, F.lit(_spaced(other)), F.lit(_spaced(usual)))
+    return F.trim(F.replace(flat, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digest(text):
@@ -152,10 +224,10 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
 
 def _canonical_sql(c: str) -> str:
     low = f"regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '{COPYRIGHT_LINE}', chr(10), 'g')"
-    flat = rf"' ' || trim(regexp_replace({low}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    flat = rf"' ' || trim(regexp_replace({low}, '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' '"
     for other, usual in EQUIVALENT:
-        flat = f"replace({flat}, ' {other} ', ' {usual} ')"
-    return f"trim({flat})"
+        flat = f"replace({flat}, '{_spaced(other)}', '{_spaced(usual)}')"
+    return f"trim(replace({flat}, '  ', ' '))"
 
 
 def _quoted(s: str) -> str:

@@ -45,3 +45,40 @@ def test_oracle(spark, sf_dir):
     want = sorted(con.execute(licenses.ORACLE_SQL).fetchall(), key=key)
     got = sorted(map(tuple, licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()), key=key)
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_whole_licences_headers_and_identifiers(spark):
+    from pathlib import Path
+
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "licence_texts").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        shapes = [text, text.upper(), "Copyright (c) 2024 Someone\nAll rights reserved.\n\n" + text,
+                  "\n".join(f" * {ln}" for ln in text.splitlines()), text.replace("license", "licence").replace("License", "Licence")]
+        terms = text.partition("END OF TERMS AND CONDITIONS")[0]
+        for j, shape in enumerate([*shapes, terms]):
+            rows.append((100 * k + j, shape))
+            want[100 * k + j] = name
+        rows += [(100 * k + 50, text + "\nOne more condition."), (100 * k + 51, text.replace("the", "teh", 1))]
+        want |= {100 * k + 50: None, 100 * k + 51: None}
+    rows += [(9000, licenses._UNLICENSE), (9001, licenses._BOOST.replace("license", "licence")),
+             (9002, "# SPDX-License-Identifier: MPL-2.0"), (9003, "licence licence licence")]
+    want |= {9000: "Unlicense", 9001: "BSL-1.0", 9002: "MPL-2.0", 9003: None}
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_neighbouring_spellings(spark):
+    df = spark.createDataFrame([("licence licence, LICENCE sub-licence",)], "t string")
+    assert df.select(licenses.canonical(df["t"])).first()[0] == "license license license sublicense"
+
+
+def test_notices_of_the_oracle_and_the_library_agree(spark):
+    texts = ["licence licence x", "All rights reserved. A\nb", "a\n(c) x\n© y\nall rights reserved\nz", "sub licence sub license", "*/ copyright 2020 q\nk", ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(x,) for x in texts])
+    want = [r[0] for r in con.execute(f"SELECT {licenses._canonical_sql('x')} FROM t").fetchall()]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(licenses.canonical(df["x"])).collect()] == want
