@@ -18,7 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,13 +145,13 @@ _APPENDIX = ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License f
 def _packaged() -> list[tuple[str, str]]:
     """The texts of ``licence_texts/``, whole and without the appendix."""
     out = []
-    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
-        text = path.read_text(encoding="utf-8")
-        out.append((path.stem, text))
+    for file in sorted(resources.files("aspectra.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        out.append((name, text))
         for mark in _APPENDIX:
             terms, found, _ = text.partition(mark)
             if found:
-                out += [(path.stem, terms), (path.stem, terms + mark)]
+                out += [(name, terms), (name, terms + mark)]
     return out
 
 

@@ -3,8 +3,8 @@
 Each source's words, its documents in a pseudorandom order, are packed into blocks of ``BLOCK``
 words.  The output is a row of slots, one block each, dealt to shards of ``SHARD_SLOTS``.  Every slot
 draws its source with the targets' probabilities, so a shard's counts are a multinomial draw.  Slots
-beyond a source's quota are handed to the sources that were drawn too seldom, which makes the totals
-exact.  The n-th slot of a source takes block perm(n mod blocks) of its pass n div blocks, where perm
+beyond a source's quota are handed to the sources that were drawn too seldom, and a source's last slots
+are cut, which makes the totals exact: each source gives its target, rounded, to the word.  The n-th slot of a source takes block perm(n mod blocks) of its pass n div blocks, where perm
 is a keyed permutation of the source's block numbers, another one for each pass, computed for each
 slot alone (swap-or-not rounds).  Slots and blocks are joined by source and block number.
 
@@ -97,10 +97,9 @@ def plan(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, se
                               F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
                   .withColumn("_order", F.xxhash64("doc_id", F.lit(seed))), "sized")
     sources = source_targets(raw.groupBy("source").agg(F.sum("size").alias("source_size")))
-    # slots: the target in blocks of the source's mean length; at most two passes
+    # slots: blocks that hold the target, with two more as each pass has a short one; at most two passes
     sources = (sources.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-               .withColumn("quota", F.coalesce(F.least(F.round(F.col("target") * F.col("blocks") / F.nullif(
-                   F.col("source_size"), F.lit(0))).cast("long"), F.lit(2) * F.col("blocks")), F.lit(0))))
+               .withColumn("quota", F.least(F.ceil(F.col("target") / F.lit(block)).cast("long") + 2, F.lit(2) * F.col("blocks"))))
     sources = written(sources, "sources")
 
     sized = raw.join(sources.select("source", "sid"), raw["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -109,16 +108,36 @@ def plan(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, se
                     .drop("_bucket", "_order"), "placed")
 
     slots = written(_slots(spark, sources, shard_slots, seed), "slots")
-    times = slots.groupBy("sid", "block", "epoch").agg(F.count(F.lit(1)).alias("times"))
+    times = (slots.groupBy("sid", "block", "epoch").agg(F.count(F.lit(1)).alias("times"))
+             .join(_cuts(slots, sources, block), ["sid", "block", "epoch"], "left"))
     spans = (sized.filter("size > 0")
              .select("sid", "place", "size", F.explode(F.sequence(F.expr(f"place div {block}"),
                                                                   F.expr(f"(place + size - 1) div {block}"))).alias("block"))
              .withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("place")))
              .withColumn("n", F.least("size", (F.col("block") + 1) * block - F.col("place")) - F.col("start")))
-    taken = spans.join(times, ["sid", "block"]).select("sid", "place", "epoch", "start", "n", "times")
+    left = F.col("keep") - (F.col("place") + F.col("start") - F.col("block") * block)
+    taken = (spans.join(times, ["sid", "block"])
+             .withColumn("n", F.when(F.col("keep").isNull(), F.col("n")).otherwise(F.greatest(F.least("n", left), F.lit(0))))
+             .filter("n > 0").select("sid", "place", "epoch", "start", "n", "times"))
     return Mix(sized, sources, slots, taken)
 
 
+def _cuts(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """``(sid, block, epoch, keep)``: the last slots of each source, cut so that its words meet the target.
+
+    The slots hold less than three full blocks more than the target, so the last six are enough.
+    """
+    last = Window.partitionBy("sid").orderBy(F.desc("epoch"), F.desc("slot"))
+    short = F.col("blocks") * block - F.col("source_size")
+    held = slots.join(sources.select("sid", "blocks", "source_size", "target"), "sid")
+    held = held.withColumn("_len", F.when(F.col("block") == F.col("blocks") - 1, F.lit(block) - short).otherwise(F.lit(block)))
+    excess = held.groupBy("sid").agg((F.sum("_len") - F.round(F.first("target")).cast("long")).alias("_excess"))
+    few = held.withColumn("_nth", F.row_number().over(last)).filter(F.col("_nth") <= 6).join(excess, "sid")
+    before = Window.partitionBy("sid").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.least("_len", F.greatest(F.col("_excess") - F.coalesce(F.sum("_len").over(before), F.lit(0)), F.lit(0)))
+    return few.withColumn("_cut", cut).filter("_cut > 0").select("sid", "block", "epoch", (F.col("_len") - F.col("_cut")).alias("keep"))
+
+
 def _slots(spark, sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     total = sources.agg(F.sum("quota")).first()[0] or 0
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
