@@ -57,12 +57,14 @@ FOCAL_GAMMA = 2.0
 EARLY_STOP_PATIENCE = 3
 MAX_EPOCHS = 20
 # reference words whose embeddings form the two polarity centroids
+# Reference words of the two polarities.
 POSITIVE_WORDS = ("bom", "ótimo", "excelente", "perfeito", "adorei",
                   "amei", "recomendo", "rápido", "qualidade")
 NEGATIVE_WORDS = ("ruim", "péssimo", "horrível", "terrível", "atraso",
                   "quebrado", "defeito", "demora", "problema")
 
 # Wide lexicon (sample generation): alternatives inside \b( ... )\b, case-insensitive.
+# The workflow's wide lexicon.
 WIDE_LEXICON = {
     "logistica": [r"entreg\w*", "prazo", r"atraso\w*", r"atras\w*", r"demor\w*", r"cheg\w*",
                   "frete", r"transport\w*", r"correio\w*", r"envi\w*", "rastreio", r"rastream\w*",
@@ -79,7 +81,7 @@ WIDE_LEXICON = {
               "dinheiro", "reais", r"R\$", r"compens\w*", r"econômic\w*", r"economic\w*"],
 }
 
-# Narrow lexicon (score + regex baseline); nothing found -> ["produto"].
+# Narrow lexicon (score + regex baseline); nothing found -> ["produto"].
 NARROW_LEXICON = {
     "logistica": [r"entreg\w*", "prazo", r"atraso\w*", r"atras\w*", r"demor\w*", r"cheg\w*",
                   "frete", r"transport\w*", r"correio\w*", r"envi\w*", "rastreio",

@@ -2,7 +2,8 @@
 
 On a cluster the session is built by the caller; the library only reads
 ``spark.checkpoint.dir`` from it.  Where it is unset, a folder under the
-session's warehouse is used, never over a value the cluster provides.
+session's warehouse is used if that is shared, never over a value the cluster
+provides.
 """
 
 from __future__ import annotations
@@ -40,9 +41,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's ``spark.checkpoint.dir``, else one under the warehouse.
 
-    The rule is the same on every master.  The warehouse folder is shared by
-    the driver and the executors, so what is written under it survives a lost
-    executor.
+    A warehouse on a store that all machines reach serves on any master.  One on a local file system is
+    the driver's own on a cluster, so there a session without ``spark.checkpoint.dir`` is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,11 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
-        conf_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if is_machine_local(warehouse, sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: the warehouse {warehouse} is local")
+        conf_dir = f"{warehouse}/_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def is_machine_local(path: str, master: str) -> bool:
+    """Whether a path without a shared store's scheme is used on a master with machines of its own."""
+    return not master.startswith("local") and (path.startswith("file:") or "://" not in path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate table through the Hadoop file system it lives on."""
     jvm = spark.sparkContext._jvm
