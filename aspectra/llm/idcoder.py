@@ -20,6 +20,7 @@ ignored; an empty table gives no segment and no row.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -337,6 +338,15 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?*$%#&|;:]*)")
 
 
+# fixed values: the settings of a tokenizer under which the ids of a text are those of its words, in lower case
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -345,17 +355,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids:
-    """The ids of texts, word by word.
+    """The ids of texts, word by word where the tokenizer's settings allow it, else text by text.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words; distinct words are encoded once and remembered.  Texts that may hold a special token's
-    string are encoded whole.
+    A tokenizer of those settings drops white space and never joins across it, so the ids of a text are
+    those of its words; distinct words are encoded once and remembered.  Texts that may hold a special
+    token's string are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_word = settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER
         self.special = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
@@ -405,6 +417,8 @@ class Ids:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by END_ID, and the number of each row."""
+        if not self.by_word:
+            return self._whole(data, offsets)
         h, start, end = W.word_spans(data, offsets)
         bounds = np.searchsorted(start, offsets)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -430,6 +444,13 @@ class Ids:
         lengths = total[row_bounds[1:]] - total[row_bounds[:-1]]
         return self._special(data, offsets, ids, lengths)
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, bounds = data.tobytes(), offsets.tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+        ids = [np.array([*e.ids, END_ID], np.uint32) for k in range(0, len(texts), 256)
+               for e in self.tokenizer.encode_batch(texts[k:k + 256], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
     def _special(self, data, offsets, ids, lengths):
         mark = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|"
         rows = np.unique(np.searchsorted(offsets, mark, side="right") - 1)

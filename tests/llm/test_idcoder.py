@@ -96,3 +96,25 @@ def _freq(n_ranks):
     freq = np.full(n, (1 << 14) // n)
     freq[0] += (1 << 14) - freq.sum()
     return freq
+
+
+@pytest.mark.parametrize("change", ["no lower case", "another splitting", "byte level"])
+def test_other_vocabularies_go_through_the_library(spark, tmp_path, change):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    settings = json.load(open(vocabulary()))
+    if change == "no lower case":
+        settings["normalizer"]["normalizers"].pop()
+    elif change == "another splitting":
+        settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S"
+    else:
+        settings = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    rows = [(k, t) for k, t in enumerate([*TEXTS, "The Cat SAT"])]
+    got = sorted(map(tuple, idcoder.encode(spark.createDataFrame(rows, "doc_id long, text string"), str(path)).collect()))
+    assert got == want_rows(Tokenizer.from_file(str(path)), rows)
+    assert not idcoder.Ids(str(path)).by_word and idcoder.Ids(vocabulary()).by_word
