@@ -15,7 +15,7 @@ from aspectra.operators.predictors import (CentroidPredictor, ScoreRegexPredicto
 from aspectra.plans import bridge
 from aspectra.plans.registry import labels_str, r6, register
 from aspectra.plans.sqlbits import B_PROBS, B_REVIEWS, LABEL_DIM, rx, with_
-from aspectra.schema import ASPECTS, DEFAULT_SCHEMA, DRIVER_LEXICON, NARROW_DEFAULT
+from aspectra.schema import ASPECTS, DRIVER_LEXICON, NARROW_DEFAULT
 
 LEX = DRIVER_LEXICON
 
