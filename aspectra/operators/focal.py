@@ -78,7 +78,8 @@ class FocalModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """The weights as a Parquet table, a row per feature that is in use."""
         used = np.flatnonzero((self.weights != 0).any(axis=1) | (np.arange(len(self.weights)) == len(self.weights) - 1))
-        rows = pd.DataFrame({"feature": used, "scale": np.r_[self.scale, 1.0][used], "weights": list(self.weights[used])})
+        # plain numbers: without Arrow, Spark takes no numpy values inside of lists
+        rows = list(zip(used.tolist(), np.r_[self.scale, 1.0][used].tolist(), self.weights[used].tolist()))
         meta = ",".join(self.labels)
         (spark.createDataFrame(rows, "feature long, scale double, weights array<double>")
          .withColumn("n_features", F.lit(len(self.scale)).cast("long")).withColumn("labels", F.lit(meta))

@@ -97,6 +97,20 @@ def test_a_stored_model_gives_the_same_probabilities(spark, tmp_dir):
     assert one[1]["p"] == one[2]["p"]  # no words: the bias alone
 
 
+def test_a_model_is_stored_in_a_session_without_arrow(spark, tmp_dir):
+    model = FocalModel(np.random.default_rng(4).normal(size=(6, 2)), np.arange(1.0, 6.0), ["a", "b"])
+    model.weights[2] = 0  # not in use: not stored
+    conf, was = "spark.sql.execution.arrow.pyspark.enabled", spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set(conf, "false")
+    try:
+        model.save(spark, f"{tmp_dir}/model")
+        again = FocalModel.load(spark, f"{tmp_dir}/model")
+    finally:
+        spark.conf.set(conf, was)
+    assert again.labels == model.labels and np.array_equal(again.weights, model.weights)
+    assert np.array_equal(np.delete(again.scale, 2), np.delete(model.scale, 2))
+
+
 def test_the_predictor_adds_one_column(spark):
     model = FocalModel(np.zeros((3, 8)), np.ones(2), [f"y{i}" for i in range(8)])
     model.weights[-1] = [9, -9, 9, 9, -9, -9, -9, -9]
