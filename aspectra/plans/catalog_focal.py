@@ -77,10 +77,11 @@ GROUP BY review_id"""
 
 
 def _fit_documents(spark, sf) -> focal.FocalFit:
-    d = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    # the numbers are taken before the join, so that texts are not shuffled
+    d = bridge.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), text_numbers().alias("numbers"))
     rows = d.join(bridge.table(spark, sf, "labels").withColumnRenamed("doc_id", "review_id"), "review_id")
     train, held = sampling.train_test_split(rows, 0.15)
-    return train_focal(train, held, LABELS, text_numbers(), n_features=2, steps=1, rate=RATE, max_epochs=EPOCHS,
+    return train_focal(train, held, LABELS, F.col("numbers"), n_features=2, steps=1, rate=RATE, max_epochs=EPOCHS,
                        patience=PATIENCE, idf=False, adam=False)
 
 

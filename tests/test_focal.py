@@ -124,3 +124,20 @@ def test_no_rows_to_train_on(spark):
     df = labelled(spark, 5)
     with pytest.raises(ValueError, match="no rows"):
         train_focal(df.limit(0), df, ["fine"], hashed_words("text"))
+
+
+def test_texts_are_not_shuffled_to_the_training(spark, sf_dir, monkeypatch):
+    from aspectra.plans import catalog_focal
+
+    seen = []
+    monkeypatch.setattr(catalog_focal, "train_focal", lambda train, held, labels, features, **k: seen.append(train.select("review_id", features.alias("f"))))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog_focal._fit_documents(spark, sf_dir)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = seen[0]._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    shuffled = [part for part in plan.split("\n\n") if ") Exchange\n" in part]
+    assert len(shuffled) == 2 and not any("text#" in part for part in shuffled)
