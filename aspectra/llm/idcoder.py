@@ -21,7 +21,6 @@ ignored; an empty table gives no segment and no row.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,8 +37,8 @@ from aspectra.session import scratch_path
 END_ID = 2
 BLOCK_IDS = 2048
 SEGMENT_IDS = 8 << 20
-#: words, and runs of letters or marks, whose ids a task remembers
-CACHE_WORDS, CACHE_PIECES = 2_000_000, 400_000
+#: words, and runs of letters or marks, whose ids a task remembers (about 50 bytes each)
+CACHE_WORDS, CACHE_PIECES = 2_000_000, 1_000_000
 
 # ---------------------------------------------------------------- the model and the coder
 
@@ -334,8 +333,27 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- ids of texts
 
 # a word of these letters and closing marks is two pieces of the tokenizer, its letters and its marks,
-# and no normalisation but lower case touches it
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?*$%#&|;:]*)")
+# and no normalisation but lower case touches it: A-Z, a-z and the letters of U+00C0 to U+00FF
+_OTHER, _LETTER, _MARK, _GAP = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[list(b".,!?*$%#&|;:")] = _MARK
+_KIND[32] = _GAP
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words with a space after each: which are letters and closing marks, and where the marks of those start."""
+    kind = _KIND.take(data)
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[two + 1]
+    two = two[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+    kind[two] = kind[two + 1] = _LETTER
+    before = np.r_[np.uint8(_GAP), kind[:-1]]
+    bad = np.flatnonzero((kind == _OTHER) | ((kind == _LETTER) & (before == _MARK)) | ((kind == _MARK) & (before == _GAP)))
+    simple = np.ones(len(starts), bool)
+    simple[np.searchsorted(starts, bad, side="right") - 1] = False
+    cut = np.flatnonzero((kind == _MARK) & (before == _LETTER))
+    return simple, cut[simple[np.searchsorted(starts, cut, side="right") - 1]]
 
 
 # fixed values: the settings of a tokenizer under which the ids of a text are those of its words, in lower case
@@ -354,12 +372,53 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The spans of ``flat`` that start ``at`` and have ``n`` elements, one after another."""
+    total = np.r_[0, np.cumsum(n)]
+    return flat[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
+
+
+class _Known:
+    """Ids of words or pieces by their hash: sorted hashes, and spans of one array."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Which of ``keys`` are to be added; all of them where they would be too many beside the others."""
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+            if len(self.keys) + new.sum() > self.most:
+                new[:] = True
+                self._clear()
+        return new
+
+    def add(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """``keys`` rise and are new."""
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, place, n)
+        self.flat = np.concatenate([self.flat, ids])
+
+    def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.keys, keys)
+        return self.at[place], self.n[place]
+
+
 class Ids:
     """The ids of texts, word by word where the tokenizer's settings allow it, else text by text.
 
     A tokenizer of those settings drops white space and never joins across it, so the ids of a text are
-    those of its words; distinct words are encoded once and remembered.  Texts that may hold a special
-    token's string are encoded whole.
+    those of its words; distinct words are encoded once and remembered, and so are the pieces of new words.
+    Texts that may hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -371,49 +430,42 @@ class Ids:
         self.special = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.pieces: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _piece(self, s: str) -> list[int]:
-        s = s.lower()
-        got = self.pieces.get(s)
-        if got is None:
-            mapped = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-            got = [t.id for t in self.tokenize(mapped)]
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            self.pieces[s] = got
-        return got
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        other = []
-        for k, w in enumerate(words):
-            m = _SIMPLE.fullmatch(w)
-            if m:
-                out[k] = self._piece(m[1]) + (self._piece(m[2]) if m[2] else [])
-            else:
+        self.words, self.pieces = _Known(CACHE_WORDS), _Known(CACHE_PIECES)
+
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, simple: np.ndarray) -> list[list[int]]:
+        """The ids of pieces; those that are not simple are whole words."""
+        raw, low = data.tobytes(), W.LOWER.take(data).tobytes()
+        out: list[list[int]] = []
+        other, words = [], []
+        for k, (a, b, ok) in enumerate(zip(start.tolist(), end.tolist(), simple.tolist())):
+            s = low[a:b]
+            if not ok:
                 other.append(k)
-        for k, e in zip(other, self.tokenizer.encode_batch([words[k] for k in other], add_special_tokens=False)):
+                words.append(raw[a:b].decode("utf-8", "replace"))
+                out.append([])
+            else:
+                mapped = s.decode() if s.isascii() else s.decode().lower().encode().decode("latin-1").translate(self.letters)
+                out.append([t.id for t in self.tokenize(mapped)])
+        for k, e in zip(other, self.tokenizer.encode_batch(words, add_special_tokens=False)):
             out[k] = e.ids
         return out
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        """``keys`` rise and are new."""
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self._clear()
-        ids = self._encode(words)
-        n = np.array([len(x) for x in ids], np.int64)
-        place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(n) - n)
-        self.n = np.insert(self.n, place, n)
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+    def _of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids; words are cut into pieces, and distinct pieces encoded once."""
+        length = end - start
+        base = np.cumsum(length + 1) - length - 1
+        text = np.full(int(base[-1] + length[-1]) + 1, 32, np.uint8)
+        text[_spread(np.arange(len(text)), base, length)] = _spread(data, start, length)
+        simple, cuts = _cuts(text, base)
+        h, s, e = W.word_spans(text, np.r_[0, cuts, len(text)])
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = self.pieces.missing(u)
+        if new.any():
+            i = first[new]
+            ids = self._encode(text, s[i], e[i], simple[np.searchsorted(base, s[i], side="right") - 1])
+            self.pieces.add(u[new], np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32))
+        at, n = (x[inverse] for x in self.pieces.spans(u))
+        return np.add.reduceat(n, np.searchsorted(s, base)), _spread(self.pieces.flat, at, n)
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by END_ID, and the number of each row."""
@@ -422,25 +474,18 @@ class Ids:
         h, start, end = W.word_spans(data, offsets)
         bounds = np.searchsorted(start, offsets)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, u)
-        new = (at >= len(self.keys)) | (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] != u) \
-            if len(self.keys) else np.ones(len(u), bool)
+        new = self.words.missing(u)
         if new.any():
-            if len(self.keys) + new.sum() > CACHE_WORDS:
-                new[:] = True
-                self._clear()
-            raw = data.tobytes()
             i = first[new]
-            self._add(u[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[i].tolist(), end[i].tolist())])
-            at = np.searchsorted(self.keys, u)
+            self.words.add(u[new], *self._of_words(data, start[i], end[i]))
         # the end id is one more word of every row
-        word_at, word_n = self.at[at][inverse], self.n[at][inverse]
-        ends = len(self.flat)
-        flat = np.append(self.flat, np.uint32(END_ID))
+        word_at, word_n = (x[inverse] for x in self.words.spans(u))
+        ends = len(self.words.flat)
+        flat = np.append(self.words.flat, np.uint32(END_ID))
         word_at, word_n = np.insert(word_at, bounds[1:], ends), np.insert(word_n, bounds[1:], 1)
         row_bounds = bounds + np.arange(len(bounds))
         total = np.r_[0, np.cumsum(word_n)]
-        ids = flat[np.repeat(word_at - total[:-1], word_n) + np.arange(total[-1])]
+        ids = _spread(flat, word_at, word_n)
         lengths = total[row_bounds[1:]] - total[row_bounds[:-1]]
         return self._special(data, offsets, ids, lengths)
 

@@ -118,3 +118,31 @@ def test_other_vocabularies_go_through_the_library(spark, tmp_path, change):
     got = sorted(map(tuple, idcoder.encode(spark.createDataFrame(rows, "doc_id long, text string"), str(path)).collect()))
     assert got == want_rows(Tokenizer.from_file(str(path)), rows)
     assert not idcoder.Ids(str(path)).by_word and idcoder.Ids(vocabulary()).by_word
+
+
+@pytest.mark.parametrize("most", [3, 40, 10_000])
+def test_words_in_pieces_are_encoded_as_the_library_does(tokenizer, monkeypatch, most):
+    monkeypatch.setattr(idcoder, "CACHE_WORDS", most)
+    monkeypatch.setattr(idcoder, "CACHE_PIECES", most)
+    rng = np.random.default_rng(5)
+    parts = ["Été", "naÏve", "strasse", "ß", "ÿÀ", "a×b", "2÷3", "Ā", "é", "x", "END", "...", "!?", ";:", "|", "<", "'", " ", "3", "日"]
+    texts = ["".join(parts[i] + (" " if rng.random() < 0.3 else "") for i in rng.integers(0, len(parts), 12)) for _ in range(120)]
+    coder = idcoder.Ids(vocabulary())
+    calls = []
+    tokenize = coder.tokenize
+    coder.tokenize = lambda s: calls.append(s) or tokenize(s)
+    for k in range(0, len(texts), 30):
+        raw = [t.encode() for t in texts[k:k + 30]]
+        ids, n = coder.of(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])])
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, idcoder.END_ID] for t in texts[k:k + 30]]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    assert most < 10_000 or len(calls) <= len(set(calls)) + 8  # a piece is encoded once (letters beyond A-Z: once for each case)
+
+
+def test_letters_and_closing_marks():
+    words = [b"cat", b"Cat,.", "été!".encode(), "a×".encode(), b"a.b", b"...", b"b2", "日".encode(), b"\xc3", "é".encode() + b"\xc3."]
+    length = np.array([len(w) for w in words])
+    starts = np.cumsum(length + 1) - length - 1
+    simple, cuts = idcoder._cuts(np.frombuffer(b" ".join(words) + b" ", np.uint8), starts)
+    assert simple.tolist() == [True, True, True] + [False] * 7
+    assert cuts.tolist() == [starts[1] + 3, starts[2] + 5]
