@@ -225,6 +225,18 @@ def known_words(docs: DataFrame, voc: Vocabulary) -> pa.Table:
     return often.select("word", voc.fold(F.col("word")).alias("tokens")).toArrow()
 
 
+def places(values: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each value in ``known`` (distinct), -1 for none.
+
+    The table is built of the distinct values, which are fewer than ``known`` and stay in the processor's cache.
+    """
+    coded = values.dictionary_encode()
+    found = pc.index_in(known, coded.dictionary)
+    at = np.full(len(coded.dictionary), -1, np.int32)
+    at[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid())
+    return at[coded.indices.to_numpy()]
+
+
 def _split(docs: DataFrame, voc: Vocabulary, known: pa.Array) -> DataFrame:
     """``(doc_id, at, rest)``: each match as its place in the dictionary, -1 if it is the next one of ``rest``."""
 
@@ -234,10 +246,10 @@ def _split(docs: DataFrame, voc: Vocabulary, known: pa.Array) -> DataFrame:
             bounds = np.asarray(lists.offsets).astype(np.int64)
             values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
             bounds -= bounds[0]
-            at = pc.fill_null(pc.index_in(values, known), -1)
-            missing = np.flatnonzero(at.to_numpy() < 0)
+            at = places(values, known)
+            missing = np.flatnonzero(at < 0)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), at),
+                batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at)),
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, bounds).astype(np.int32)), values.take(pa.array(missing)))],
                 ["doc_id", "at", "rest"])
 

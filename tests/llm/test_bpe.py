@@ -95,3 +95,13 @@ def test_a_file_without_all_bytes_is_refused(spark, tmp_path):
     path.write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError, match="no rank"):
         bpe.Vocabulary(spark, str(path), P.PATTERN)
+
+
+def test_places_are_those_of_the_dictionary():
+    import pyarrow as pa
+
+    known = pa.array([" a", "b", "日", "\n"])
+    values = pa.array(["x", "b", "日", "b", " a", "a", "日日"]).slice(1)
+    assert bpe.places(values, known).tolist() == [1, 2, 1, 0, -1, -1]
+    none = pa.array([], pa.string())
+    assert bpe.places(none, known).tolist() == [] and bpe.places(values, none).tolist() == [-1] * 6
