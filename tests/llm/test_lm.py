@@ -85,3 +85,59 @@ def test_probabilities_add_up_and_gradients_rise():
         m.classes, m.members = lm._step(m.classes, g[:cut], h[:cut], 4), lm._step(m.members, g[cut:], h[cut:], 3)
         seen.append(likelihood())
     assert seen == sorted(seen)
+
+
+def test_pair_weights_are_the_maximum_and_normalised():
+    rng = np.random.default_rng(1)
+    base = rng.dirichlet(np.ones(40))[:30]  # ten words of the class are never seen after any word
+    past, word = np.divmod(np.unique(rng.integers(0, 4 * 30, 70)), 30)
+    cls, times = np.zeros(len(past), np.uint8), rng.integers(0, 40, len(past)).astype(float)
+    w, z = lm.pair_weights(past, cls, times, base[word])
+    assert (w[times == 0] == 0).all()
+    for k in range(4):
+        at = past == k
+        full = base.copy()
+        full[word[at]] *= np.exp(w[at])
+        total = full.sum() + 1 - base.sum()
+        assert z[at] == pytest.approx(math.log(total), abs=1e-9)
+        slope = times[at] - times[at].sum() * full[word[at]] / total - lm.PRIOR * w[at]
+        assert np.abs(slope[times[at] > 0]).max() < 0.2
+
+
+def test_ranges_add_up_and_their_gradients_rise():
+    rng = np.random.default_rng(2)
+    m = lm.Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(lm.HEAD, int), bits=2 * lm.BITS)
+    m.tail_total = rng.integers(0, 50, (lm.TAIL, 64)).astype(float)
+    m.digits = rng.standard_normal((lm.DIGIT_ROWS, lm.WAYS)).astype(np.float32)
+    m.classes = np.zeros((lm.CLASS_ROWS, m.n_classes), np.float32)
+    m.members = np.zeros((lm.MEMBER_ROWS, lm.MEMBERS), np.float32)
+    for cls in (0, 7, 63):
+        assert np.exp(m.digit_logs(np.full(64, 5), cls * 64 + np.arange(64))).sum() == pytest.approx(1, abs=1e-9)
+    case = np.unique(rng.integers(0, lm.TAIL * 64 * 3, 4000))
+    leaf, before, n = case // 3, case % 3, rng.integers(1, 50, len(case))
+    key = -1 - (leaf * (m.n_classes + 1) + before)
+    order = np.argsort(key)
+    seen = []
+    for _ in range(4):
+        seen.append((m.digit_logs(before, leaf) * n).sum())
+        g, h = lm._gradient(m, key[order], n[order])
+        cut = m.classes.size + m.members.size
+        m.digits = lm._step(m.digits, g[cut:], h[cut:], 1)
+    assert seen == sorted(seen) and seen[-1] > seen[0] + 1000
+
+
+@pytest.mark.parametrize("tokens", [1 << 21, 1000])
+def test_words_past_the_head_depend_on_the_word_before(spark, monkeypatch, tokens):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", tokens)  # one range of hashes, and several
+    rng = np.random.default_rng(3)
+    # 1500 rare words with the same ending; each is followed by one other, and frequent words come between
+    text = lambda ks, shift: " ".join(f"a{k}xx b{(k + shift) % 1500}xx f{k % 600}" for k in ks)
+    docs = [(d, text(rng.integers(0, 1500, 40), 0)) for d in range(600)]
+    held = [d for d in range(10_000, 11_000) if crc_fold(d, 10)][:80]
+    ks = rng.integers(0, 1500, (40, 40))
+    docs += [(d, text(k, 0)) for d, k in zip(held[:40], ks)] + [(d, text(k, 750)) for d, k in zip(held[40:], ks)]
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), rounds=3).collect()
+    check_base(got, docs)
+    score = {r.doc_id: r.score for r in got}
+    pairs = 40 * 40
+    assert sum(score[d] for d in held[:40]) > sum(score[d] for d in held[40:]) + 0.7 * pairs
