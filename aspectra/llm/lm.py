@@ -628,7 +628,7 @@ def _looked_up(sent: list, keys: np.ndarray, freq: np.ndarray, m: Model, bucket:
     h, at, word = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
     cls = np.concatenate([p[2] for p in parts])[at]
     order = np.argsort(cls, kind="stable")
-    place = np.empty_like(order)
+    place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order))
     h, cls, word = h[order], cls[order], place[word]
     order = np.argsort(keys)
@@ -638,13 +638,15 @@ def _looked_up(sent: list, keys: np.ndarray, freq: np.ndarray, m: Model, bucket:
     base = (c + 0.1) / (m.tail_total[cls, bucket] + 0.1 * (m.tail_distinct[cls, bucket] + 1))
     # pairs by the word before, then class
     word = np.repeat(word, np.concatenate([p[1] for p in parts]))
-    learn = np.concatenate([np.unpackbits(p[5])[p[4]] for p in parts])
-    pair, where = np.unique(np.concatenate([p[3] for p in parts]).astype(np.uint64) << np.uint64(32) | word.astype(np.uint64),
-                            return_inverse=True)
-    of = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    w, z = pair_weights(pair >> np.uint64(32), cls[of], np.bincount(where, weights=learn), base[of])
-    gain = ((w - z) / math.log(10))[where]
-    log, known = np.log10(c + 0.1)[word], (c > 0)[word]
+    pair = np.concatenate([p[3] for p in parts]).astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= word
+    pair, where = np.unique(pair, return_inverse=True)
+    where = where.astype(np.uint32)
+    times = np.bincount(where, weights=np.concatenate([np.unpackbits(p[5])[p[4]] for p in parts]))
+    of = pair.astype(np.uint32)  # the lower half
+    w, z = pair_weights(pair >> np.uint64(32), cls[of], times, base[of])
+    gain, log, known = (w - z) / math.log(10), np.log10(c + 0.1), c > 0
     out, a, some = [], 0, iter(parts)
     for raw, (v, n, d) in zip(sent, sizes):
         if not v:
@@ -652,7 +654,8 @@ def _looked_up(sent: list, keys: np.ndarray, freq: np.ndarray, m: Model, bucket:
             continue
         row = next(some)[4]
         here = np.flatnonzero(np.bincount(row, minlength=d))
-        sums = [np.bincount(row, weights=x[a:a + n], minlength=d)[here] for x in (log, log + gain, known)]
+        x, y = word[a:a + n], where[a:a + n]
+        sums = [np.bincount(row, weights=t, minlength=d)[here] for t in (log[x], log[x] + gain[y], known[x])]
         out.append(_bytes(np.array([1, len(here), d]), here.astype(np.int32), sums[0], sums[1], sums[2].astype(np.int32)))
         a += n
     return out
