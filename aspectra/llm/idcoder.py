@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.llm import words as W
+from aspectra.llm.tables import arrow_batches
 from aspectra.session import scratch_path
 
 END_ID = 2
@@ -39,12 +40,16 @@ BLOCK_IDS = 2048
 SEGMENT_IDS = 8 << 20
 #: words, and runs of letters or marks, whose ids a task remembers (about 50 bytes each)
 CACHE_WORDS, CACHE_PIECES = 2_000_000, 1_000_000
+#: ids that are remembered for each of them on the average; where they have more, a task forgets them sooner
+_IDS_A_WORD = 8
+#: text bytes whose ids are found at once
+TEXT_BYTES = 1 << 20
 
 # ---------------------------------------------------------------- the model and the coder
 
 _MAGIC = b"IDM1"
 #: blocks coded in step
-LANES = 4096
+LANES = 2048
 _SLOTS = 10  # log2 of the slots of a block's table
 _FULL = np.uint64(12)  # bits of the probability of a hit
 _TOTAL = 14  # bits of the bucket frequencies
@@ -275,16 +280,10 @@ def _decode_group(words, lengths, freq, buckets) -> np.ndarray:
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment of whole documents."""
-    if len(ids) and ids.max() >= 1 << 22:
-        distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    else:
-        count = np.bincount(ids)
-        distinct = np.flatnonzero(count)
-        inverse, count = ids, count[distinct]
+    distinct, inverse, count = _distinct(ids)
     order = np.argsort(-count, kind="stable")
     rank_of = np.zeros(int(inverse.max(initial=0)) + 1, np.uint32)
     rank_of[distinct[order] if inverse is ids else order] = np.arange(len(order))
-    ranks = rank_of.take(inverse)
     bucket, _, _ = _buckets(len(distinct))
     freq = np.bincount(bucket, weights=count[order] if len(order) else None)
     freq = np.maximum((freq * ((1 << _TOTAL) - len(freq)) // max(1, len(ids))).astype(np.int64), 1)
@@ -293,18 +292,34 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     sizes = np.full(n_blocks, BLOCK_IDS, np.int64)
     if n_blocks:
         sizes[-1] = len(ids) - (n_blocks - 1) * BLOCK_IDS
-    blocks = encode_blocks(ranks, sizes, freq, len(distinct))
+    blocks = []
+    for g in _lane_groups(sizes):  # what is coded is kept as bytes, so that one group's arrays are held at a time
+        part = inverse[g.start * BLOCK_IDS:g.stop * BLOCK_IDS]
+        blocks += [w.astype("<u4").tobytes() for w in encode_blocks(rank_of.take(part), sizes[g], freq, len(distinct))]
     head = b"".join([np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
                      np.array([d or 0 for d in doc_ids], "<i8").tobytes(), lengths.astype("<i8").tobytes(),
                      distinct[order].astype("<u4").tobytes(), freq.astype("<u2").tobytes()])
-    table = b"".join(struct.pack("<III", zlib.crc32(w.astype("<u4").tobytes()), n, len(w))
-                     for w, n in zip(blocks, sizes.tolist()))
+    table = b"".join(struct.pack("<III", zlib.crc32(w), n, len(w) // 4) for w, n in zip(blocks, sizes.tolist()))
     return b"".join([_MAGIC, struct.pack("<IIIII", len(doc_ids), len(ids), len(distinct), _TOTAL, n_blocks),
-                     struct.pack("<I", zlib.crc32(head)), head, table, *(w.astype("<u4").tobytes() for w in blocks)])
+                     struct.pack("<I", zlib.crc32(head)), head, table, *blocks])
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, what each id has its rank by (the id, or where that is large its place), and their counts."""
+    top = int(ids.max(initial=0)) + 1
+    if top > 1 << 22:
+        distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
+        return distinct, inverse, count
+    count = np.zeros(top, np.int64)
+    for k in range(0, len(ids), 1 << 20):  # bincount copies what it counts as 64-bit numbers
+        count += np.bincount(ids[k:k + (1 << 20)], minlength=top)
+    distinct = np.flatnonzero(count)
+    return distinct, ids, count[distinct]
 
 
-def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def unpack(segment: bytes | pa.Buffer) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, lengths and all ids of a segment; raises ValueError where a checksum fails."""
+    segment = memoryview(segment)
     if segment[:4] != _MAGIC:
         raise ValueError("not an id segment")
     n_docs, n_ids, n_ranks, _, n_blocks = struct.unpack_from("<IIIII", segment, 4)
@@ -324,9 +339,13 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for k, (sum_, _, n) in enumerate(table):
         words.append(np.frombuffer(segment, "<u4", n, at))
         at += 4 * int(n)
-        if zlib.crc32(words[-1].tobytes()) != sum_:
+        if zlib.crc32(words[-1]) != sum_:
             raise ValueError(f"block {k} is damaged")
-    ids = distinct[decode_blocks(words, table[:, 1], freq.astype(np.int64), n_ranks)] if n_ids else distinct[:0]
+    ids = np.zeros(n_ids, np.uint32)
+    ends = np.cumsum(table[:, 1])
+    for g in _lane_groups(table):
+        ranks = decode_blocks(words[g], table[g, 1], freq.astype(np.int64), n_ranks)
+        ids[int(ends[g.start] - table[g.start, 1]):int(ends[g.stop - 1])] = distinct.take(ranks)
     return [int(d) if h else None for d, h in zip(doc_ids, has)], lengths, ids
 
 
@@ -379,7 +398,7 @@ def _spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Ids of words or pieces by their hash: sorted hashes, and spans of one array."""
+    """Ids of words or pieces by their hash: sorted hashes, and spans of one array, which starts with END_ID."""
 
     def __init__(self, most: int):
         self.most = most
@@ -387,15 +406,15 @@ class _Known:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.full(1, END_ID, np.uint32), 1
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
         """Which of ``keys`` are to be added; all of them where they would be too many beside the others."""
         new = np.ones(len(keys), bool)
         if len(self.keys):
             new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
-            if len(self.keys) + new.sum() > self.most:
+            if len(self.keys) + new.sum() > self.most or self.used > _IDS_A_WORD * self.most:
                 new[:] = True
                 self._clear()
         return new
@@ -404,9 +423,12 @@ class _Known:
         """``keys`` rise and are new."""
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(n) - n)
-        self.n = np.insert(self.n, place, n)
-        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.insert(self.at, place, (self.used + np.cumsum(n) - n).astype(np.int32))
+        self.n = np.insert(self.n, place, n.astype(np.int32))
+        start, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat[:start], np.empty(len(ids) + start // 4, np.uint32)])
+        self.flat[start:self.used] = ids
 
     def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.keys, keys)
@@ -480,12 +502,10 @@ class Ids:
             self.words.add(u[new], *self._of_words(data, start[i], end[i]))
         # the end id is one more word of every row
         word_at, word_n = (x[inverse] for x in self.words.spans(u))
-        ends = len(self.words.flat)
-        flat = np.append(self.words.flat, np.uint32(END_ID))
-        word_at, word_n = np.insert(word_at, bounds[1:], ends), np.insert(word_n, bounds[1:], 1)
+        word_at, word_n = np.insert(word_at, bounds[1:], 0), np.insert(word_n, bounds[1:], 1)
         row_bounds = bounds + np.arange(len(bounds))
         total = np.r_[0, np.cumsum(word_n)]
-        ids = _spread(flat, word_at, word_n)
+        ids = _spread(self.words.flat, word_at, word_n)
         lengths = total[row_bounds[1:]] - total[row_bounds[:-1]]
         return self._special(data, offsets, ids, lengths)
 
@@ -520,26 +540,31 @@ def _write_segments(path: str):
             _LOADED[path] = Ids(path)
         coder = _LOADED[path]
         part, seq = TaskContext.get().partitionId(), 0
-        docs, lengths, ids, held = [], [], [], 0
+        docs, lengths = [], []
+        ids, held = np.zeros(0, np.uint32), 0
 
         def segment():
+            W.release_memory()
             n = np.concatenate(lengths)
-            x = np.concatenate(ids)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
-                "n_docs": pa.array([len(n)], pa.int64()), "n_ids": pa.array([len(x)], pa.int64()),
-                "payload": pa.array([pack(docs, n, x)], pa.binary())})
+                "n_docs": pa.array([len(n)], pa.int64()), "n_ids": pa.array([held], pa.int64()),
+                "payload": pa.array([pack(docs, n, ids[:held])], pa.binary())})
 
-        for batch, data, offsets in W.chunks(batches):
+        for batch, data, offsets in W.chunks(batches, max_bytes=TEXT_BYTES):
             x, n = coder.of(data, offsets)
             docs += batch.column("doc_id").to_pylist()
             lengths.append(n)
-            ids.append(x)
+            if held + len(x) > len(ids):
+                # one array is filled; pages of it that hold nothing yet take no memory
+                ids = np.concatenate([ids[:held], np.empty(max(len(x), SEGMENT_IDS // 4), np.uint32)])
+            ids[held:held + len(x)] = x
             held += len(x)
             if held >= SEGMENT_IDS:
                 yield segment()
+                W.release_memory()
                 seq += 1
-                docs, lengths, ids, held = [], [], [], 0
+                docs, lengths, held = [], [], 0
         if docs:
             yield segment()
 
@@ -550,7 +575,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     """The ids of ``docs (doc_id, text)`` in ascending ``doc_id`` order, as segments under ``path``."""
     ordered = (docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
                .sortWithinPartitions("doc_id", F.xxhash64("text")))
-    ordered.mapInArrow(_write_segments(tokenizer_path), SEGMENT).write.parquet(path)
+    with arrow_batches(docs.sparkSession, 4 * TEXT_BYTES):
+        ordered.mapInArrow(_write_segments(tokenizer_path), SEGMENT).write.parquet(path)
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -558,13 +584,15 @@ def read(segments: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                docs, n, ids = unpack(batch.column("payload")[k].as_py())
+                docs, n, ids = unpack(batch.column("payload")[k].as_buffer())
                 end = np.cumsum(n)
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip((end - n).tolist(), end.tolist())]
+                raw = ids.astype("<u4", copy=False)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((end - n).tolist(), end.tolist())]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(docs, pa.int64()), "start": pa.array(batch.column("before")[k].as_py() + end - n),
                     "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())})
+                del ids, raw
+                W.release_memory()
 
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(

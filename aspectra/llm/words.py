@@ -7,6 +7,8 @@ probability of about 2**-64, so n distinct words collide somewhere with about n*
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -145,3 +147,11 @@ def unique_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[
     k = keys[order]
     head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     return k[head], np.add.reduceat(weights[order], head) if len(k) else weights[:0]
+
+
+def release_memory() -> None:
+    """Return what numpy has freed to the system: glibc keeps it, and a worker lives on between tasks."""
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -1,12 +1,15 @@
 """Ids in coded blocks: exact round trips, checksums, and the ids of the tokenizer."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aspectra.llm import idcoder
 from aspectra.llm.queries import vocabulary
+from aspectra.llm.tables import arrow_batches
 
 TEXTS = ["The cat's hat, isn't it?! 3.14 <|endoftext|> end", "a<|startoftext|>b <| c", None, "", "  \n\t ",
          "Ünïcode İstanbul naïve—“q” é 日本語 ΑΣ ǅ", "THE THE the", "x" * 3000, "don'T !!..a 12ab|c", "word " * 20_000]
@@ -146,3 +149,56 @@ def test_letters_and_closing_marks():
     simple, cuts = idcoder._cuts(np.frombuffer(b" ".join(words) + b" ", np.uint8), starts)
     assert simple.tolist() == [True, True, True] + [False] * 7
     assert cuts.tolist() == [starts[1] + 3, starts[2] + 5]
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_whole_segment_is_coded_in_little_memory():
+    ids = np.minimum(np.random.default_rng(3).zipf(1.3, idcoder.SEGMENT_IDS), 48_000).astype(np.uint32)
+    lengths = np.array([len(ids)], np.int64)
+    segment, packing = _peak_mb(lambda: idcoder.pack([1], lengths, ids))
+    (docs, n, back), reading = _peak_mb(lambda: idcoder.unpack(pa.py_buffer(segment)))
+    assert docs == [1] and n.tolist() == [len(ids)] and (back == ids).all()
+    # beside the ids themselves: two tasks run in one executor, next to its JVM
+    assert packing < 130 and reading < 130
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 4096])
+def test_segments_do_not_depend_on_the_lanes(monkeypatch, lanes):
+    ids = np.random.default_rng(4).integers(0, 300, 5 * idcoder.BLOCK_IDS + 7).astype(np.uint32)
+    n = np.array([100, len(ids) - 100])
+    whole = idcoder.pack([1, 2], n, ids)
+    monkeypatch.setattr(idcoder, "LANES", lanes)
+    assert idcoder.pack([1, 2], n, ids) == whole
+    assert (idcoder.unpack(whole)[2] == ids).all()
+
+
+def test_remembered_ids_are_bounded_where_words_are_long(tokenizer, monkeypatch):
+    monkeypatch.setattr(idcoder, "CACHE_WORDS", 200)
+    monkeypatch.setattr(idcoder, "CACHE_PIECES", 200)
+    coder = idcoder.Ids(vocabulary())
+    most = 0
+    for k in range(30):
+        texts = ["1234567890-" * 40 + str(k), "aé" * 300 + chr(97 + k % 26)]
+        raw = [t.encode() for t in texts]
+        ids, n = coder.of(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])])
+        assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, idcoder.END_ID]]
+        most = max(most, len(coder.words.flat))
+    assert len(n) == 2 and most < 200 * 8 + 4 * len(ids)
+
+
+def test_the_session_keeps_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = spark.range(40).selectExpr("repeat('x', 1000) AS text").coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    with arrow_batches(spark, 8_000):
+        small = sizes.collect()
+    assert spark.conf.get(key) == before and sum(r.n for r in small) == 40 and max(r.n for r in small) < 20
