@@ -48,7 +48,7 @@ TEXT_BYTES = 1 << 20
 # ---------------------------------------------------------------- the model and the coder
 
 _MAGIC = b"IDM1"
-#: blocks coded in step
+#: blocks coded in step, half as many more at most
 LANES = 2048
 _SLOTS = 10  # log2 of the slots of a block's table
 _FULL = np.uint64(12)  # bits of the probability of a hit
@@ -165,8 +165,11 @@ def _bucket_table(freq: np.ndarray):
 
 
 def _lane_groups(lengths: np.ndarray):
-    for k in range(0, len(lengths), LANES):
-        yield slice(k, min(k + LANES, len(lengths)))
+    """About LANES blocks each, none of them much smaller: a step costs nearly as much for a few blocks."""
+    n = len(lengths)
+    groups = max(1, round(n / LANES)) if n else 0
+    for k in range(groups):
+        yield slice(k * n // groups, (k + 1) * n // groups)
 
 
 def encode_blocks(ranks: np.ndarray, lengths: np.ndarray, freq: np.ndarray, n_ranks: int) -> list[np.ndarray]:
