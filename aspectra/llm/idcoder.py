@@ -38,7 +38,7 @@ from aspectra.session import scratch_path
 END_ID = 2
 BLOCK_IDS = 2048
 SEGMENT_IDS = 8 << 20
-#: words, and runs of letters or marks, whose ids a task remembers (about 50 bytes each)
+#: words, and runs of letters or marks, whose ids a task remembers (about 60 bytes each)
 CACHE_WORDS, CACHE_PIECES = 2_000_000, 1_000_000
 #: ids that are remembered for each of them on the average; where they have more, a task forgets them sooner
 _IDS_A_WORD = 8
@@ -49,20 +49,21 @@ TEXT_BYTES = 1 << 20
 
 _MAGIC = b"IDM1"
 #: blocks coded in step, half as many more at most
-LANES = 2048
+LANES = 4096
+_STEPS = 64  # steps whose ids are laid out at once
 _SLOTS = 10  # log2 of the slots of a block's table
 _FULL = np.uint64(12)  # bits of the probability of a hit
 _TOTAL = 14  # bits of the bucket frequencies
-_U32, _U48 = np.uint64(32), np.uint64(48)
+_U32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
-_LOW16 = np.uint64(0xFFFF)
 _ONE = np.uint64(1)
 #: ids of higher rank are never predicted
 _PREDICTED = 65_534
 # Probabilities of a hit in 1 / 4096, at 2 * situation + (whether the last prediction was right).
 # Situations: no prediction; order 1 alone; order 2, order 1 says otherwise; both agree.
-_START = np.array([0, 0, 1200, 1200, 1200, 1200, 2400, 2400], np.int32)
+_START = np.array([0, 0, 1200, 1200, 1200, 1200, 2400, 2400], np.uint16)
 _HIT, _MISS = 4064, 32  # where a probability moves
+_THIRD, _TWO_THIRDS = np.uint32(-(-(1 << 32) // 3)), np.uint32(-(-(2 << 32) // 3))
 
 
 def _buckets(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,60 +84,71 @@ class _Lanes:
     three hashes of the id before that (order 2).
     """
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, n_ranks: int):
         lane = np.arange(n, dtype=np.int64)
-        self.table = np.zeros(n << _SLOTS, np.uint64)
+        self.table = np.zeros(n << _SLOTS + 2, np.uint16)
         self.chance = np.tile(_START, n)
-        self.at_slot, self.at_state = lane << _SLOTS, lane << 3
-        self.prev = np.zeros(n, np.uint64)
-        self.shift = np.full(n, 16, np.uint64)
+        self.at_slot, self.at_state = lane << _SLOTS + 2, lane << 3
+        self.prev = np.zeros(n, np.uint32)
+        self.field = np.ones(n, np.uint8)
         self.right = np.zeros(n, bool)
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.all_predicted = n_ranks <= _PREDICTED
 
     def shorten(self, n: int) -> None:
-        for k in ("at_slot", "at_state", "prev", "shift", "right", "low", "range"):
+        for k in ("at_slot", "at_state", "prev", "field", "right", "low", "range"):
             setattr(self, k, getattr(self, k)[:n])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id (rank + 1, 0 for none) and the part of the range that a hit takes."""
-        slot = (self.prev * np.uint64(0x9E3779B1) & _LOW32) >> np.uint64(32 - _SLOTS)
-        self.slot = self.at_slot + slot.astype(np.int64)
-        self.entry = self.table.take(self.slot, mode="wrap")
-        one = self.entry & _LOW16
-        two = (self.entry >> self.shift) & _LOW16
+        hashed = self.prev * np.uint32(0x9E3779B1)
+        hashed >>= 32 - _SLOTS
+        hashed <<= 2
+        self.one = self.at_slot + hashed
+        self.two = self.one + self.field
+        one, two = self.table.take(self.one, mode="wrap"), self.table.take(self.two, mode="wrap")
         has = two > 0
         guess = np.where(has, two, one)
-        situation = (guess > 0).astype(np.int64)
-        situation += has
-        situation += has & (one == two)
+        situation = (guess > 0).view(np.uint8) + has.view(np.uint8)
+        has &= one == two
+        situation += has.view(np.uint8)
         situation += situation
-        situation += self.right
+        situation += self.right.view(np.uint8)
         self.state = self.at_state + situation
         self.now = self.chance.take(self.state, mode="wrap")
-        return guess, (self.range >> _FULL) * self.now.astype(np.uint64)
-
-    def narrow(self, miss: np.ndarray, part: np.ndarray) -> None:
-        self.low += part * miss
-        self.range = np.where(miss, self.range - part, part)
+        part = self.range >> _FULL
+        part *= self.now
+        return guess, part
+
+    def narrow(self, hits: np.ndarray, part: np.ndarray) -> None:
+        """All lanes but ``hits``, whose prediction was right, take the range above ``part``."""
+        low = self.low.take(hits)
+        self.low += part
+        self.range -= part
+        self.low[hits] = low
+        self.range[hits] = part.take(hits)
 
     def learn(self, miss: np.ndarray, token: np.ndarray) -> None:
         """``token``: rank + 1 of the id just coded."""
-        goal = np.where(miss, _MISS, _HIT)
-        self.chance[self.state] = np.where(self.now > 0, self.now + ((goal - self.now) >> 4), 0)
-        kept = token * (token <= _PREDICTED)
-        entry = self.entry & ~((_LOW16 << self.shift) | _LOW16)
-        entry |= kept << self.shift
-        entry |= kept
-        self.table[self.slot] = entry
+        now = self.now.view(np.int16)
+        # a sixteenth of the way up or down, rounded down; 0 stays 0
+        up = now + ((_HIT - now) >> 4)
+        down = now - (np.maximum(now - (_MISS - 15), 0) >> 4)
+        self.chance[self.state] = np.where(miss, down, up).view(np.uint16)
+        kept = (token if self.all_predicted else token * (token <= _PREDICTED)).astype(np.uint16)
+        self.table[self.one] = kept
+        self.table[self.two] = kept
         # the place in a slot for the id that has just become the one before the last
-        self.shift = ((self.prev * np.uint64(0x85EBCA6B) & _LOW32) * np.uint64(3) >> _U32) * np.uint64(16) + np.uint64(16)
+        hashed = self.prev * np.uint32(0x85EBCA6B)
+        self.field = (hashed >= _THIRD).view(np.uint8) + (hashed >= _TWO_THIRDS).view(np.uint8)
+        self.field += 1
         self.prev = token
         self.right = ~miss
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         """Shift out the top 32 bits where the range has become short; those lanes and their words."""
-        at = np.flatnonzero(self.range <= _LOW32)
+        at = (self.range <= _LOW32).nonzero()[0]
         if not len(at):
             return at, at
         low, size = self.low.take(at), self.range.take(at)
@@ -148,15 +160,22 @@ class _Lanes:
 
 
 class _Out:
-    def __init__(self, n: int, steps: int):
-        self.words = np.zeros((n, 2 * steps + 4), np.uint32)
-        self.n = np.zeros(n, np.int64)
+    """The words of all lanes in the order in which they come."""
+
+    def __init__(self, n: int):
+        self.kind = np.min_scalar_type(max(n - 1, 0))
+        self.lanes, self.words = [np.zeros(0, self.kind)], [np.zeros(0, np.uint32)]
+        self.n = n
 
     def put(self, lanes, words) -> None:
         if len(lanes):
-            at = self.n.take(lanes)
-            self.words[lanes, at] = words
-            self.n[lanes] = at + 1
+            self.lanes.append(lanes.astype(self.kind))
+            self.words.append(words)
+
+    def by_lane(self) -> list[np.ndarray]:
+        lanes = np.concatenate(self.lanes)
+        words = np.concatenate(self.words).take(np.argsort(lanes, kind="stable"))
+        return np.split(words, np.cumsum(np.bincount(lanes, minlength=self.n))[:-1])
 
 
 def _bucket_table(freq: np.ndarray):
@@ -164,6 +183,11 @@ def _bucket_table(freq: np.ndarray):
     return (ends - freq).astype(np.uint64), freq.astype(np.uint64), np.repeat(np.arange(len(freq)), freq)
 
 
+def _lanes_at(lengths: np.ndarray) -> list[int]:
+    """The number of blocks that have an id at each step; ``lengths`` fall."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0]))).tolist()
+
+
 def _lane_groups(lengths: np.ndarray):
     """About LANES blocks each, none of them much smaller: a step costs nearly as much for a few blocks."""
     n = len(lengths)
@@ -174,46 +198,43 @@ def _lane_groups(lengths: np.ndarray):
 
 def encode_blocks(ranks: np.ndarray, lengths: np.ndarray, freq: np.ndarray, n_ranks: int) -> list[np.ndarray]:
     """The words of each block; ``lengths`` fall, ``ranks`` holds the blocks one after another."""
-    buckets = _buckets(n_ranks)
+    bucket, first_rank, bits = _buckets(n_ranks)
+    starts, sizes, _ = _bucket_table(freq)
+    # of each rank: what its part of the range is multiplied by, and by what the range is divided
+    tables = starts[bucket], sizes[bucket], bits[bucket], np.arange(len(bucket), dtype=np.uint64) - first_rank[bucket]
     begin = np.cumsum(lengths) - lengths
-    return [w for g in _lane_groups(lengths) for w in _encode_group(ranks, begin[g], lengths[g], freq, buckets)]
+    return [w for g in _lane_groups(lengths) for w in _encode_group(ranks, begin[g], lengths[g], tables)]
 
 
-def _encode_group(ranks, begin, lengths, freq, buckets) -> list[np.ndarray]:
-    bucket_of, first_rank, bucket_bits = buckets
-    starts, sizes, _ = _bucket_table(freq)
-    # of each rank: what its part of the range is multiplied by, and by what the range is divided
-    b = bucket_of
-    bits = bucket_bits[b]
-    size, offset = sizes[b], np.arange(len(b), dtype=np.uint64) - first_rank[b]
-    start = starts[b]
-    longest = int(lengths[0])
-    by_step = np.zeros((longest, len(lengths)), np.uint32)
-    for k, (a, n) in enumerate(zip(begin.tolist(), lengths.tolist())):
-        by_step[:n, k] = ranks[a:a + n]
-    lanes, out = _Lanes(len(lengths)), _Out(len(lengths), longest)
-    for step in range(longest):
-        n = int(np.searchsorted(-lengths, -step))
+def _encode_group(ranks, begin, lengths, tables) -> list[np.ndarray]:
+    starts, sizes, bits, offsets = tables
+    lanes, out = _Lanes(len(lengths), len(starts)), _Out(len(lengths))
+    for step, n in enumerate(_lanes_at(lengths)):
         if n < len(lanes.prev):
             _flush(lanes, out, n)
-        rank = by_step[step, :n]
-        token = rank.astype(np.uint64) + _ONE
+        if step % _STEPS == 0:
+            by_step = ranks.take(begin[:n] + np.arange(step, step + _STEPS)[:, None], mode="clip")
+        rank = by_step[step % _STEPS, :n]
+        token = rank + np.uint32(1)
         guess, part = lanes.predict()
         miss = token != guess
-        lanes.narrow(miss, part)
+        hits = (~miss).nonzero()[0]
+        lanes.narrow(hits, part)
         out.put(*lanes.settle())
-        at = np.flatnonzero(miss)
-        if len(at):
-            k = rank.take(at)
-            r = lanes.range.take(at) >> np.uint64(_TOTAL)
-            low = r * start.take(k)
-            r = r * size.take(k) >> bits.take(k)
-            lanes.low[at] += low + r * offset.take(k)
-            lanes.range[at] = r
+        if len(hits) < n:
+            # for all lanes, as most of them miss; the hits get their own back
+            low, size = lanes.low.take(hits), lanes.range.take(hits)
+            lanes.range >>= np.uint64(_TOTAL)
+            lanes.low += starts.take(rank) * lanes.range
+            lanes.range *= sizes.take(rank)
+            lanes.range >>= bits.take(rank)
+            lanes.low += offsets.take(rank) * lanes.range
+            lanes.low[hits], lanes.range[hits] = low, size
             out.put(*lanes.settle())
         lanes.learn(miss, token)
     _flush(lanes, out, 0)
-    return [out.words[k, :out.n[k]] for k in range(len(lengths))]
+    del lanes, by_step
+    return out.by_lane()
 
 
 def _flush(lanes: _Lanes, out: _Out, n: int) -> None:
@@ -226,57 +247,77 @@ def _flush(lanes: _Lanes, out: _Out, n: int) -> None:
 
 def decode_blocks(words: list[np.ndarray], lengths: np.ndarray, freq: np.ndarray, n_ranks: int) -> np.ndarray:
     """The ranks of all blocks, one after another; ``lengths`` fall."""
-    buckets = _buckets(n_ranks)
-    parts = [_decode_group(words[g], lengths[g], freq, buckets) for g in _lane_groups(lengths)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    _, first_rank, bits = _buckets(n_ranks)
+    starts, sizes, bucket_at = _bucket_table(freq)
+    tables = tuple(x[bucket_at] for x in (starts, sizes, bits, first_rank))
+    parts = [_decode_group(words[g], lengths[g], tables, n_ranks) for g in _lane_groups(lengths)]
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint32)
 
 
-def _decode_group(words, lengths, freq, buckets) -> np.ndarray:
-    _, first_rank, bucket_bits = buckets
-    starts, sizes, bucket_at = _bucket_table(freq)
-    bucket_at = bucket_at.astype(np.uint8)
-    out = np.zeros((int(lengths[0]), len(lengths)), np.uint32)
-    lanes = _Lanes(len(lengths))
+def _decode_group(words, lengths, tables, n_ranks) -> np.ndarray:
+    starts, sizes, bits, firsts = tables
+    longest = int(lengths[0])
+    out, by_step = np.empty((len(lengths), longest), np.uint32), np.empty((_STEPS, len(lengths)), np.uint32)
+    lanes = _Lanes(len(lengths), n_ranks)
     size = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate([*words, np.zeros(2, np.uint32)])
     at_word = np.cumsum(size) - size
-    code = (flat[at_word].astype(np.uint64) << _U32) | flat[at_word + 1]
+    # how far the coded number lies above the low end
+    above = (flat[at_word].astype(np.uint64) << _U32) | flat[at_word + 1]
     at_word += 2
-    last_slot = np.uint64((1 << _TOTAL) - 1)
 
     def settle():
         moved, _ = lanes.settle()
         if len(moved):
-            place = at_word.take(moved)
-            code[moved] = (code.take(moved) << _U32) | flat.take(place)
-            at_word[moved] = place + 1
+            at = at_word.take(moved)
+            above[moved] = (above.take(moved) << _U32) | flat.take(at)
+            at_word[moved] = at + 1
 
-    for step in range(len(out)):
-        n = int(np.searchsorted(-lengths, -step))
+    for step, n in enumerate(_lanes_at(lengths)):
         if n < len(lanes.prev):
             lanes.shorten(n)
-            code, at_word = code[:n], at_word[:n]
-        token, part = lanes.predict()
-        miss = code - lanes.low >= part
-        lanes.narrow(miss, part)
+            above, at_word = above[:n], at_word[:n]
+        guess, part = lanes.predict()
+        miss = above >= part
+        hits = (~miss).nonzero()[0]
+        held = above.take(hits)
+        above -= part
+        above[hits] = held
+        lanes.narrow(hits, part)
         settle()
-        at = np.flatnonzero(miss)
-        if len(at):
-            low = lanes.low.take(at)
-            off = code.take(at) - low
-            r = lanes.range.take(at) >> np.uint64(_TOTAL)
-            b = bucket_at.take(np.minimum(off // r, last_slot).astype(np.int64))
-            start, bits = r * starts.take(b), bucket_bits.take(b)
-            r = r * sizes.take(b) >> bits
-            rest = np.minimum((off - start) // r, (_ONE << bits) - _ONE)
-            lanes.low[at] = low + start + r * rest
-            lanes.range[at] = r
-            token[at] = first_rank.take(b) + rest + _ONE
+        token = guess.astype(np.uint32)
+        if len(hits) < n:
+            # for all lanes, as most of them miss; the hits get their own back
+            low, size, held = lanes.low.take(hits), lanes.range.take(hits), above.take(hits)
+            lanes.range >>= np.uint64(_TOTAL)
+            slot = (above // lanes.range).view(np.int64)
+            start = starts.take(slot, mode="clip")
+            start *= lanes.range
+            lanes.range *= sizes.take(slot, mode="clip")
+            lanes.range >>= bits.take(slot, mode="clip")
+            above -= start
+            rest = above // lanes.range
+            found = firsts.take(slot, mode="clip") + rest
+            rest *= lanes.range
+            above -= rest
+            lanes.low += start
+            lanes.low += rest
+            lanes.low[hits], lanes.range[hits], above[hits] = low, size, held
+            kept = token.take(hits)
+            token = found.astype(np.uint32)
+            token += np.uint32(1)
+            token[hits] = kept
             settle()
         lanes.learn(miss, token)
-        out[step, :n] = token
+        by_step[step % _STEPS, :n] = token
+        if (step + 1) % _STEPS == 0 or step + 1 == longest:
+            at = step - step % _STEPS
+            out[:, at:step + 1] = by_step[:step + 1 - at].T
+    del lanes
     out -= np.uint32(1)
-    return np.concatenate([out[:n, k] for k, n in enumerate(lengths.tolist())])
+    if (lengths[:-1] == longest).all():
+        return out.ravel()[:int(lengths.sum())]
+    return np.concatenate([row[:n] for row, n in zip(out, lengths.tolist())])
 
 
 # ---------------------------------------------------------------- segments
@@ -348,7 +389,10 @@ def unpack(segment: bytes | pa.Buffer) -> tuple[list[int | None], np.ndarray, np
     ends = np.cumsum(table[:, 1])
     for g in _lane_groups(table):
         ranks = decode_blocks(words[g], table[g, 1], freq.astype(np.int64), n_ranks)
-        ids[int(ends[g.start] - table[g.start, 1]):int(ends[g.stop - 1])] = distinct.take(ranks)
+        into = ids[int(ends[g.start] - table[g.start, 1]):int(ends[g.stop - 1])]
+        for k in range(0, len(ranks), 1 << 20):  # take copies its indices as 64-bit numbers
+            into[k:k + (1 << 20)] = distinct.take(ranks[k:k + (1 << 20)])
+        del ranks
     return [int(d) if h else None for d, h in zip(doc_ids, has)], lengths, ids
 
 
@@ -387,11 +431,14 @@ _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> np.ndarray:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    letters = np.zeros(256, "<u4")
+    letters[plain] = plain
+    rest = np.flatnonzero(letters == 0)
+    letters[rest] = 256 + np.arange(len(rest))
+    return letters
 
 
 def _spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -401,41 +448,87 @@ def _spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Ids of words or pieces by their hash: sorted hashes, and spans of one array, which starts with END_ID."""
+    """Ids of words or pieces by their hash: a table of open addresses, and spans of one array, which starts with END_ID.
+
+    ``find`` numbers the entries from 1; number 0 stands for a hash that is not there, and for the end id.
+    """
 
     def __init__(self, most: int):
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.bits = 12
+        self.table = np.zeros(1 << self.bits, np.int32)
+        self.size = 1
+        self.keys = np.zeros(1, np.uint64)
+        self.at, self.n = np.zeros(1, np.int32), np.ones(1, np.int32)
         self.flat, self.used = np.full(1, END_ID, np.uint32), 1
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Which of ``keys`` are to be added; all of them where they would be too many beside the others."""
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
-            if len(self.keys) + new.sum() > self.most or self.used > _IDS_A_WORD * self.most:
-                new[:] = True
-                self._clear()
-        return new
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the entry of each key."""
+        place = self._place(keys)
+        entry = self.table.take(place)
+        other = ((self.keys.take(entry) != keys) & (entry > 0)).nonzero()[0]
+        place = place.take(other)
+        while len(other):
+            place = (place + 1) & ((1 << self.bits) - 1)
+            e = self.table.take(place)
+            entry[other] = e
+            on = (self.keys.take(e) != keys.take(other)) & (e > 0)
+            other, place = other[on], place[on]
+        return entry
+
+    def full(self, new: int) -> bool:
+        """Whether ``new`` more would be too many; then all are forgotten."""
+        if self.size == 1 or (self.size - 1 + new <= self.most and self.used <= _IDS_A_WORD * self.most):
+            return False
+        self._clear()
+        return True
+
+    def _enter(self, entry: np.ndarray) -> None:
+        place = self._place(self.keys[entry])
+        while len(entry):
+            free = self.table.take(place) == 0
+            self.table[place[free]] = entry[free]
+            on = self.table.take(place) != entry
+            entry, place = entry[on], (place[on] + 1) & ((1 << self.bits) - 1)
 
     def add(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
-        """``keys`` rise and are new."""
-        place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, (self.used + np.cumsum(n) - n).astype(np.int32))
-        self.n = np.insert(self.n, place, n.astype(np.int32))
+        """``keys`` are distinct and new."""
+        first, self.size = self.size, self.size + len(keys)
+        if self.size > len(self.keys):
+            room = self.size + self.size // 4
+            self.keys, self.at, self.n = (np.concatenate([x[:first], np.zeros(room - first, x.dtype)])
+                                          for x in (self.keys, self.at, self.n))
+        self.keys[first:self.size] = keys
+        self.at[first:self.size] = self.used + np.cumsum(n) - n
+        self.n[first:self.size] = n
         start, self.used = self.used, self.used + len(ids)
         if self.used > len(self.flat):
             self.flat = np.concatenate([self.flat[:start], np.empty(len(ids) + start // 4, np.uint32)])
         self.flat[start:self.used] = ids
-
-    def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.keys, keys)
-        return self.at[place], self.n[place]
+        if 2 * self.size > len(self.table):
+            self.bits = (2 * self.size).bit_length()
+            self.table = np.zeros(1 << self.bits, np.int32)
+            first = 1
+        self._enter(np.arange(first, self.size, dtype=np.int32))
+
+    def found(self, keys: np.ndarray, make) -> np.ndarray:
+        """The number of the entry of each key; ``make(places)`` gives lengths and ids of those that are new."""
+        entry = self.find(keys)
+        new = (entry == 0).nonzero()[0]
+        if len(new):
+            u, first = np.unique(keys[new], return_index=True)
+            if self.full(len(u)):
+                new = np.arange(len(keys))
+                u, first = np.unique(keys, return_index=True)
+            self.add(u, *make(new[first]))
+            entry[new] = self.find(keys[new])
+        return entry
 
 
 class Ids:
@@ -459,19 +552,18 @@ class Ids:
 
     def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, simple: np.ndarray) -> list[list[int]]:
         """The ids of pieces; those that are not simple are whole words."""
-        raw, low = data.tobytes(), W.LOWER.take(data).tobytes()
-        out: list[list[int]] = []
-        other, words = [], []
-        for k, (a, b, ok) in enumerate(zip(start.tolist(), end.tolist(), simple.tolist())):
-            s = low[a:b]
-            if not ok:
-                other.append(k)
-                words.append(raw[a:b].decode("utf-8", "replace"))
-                out.append([])
-            else:
-                mapped = s.decode() if s.isascii() else s.decode().lower().encode().decode("latin-1").translate(self.letters)
-                out.append([t.id for t in self.tokenize(mapped)])
-        for k, e in zip(other, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+        low = W.LOWER.take(data)
+        two = (low[:-1] == 0xC3).nonzero()[0] + 1
+        # U+00C0 to U+00DE; of the letters after them none has another lower case
+        two = two[(low[two] >= 0x80) & (low[two] <= 0x9E) & (low[two] != 0x97)]
+        low[two] += 32
+        mapped = self.letters.take(low).tobytes().decode("utf-32-le")
+        tokenize, out = self.tokenize, [[]] * len(start)
+        for k, a, b in zip(simple.nonzero()[0].tolist(), start[simple].tolist(), end[simple].tolist()):
+            out[k] = [t.id for t in tokenize(mapped[a:b])]
+        raw, other = data.tobytes(), (~simple).nonzero()[0]
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[other].tolist(), end[other].tolist())]
+        for k, e in zip(other.tolist(), self.tokenizer.encode_batch(words, add_special_tokens=False)):
             out[k] = e.ids
         return out
 
@@ -483,14 +575,14 @@ class Ids:
         text[_spread(np.arange(len(text)), base, length)] = _spread(data, start, length)
         simple, cuts = _cuts(text, base)
         h, s, e = W.word_spans(text, np.r_[0, cuts, len(text)])
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = self.pieces.missing(u)
-        if new.any():
-            i = first[new]
+
+        def encode(i):
             ids = self._encode(text, s[i], e[i], simple[np.searchsorted(base, s[i], side="right") - 1])
-            self.pieces.add(u[new], np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32))
-        at, n = (x[inverse] for x in self.pieces.spans(u))
-        return np.add.reduceat(n, np.searchsorted(s, base)), _spread(self.pieces.flat, at, n)
+            return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32)
+
+        entry = self.pieces.found(h, encode)
+        n = self.pieces.n.take(entry)
+        return np.add.reduceat(n, np.searchsorted(s, base)), _spread(self.pieces.flat, self.pieces.at.take(entry), n)
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by END_ID, and the number of each row."""
@@ -498,17 +590,12 @@ class Ids:
             return self._whole(data, offsets)
         h, start, end = W.word_spans(data, offsets)
         bounds = np.searchsorted(start, offsets)
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = self.words.missing(u)
-        if new.any():
-            i = first[new]
-            self.words.add(u[new], *self._of_words(data, start[i], end[i]))
-        # the end id is one more word of every row
-        word_at, word_n = (x[inverse] for x in self.words.spans(u))
-        word_at, word_n = np.insert(word_at, bounds[1:], 0), np.insert(word_n, bounds[1:], 1)
+        # the end id is one more word of every row, entry 0
+        entry = np.insert(self.words.found(h, lambda i: self._of_words(data, start[i], end[i])), bounds[1:], 0)
+        word_n = self.words.n.take(entry)
         row_bounds = bounds + np.arange(len(bounds))
-        total = np.r_[0, np.cumsum(word_n)]
-        ids = _spread(self.words.flat, word_at, word_n)
+        total = np.r_[0, np.cumsum(word_n, dtype=np.int64)]
+        ids = _spread(self.words.flat, self.words.at.take(entry), word_n)
         lengths = total[row_bounds[1:]] - total[row_bounds[:-1]]
         return self._special(data, offsets, ids, lengths)
 

@@ -1,5 +1,6 @@
 """Ids in coded blocks: exact round trips, checksums, and the ids of the tokenizer."""
 
+import hashlib
 import tracemalloc
 import zlib
 
@@ -202,3 +203,54 @@ def test_the_session_keeps_its_batches(spark):
     with arrow_batches(spark, 8_000):
         small = sizes.collect()
     assert spark.conf.get(key) == before and sum(r.n for r in small) == 40 and max(r.n for r in small) < 20
+
+
+def test_a_segment_is_coded_in_as_few_steps_as_its_memory_allows(monkeypatch):
+    # the time of a step hardly depends on how many blocks take part, so 3,100 blocks are not coded as two halves
+    monkeypatch.setattr(idcoder, "BLOCK_IDS", 32)
+    steps = []
+    predict = idcoder._Lanes.predict
+    monkeypatch.setattr(idcoder._Lanes, "predict", lambda self: steps.append(1) or predict(self))
+    ids = np.random.default_rng(6).integers(0, 300, 3100 * 32 - 5).astype(np.uint32)
+    segment = idcoder.pack([1], np.array([len(ids)]), ids)
+    assert len(steps) == 32
+    assert (idcoder.unpack(segment)[2] == ids).all() and len(steps) == 64
+
+
+def test_the_format_is_as_before():
+    """Sums of segments that the coder wrote before its tables and steps were changed."""
+    for seed, n, top, want in ((0, 300_000, 100_000, "b05c50584172"), (3, 50_000, 3, "80c71b6ee0aa"), (4, 6145, 500, "3af8adf0dca6")):
+        ids = np.random.default_rng(seed).integers(0, top, n).astype(np.uint32)
+        if n > 10_000:
+            ids[n // 2:] = ids[:n - n // 2]
+            ids[5000:6000] = ids[4000:5000]
+        segment = idcoder.pack([1], np.array([n]), ids)
+        assert hashlib.sha256(segment).hexdigest()[:12] == want
+        assert (idcoder.unpack(segment)[2] == ids).all()
+
+
+def test_remembered_ids_are_found_again(monkeypatch):
+    rng = np.random.default_rng(8)
+    # keys of few places, one of them 0, so that many share one
+    keys = np.unique(np.r_[np.uint64(0), rng.integers(0, 1 << 64, 9000, np.uint64), rng.integers(0, 3000, 500, np.uint64)])
+    known, made = idcoder._Known(20_000), []
+
+    def make(places):
+        made.extend(asked[places].tolist())
+        n = asked[places] % np.uint64(4)
+        return n.astype(np.int64), np.repeat((asked[places] >> np.uint64(7)).astype(np.uint32), n.astype(np.int64))
+
+    for k in range(12):
+        asked = rng.choice(keys[:800 * (k + 1)], 5000)
+        entry = known.found(asked, make)
+        assert (entry > 0).all() and (known.keys[entry] == asked).all()
+        assert (known.n[entry] == asked % np.uint64(4)).all()
+        some = known.n[entry] > 0
+        assert (known.flat[known.at[entry[some]]] == (asked[some] >> np.uint64(7)).astype(np.uint32)).all()
+    assert len(made) == len(set(made)) == known.size - 1
+    assert known.n[0] == 1 and known.flat[known.at[0]] == idcoder.END_ID
+    few = idcoder._Known(100)
+    for k in range(5):
+        asked = rng.choice(keys, 90)
+        entry = few.found(asked, make)
+        assert (few.keys[entry] == asked).all() and few.size <= 101
